@@ -124,22 +124,27 @@ def trailing_mean(df: DataFrame, by: str, position: str, value: str, n: int, out
 
 
 def order_statistics(df: DataFrame, value: str, shares: dict[str, float], by: list[str],
-                     accuracy: int = 100_000) -> DataFrame:
+                     accuracy: int = 100_000, extra: list[Column] | None = None) -> DataFrame:
     """Exact order statistics: for each group the value at 0-based index floor(share * n).
 
+    `extra` are aggregates over the group's rows with a value, taken in the same first pass.
+
     A mergeable sketch brackets each index between two values; only the rows inside the bracket
     (a few n / accuracy) are ordered, and rows below it are just counted. No group is sorted whole.
     """
-    rows = df.select(*by, F.col(value).cast("double").alias("_value")).filter(
+    extra = extra or []
+    clean = df.withColumn("_value", F.col(value).cast("double")).filter(
         F.col("_value").isNotNull() & ~F.isnan("_value"))
+    rows = clean.select(*by, "_value")
     slack = 4.0 / accuracy
     cuts = []
     for share in shares.values():
         cuts += [max(0.0, share - slack), min(1.0, share + slack)]
-    brackets = rows.groupBy(*by).agg(
+    first_pass = clean.groupBy(*by).agg(
         F.count(F.lit(1)).alias("_n"),
-        F.percentile_approx("_value", cuts, accuracy).alias("_cuts"),
+        F.percentile_approx("_value", cuts, accuracy).alias("_cuts"), *extra,
     )
+    brackets = first_pass.select(*by, "_n", "_cuts")
     wanted = F.array(*[
         F.struct(
             F.lit(name).alias("name"),
@@ -161,9 +166,10 @@ def order_statistics(df: DataFrame, value: str, shares: dict[str, float], by: li
     order = Window.partitionBy(*by, "_name").orderBy(F.col("_value").asc_nulls_first())
     reached = F.sum("_rows").over(order.rowsBetween(Window.unboundedPreceding, 0))
     found = counted.withColumn("_reached", reached).filter(F.col("_reached") > F.col("_index"))
-    return found.groupBy(*by).agg(*[
+    picked = found.groupBy(*by).agg(*[
         F.min(F.when(F.col("_name") == name, F.col("_value"))).alias(name) for name in shares
     ])
+    return picked.join(first_pass.drop("_n", "_cuts"), by) if extra else picked
 
 
 def newest(df: DataFrame, ts: str, tie: str, n: int, block_seconds: int = 3600) -> DataFrame:

@@ -28,9 +28,12 @@ def cache_stats(requests: DataFrame) -> DataFrame:
     ).withColumn("hit_rate", ratio("cache_hits", "total_requests"))
 
 
-def load_metrics(requests: DataFrame, duration_seconds: float, accuracy: int = 100_000) -> DataFrame:
+def load_metrics(requests: DataFrame, duration_seconds: float, accuracy: int = 100_000,
+                 latencies: DataFrame | None = None) -> DataFrame:
     """Totals, latency mean, 95th and 99th percentile by index, maximum, throughput and rates.
 
+    `latencies` may give latency_ms of the same requests from a cheaper plan than `requests`.
+
     The percentile is the value at 0-based index floor(p * n) of the sorted latencies. Empty input gives
     one row of zeros with the duration kept.
     """
@@ -44,7 +47,7 @@ def load_metrics(requests: DataFrame, duration_seconds: float, accuracy: int = 1
     )
     # one group over all rows: the sketch and the counts are combined before the shuffle
     ranked = order_statistics(
-        requests.withColumn("_one", F.lit(1)), "latency_ms", {"p95_latency_ms": 0.95, "p99_latency_ms": 0.99},
+        (requests if latencies is None else latencies).withColumn("_one", F.lit(1)), "latency_ms", {"p95_latency_ms": 0.95, "p99_latency_ms": 0.99},
         ["_one"], accuracy)
     joined = totals.withColumn("_one", F.lit(1)).join(ranked, "_one", "left")
     return joined.select(
@@ -60,9 +63,8 @@ def load_metrics(requests: DataFrame, duration_seconds: float, accuracy: int = 1
 
 def hit_miss_speedup(requests: DataFrame, accuracy: int = 100_000) -> DataFrame:
     """Mean and 95th percentile latency of hits and of misses, and mean miss over mean hit."""
-    means = requests.groupBy("cache_hit").agg(F.avg("latency_ms").alias("avg"))
-    ranked = order_statistics(requests, "latency_ms", {"p95": 0.95}, ["cache_hit"], accuracy)
-    sides = means.join(ranked, "cache_hit")
+    sides = order_statistics(requests, "latency_ms", {"p95": 0.95}, ["cache_hit"], accuracy,
+                             [F.avg("latency_ms").alias("avg")])
 
     def side(hit: bool, name: str) -> Column:
         return F.coalesce(F.max(F.when(F.col("cache_hit") == hit, F.col(name))), F.lit(0.0))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -72,11 +73,21 @@ def fit_access_regressor(examples: DataFrame, seed: int = 42, trees: int = 10, d
     The label is the gap, in seconds; `gap_score` turns a forecast into a score between 0 and 1. The trees
     of a forest grow together, so the number of passes over the data is the depth, not depth x trees.
     """
-    return Pipeline(stages=[
+    pipeline = Pipeline(stages=[
         VectorAssembler(inputCols=ACCESS_FEATURES, outputCol="raw"),
         StandardScaler(inputCol="raw", outputCol="features", withMean=True),
         RandomForestRegressor(labelCol="next_gap", featuresCol="features", numTrees=trees, maxDepth=depth, seed=seed),
-    ]).fit(examples)
+    ])
+    return _fit(pipeline, examples)
+
+
+def _fit(pipeline: Pipeline, examples: DataFrame) -> PipelineModel:
+    """Fits on a persisted copy, since every stage reads the examples again; lost parts are recomputed."""
+    examples = examples.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return pipeline.fit(examples)
+    finally:
+        examples.unpersist()
 
 
 def gap_score(gap: Column, horizon_seconds: float = 4 * 3600.0) -> Column:
@@ -103,12 +114,12 @@ def fit_precompute_classifier(usage: DataFrame, seed: int = 42, validation: floa
     buckets = 1000
     side = F.pmod(F.xxhash64("embedding_id", F.lit(seed)), F.lit(buckets))
     train, held_out = usage.filter(side >= int(validation * buckets)), usage.filter(side < int(validation * buckets))
-    model = Pipeline(stages=[
+    pipeline = Pipeline(stages=[
         VectorAssembler(inputCols=USAGE_FEATURES, outputCol="raw"),
         StandardScaler(inputCol="raw", outputCol="features", withMean=True),
         LogisticRegression(labelCol="target", weightCol="weight", maxIter=max_iter, standardization=False),
-    ]).fit(soft_label_rows(train))
-    return model, held_out
+    ])
+    return _fit(pipeline, soft_label_rows(train)), held_out
 
 
 def predict_precompute(model: PipelineModel, usage: DataFrame, threshold: float = PROBABILITY_THRESHOLD) -> DataFrame:

@@ -40,18 +40,16 @@ def session_drift(log: DataFrame, vectors: DataFrame, gap_seconds: int, user: st
     The cosine is computed once per distinct pair of neighbouring keys, not once per access.
     """
     steps = session_steps(log, gap_seconds, user)
-    pairs = steps.filter(F.col("previous_key").isNotNull()).groupBy(
-        user, "session_start", "previous_key", "embedding_id").agg(F.count(F.lit(1)).alias("_n"))
+    pairs = steps.groupBy(user, "session_start", "previous_key", "embedding_id").agg(F.count(F.lit(1)).alias("_n"))
     lean = vectors.select("embedding_id", "embedding")
-    distinct = pairs.select("previous_key", "embedding_id").distinct()
+    distinct = pairs.filter(F.col("previous_key").isNotNull()).select("previous_key", "embedding_id").distinct()
     left = lean.select(F.col("embedding_id").alias("previous_key"), F.col("embedding").alias("_before"))
     cosines = distinct.join(lean, "embedding_id").join(left, "previous_key").select(
         "previous_key", "embedding_id", cosine("_before", "embedding").alias("_cosine"))
-    drift = pairs.join(cosines, ["previous_key", "embedding_id"]).groupBy(user, "session_start").agg(
+    return pairs.join(cosines, ["previous_key", "embedding_id"], "left").groupBy(user, "session_start").agg(
+        F.sum("_n").alias("accesses"),
         F.try_divide(F.sum(F.col("_cosine") * F.col("_n")),
                      F.sum(F.when(F.col("_cosine").isNotNull(), F.col("_n")))).alias("mean_similarity"))
-    sizes = steps.groupBy(user, "session_start").agg(F.count(F.lit(1)).alias("accesses"))
-    return sizes.join(drift, [user, "session_start"], "left")
 
 
 def compute_saved(requests: DataFrame, seconds_per_embedding: float, by: list[str]) -> DataFrame:

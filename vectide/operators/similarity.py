@@ -140,7 +140,7 @@ def cells_nearest(vector: Column | str, pivots: np.ndarray, probes: int) -> Colu
 
 
 def _score_cells(store: DataFrame, queries: DataFrame, sizes: dict[int, int], schema: str,
-                 threshold: float, k: int | None, skip_self: bool, block_rows: int) -> DataFrame:
+                 threshold: float, k: int | None, skip_self: bool, block_rows: int, n_queries: int) -> DataFrame:
     """Scores store rows (with `cell`) against queries (with `cells`), one pair of blocks per group.
 
     `sizes` is the row count per cell. A cell is cut into blocks of about `block_rows` store rows, its
@@ -149,7 +149,7 @@ def _score_cells(store: DataFrame, queries: DataFrame, sizes: dict[int, int], sc
     most = max(sizes, default=0)
     cuts = F.array(*[F.lit(max(1, math.ceil(sizes.get(c, 0) / block_rows))) for c in range(most + 1)])
     filled = F.array(*[F.lit(sizes.get(c, 0) > 0) for c in range(most + 1)])
-    n_query_blocks = max(1, math.ceil(queries.count() / block_rows))
+    n_query_blocks = max(1, math.ceil(n_queries / block_rows))
 
     left = store.select(
         "embedding_id", "embedding", "cell",
@@ -178,27 +178,30 @@ def _score_cells(store: DataFrame, queries: DataFrame, sizes: dict[int, int], sc
     return left.groupBy(*block).cogroup(right.groupBy(*block)).applyInArrow(score, schema)
 
 
-def _only_usable(store: DataFrame, queries: DataFrame, dim: int | None) -> tuple[DataFrame, DataFrame]:
-    if dim is None:
-        first = queries.filter(usable("query_vec")).select(F.size("query_vec")).first()
-        dim = first[0] if first else 0
+def _only_usable(store: DataFrame, queries: DataFrame, dim: int) -> tuple[DataFrame, DataFrame]:
     return (store.filter(usable("embedding", dim)).select("embedding_id", "embedding"),
             queries.filter(usable("query_vec", dim)).select("query_id", "query_vec"))
 
 
 def scored_pairs(store: DataFrame, queries: DataFrame, threshold: float, k: int | None = None,
-                 skip_self: bool = False, dim: int | None = None, max_queries: int = MAX_QUERIES,
+                 skip_self: bool = False, max_queries: int = MAX_QUERIES,
                  n_pivots: int = 256, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(query_id, embedding_id, similarity) with similarity >= threshold.
 
-    With k, each query's k best (ties included) are among the rows; rank them to cut to k.
+    With k, each query's k best (ties included) are among the rows; rank them to cut to k. Vectors of
+    another length than the first query's take no part.
     """
-    store, queries = _only_usable(store, queries, dim)
     schema = _pairs_schema(queries, store)
-    head = queries.limit(max_queries + 1).toArrow()
+    # one row more than the bound tells whether the query side fits
+    head = queries.filter(usable("query_vec")).select("query_id", "query_vec").limit(max_queries + 1).toArrow()
+    lengths = pa.compute.list_value_length(head.column("query_vec"))
+    dim = lengths[0].as_py() if head.num_rows else 0
     if head.num_rows <= max_queries:
-        return _score_broadcast(store, head, schema, threshold, k, skip_self)
+        fitting = head.filter(pa.compute.equal(lengths, dim))
+        store, _ = _only_usable(store, queries, dim)
+        return _score_broadcast(store, fitting, schema, threshold, k, skip_self)
 
+    store, queries = _only_usable(store, queries, dim)
     pivots = pick_pivots(store, n_pivots)
     celled = store.withColumn("_near", nearest_cell("embedding", pivots)).select(
         "embedding_id", "embedding", F.col("_near.cell").alias("cell"), F.col("_near.angle").alias("angle"))
@@ -208,7 +211,13 @@ def scored_pairs(store: DataFrame, queries: DataFrame, threshold: float, k: int
         radii[row["cell"]] = row["radius"]
     visiting = queries.withColumn("cells", cells_in_reach("query_vec", pivots, radii, threshold))
     sizes = {row["cell"]: row["n"] for row in stats}
-    return _score_cells(celled, visiting, sizes, schema, threshold, k, skip_self, block_rows)
+    return _score_cells(celled, visiting, sizes, schema, threshold, k, skip_self, block_rows, queries.count())
+
+
+def _query_size(queries: DataFrame) -> tuple[int, int]:
+    """(usable queries, vector length)."""
+    row = queries.filter(usable("query_vec")).agg(F.count(F.lit(1)), F.max(F.size("query_vec"))).first()
+    return row[0], row[1] or 0
 
 
 def _ranked(pairs: DataFrame, limit: int) -> DataFrame:
@@ -284,13 +293,15 @@ def cluster_pruned_search(store: DataFrame, queries: DataFrame, centroids: np.nd
 
     Approximate: a match in a cluster that is not probed is missed.
     """
-    store, queries = _only_usable(store, queries, None)
+    n_queries, dim = _query_size(queries)
+    store, queries = _only_usable(store, queries, dim)
     schema = _pairs_schema(queries, store)
     unit = unit_rows(centroids)
     celled = store.withColumn("cell", nearest_cell("embedding", unit)["cell"])
     sizes = {row["cell"]: row["count"] for row in celled.groupBy("cell").count().collect()}
     visiting = queries.withColumn("cells", cells_nearest("query_vec", unit, probes))
-    return _ranked(_score_cells(celled, visiting, sizes, schema, threshold, limit, False, block_rows), limit)
+    return _ranked(_score_cells(celled, visiting, sizes, schema, threshold, limit, False, block_rows, n_queries),
+                   limit)
 
 
 def _hyperplanes(dim: int, bits: int, seed: int) -> np.ndarray:
@@ -329,14 +340,15 @@ def approx_similar_join(store: DataFrame, queries: DataFrame, threshold: float =
     A query visits its own signature and those within `flips` bits. More flips find more and cost more;
     flips = bits is the exact search.
     """
-    store, queries = _only_usable(store, queries, None)
+    n_queries, dim = _query_size(queries)
+    store, queries = _only_usable(store, queries, dim)
     schema = _pairs_schema(queries, store)
-    first = store.select(F.size("embedding")).first()
-    planes = _hyperplanes(first[0] if first else 1, bits, seed)
+    planes = _hyperplanes(dim, bits, seed)
     celled = store.withColumn("cell", _signature(planes)("embedding"))
     sizes = {row["cell"]: row["count"] for row in celled.groupBy("cell").count().collect()}
     visiting = queries.withColumn("cells", _signatures_near(planes, flips)("query_vec"))
-    return _ranked(_score_cells(celled, visiting, sizes, schema, threshold, limit, False, block_rows), limit)
+    return _ranked(_score_cells(celled, visiting, sizes, schema, threshold, limit, False, block_rows, n_queries),
+                   limit)
 
 
 def threshold_sweep(store: DataFrame, queries: DataFrame, thresholds: list[float], label: str = "label",
@@ -348,11 +360,10 @@ def threshold_sweep(store: DataFrame, queries: DataFrame, thresholds: list[float
     of at most `max_queries` rows.
     """
     spark = store.sparkSession
-    dim_row = queries.filter(usable("query_vec")).select(F.size("query_vec")).first()
-    dim = dim_row[0] if dim_row else 0
+    n_queries, dim = _query_size(queries)
     store = store.filter(usable("embedding", dim)).select("embedding_id", "embedding", label)
     queries = queries.filter(usable("query_vec", dim)).select("query_id", "query_vec", label)
-    n_slices = max(1, math.ceil(queries.count() / max_queries * 1.2))
+    n_slices = max(1, math.ceil(n_queries / max_queries * 1.2))
     cuts = np.array(thresholds)
     counted = None
     for i in range(n_slices):

@@ -3,24 +3,24 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F
 
 from vectide.operators.groups import top_per_group
 from vectide.session import cut_lineage
 
 
-def _walk(times: np.ndarray, spans: np.ndarray, cut: np.ndarray, front: int, ttl: int) -> tuple[list[int], int | None]:
-    """Positions of the misses in sorted `times`, and where the walk got stuck, if it did.
+def _walk(times: np.ndarray, ttl: int, reach: int, held_until: np.ndarray | None = None) -> tuple[list[int], int | None]:
+    """Positions of the misses in sorted `times`, starting with the first one after `reach`, and where the
+    walk got stuck, if it did.
 
-    A miss at t covers all accesses up to t + ttl. `cut[i]` marks the last kept row of a span that has
-    more rows than were kept: if the next miss could lie among those, the walk stops.
+    A miss at t covers all accesses up to t + ttl. `held_until[i]` is the end of the time after row i in
+    which rows may have been left out (0: none): if the next miss could be one of those, the walk stops.
     """
     misses: list[int] = []
-    reach, i = front, 0
     while True:
         i = int(np.searchsorted(times, reach, side="right"))
-        if i > 0 and cut[i - 1] and reach < front + (int(spans[i - 1]) + 1) * ttl:
+        if held_until is not None and i > 0 and reach < held_until[i - 1]:
             return misses, reach
         if i == len(times):
             return misses, None
@@ -28,71 +28,91 @@ def _walk(times: np.ndarray, spans: np.ndarray, cut: np.ndarray, front: int, ttl
         reach = int(times[i]) + ttl
 
 
-def _miss_rows(ttl: int, kept: int, key: str, tie: str):
-    def per_key(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["_t", tie], kind="stable").reset_index(drop=True)
-        spans = rows["_span"].to_numpy()
-        last = np.append(spans[1:] != spans[:-1], True)
-        full = rows.groupby("_span")["_t"].transform("size").to_numpy() >= kept
-        misses, stuck = _walk(rows["_t"].to_numpy(), spans, last & full, int(rows["_front"].iloc[0]), ttl)
-        out = rows.loc[misses, [key, tie]].assign(_front=pd.NA)
-        if stuck is not None:
-            extra = pd.DataFrame({key: [rows[key].iloc[0]], tie: [pd.NA], "_front": [stuck]})
-            out = pd.concat([out.astype(object), extra.astype(object)])
-        return out[[key, tie, "_front"]]
+def _sorted(table: pa.Table, tie: str) -> pa.Table:
+    return table.sort_by([("_t", "ascending"), (tie, "ascending")])
+
+
+def _label_whole_keys(timed: DataFrame, key: str, tie: str, ttl: int) -> DataFrame:
+    """All rows of a key in one group; every column passes through as Arrow."""
+
+    def label(table: pa.Table) -> pa.Table:
+        table = _sorted(table, tie)
+        times = table.column("_t").to_numpy()
+        hit = np.ones(len(times), bool)
+        hit[_walk(times, ttl, int(times[0]) - 1)[0]] = False
+        return table.drop_columns(["_t"]).append_column("cache_hit", pa.array(hit))
 
-    return per_key
+    fields = [f"`{name}` {kind}" for name, kind in timed.dtypes if name != "_t"]
+    return timed.groupBy(key).applyInArrow(label, ", ".join([*fields, "cache_hit boolean"]))
 
 
-def miss_rows(log: DataFrame, key: str, ts: str, tie: str, ttl_seconds: int,
-              kept_per_span: int = 1000) -> DataFrame:
-    """(key, tie) of each access that is a miss; `tie` is unique over the log.
+def _round_of(ttl: int, kept: int, key: str, tie: str):
+    """One key's kept rows: its misses, and a row with `_front` set and no tie where the walk got stuck."""
 
-    Time after a key's front is cut into spans of one TTL, and at most one miss falls into a span. If
-    every span holds fewer than `kept_per_span` accesses, a key is at most spans x kept rows and one
-    pass over the keys is enough. Otherwise only the earliest rows of each span are walked; a key whose
-    walk needs a row beyond those goes into another round with spans aligned to where it stopped.
+    def walk(table: pa.Table) -> pa.Table:
+        table = _sorted(table, tie)
+        times, spans = table.column("_t").to_numpy(), table.column("_span").to_numpy()
+        front = table.column("_front")[0].as_py()
+        last = np.append(spans[1:] != spans[:-1], True)
+        starts = np.flatnonzero(np.append(True, spans[1:] != spans[:-1]))
+        full = np.repeat(np.diff(np.append(starts, len(spans))) >= kept, np.diff(np.append(starts, len(spans))))
+        held = np.where(last & full, front + (spans + 1) * ttl, 0)
+        misses, stuck = _walk(times, ttl, front, held)
+        found = table.select([key, tie]).take(pa.array(misses, pa.int64())).append_column(
+            "_front", pa.nulls(len(misses), pa.int64()))
+        if stuck is None:
+            return found
+        rest = pa.table([table.column(key).slice(0, 1), pa.nulls(1, table.schema.field(tie).type),
+                         pa.array([stuck], pa.int64())], names=found.schema.names)
+        return pa.concat_tables([found, rest])
+
+    return walk
+
+
+def _misses_in_rounds(timed: DataFrame, key: str, tie: str, ttl: int, kept: int) -> DataFrame:
+    """(key, tie) of all misses, where some key has more rows than one group may hold.
+
+    Time after a key's front is cut into spans of one TTL; at most one miss falls into a span. Only the
+    `kept` earliest rows of each span are walked. A key whose walk needs a later row goes into another
+    round, with spans that start where it stopped, so each round finds at least one more miss per key.
     """
-    ttl = ttl_seconds * 1_000_000
-    lean = log.select(key, tie, F.unix_micros(F.col(ts)).alias("_t"))
-    front = lean.groupBy(key).agg((F.min("_t") - 1).alias("_front"))
+    lean = timed.select(key, tie, "_t")
     types = dict(lean.dtypes)
     schema = f"`{key}` {types[key]}, `{tie}` {types[tie]}, `_front` bigint"
-
-    def spans_after(front: DataFrame) -> DataFrame:
-        return (
+    front = lean.groupBy(key).agg((F.min("_t") - 1).alias("_front"))
+    misses = None
+    while True:
+        spans = (
             lean.join(front, key).filter(F.col("_t") > F.col("_front"))
             .withColumn("_span", F.floor((F.col("_t") - F.col("_front") - 1) / F.lit(ttl)).cast("long"))
         )
-
-    spans = spans_after(front)
-    crowded = spans.groupBy(key, "_span").count().filter(F.col("count") >= kept_per_span)
-    if crowded.isEmpty():
-        found = spans.groupBy(key).applyInPandas(_miss_rows(ttl, kept_per_span, key, tie), schema)
-        return found.select(key, tie)
-
-    misses = None
-    while True:
-        kept = top_per_group(spans, [key, "_span"], [F.col("_t"), F.col(tie)], kept_per_span).drop("rank")
-        found = cut_lineage(kept.groupBy(key).applyInPandas(_miss_rows(ttl, kept_per_span, key, tie), schema))
+        earliest = top_per_group(spans, [key, "_span"], [F.col("_t"), F.col(tie)], kept).drop("rank")
+        found = cut_lineage(earliest.groupBy(key).applyInArrow(_round_of(ttl, kept, key, tie), schema))
         part = found.filter(F.col(tie).isNotNull()).select(key, tie)
         misses = part if misses is None else misses.unionByName(part)
         front = found.filter(F.col("_front").isNotNull()).select(key, "_front")
         if front.isEmpty():
             return misses
-        spans = spans_after(front)
 
 
 def ttl_hits(log: DataFrame, key: str = "embedding_id", ts: str = "ts", tie: str = "event_id",
              ttl_seconds: int = 3600, kept_per_span: int = 1000) -> DataFrame:
     """Adds `cache_hit`: false for the access that loads the key, true until the load is older than the TTL.
 
-    An access at exactly the TTL still hits. The label is joined on the unique `tie`, not on the key.
+    An access at exactly the TTL still hits; `tie` is unique over the log. The walk from load to load is
+    sequential, so a key's rows meet in one group as long as no TTL-long span of any key has more than
+    `kept_per_span` of them (counted first, combined before the shuffle). Otherwise the misses are found
+    in rounds over bounded samples of each span that lose nothing, and joined on `tie`, not on the key.
     """
-    misses = miss_rows(log, key, ts, tie, ttl_seconds, kept_per_span)
-    flagged = misses.select(F.col(tie), F.lit(True).alias("_miss"))
+    ttl = ttl_seconds * 1_000_000
+    time: Column = F.unix_micros(F.col(ts))
+    spans = log.groupBy(key, F.floor(time / F.lit(ttl)).alias("_span")).agg(F.count(F.lit(1)).alias("_rows"))
+    timed = log.withColumn("_t", time)
+    if spans.filter(F.col("_rows") > kept_per_span).isEmpty():
+        return _label_whole_keys(timed, key, tie, ttl)
+    misses = _misses_in_rounds(timed, key, tie, ttl, kept_per_span)
     return (
-        log.join(flagged, tie, "left")
+        log.join(misses.select(tie, F.lit(True).alias("_miss")), tie, "left")
         .withColumn("cache_hit", F.col("_miss").isNull())
         .drop("_miss")
     )

@@ -28,7 +28,8 @@ SELECT count(*) AS total_requests, count(*) FILTER (success) AS successful_reque
        round(count(*) FILTER (NOT success) / count(*) + 1e-9, 6) AS error_rate, 2592000.0::DOUBLE AS duration_seconds
 FROM request_log""")
 def load_metrics(spark, folder):
-    found = metrics.load_metrics(views.request_log(spark, folder), 30 * 86400.0)
+    found = metrics.load_metrics(
+        views.request_log(spark, folder), 30 * 86400.0, latencies=views.access_log(spark, folder))
     return rounded(rounded(found, 6, "avg_latency_ms", "cache_hit_rate", "error_rate"), 9, "requests_per_second")
 
 
