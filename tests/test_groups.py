@@ -112,10 +112,11 @@ def _hits(pdf, ttl_seconds):
 
 
 @pytest.mark.parametrize("ttl_seconds", [30, 600, 3600])
-@pytest.mark.parametrize("kept", [2, 5, 100_000])
-def test_ttl_hits(log, ttl_seconds, kept):
+@pytest.mark.parametrize("rows, kept", [(10_000, 1), (100, 2), (100, 30)])
+def test_ttl_hits(log, ttl_seconds, rows, kept):
     frame, pdf = log
-    got = ttl.ttl_hits(frame.select("event_id", "embedding_id", "ts"), ttl_seconds=ttl_seconds, kept_per_span=kept)
+    got = ttl.ttl_hits(frame.select("event_id", "embedding_id", "ts"), ttl_seconds=ttl_seconds, rows_per_key=rows,
+                       kept_per_span=kept)
     assert {r["event_id"]: r["cache_hit"] for r in got.collect()} == _hits(pdf, ttl_seconds)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, functions as F, types as T
 
 # Key prefixes and the hash length used in keys.
@@ -38,7 +39,7 @@ def strip_namespace(key: Column | str) -> Column:
 @F.arrow_udf(T.StringType())
 def _vector_digest(vectors: pa.Array) -> pa.Array:
     flat = vectors.flatten().cast(pa.float32()).to_numpy(zero_copy_only=False)
-    ends = pa.compute.list_value_length(vectors).fill_null(0).to_numpy(zero_copy_only=False).cumsum()
+    ends = pc.list_value_length(vectors).fill_null(0).to_numpy(zero_copy_only=False).cumsum()
     digests, start = [], 0
     for end, valid in zip(ends, vectors.is_valid().to_pylist()):
         raw = flat[start:end].tobytes()

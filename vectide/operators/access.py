@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from vectide.functions.numbers import age_hours, closeness
 from vectide.functions.vectors import l2_norm
-from vectide.operators.groups import newest, top_per_group, trailing_mean, with_previous
+from vectide.operators.groups import BLOCK_SECONDS, newest, top_per_group, trailing_mean, with_previous
 
 # Sizes and thresholds of the access statistics.
 SCORE_MEMORY = 100
@@ -26,7 +26,7 @@ def _seconds(later: Column, earlier: Column) -> Column:
     return (F.unix_micros(later) - F.unix_micros(earlier)) / F.lit(1e6)
 
 
-def access_patterns(log: DataFrame, block_seconds: int = 3600) -> DataFrame:
+def access_patterns(log: DataFrame, block_seconds: int = BLOCK_SECONDS) -> DataFrame:
     """Per access: running count of its key and seconds since the access before (0 on the first)."""
     rows = with_previous(log, "embedding_id", "ts", "event_id", ["ts"], block_seconds,
                          position="access_frequency")
@@ -34,7 +34,7 @@ def access_patterns(log: DataFrame, block_seconds: int = 3600) -> DataFrame:
     return rows.withColumn("time_since_last_access", F.coalesce(gap, F.lit(0.0))).drop("previous")
 
 
-def running_avg_interval(log: DataFrame, block_seconds: int = 3600) -> DataFrame:
+def running_avg_interval(log: DataFrame, block_seconds: int = BLOCK_SECONDS) -> DataFrame:
     """Per access the mean gap so far; null on the first access of a key.
 
     The gaps up to a row add up to its distance from the key's first access, so no running sum is needed.
@@ -45,14 +45,14 @@ def running_avg_interval(log: DataFrame, block_seconds: int = 3600) -> DataFrame
     return rows.withColumn("average_interval", mean).drop("previous", "_first_ts")
 
 
-def rolling_score(log: DataFrame, n: int = SCORE_MEMORY, block_seconds: int = 3600) -> DataFrame:
+def rolling_score(log: DataFrame, n: int = SCORE_MEMORY, block_seconds: int = BLOCK_SECONDS) -> DataFrame:
     """Per scored access the mean of the last n scores of its key."""
     scored = log.filter(F.col("similarity_score").isNotNull())
     rows = with_previous(scored, "embedding_id", "ts", "event_id", ["ts"], block_seconds).drop("previous")
     return trailing_mean(rows, "embedding_id", "position", "similarity_score", n, "rolling_score")
 
 
-def rolling_latency(log: DataFrame, by: str, n: int = LATENCY_MEMORY, block_seconds: int = 3600) -> DataFrame:
+def rolling_latency(log: DataFrame, by: str, n: int = LATENCY_MEMORY, block_seconds: int = BLOCK_SECONDS) -> DataFrame:
     """Per request the mean latency of the last n requests of its service or shard."""
     rows = with_previous(log, by, "ts", "event_id", ["ts"], block_seconds).drop("previous")
     return trailing_mean(rows, by, "position", "latency_ms", n, "rolling_latency_ms")

@@ -6,13 +6,25 @@ blocks, work inside the blocks, and pass what must cross a block border through
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+# Width of a time block. A key with a third of 10^12 rows a month has under 8 million of them in a minute,
+# and 43,200 blocks a month to chain. Sparse keys have about one row per block at any width.
+BLOCK_SECONDS = 60
+
 
 def _time_block(ts: str, block_seconds: int) -> Column:
     return F.floor(F.unix_micros(F.col(ts)) / F.lit(block_seconds * 1_000_000)).cast("long")
 
 
+def one_row(*frames: DataFrame) -> DataFrame:
+    """Frames of one row each, with different columns, as one row; no join is needed for that."""
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    return stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])
+
+
 def top_per_group(df: DataFrame, by: list[str], order: list[Column], k: int, rank: str = "rank",
                   spread: int = 32) -> DataFrame:
     """The first k rows of each group in `order`, with their rank.
@@ -34,7 +46,7 @@ def top_per_group(df: DataFrame, by: list[str], order: list[Column], k: int, ran
 
 
 def with_previous(df: DataFrame, by: str, ts: str, tie: str, carry: list[str],
-                  block_seconds: int = 3600, position: str = "position", previous: str = "previous",
+                  block_seconds: int = BLOCK_SECONDS, position: str = "position", previous: str = "previous",
                   first: str | None = None) -> DataFrame:
     """Adds the running number of each row in its key, a struct of the row before it and, on request,
     the key's first ts.
@@ -51,11 +63,10 @@ def with_previous(df: DataFrame, by: str, ts: str, tie: str, carry: list[str],
         F.row_number().over(inner).alias("_local_position"),
         F.lag(kept).over(inner).alias("_local_previous"),
     )
+    # the last ts alone is a plain maximum, which a hash aggregate can hold
+    last = F.struct(F.max(ts).alias(ts)) if carry == [ts] else F.max_by(kept, F.struct(ts, tie))
     ends = blocks.groupBy(by, "_block").agg(
-        F.count(F.lit(1)).alias("_rows"),
-        F.max_by(kept, F.struct(ts, tie)).alias("_last"),
-        F.min(ts).alias("_first"),
-    )
+        F.count(F.lit(1)).alias("_rows"), last.alias("_last"), F.min(ts).alias("_first"))
     chain = Window.partitionBy(by).orderBy("_block")
     carried = ends.select(
         by, "_block",
@@ -74,7 +85,7 @@ def with_previous(df: DataFrame, by: str, ts: str, tie: str, carry: list[str],
 
 
 def running_max(df: DataFrame, by: str, ts: str, tie: str, value: str, out: str,
-                block_seconds: int = 3600) -> DataFrame:
+                block_seconds: int = BLOCK_SECONDS) -> DataFrame:
     """Adds the largest non-null `value` of the key up to the row, in (ts, tie) order, block by block."""
     blocks = df.withColumn("_block", _time_block(ts, block_seconds))
     inner = Window.partitionBy(by, "_block").orderBy(ts, tie).rowsBetween(Window.unboundedPreceding, 0)
@@ -127,7 +138,8 @@ def order_statistics(df: DataFrame, value: str, shares: dict[str, float], by: li
                      accuracy: int = 100_000, extra: list[Column] | None = None) -> DataFrame:
     """Exact order statistics: for each group the value at 0-based index floor(share * n).
 
-    `extra` are aggregates over the group's rows with a value, taken in the same first pass.
+    `extra` are aggregates over the group's rows with a value, taken in the same first pass. Without
+    groups the bracket is one row; it is fetched, and its bounds enter the plan as literals.
 
     A mergeable sketch brackets each index between two values; only the rows inside the bracket
     (a few n / accuracy) are ordered, and rows below it are just counted. No group is sorted whole.
@@ -144,19 +156,25 @@ def order_statistics(df: DataFrame, value: str, shares: dict[str, float], by: li
         F.count(F.lit(1)).alias("_n"),
         F.percentile_approx("_value", cuts, accuracy).alias("_cuts"), *extra,
     )
-    brackets = first_pass.select(*by, "_n", "_cuts")
+    if by:
+        bracketed = rows.join(first_pass.select(*by, "_n", "_cuts"), by)
+        n, cut = F.col("_n"), [F.col("_cuts")[i] for i in range(len(cuts))]
+    else:
+        known = first_pass.first()
+        n = F.lit(known["_n"])
+        cut = [F.lit(value).cast("double") for value in known["_cuts"] or [None] * len(cuts)]
+        bracketed = rows
     wanted = F.array(*[
         F.struct(
             F.lit(name).alias("name"),
             # the last index when share is 1
-            F.least(F.floor(F.lit(share) * F.col("_n")), F.col("_n") - 1).alias("index"),
-            F.col("_cuts")[2 * i].alias("low"),
-            F.when(F.lit(share + slack >= 1.0), F.lit(float("inf"))).otherwise(F.col("_cuts")[2 * i + 1]).alias("high"),
+            F.least(F.floor(F.lit(share) * n), n - 1).alias("index"), cut[2 * i].alias("low"),
+            (F.lit(float("inf")) if share + slack >= 1.0 else cut[2 * i + 1]).alias("high"),
         )
         for i, (name, share) in enumerate(shares.items())
     ])
     tagged = (
-        rows.join(brackets, by).withColumn("_want", F.explode(wanted))
+        bracketed.withColumn("_want", F.explode(wanted))
         .filter(F.col("_value") <= F.col("_want.high"))
         .select(*by, F.col("_want.name").alias("_name"), F.col("_want.index").alias("_index"),
                 # null stands for "below the bracket"
@@ -169,7 +187,10 @@ def order_statistics(df: DataFrame, value: str, shares: dict[str, float], by: li
     picked = found.groupBy(*by).agg(*[
         F.min(F.when(F.col("_name") == name, F.col("_value"))).alias(name) for name in shares
     ])
-    return picked.join(first_pass.drop("_n", "_cuts"), by) if extra else picked
+    if not extra:
+        return picked
+    totals = first_pass.drop("_n", "_cuts")
+    return picked.join(totals, by) if by else one_row(picked, totals)
 
 
 def newest(df: DataFrame, ts: str, tie: str, n: int, block_seconds: int = 3600) -> DataFrame:

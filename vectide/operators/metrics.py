@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from vectide.functions.numbers import ratio
-from vectide.operators.groups import order_statistics
+from vectide.operators.groups import one_row, order_statistics
 
 # Bucket bounds and periods of the metrics.
 LATENCY_BOUNDS = [0.001, 0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0]
@@ -45,12 +45,10 @@ def load_metrics(requests: DataFrame, duration_seconds: float, accuracy: int = 1
         F.coalesce(F.max("latency_ms"), F.lit(0.0)).alias("max_latency_ms"),
         F.count_if("cache_hit").alias("_hits"),
     )
-    # one group over all rows: the sketch and the counts are combined before the shuffle
     ranked = order_statistics(
-        (requests if latencies is None else latencies).withColumn("_one", F.lit(1)), "latency_ms", {"p95_latency_ms": 0.95, "p99_latency_ms": 0.99},
-        ["_one"], accuracy)
-    joined = totals.withColumn("_one", F.lit(1)).join(ranked, "_one", "left")
-    return joined.select(
+        requests if latencies is None else latencies, "latency_ms",
+        {"p95_latency_ms": 0.95, "p99_latency_ms": 0.99}, [], accuracy)
+    return one_row(totals, ranked).select(
         "total_requests", "successful_requests", "failed_requests", "avg_latency_ms",
         F.coalesce("p95_latency_ms", F.lit(0.0)).alias("p95_latency_ms"),
         F.coalesce("p99_latency_ms", F.lit(0.0)).alias("p99_latency_ms"),

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from vectide.functions.numbers import age_seconds
 from vectide.operators.access import access_patterns
-from vectide.operators.groups import with_previous
+from vectide.operators.groups import BLOCK_SECONDS, with_previous
 from vectide.operators.store import hot_entry
 
 # Thresholds of the prediction.
@@ -27,7 +27,7 @@ USAGE_FEATURES = ["access_count", "hours_since_access", "access_frequency", "vec
                   "similarity_group"]
 
 
-def access_features(log: DataFrame, as_of: Column, block_seconds: int = 3600) -> DataFrame:
+def access_features(log: DataFrame, as_of: Column, block_seconds: int = BLOCK_SECONDS) -> DataFrame:
     """Six features per access; a null score counts as 0, the cluster number is its own code."""
     patterns = access_patterns(log, block_seconds)
     return patterns.select(
@@ -57,7 +57,7 @@ def scale_features(features: DataFrame, columns: list[str]) -> DataFrame:
     return out
 
 
-def next_gap_examples(features: DataFrame, block_seconds: int = 3600) -> DataFrame:
+def next_gap_examples(features: DataFrame, block_seconds: int = BLOCK_SECONDS) -> DataFrame:
     """Features of an access with the seconds until the next access of its key as `next_gap`.
 
     The later access of each pair carries the earlier one's features.

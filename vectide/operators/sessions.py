@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from vectide.functions.numbers import ratio
 from vectide.functions.vectors import cosine
-from vectide.operators.groups import running_max, top_per_group, with_previous
+from vectide.operators.groups import BLOCK_SECONDS, running_max, top_per_group, with_previous
 
 
-def session_steps(log: DataFrame, gap_seconds: int, user: str = "user_id", block_seconds: int = 3600) -> DataFrame:
+def session_steps(log: DataFrame, gap_seconds: int, user: str = "user_id", block_seconds: int = BLOCK_SECONDS) -> DataFrame:
     """Accesses with `previous_key` (null at a session start) and `session_start`.
 
     A session of a user ends where nothing follows for `gap_seconds`.

@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from vectide.functions.vectors import dense, unit_rows, usable
@@ -27,7 +28,8 @@ ENGINE_THRESHOLD, ENGINE_LIMIT = 0.7, 10
 ROUTER_THRESHOLD, ROUTER_CANDIDATES = 0.85, 50
 NEIGHBOUR_THRESHOLD, NEIGHBOUR_LIMIT = 0.8, 10
 
-MAX_QUERIES = 50_000
+# bound of a broadcast query side: 61 MB of float32 at 768 dimensions
+MAX_QUERIES = 20_000
 BLOCK_ROWS = 16_384
 QUERY_STRIP = 256
 # scores are ranked as rounded to this many digits, so equal vectors tie in whichever block they are scored
@@ -47,7 +49,7 @@ def _best(query_ids: pa.Array, ids: pa.Array, queries: np.ndarray, vectors: np.n
             scores = strip @ vectors.T
         scores[np.isnan(scores)] = -np.inf
         if skip_self and query_ids.type == ids.type:
-            own = pa.compute.index_in(query_ids.slice(low, len(strip)), value_set=ids)
+            own = pc.index_in(query_ids.slice(low, len(strip)), value_set=ids)
             rows = np.flatnonzero(own.is_valid().to_numpy(zero_copy_only=False))
             scores[rows, own.drop_null().to_numpy()] = -np.inf
         keep = (scores >= threshold) & (scores > -np.inf)
@@ -140,29 +142,32 @@ def cells_nearest(vector: Column | str, pivots: np.ndarray, probes: int) -> Colu
 
 
 def _score_cells(store: DataFrame, queries: DataFrame, sizes: dict[int, int], schema: str,
-                 threshold: float, k: int | None, skip_self: bool, block_rows: int, n_queries: int) -> DataFrame:
+                 threshold: float, k: int | None, skip_self: bool, block_rows: int) -> DataFrame:
     """Scores store rows (with `cell`) against queries (with `cells`), one pair of blocks per group.
 
     `sizes` is the row count per cell. A cell is cut into blocks of about `block_rows` store rows, its
-    visitors into blocks of about as many queries, so no group grows with the data.
+    visitors into blocks of about as many queries, so no group grows with the data. Cells without
+    visitors are dropped before the shuffle; a cell is copied once per block of its visitors.
     """
-    most = max(sizes, default=0)
-    cuts = F.array(*[F.lit(max(1, math.ceil(sizes.get(c, 0) / block_rows))) for c in range(most + 1)])
-    filled = F.array(*[F.lit(sizes.get(c, 0) > 0) for c in range(most + 1)])
-    n_query_blocks = max(1, math.ceil(n_queries / block_rows))
-
-    left = store.select(
-        "embedding_id", "embedding", "cell",
-        F.pmod(F.xxhash64("embedding_id"), F.element_at(cuts, F.col("cell") + 1)).cast("int").alias("part"),
-        F.explode(F.sequence(F.lit(0), F.lit(n_query_blocks - 1))).alias("strip"),
-    )
-    right = (
-        queries.select(
-            "query_id", "query_vec", F.explode("cells").alias("cell"),
-            F.pmod(F.xxhash64("query_id"), F.lit(n_query_blocks)).cast("int").alias("strip"))
-        .filter((F.col("cell") <= most) & F.element_at(filled, F.col("cell") + 1))
-        .withColumn("part", F.explode(F.sequence(F.lit(0), F.element_at(cuts, F.col("cell") + 1) - 1)))
-    )
+    visits = queries.select("query_id", "query_vec", F.explode("cells").alias("cell"))
+    visitors = {row["cell"]: row["count"] for row in visits.groupBy("cell").count().collect()}
+    most = max([*sizes, *visitors], default=0)
+
+    def blocks_of(counts: dict[int, int]) -> Column:
+        per_cell = [math.ceil(counts.get(c, 0) / block_rows) for c in range(most + 1)]
+        return F.element_at(F.array(*[F.lit(n) for n in per_cell]), F.col("cell") + 1)
+
+    def one_of(key: str, blocks: Column) -> Column:
+        return F.pmod(F.xxhash64(key), blocks).cast("int")
+
+    def each_of(blocks: Column) -> Column:
+        return F.explode(F.sequence(F.lit(0), blocks - 1))
+
+    parts, strips = blocks_of(sizes), blocks_of(visitors)
+    left = store.filter(strips > 0).select(
+        "embedding_id", "embedding", "cell", one_of("embedding_id", parts).alias("part"), each_of(strips).alias("strip"))
+    right = visits.filter(parts > 0).select(
+        "query_id", "query_vec", "cell", each_of(parts).alias("part"), one_of("query_id", strips).alias("strip"))
     block = ["cell", "part", "strip"]
 
     def score(stored: pa.Table, asked: pa.Table) -> pa.Table:
@@ -194,10 +199,10 @@ def scored_pairs(store: DataFrame, queries: DataFrame, threshold: float, k: int
     schema = _pairs_schema(queries, store)
     # one row more than the bound tells whether the query side fits
     head = queries.filter(usable("query_vec")).select("query_id", "query_vec").limit(max_queries + 1).toArrow()
-    lengths = pa.compute.list_value_length(head.column("query_vec"))
+    lengths = pc.list_value_length(head.column("query_vec"))
     dim = lengths[0].as_py() if head.num_rows else 0
     if head.num_rows <= max_queries:
-        fitting = head.filter(pa.compute.equal(lengths, dim))
+        fitting = head.filter(pc.equal(lengths, dim))
         store, _ = _only_usable(store, queries, dim)
         return _score_broadcast(store, fitting, schema, threshold, k, skip_self)
 
@@ -211,13 +216,12 @@ def scored_pairs(store: DataFrame, queries: DataFrame, threshold: float, k: int
         radii[row["cell"]] = row["radius"]
     visiting = queries.withColumn("cells", cells_in_reach("query_vec", pivots, radii, threshold))
     sizes = {row["cell"]: row["n"] for row in stats}
-    return _score_cells(celled, visiting, sizes, schema, threshold, k, skip_self, block_rows, queries.count())
+    return _score_cells(celled, visiting, sizes, schema, threshold, k, skip_self, block_rows)
 
 
-def _query_size(queries: DataFrame) -> tuple[int, int]:
-    """(usable queries, vector length)."""
-    row = queries.filter(usable("query_vec")).agg(F.count(F.lit(1)), F.max(F.size("query_vec"))).first()
-    return row[0], row[1] or 0
+def _length(queries: DataFrame) -> int:
+    first = queries.filter(usable("query_vec")).select(F.size("query_vec")).first()
+    return first[0] if first else 0
 
 
 def _ranked(pairs: DataFrame, limit: int) -> DataFrame:
@@ -293,15 +297,14 @@ def cluster_pruned_search(store: DataFrame, queries: DataFrame, centroids: np.nd
 
     Approximate: a match in a cluster that is not probed is missed.
     """
-    n_queries, dim = _query_size(queries)
+    dim = _length(queries)
     store, queries = _only_usable(store, queries, dim)
     schema = _pairs_schema(queries, store)
     unit = unit_rows(centroids)
     celled = store.withColumn("cell", nearest_cell("embedding", unit)["cell"])
     sizes = {row["cell"]: row["count"] for row in celled.groupBy("cell").count().collect()}
     visiting = queries.withColumn("cells", cells_nearest("query_vec", unit, probes))
-    return _ranked(_score_cells(celled, visiting, sizes, schema, threshold, limit, False, block_rows, n_queries),
-                   limit)
+    return _ranked(_score_cells(celled, visiting, sizes, schema, threshold, limit, False, block_rows), limit)
 
 
 def _hyperplanes(dim: int, bits: int, seed: int) -> np.ndarray:
@@ -340,15 +343,14 @@ def approx_similar_join(store: DataFrame, queries: DataFrame, threshold: float =
     A query visits its own signature and those within `flips` bits. More flips find more and cost more;
     flips = bits is the exact search.
     """
-    n_queries, dim = _query_size(queries)
+    dim = _length(queries)
     store, queries = _only_usable(store, queries, dim)
     schema = _pairs_schema(queries, store)
     planes = _hyperplanes(dim, bits, seed)
     celled = store.withColumn("cell", _signature(planes)("embedding"))
     sizes = {row["cell"]: row["count"] for row in celled.groupBy("cell").count().collect()}
     visiting = queries.withColumn("cells", _signatures_near(planes, flips)("query_vec"))
-    return _ranked(_score_cells(celled, visiting, sizes, schema, threshold, limit, False, block_rows, n_queries),
-                   limit)
+    return _ranked(_score_cells(celled, visiting, sizes, schema, threshold, limit, False, block_rows), limit)
 
 
 def threshold_sweep(store: DataFrame, queries: DataFrame, thresholds: list[float], label: str = "label",
@@ -360,10 +362,11 @@ def threshold_sweep(store: DataFrame, queries: DataFrame, thresholds: list[float
     of at most `max_queries` rows.
     """
     spark = store.sparkSession
-    n_queries, dim = _query_size(queries)
+    dim = _length(queries)
     store = store.filter(usable("embedding", dim)).select("embedding_id", "embedding", label)
     queries = queries.filter(usable("query_vec", dim)).select("query_id", "query_vec", label)
-    n_slices = max(1, math.ceil(n_queries / max_queries * 1.2))
+    # slices by hash come out a little uneven, hence the fifth more of them
+    n_slices = max(1, math.ceil(queries.count() / max_queries * 1.2))
     cuts = np.array(thresholds)
     counted = None
     for i in range(n_slices):

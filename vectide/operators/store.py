@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from vectide.functions.keys import cache_key, glob_to_regex
 from vectide.functions.numbers import age_seconds, ratio
+from vectide.operators.groups import one_row
 
 # Defaults of the store operators.
 DEFAULT_TTL_SECONDS = 3600
@@ -204,9 +205,7 @@ def index_stats(index: DataFrame, requests: DataFrame, vector: str = "embedding"
     )
     traffic = requests.agg(
         F.count(F.lit(1)).alias("total_requests"), F.count_if("cache_hit").alias("cache_hits"))
-    # both sides are aggregates of one row
-    joined = entries.withColumn("_one", F.lit(1)).join(traffic.withColumn("_one", F.lit(1)), "_one").drop("_one")
-    return joined.select(
+    return one_row(entries, traffic).select(
         "*",
         ratio("cache_hits", F.greatest("total_requests", F.lit(1))).alias("hit_ratio"),
         F.when(F.col("embedding_count") > 0, "healthy").otherwise("degraded").alias("status"))

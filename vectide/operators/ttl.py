@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from vectide.operators.groups import top_per_group
 from vectide.session import cut_lineage
@@ -96,19 +96,18 @@ def _misses_in_rounds(timed: DataFrame, key: str, tie: str, ttl: int, kept: int)
 
 
 def ttl_hits(log: DataFrame, key: str = "embedding_id", ts: str = "ts", tie: str = "event_id",
-             ttl_seconds: int = 3600, kept_per_span: int = 1000) -> DataFrame:
+             ttl_seconds: int = 3600, rows_per_key: int = 1_000_000, kept_per_span: int = 1000) -> DataFrame:
     """Adds `cache_hit`: false for the access that loads the key, true until the load is older than the TTL.
 
     An access at exactly the TTL still hits; `tie` is unique over the log. The walk from load to load is
-    sequential, so a key's rows meet in one group as long as no TTL-long span of any key has more than
-    `kept_per_span` of them (counted first, combined before the shuffle). Otherwise the misses are found
-    in rounds over bounded samples of each span that lose nothing, and joined on `tie`, not on the key.
+    sequential, so a key's rows meet in one group, as long as no key has more than `rows_per_key` (counted
+    first, combined before the shuffle). Otherwise the misses are found in rounds over the earliest rows
+    of each TTL-long span, and joined on `tie`, not on the key; the labels are the same.
     """
     ttl = ttl_seconds * 1_000_000
-    time: Column = F.unix_micros(F.col(ts))
-    spans = log.groupBy(key, F.floor(time / F.lit(ttl)).alias("_span")).agg(F.count(F.lit(1)).alias("_rows"))
-    timed = log.withColumn("_t", time)
-    if spans.filter(F.col("_rows") > kept_per_span).isEmpty():
+    timed = log.withColumn("_t", F.unix_micros(F.col(ts)))
+    counts = log.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
+    if counts.filter(F.col("_rows") > rows_per_key).isEmpty():
         return _label_whole_keys(timed, key, tie, ttl)
     misses = _misses_in_rounds(timed, key, tie, ttl, kept_per_span)
     return (

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 # Element types a blob may declare.
@@ -13,7 +14,7 @@ ELEMENT_TYPES = {"float32": "<f4", "float64": "<f8"}
 @F.arrow_udf(T.BinaryType())
 def _to_bytes(vectors: pa.Array) -> pa.Array:
     flat = vectors.flatten().cast(pa.float32()).to_numpy(zero_copy_only=False).astype("<f4")
-    ends = pa.compute.list_value_length(vectors).fill_null(0).to_numpy(zero_copy_only=False).cumsum()
+    ends = pc.list_value_length(vectors).fill_null(0).to_numpy(zero_copy_only=False).cumsum()
     out, start = [], 0
     for end, valid in zip(ends, vectors.is_valid().to_pylist()):
         out.append(flat[start:end].tobytes() if valid else None)
