@@ -59,14 +59,19 @@ def test_trailing_mean(log, block_rows):
     assert np.allclose(got["m"].astype(float), want)
 
 
-def test_running_max_and_previous_across_blocks(log):
+@pytest.mark.parametrize("gap, block", [(5, 60), (40, 7), (900, 60), (900, 100_000)])
+def test_session_steps(log, gap, block):
+    from vectide.operators.sessions import session_steps
+
     frame, pdf = log
-    rows = frame.withColumn("mark", F.when(F.col("event_id") % 7 == 0, F.col("ts")))
-    got = _by_event(groups.running_max(rows, "embedding_id", "ts", "event_id", "mark", "seen", 600))
-    marks = pdf["ts"].where(pdf["event_id"] % 7 == 0)
-    want = marks.groupby(pdf["embedding_id"]).ffill()
-    want = pdf.assign(want=want).sort_values("event_id")["want"]
-    assert got["seen"].fillna(pd.Timestamp(0)).tolist() == want.fillna(pd.Timestamp(0)).tolist()
+    got = _by_event(session_steps(frame, gap, block_seconds=block))
+    users = pdf.groupby("user_id")
+    new = users["ts"].diff().dt.total_seconds().isna() | (users["ts"].diff().dt.total_seconds() > gap)
+    start = pdf["ts"].where(new).groupby(pdf["user_id"]).ffill()
+    before = users["embedding_id"].shift().where(~new)
+    want = pdf.assign(start=start, before=before).sort_values("event_id")
+    assert got["session_start"].tolist() == want["start"].tolist()
+    assert got["previous_key"].fillna(-1).tolist() == want["before"].fillna(-1).tolist()
 
 
 @pytest.mark.parametrize("spread", [1, 8])

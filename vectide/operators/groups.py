@@ -10,12 +10,15 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from vectide.session import cut_lineage
+
 # Width of a time block. A key with a third of 10^12 rows a month has under 8 million of them in a minute,
 # and 43,200 blocks a month to chain. Sparse keys have about one row per block at any width.
 BLOCK_SECONDS = 60
 
 
-def _time_block(ts: str, block_seconds: int) -> Column:
+def time_block(ts: str, block_seconds: int) -> Column:
+    """Number of the block of `block_seconds` that the time falls into."""
     return F.floor(F.unix_micros(F.col(ts)) / F.lit(block_seconds * 1_000_000)).cast("long")
 
 
@@ -55,7 +58,7 @@ def with_previous(df: DataFrame, by: str, ts: str, tie: str, carry: list[str],
     of each block travel through a summary of one row per block, so a hot key is spread over its blocks.
     Choose `block_seconds` so that one key's busiest block fits one task.
     """
-    blocks = df.withColumn("_block", _time_block(ts, block_seconds))
+    blocks = df.withColumn("_block", time_block(ts, block_seconds))
     kept = F.struct(*[F.col(c) for c in carry])
     inner = Window.partitionBy(by, "_block").orderBy(ts, tie)
     local = blocks.select(
@@ -84,22 +87,6 @@ def with_previous(df: DataFrame, by: str, ts: str, tie: str, carry: list[str],
     return out.drop("_block", "_local_position", "_local_previous", "_before", "_carried", "_first")
 
 
-def running_max(df: DataFrame, by: str, ts: str, tie: str, value: str, out: str,
-                block_seconds: int = BLOCK_SECONDS) -> DataFrame:
-    """Adds the largest non-null `value` of the key up to the row, in (ts, tie) order, block by block."""
-    blocks = df.withColumn("_block", _time_block(ts, block_seconds))
-    inner = Window.partitionBy(by, "_block").orderBy(ts, tie).rowsBetween(Window.unboundedPreceding, 0)
-    chain = Window.partitionBy(by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    carried = blocks.groupBy(by, "_block").agg(F.max(value).alias("_max")).select(
-        by, "_block", F.max("_max").over(chain).alias("_carried"))
-    return (
-        blocks.withColumn("_local", F.max(value).over(inner))
-        .join(carried, [by, "_block"])
-        .withColumn(out, F.greatest("_local", "_carried"))
-        .drop("_block", "_local", "_carried")
-    )
-
-
 def trailing_mean(df: DataFrame, by: str, position: str, value: str, n: int, out: str,
                   block_rows: int = 100_000) -> DataFrame:
     """Mean of `value` over the row and the n - 1 rows before it in its key.
@@ -156,6 +143,9 @@ def order_statistics(df: DataFrame, value: str, shares: dict[str, float], by: li
         F.count(F.lit(1)).alias("_n"),
         F.percentile_approx("_value", cuts, accuracy).alias("_cuts"), *extra,
     )
+    if by:
+        # one row per group, read twice below
+        first_pass = cut_lineage(first_pass)
     if by:
         bracketed = rows.join(first_pass.select(*by, "_n", "_cuts"), by)
         n, cut = F.col("_n"), [F.col("_cuts")[i] for i in range(len(cuts))]
@@ -199,7 +189,7 @@ def newest(df: DataFrame, ts: str, tie: str, n: int, block_seconds: int = 3600)
     Row counts per time block (a small aggregate) give a lower bound for ts; as a literal it is pushed
     to the scan, so the final top-n only sees the newest blocks.
     """
-    counts = df.groupBy(_time_block(ts, block_seconds).alias("_block")).agg(F.count(F.lit(1)).alias("_rows"))
+    counts = df.groupBy(time_block(ts, block_seconds).alias("_block")).agg(F.count(F.lit(1)).alias("_rows"))
     newer = Window.orderBy(F.col("_block").desc()).rowsBetween(Window.unboundedPreceding, -1)
     cut = (
         counts.withColumn("_newer", F.coalesce(F.sum("_rows").over(newer), F.lit(0)))

@@ -1,8 +1,9 @@
 """Exact lookup, batch lookup, lookup with similarity fallback, warm-up and compute on miss.
 
 Requests may ask for one key very often. The store is joined to the distinct keys first, which have one
-row each, and only the outcome is joined back to the requests; Spark broadcasts that side when it is
-small and splits the hot key (AQE skew join) when it is not.
+row each, and only the outcome is joined back to the requests. A batch that is small next to the store
+is then broadcast in both joins, also for the left join, and the store is never shuffled; in a large one
+the hot key is split by Spark (AQE skew join).
 """
 
 from __future__ import annotations
@@ -75,10 +76,14 @@ def orphan_index_entries(index: DataFrame, store: DataFrame, key: str = "embeddi
 
 
 def warm_candidates(requests: DataFrame, cached: DataFrame) -> DataFrame:
-    """Requested (text, model_version) that are not cached, once each, with key and first request."""
-    keyed = requests.select("doc_id", "text", "model_version", cache_key("model_version", "text").alias("key"))
-    first = keyed.groupBy("key").agg(F.min_by(F.struct("doc_id", "text", "model_version"), "doc_id").alias("_first"))
-    return first.join(cached.select("key"), "key", "left_anti").select("key", "_first.*")
+    """Requested (text, model_version) that are not cached, once each, with key and first request.
+
+    The first request of a key is picked on ids; texts are fetched for the picked ones only.
+    """
+    keyed = requests.select("doc_id", cache_key("model_version", "text").alias("key"))
+    first = keyed.groupBy("key").agg(F.min("doc_id").alias("doc_id"))
+    missing = first.join(cached.select("key"), "key", "left_anti")
+    return missing.join(requests.select("doc_id", "text", "model_version"), "doc_id")
 
 
 def get_or_compute(requests: DataFrame, cached: DataFrame, compute: Callable[[DataFrame], DataFrame],

@@ -27,9 +27,13 @@ USAGE_FEATURES = ["access_count", "hours_since_access", "access_frequency", "vec
                   "similarity_group"]
 
 
-def access_features(log: DataFrame, as_of: Column, block_seconds: int = BLOCK_SECONDS) -> DataFrame:
-    """Six features per access; a null score counts as 0, the cluster number is its own code."""
-    patterns = access_patterns(log, block_seconds)
+def access_features(log: DataFrame, keys: DataFrame, as_of: Column,
+                    block_seconds: int = BLOCK_SECONDS) -> DataFrame:
+    """Six features per access; a null score counts as 0, the cluster number is its own code.
+
+    `keys` has vector_size and cluster_id per key; it is joined once the windows are done.
+    """
+    patterns = access_patterns(log, block_seconds).join(keys, "embedding_id")
     return patterns.select(
         "event_id", "embedding_id", "ts",
         F.col("vector_size").cast("double").alias("vector_size"),

@@ -2,33 +2,67 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from vectide.functions.numbers import ratio
 from vectide.functions.vectors import cosine
-from vectide.operators.groups import BLOCK_SECONDS, running_max, top_per_group, with_previous
+from vectide.operators.groups import BLOCK_SECONDS, time_block, top_per_group, with_previous
+from vectide.session import cut_lineage
 
 
-def session_steps(log: DataFrame, gap_seconds: int, user: str = "user_id", block_seconds: int = BLOCK_SECONDS) -> DataFrame:
+def session_steps(log: DataFrame, gap_seconds: int, user: str = "user_id",
+                  block_seconds: int = BLOCK_SECONDS) -> DataFrame:
     """Accesses with `previous_key` (null at a session start) and `session_start`.
 
-    A session of a user ends where nothing follows for `gap_seconds`.
+    A session of a user ends where nothing follows for `gap_seconds`. Inside (user, time block) windows
+    see all but the block's border; one summary row per block carries the last access and the latest
+    session start over it.
     """
-    rows = with_previous(log, user, "ts", "event_id", ["ts", "embedding_id"], block_seconds)
-    gap = F.unix_micros("ts") - F.unix_micros("previous.ts")
-    starts = F.col("previous").isNull() | (gap > gap_seconds * 1_000_000)
-    rows = rows.withColumn("previous_key", F.when(~starts, F.col("previous.embedding_id")))
-    rows = rows.withColumn("_start", F.when(starts, F.col("ts"))).drop("previous", "position")
-    return running_max(rows, user, "ts", "event_id", "_start", "session_start", block_seconds).drop("_start")
+    gap = gap_seconds * 1_000_000
+
+    def apart(later: str, earlier: str) -> Column:
+        return F.unix_micros(F.col(later)) - F.unix_micros(F.col(earlier)) > gap
+
+    order = Window.partitionBy(user, "_block").orderBy("ts", "event_id")
+    here = F.struct(F.col("ts"), F.col("embedding_id"))
+    local = (
+        log.withColumn("_block", time_block("ts", block_seconds))
+        .withColumn("_before", F.lag(here).over(order))
+        .withColumn("_start", F.when(apart("ts", "_before.ts"), F.col("ts")))
+    )
+    ends = local.groupBy(user, "_block").agg(
+        F.min("ts").alias("_first"), F.max("_start").alias("_latest"),
+        F.max_by(here, F.struct("ts", "event_id")).alias("_last"))
+    chain = Window.partitionBy(user).orderBy("_block")
+    opened = (
+        ends.withColumn("_carried", F.lag("_last").over(chain))
+        .withColumn("_opens", F.col("_carried").isNull() | apart("_first", "_carried.ts"))
+        .withColumn("_opened", F.when(F.col("_opens"), F.col("_first")))
+    )
+    carried = opened.select(
+        user, "_block", "_carried", "_opens",
+        # the latest start known at the block's first access
+        F.greatest("_opened", F.max(F.greatest("_opened", "_latest")).over(
+            chain.rowsBetween(Window.unboundedPreceding, -1))).alias("_known"))
+    first_of_block = F.col("_before").isNull()
+    return (
+        local.withColumn("_running", F.max("_start").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+        .join(carried, [user, "_block"])
+        .withColumn("previous_key", F.when(first_of_block, F.when(~F.col("_opens"), F.col("_carried.embedding_id")))
+                    .when(F.col("_start").isNull(), F.col("_before.embedding_id")))
+        .withColumn("session_start", F.coalesce("_running", "_known"))
+        .drop("_block", "_before", "_start", "_running", "_carried", "_opens", "_known")
+    )
 
 
 def next_key_ngram(log: DataFrame, gap_seconds: int, top: int = 3, user: str = "user_id") -> DataFrame:
     """For each key the keys that most often follow it within a session, with their share."""
     rows = with_previous(log, user, "ts", "event_id", ["ts", "embedding_id"])
     within = F.unix_micros("ts") - F.unix_micros("previous.ts") <= gap_seconds * 1_000_000
-    counts = rows.filter(within).groupBy(
+    # one row per pair of keys; kept, since both the best pairs and the totals come from it
+    counts = cut_lineage(rows.filter(within).groupBy(
         F.col("previous.embedding_id").alias("embedding_id"), F.col("embedding_id").alias("next_key")
-    ).agg(F.count(F.lit(1)).alias("follows"))
+    ).agg(F.count(F.lit(1)).alias("follows")))
     totals = counts.groupBy("embedding_id").agg(F.sum("follows").alias("_total"))
     best = top_per_group(counts, ["embedding_id"], [F.col("follows").desc(), F.col("next_key")], top)
     return best.join(totals, "embedding_id").withColumn("share", ratio("follows", "_total")).drop("_total")
@@ -40,7 +74,8 @@ def session_drift(log: DataFrame, vectors: DataFrame, gap_seconds: int, user: st
     The cosine is computed once per distinct pair of neighbouring keys, not once per access.
     """
     steps = session_steps(log, gap_seconds, user)
-    pairs = steps.groupBy(user, "session_start", "previous_key", "embedding_id").agg(F.count(F.lit(1)).alias("_n"))
+    pairs = cut_lineage(steps.groupBy(user, "session_start", "previous_key", "embedding_id").agg(
+        F.count(F.lit(1)).alias("_n")))
     lean = vectors.select("embedding_id", "embedding")
     distinct = pairs.filter(F.col("previous_key").isNotNull()).select("previous_key", "embedding_id").distinct()
     left = lean.select(F.col("embedding_id").alias("previous_key"), F.col("embedding").alias("_before"))

@@ -307,7 +307,8 @@ def cluster_pruned_search(store: DataFrame, queries: DataFrame, centroids: np.nd
     return _ranked(_score_cells(celled, visiting, sizes, schema, threshold, limit, False, block_rows), limit)
 
 
-def _hyperplanes(dim: int, bits: int, seed: int) -> np.ndarray:
+def hyperplanes(dim: int, bits: int, seed: int) -> np.ndarray:
+    """Normals of `bits` random planes through the origin."""
     return np.random.default_rng(seed).standard_normal((bits, dim))
 
 
@@ -346,7 +347,7 @@ def approx_similar_join(store: DataFrame, queries: DataFrame, threshold: float =
     dim = _length(queries)
     store, queries = _only_usable(store, queries, dim)
     schema = _pairs_schema(queries, store)
-    planes = _hyperplanes(dim, bits, seed)
+    planes = hyperplanes(dim, bits, seed)
     celled = store.withColumn("cell", _signature(planes)("embedding"))
     sizes = {row["cell"]: row["count"] for row in celled.groupBy("cell").count().collect()}
     visiting = queries.withColumn("cells", _signatures_near(planes, flips)("query_vec"))

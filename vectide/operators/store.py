@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from vectide.functions.keys import cache_key, glob_to_regex
 from vectide.functions.numbers import age_seconds, ratio
 from vectide.operators.groups import one_row
+from vectide.session import cut_lineage
 
 # Defaults of the store operators.
 DEFAULT_TTL_SECONDS = 3600
@@ -184,8 +185,9 @@ def content_groups(entries: DataFrame, content: str, key: str) -> DataFrame:
     """Members of each set of entries with the same content, one row per member.
 
     A set of copies may be very large, so it stays rows: member, content, the set's smallest key and size.
+    Hashing the content is the costly part, so the (content, key) pairs are kept and not hashed again.
     """
-    members = entries.select(content, key).distinct()
+    members = cut_lineage(entries.select(content, key).distinct())
     sets = members.groupBy(content).agg(F.min(key).alias("representative"), F.count(F.lit(1)).alias("group_size"))
     return members.join(sets, content)
 

@@ -19,7 +19,8 @@ SELECT event_id, embedding_id, vector_size::DOUBLE AS vector_size, coalesce(simi
 
 
 def features(spark, folder) -> DataFrame:
-    return predict.access_features(views.keyed_log(spark, folder), views.as_of())
+    return predict.access_features(
+        views.access_log(spark, folder), views.key_columns(spark, folder).drop("model_name"), views.as_of())
 
 
 def _rounded(df: DataFrame) -> DataFrame:

@@ -101,14 +101,44 @@ def _recall(exact: DataFrame, approximate: DataFrame) -> DataFrame:
         "in_exact", F.coalesce("_exact", F.lit(False))).drop("_exact")
 
 
-@query("approx_similar_join")
+def _planes_sql() -> str:
+    """The hyperplanes as rows (bit, plane)."""
+    planes = similarity.hyperplanes(views.DIM, 6, 42)
+    return " UNION ALL ".join(f"SELECT {bit} AS bit, {plane.tolist()}::DOUBLE[] AS plane" for bit, plane in enumerate(planes))
+
+
+EXACT_MARK = """EXISTS (SELECT 1 FROM (
+  SELECT query_id, embedding_id, row_number() OVER (PARTITION BY query_id ORDER BY round(similarity, 9) DESC, embedding_id) AS rank
+  FROM all_pairs WHERE similarity >= 0.2) x
+  WHERE x.rank <= 10 AND x.query_id = f.query_id AND x.embedding_id = f.embedding_id) AS in_exact"""
+
+
+@query("approx_similar_join", f"""
+WITH planes AS ({_planes_sql()}),
+signatures AS (
+  SELECT vec_id, sum(CASE WHEN list_dot_product(v, plane) > 0 THEN 1 << bit ELSE 0 END)::INTEGER AS signature
+  FROM vectors, planes GROUP BY vec_id),
+found AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(similarity, 9) DESC, embedding_id) AS rank
+  FROM all_pairs p JOIN signatures a ON a.vec_id = p.query_id JOIN signatures b ON b.vec_id = p.embedding_id
+  WHERE similarity >= 0.2 AND bit_count(xor(a.signature, b.signature)) <= 2)
+SELECT query_id, embedding_id, round(similarity, 9) AS similarity, rank, {EXACT_MARK} FROM found f WHERE rank <= 10""")
 def approx_similar_join(spark, folder):
     store, asked = views.store(spark, folder), views.query_vectors(spark, folder)
     found = similarity.approx_similar_join(store, asked, THRESHOLD, 10)
     return _recall(similarity.similar_topk(store, asked, 10, THRESHOLD), found)
 
 
-@query("cluster_pruned_search")
+@query("cluster_pruned_search", f"""
+WITH probed AS (
+  SELECT query_id, label, row_number() OVER (PARTITION BY query_id ORDER BY near DESC, label) AS nth FROM (
+    SELECT q.query_id, c.label, round(list_cosine_similarity(q.query_vec, c.centroid), 12) AS near
+    FROM query_vectors q, centroids c)),
+found AS (
+  SELECT p.*, row_number() OVER (PARTITION BY p.query_id ORDER BY round(similarity, 9) DESC, p.embedding_id) AS rank
+  FROM all_pairs p JOIN routed r USING (embedding_id)
+  JOIN probed b ON b.query_id = p.query_id AND b.label = r.cluster AND b.nth <= 4 WHERE similarity >= 0.2)
+SELECT query_id, embedding_id, round(similarity, 9) AS similarity, rank, {EXACT_MARK} FROM found f WHERE rank <= 10""")
 def cluster_pruned_search(spark, folder):
     store, asked = views.store(spark, folder), views.query_vectors(spark, folder)
     _, centres = clusters.centroid_matrix(

@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -108,6 +109,13 @@ def stream_access_stats(log: DataFrame, out: str, state: str, checkpoint: str, s
     stats_columns = ["embedding_id", "access_count", "first_access", "last_access", "recent"]
 
     def write(batch: DataFrame, number: int) -> None:
+        batch = batch.persist(StorageLevel.MEMORY_AND_DISK)  # read by both writes
+        try:
+            _write_stats(batch, number)
+        finally:
+            batch.unpersist()
+
+    def _write_stats(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         before = _read_if_there(spark, f"{state}/after={number - 1:012d}") if number else None
         patterns = access_patterns(batch)
