@@ -1,6 +1,5 @@
 """Streams in several micro-batches against their batch twins."""
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 

@@ -173,10 +173,17 @@ def order_statistics(df: DataFrame, value: str, shares: dict[str, float], by: li
     counted = tagged.groupBy(*by, "_name", "_index", "_value").agg(F.count(F.lit(1)).alias("_rows"))
     order = Window.partitionBy(*by, "_name").orderBy(F.col("_value").asc_nulls_first())
     reached = F.sum("_rows").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    found = counted.withColumn("_reached", reached).filter(F.col("_reached") > F.col("_index"))
-    picked = found.groupBy(*by).agg(*[
-        F.min(F.when(F.col("_name") == name, F.col("_value"))).alias(name) for name in shares
-    ])
+    there = F.col("_reached") > F.col("_index")
+
+    def pick(name: str) -> Column:
+        mine = F.col("_name") == name
+        value = F.min(F.when(mine & there, F.col("_value")))
+        # the sketch's error bound rules both out; a wrong value must not pass in silence all the same
+        too_low = F.coalesce(F.bool_or(mine & there & F.col("_value").isNull()), F.lit(False))
+        missed = too_low | (value.isNull() & (F.count(F.lit(1)) > 0))
+        return F.when(missed, F.raise_error(F.lit(f"{name} is outside its bracket"))).otherwise(value).alias(name)
+
+    picked = counted.withColumn("_reached", reached).groupBy(*by).agg(*[pick(name) for name in shares])
     if not extra:
         return picked
     totals = first_pass.drop("_n", "_cuts")

@@ -32,33 +32,53 @@ NEIGHBOUR_THRESHOLD, NEIGHBOUR_LIMIT = 0.8, 10
 MAX_QUERIES = 20_000
 BLOCK_ROWS = 16_384
 QUERY_STRIP = 256
+PAIR_STRIP = 65_536
 # scores are ranked as rounded to this many digits, so equal vectors tie in whichever block they are scored
 RANK_DIGITS = 9
 
 
-def _best(query_ids: pa.Array, ids: pa.Array, queries: np.ndarray, vectors: np.ndarray,
-          threshold: float, k: int | None, skip_self: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _unit(ids: pa.Array, vectors: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Ids and unit rows of the vectors that have a direction: not zero, no NaN."""
+    matrix = unit_rows(dense(vectors))
+    good = ~np.isnan(matrix).any(axis=1)
+    return (ids, matrix) if good.all() else (ids.filter(pa.array(good)), matrix[good])
+
+
+def _best(query_ids: pa.Array, ids: pa.Array, queries: np.ndarray, vectors: np.ndarray, threshold: float,
+          k: int | None, skip_self: bool, floor: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Positions (query, vector) and cosine of matches between unit rows, a strip of queries at a time.
 
-    With k, a row below the k-th best of its query in this block is left out; rows that equal the k-th
-    up to the rounding used for ranking stay, so the final ranking decides them by id.
+    A float32 product picks the candidates, with a margin above its rounding error; their cosine is then
+    computed in double. With k, `floor` holds per query a score that k vectors seen so far reach, less
+    the margin: below it a vector cannot be among the k best. The caller keeps it from batch to batch.
     """
+    margin = 2 * vectors.shape[1] * float(np.finfo(np.float32).eps) + 2 * 10.0 ** -RANK_DIGITS
+    light = vectors.astype(np.float32).T
+    n = len(vectors)
     for low in range(0, len(queries), QUERY_STRIP):
-        strip = queries[low:low + QUERY_STRIP]
-        with np.errstate(invalid="ignore"):
-            scores = strip @ vectors.T
-        scores[np.isnan(scores)] = -np.inf
+        strip, bar = queries[low:low + QUERY_STRIP], floor[low:low + QUERY_STRIP]
+        scores = strip.astype(np.float32) @ light
         if skip_self and query_ids.type == ids.type:
             own = pc.index_in(query_ids.slice(low, len(strip)), value_set=ids)
             rows = np.flatnonzero(own.is_valid().to_numpy(zero_copy_only=False))
             scores[rows, own.drop_null().to_numpy()] = -np.inf
-        keep = (scores >= threshold) & (scores > -np.inf)
-        if k is not None and scores.shape[1] > k:
-            edge = np.partition(scores, scores.shape[1] - k, axis=1)[:, -k]
-            keep &= scores >= edge[:, None] - 2 * 10.0 ** -RANK_DIGITS
-        q, v = np.nonzero(keep)
-        if len(q):
-            yield q + low, v, scores[q, v]
+        keep = scores >= np.maximum(bar, threshold - margin)[:, None]
+        if k is not None:
+            crowded = np.flatnonzero(keep.sum(axis=1) > k)
+            if len(crowded):
+                edge = np.partition(scores[crowded], n - k, axis=1)[:, n - k] - margin
+                bar[crowded] = np.maximum(bar[crowded], edge)
+                keep[crowded] &= scores[crowded] >= edge[:, None]
+        q_all, v_all = np.nonzero(keep)
+        for start in range(0, len(q_all), PAIR_STRIP):
+            q, v = q_all[start:start + PAIR_STRIP], v_all[start:start + PAIR_STRIP]
+            exact = np.einsum("ij,ij->i", strip[q], vectors[v])
+            good = exact >= threshold
+            yield q[good] + low, v[good], exact[good]
+
+
+def _no_floor(queries: np.ndarray) -> np.ndarray:
+    return np.full(len(queries), -np.inf)
 
 
 def _matches(query_ids: pa.Array, ids: pa.Array, found) -> Iterator[pa.RecordBatch]:
@@ -76,18 +96,17 @@ def _pairs_schema(queries: DataFrame, store: DataFrame) -> str:
 
 def _score_broadcast(store: DataFrame, query_table: pa.Table, schema: str, threshold: float,
                      k: int | None, skip_self: bool) -> DataFrame:
-    query_ids = query_table.column("query_id").combine_chunks()
-    matrix = unit_rows(dense(query_table.column("query_vec")))
-    shared = store.sparkSession.sparkContext.broadcast((query_ids, matrix))
+    shared = store.sparkSession.sparkContext.broadcast(
+        _unit(query_table.column("query_id").combine_chunks(), query_table.column("query_vec")))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q_ids, q_unit = shared.value
+        query_ids, queries = shared.value
+        floor = _no_floor(queries)
         for batch in batches:
-            if batch.num_rows == 0 or len(q_unit) == 0:
-                continue
-            vectors = unit_rows(dense(batch.column(1)))
-            found = _best(q_ids, batch.column(0), q_unit, vectors, threshold, k, skip_self)
-            yield from _matches(q_ids, batch.column(0), found)
+            ids, vectors = _unit(batch.column(0), batch.column(1))
+            if len(ids) and len(query_ids):
+                found = _best(query_ids, ids, queries, vectors, threshold, k, skip_self, floor)
+                yield from _matches(query_ids, ids, found)
 
     return store.select("embedding_id", "embedding").mapInArrow(score, schema)
 
@@ -106,11 +125,14 @@ def nearest_cell(vector: Column | str, pivots: np.ndarray) -> Column:
     def nearest(vectors: pa.Array) -> pa.Array:
         with np.errstate(invalid="ignore"):
             scores = unit_rows(dense(vectors)) @ pivots.T
-        scores = np.where(np.isnan(scores), -2.0, scores)
-        cell = scores.argmax(axis=1) if len(scores) else np.zeros(0, int)
-        best = np.clip(scores[np.arange(len(cell)), cell], -1.0, 1.0) if len(cell) else np.zeros(0)
-        return pa.StructArray.from_arrays(
-            [pa.array(cell.astype(np.int32)), pa.array(np.arccos(best))], ["cell", "angle"])
+        if not len(scores):
+            return pa.array([], pa.struct([("cell", pa.int32()), ("angle", pa.float64())]))
+        # a vector without a direction goes to the first cell and does not count for its radius
+        undirected = np.isnan(scores).any(axis=1)
+        scores[undirected] = -1.0
+        cell = scores.argmax(axis=1).astype(np.int32)
+        angle = np.arccos(np.clip(scores[np.arange(len(cell)), cell], -1.0, 1.0))
+        return pa.StructArray.from_arrays([pa.array(cell), pa.array(angle, mask=undirected)], ["cell", "angle"])
 
     return nearest(vector)
 
@@ -171,13 +193,12 @@ def _score_cells(store: DataFrame, queries: DataFrame, sizes: dict[int, int], sc
     block = ["cell", "part", "strip"]
 
     def score(stored: pa.Table, asked: pa.Table) -> pa.Table:
-        ids = stored.column("embedding_id").combine_chunks()
-        query_ids = asked.column("query_id").combine_chunks()
+        ids, vectors = _unit(stored.column("embedding_id").combine_chunks(), stored.column("embedding"))
+        query_ids, unit = _unit(asked.column("query_id").combine_chunks(), asked.column("query_vec"))
         out = pa.schema([("query_id", query_ids.type), ("embedding_id", ids.type), ("similarity", pa.float64())])
         if not len(ids) or not len(query_ids):
             return out.empty_table()
-        found = _best(query_ids, ids, unit_rows(dense(asked.column("query_vec"))),
-                      unit_rows(dense(stored.column("embedding"))), threshold, k, skip_self)
+        found = _best(query_ids, ids, unit, vectors, threshold, k, skip_self, _no_floor(unit))
         return pa.Table.from_batches(_matches(query_ids, ids, found), out)
 
     return left.groupBy(*block).cogroup(right.groupBy(*block)).applyInArrow(score, schema)
@@ -213,7 +234,8 @@ def scored_pairs(store: DataFrame, queries: DataFrame, threshold: float, k: int
     stats = celled.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("angle").alias("radius")).collect()
     radii = np.full(len(pivots), -np.inf)
     for row in stats:
-        radii[row["cell"]] = row["radius"]
+        if row["radius"] is not None:
+            radii[row["cell"]] = row["radius"]
     visiting = queries.withColumn("cells", cells_in_reach("query_vec", pivots, radii, threshold))
     sizes = {row["cell"]: row["n"] for row in stats}
     return _score_cells(celled, visiting, sizes, schema, threshold, k, skip_self, block_rows)
@@ -373,19 +395,20 @@ def threshold_sweep(store: DataFrame, queries: DataFrame, thresholds: list[float
     for i in range(n_slices):
         mine = queries if n_slices == 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(n_slices)) == i)
         table = mine.toArrow()
+        asked, unit = _unit(pa.array(np.arange(table.num_rows)), table.column("query_vec"))
         shared = spark.sparkContext.broadcast((
-            table.column("query_id").combine_chunks(), unit_rows(dense(table.column("query_vec"))),
-            table.column(label).to_numpy()))
+            table.column("query_id").combine_chunks().take(asked), unit, table.column(label).to_numpy()[asked]))
 
         def count(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             q_ids, q_unit, q_labels = shared.value
             pairs, agree = np.zeros(len(cuts), np.int64), np.zeros(len(cuts), np.int64)
             for batch in batches:
-                if batch.num_rows == 0 or len(q_unit) == 0:
+                rows, vectors = _unit(pa.array(np.arange(batch.num_rows)), batch.column(1))
+                if len(rows) == 0 or len(q_unit) == 0:
                     continue
-                vectors = unit_rows(dense(batch.column(1)))
-                labels = batch.column(2).to_numpy(zero_copy_only=False)
-                found = _best(q_ids, batch.column(0), q_unit, vectors, cuts.min() - 1e-6, None, True)
+                ids = batch.column(0).take(rows)
+                labels = batch.column(2).take(rows).to_numpy(zero_copy_only=False)
+                found = _best(q_ids, ids, q_unit, vectors, cuts.min() - 1e-6, None, True, _no_floor(q_unit))
                 for q, v, scores in found:
                     same = q_labels[q] == labels[v]
                     at = np.round(scores, RANK_DIGITS)[None, :] >= cuts[:, None]

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from vectide.functions import keys, numbers
 from vectide.functions.vectors import cosine, distance_to_similarity, dot, l2_norm, vector_bytes
-from vectide.operators import clusters, metrics, store
+from vectide.operators import clusters, store
 from vectide.plans import views
 from vectide.plans.registry import query
 from vectide.plans.rounding import nudged
