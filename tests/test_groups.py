@@ -116,15 +116,28 @@ def _hits(pdf, ttl_seconds):
     return labels
 
 
-@pytest.mark.parametrize("ttl_seconds", [30, 600, 3600])
-@pytest.mark.parametrize("rows, kept", [(10_000, 1), (100, 2), (100, 30)])
-def test_ttl_hits(log, ttl_seconds, rows, kept):
+@pytest.mark.parametrize("ttl_seconds", [120, 3600])
+@pytest.mark.parametrize("rows, kept, spans", [(10_000, 1, 1), (100, 6, 1000), (100, 30, 800)])
+def test_ttl_hits(log, ttl_seconds, rows, kept, spans):
     frame, pdf = log
     got = ttl.ttl_hits(frame.select("event_id", "embedding_id", "ts"), ttl_seconds=ttl_seconds, rows_per_key=rows,
-                       kept_per_span=kept)
+                       kept_per_span=kept, max_spans=spans)
     assert {r["event_id"]: r["cache_hit"] for r in got.collect()} == _hits(pdf, ttl_seconds)
 
 
+def test_ttl_hits_a_few_spans_at_a_time(log):
+    frame, pdf = log
+    got = ttl.ttl_hits(frame.select("event_id", "embedding_id", "ts"), rows_per_key=100, kept_per_span=20, max_spans=4)
+    assert {r["event_id"]: r["cache_hit"] for r in got.collect()} == _hits(pdf, 3600)
+
+
+def test_ttl_hits_over_long_gaps(spark):
+    seconds = [0, 10, 20, 50_000, 50_005, 900_000, 900_050, 900_070]
+    pdf = pd.DataFrame({"event_id": range(8), "embedding_id": 1, "ts": pd.Timestamp("2024-01-01") + pd.to_timedelta(seconds, "s")})
+    got = ttl.ttl_hits(spark.createDataFrame(pdf), ttl_seconds=60, rows_per_key=3, kept_per_span=2, max_spans=2)
+    assert {r["event_id"]: r["cache_hit"] for r in got.collect()} == _hits(pdf, 60)
+
+
 def test_ttl_boundary(spark):
     rows = [(0, "a", "2024-01-01 00:00:00"), (1, "a", "2024-01-01 01:00:00"), (2, "a", "2024-01-01 01:00:00.000001")]
     frame = spark.createDataFrame(rows, "event_id long, embedding_id string, ts string").withColumn("ts", F.col("ts").cast("timestamp"))

@@ -10,9 +10,8 @@ from vectide.operators.groups import top_per_group
 from vectide.session import cut_lineage
 
 
-def _walk(times: np.ndarray, ttl: int, reach: int, held_until: np.ndarray | None = None) -> tuple[list[int], int | None]:
-    """Positions of the misses in sorted `times`, starting with the first one after `reach`, and where the
-    walk got stuck, if it did.
+def _walk(times: np.ndarray, ttl: int, reach: int, held_until: np.ndarray | None = None) -> tuple[list[int], int, bool]:
+    """(positions of the misses in sorted `times` after `reach`, how far they reach, whether the walk is done).
 
     A miss at t covers all accesses up to t + ttl. `held_until[i]` is the end of the time after row i in
     which rows may have been left out (0: none): if the next miss could be one of those, the walk stops.
@@ -21,9 +20,9 @@ def _walk(times: np.ndarray, ttl: int, reach: int, held_until: np.ndarray | None
     while True:
         i = int(np.searchsorted(times, reach, side="right"))
         if held_until is not None and i > 0 and reach < held_until[i - 1]:
-            return misses, reach
+            return misses, reach, False
         if i == len(times):
-            return misses, None
+            return misses, reach, True
         misses.append(i)
         reach = int(times[i]) + ttl
 
@@ -46,70 +45,80 @@ def _label_whole_keys(timed: DataFrame, key: str, tie: str, ttl: int) -> DataFra
     return timed.groupBy(key).applyInArrow(label, ", ".join([*fields, "cache_hit boolean"]))
 
 
-def _round_of(ttl: int, kept: int, key: str, tie: str):
-    """One key's kept rows: its misses, and a row with `_front` set and no tie where the walk got stuck."""
+def _round_of(ttl: int, kept: int, max_spans: int, key: str, tie: str):
+    """One key's kept rows: its misses, and a row without a tie whose `_front` says where to go on."""
 
     def walk(table: pa.Table) -> pa.Table:
         table = _sorted(table, tie)
         times, spans = table.column("_t").to_numpy(), table.column("_span").to_numpy()
-        front = table.column("_front")[0].as_py()
-        last = np.append(spans[1:] != spans[:-1], True)
-        starts = np.flatnonzero(np.append(True, spans[1:] != spans[:-1]))
-        full = np.repeat(np.diff(np.append(starts, len(spans))) >= kept, np.diff(np.append(starts, len(spans))))
-        held = np.where(last & full, front + (spans + 1) * ttl, 0)
-        misses, stuck = _walk(times, ttl, front, held)
+        front, until = table.column("_front")[0].as_py(), table.column("_until")[0].as_py()
+        ends = np.append(spans[1:] != spans[:-1], True)
+        sizes = np.diff(np.append(-1, np.flatnonzero(ends)))
+        full = np.repeat(sizes >= kept, sizes)
+        held = np.where(ends & full, front + (spans + 1) * ttl, 0)
+        misses, reach, done = _walk(times, ttl, front, held)
+        horizon = front + max_spans * ttl
+        if done:
+            # all rows up to the horizon are settled; go on behind it if the key has more
+            reach, done = max(reach, horizon), until <= max(reach, horizon)
         found = table.select([key, tie]).take(pa.array(misses, pa.int64())).append_column(
             "_front", pa.nulls(len(misses), pa.int64()))
-        if stuck is None:
+        if done:
             return found
         rest = pa.table([table.column(key).slice(0, 1), pa.nulls(1, table.schema.field(tie).type),
-                         pa.array([stuck], pa.int64())], names=found.schema.names)
+                         pa.array([reach], pa.int64())], names=found.schema.names)
         return pa.concat_tables([found, rest])
 
     return walk
 
 
-def _misses_in_rounds(timed: DataFrame, key: str, tie: str, ttl: int, kept: int) -> DataFrame:
+def _misses_in_rounds(timed: DataFrame, key: str, tie: str, ttl: int, kept: int, max_spans: int) -> DataFrame:
     """(key, tie) of all misses, where some key has more rows than one group may hold.
 
-    Time after a key's front is cut into spans of one TTL; at most one miss falls into a span. Only the
-    `kept` earliest rows of each span are walked. A key whose walk needs a later row goes into another
-    round, with spans that start where it stopped, so each round finds at least one more miss per key.
+    Time after a key's front is cut into spans of one TTL; at most one miss falls into a span. A round
+    walks the `kept` earliest rows of each of the next `max_spans` spans. A key whose walk needs a later
+    row, or has rows behind those spans, goes into another round that starts where this one stopped.
     """
     lean = timed.select(key, tie, "_t")
     types = dict(lean.dtypes)
     schema = f"`{key}` {types[key]}, `{tie}` {types[tie]}, `_front` bigint"
-    front = lean.groupBy(key).agg((F.min("_t") - 1).alias("_front"))
-    misses = None
+    ahead, misses = lean, None
     while True:
+        # spans start right before the key's next access, however far off that is
+        front = ahead.groupBy(key).agg((F.min("_t") - 1).alias("_front"), F.max("_t").alias("_until"))
         spans = (
             lean.join(front, key).filter(F.col("_t") > F.col("_front"))
             .withColumn("_span", F.floor((F.col("_t") - F.col("_front") - 1) / F.lit(ttl)).cast("long"))
+            .filter(F.col("_span") < max_spans)
         )
         earliest = top_per_group(spans, [key, "_span"], [F.col("_t"), F.col(tie)], kept).drop("rank")
-        found = cut_lineage(earliest.groupBy(key).applyInArrow(_round_of(ttl, kept, key, tie), schema))
+        walk = _round_of(ttl, kept, max_spans, key, tie)
+        found = cut_lineage(earliest.groupBy(key).applyInArrow(walk, schema))
         part = found.filter(F.col(tie).isNotNull()).select(key, tie)
         misses = part if misses is None else misses.unionByName(part)
-        front = found.filter(F.col("_front").isNotNull()).select(key, "_front")
-        if front.isEmpty():
+        rest = found.filter(F.col("_front").isNotNull()).select(key, "_front")
+        if rest.isEmpty():
             return misses
+        ahead = lean.join(rest, key).filter(F.col("_t") > F.col("_front")).select(lean.columns)
 
 
 def ttl_hits(log: DataFrame, key: str = "embedding_id", ts: str = "ts", tie: str = "event_id",
-             ttl_seconds: int = 3600, rows_per_key: int = 1_000_000, kept_per_span: int = 1000) -> DataFrame:
+             ttl_seconds: int = 3600, rows_per_key: int = 1_000_000, kept_per_span: int = 1000,
+             max_spans: int = 1000) -> DataFrame:
     """Adds `cache_hit`: false for the access that loads the key, true until the load is older than the TTL.
 
     An access at exactly the TTL still hits; `tie` is unique over the log. The walk from load to load is
     sequential, so a key's rows meet in one group, as long as no key has more than `rows_per_key` (counted
     first, combined before the shuffle). Otherwise the misses are found in rounds over the earliest rows
-    of each TTL-long span, and joined on `tie`, not on the key; the labels are the same.
+    of each TTL-long span, `kept_per_span` x `max_spans` of a key at a time, and joined on `tie`, not on the
+    key; the labels are the same.
     """
     ttl = ttl_seconds * 1_000_000
     timed = log.withColumn("_t", F.unix_micros(F.col(ts)))
     counts = log.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
     if counts.filter(F.col("_rows") > rows_per_key).isEmpty():
         return _label_whole_keys(timed, key, tie, ttl)
-    misses = _misses_in_rounds(timed, key, tie, ttl, kept_per_span)
+    misses = _misses_in_rounds(timed, key, tie, ttl, kept_per_span, max_spans)
     return (
         log.join(misses.select(tie, F.lit(True).alias("_miss")), tie, "left")
         .withColumn("cache_hit", F.col("_miss").isNull())

@@ -1,27 +1,23 @@
-"""The store as Parquet: versioned writes, sharded folders, and reads that see the newest row per id."""
+"""The store as Parquet: versioned writes in shard folders, and reads that prune to shards."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from vectide.functions.numbers import hash_bucket
 
-
-def write_store(store: DataFrame, base: str, version: int | str, shard: str = "shard",
-                files_per_shard: int = 8) -> str:
+def write_store(store: DataFrame, base: str, version: int | str, shard: str = "shard") -> str:
     """Writes a full version below `base`, one folder per shard, and returns its path.
 
-    Rows of one shard are spread by the hash of their id, so a hot shard is written by several tasks.
-    An earlier version is never touched; writing the same version again replaces only that one.
+    Rows are rebalanced by shard: Spark splits a shard that is larger than the advisory partition size
+    and merges small ones, so a hot shard is written by many tasks and files come out of even size. An
+    earlier version is never touched; writing the same version again replaces only that one.
     """
     path = f"{base}/version={version}"
-    spread = store.withColumn("_file", hash_bucket("embedding_id", files_per_shard))
-    (spread.repartition(shard, "_file").drop("_file")
-     .write.mode("overwrite").partitionBy(shard).parquet(path))
+    store.hint("rebalance", shard).write.mode("overwrite").partitionBy(shard).parquet(path)
     return path
 
 
 def read_store(spark: SparkSession, path: str, shards: list[int] | None = None) -> DataFrame:
     """A written version; `shards` prunes to those folders."""
     table = spark.read.parquet(path)
-    return table if shards is None else table.filter(F.col("shard").isin(shards))
+    return table if shards is None else table.filter(table["shard"].isin(shards))
