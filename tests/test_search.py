@@ -83,22 +83,24 @@ def test_similarity_is_symmetric_and_one_to_itself(data):
     assert all(pairs[(i, i)] == 1.0 for i in range(600))
 
 
-def test_approximate_search_is_a_subset_with_high_recall(data):
+@pytest.mark.parametrize("how", [{}, {"max_queries": 0, "block_rows": 50}])
+def test_approximate_search_is_a_subset_with_high_recall(data, how):
     frame, queries, scores = data
     want = {(q, i) for q, ids in _best(scores, 600, 0.9).items() for i in ids}
     for flips, recall in ((2, 0.9), (6, 1.0)):
         got = {(r["query_id"], r["embedding_id"]) for r in similarity.approx_similar_join(
-            frame, queries, 0.9, 600, bits=6, flips=flips, block_rows=50).collect()}
+            frame, queries, 0.9, 600, bits=6, flips=flips, **how).collect()}
         assert got <= want and len(got) >= recall * len(want)
 
 
-def test_cluster_pruned_search(data):
+@pytest.mark.parametrize("how", [{}, {"max_queries": 0, "block_rows": 70}])
+def test_cluster_pruned_search(data, how):
     frame, queries, scores = data
     _, centres = clusters.centroid_matrix(clusters.group_means(frame, "label"), "label")
     want = {(q, i) for q, ids in _best(scores, 5, 0.85).items() for i in ids}
     for probes, recall in ((2, 0.9), (12, 1.0)):
         got = {(r["query_id"], r["embedding_id"]) for r in similarity.cluster_pruned_search(
-            frame, queries, centres, probes, 5, 0.85, block_rows=70).collect()}
+            frame, queries, centres, probes, 5, 0.85, **how).collect()}
         assert len(got & want) >= recall * len(want)
 
 
@@ -128,3 +130,10 @@ def test_fallback_and_batch_lookup(spark):
     assert got == {0: (1, True, False), 1: (1, True, True), 2: (None, False, False), 3: (1, True, False), 4: (None, False, False)}
     found = lookup.batch_lookup(requests, store).orderBy("pos").collect()
     assert [r["found"] for r in found] == [True, False, False, True, False]
+
+
+def test_both_forms_of_pruned_search_agree(data):
+    frame, queries, _ = data
+    forms = [similarity.approx_similar_join(frame, queries, 0.5, 9, bits=5, flips=1, **how)
+             for how in ({}, {"max_queries": 0, "block_rows": 40})]
+    assert sorted(forms[0].collect()) == sorted(forms[1].collect())

@@ -13,7 +13,7 @@ Two physical forms give the same exact answer:
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +31,8 @@ NEIGHBOUR_THRESHOLD, NEIGHBOUR_LIMIT = 0.8, 10
 # bound of a broadcast query side: 61 MB of float32 at 768 dimensions
 MAX_QUERIES = 20_000
 BLOCK_ROWS = 16_384
+# maps a matrix of unit rows to one cell number, or one row of cell numbers, per row
+CellOf = Callable[[np.ndarray], np.ndarray]
 QUERY_STRIP = 256
 PAIR_STRIP = 65_536
 # scores are ranked as rounded to this many digits, so equal vectors tie in whichever block they are scored
@@ -94,19 +96,50 @@ def _pairs_schema(queries: DataFrame, store: DataFrame) -> str:
     return f"query_id {query_type}, embedding_id {id_type}, similarity double"
 
 
-def _score_broadcast(store: DataFrame, query_table: pa.Table, schema: str, threshold: float,
-                     k: int | None, skip_self: bool) -> DataFrame:
-    shared = store.sparkSession.sparkContext.broadcast(
-        _unit(query_table.column("query_id").combine_chunks(), query_table.column("query_vec")))
+def _query_head(queries: DataFrame, max_queries: int) -> tuple[pa.Table, int, bool]:
+    """(usable queries up to the bound, vector length, whether these are all).
+
+    One row more than the bound is asked for; the length is that of the first query.
+    """
+    head = queries.filter(usable("query_vec")).select("query_id", "query_vec").limit(max_queries + 1).toArrow()
+    lengths = pc.list_value_length(head.column("query_vec"))
+    dim = lengths[0].as_py() if head.num_rows else 0
+    return head.filter(pc.equal(lengths, dim)), dim, head.num_rows <= max_queries
+
+
+def _score_broadcast(store: DataFrame, query_table: pa.Table, schema: str, threshold: float, k: int | None,
+                     skip_self: bool, cell_of: CellOf | None = None, cells_of: CellOf | None = None) -> DataFrame:
+    """Scores each Arrow batch of the store against all queries or, with cell functions, each cell's rows
+    in the batch against the queries that visit the cell."""
+    query_ids, queries = _unit(query_table.column("query_id").combine_chunks(), query_table.column("query_vec"))
+    visitors: dict[int, np.ndarray] = {}
+    if cells_of is not None and len(queries):
+        visits = cells_of(queries)
+        cells = np.repeat(np.arange(len(queries)), visits.shape[1])[np.argsort(visits, axis=None, kind="stable")]
+        numbers, starts = np.unique(np.sort(visits, axis=None), return_index=True)
+        visitors = dict(zip(numbers.tolist(), np.split(cells, starts[1:])))
+    shared = store.sparkSession.sparkContext.broadcast((query_ids, queries, visitors))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        query_ids, queries = shared.value
+        query_ids, queries, visitors = shared.value
         floor = _no_floor(queries)
         for batch in batches:
             ids, vectors = _unit(batch.column(0), batch.column(1))
-            if len(ids) and len(query_ids):
+            if not len(ids) or not len(query_ids):
+                continue
+            if cell_of is None:
                 found = _best(query_ids, ids, queries, vectors, threshold, k, skip_self, floor)
                 yield from _matches(query_ids, ids, found)
+                continue
+            cells = cell_of(vectors)
+            for cell in np.unique(cells).tolist():
+                asked, rows = visitors.get(cell), np.flatnonzero(cells == cell)
+                if asked is None:
+                    continue
+                some_queries, some_ids, bar = query_ids.take(pa.array(asked)), ids.take(pa.array(rows)), floor[asked]
+                found = _best(some_queries, some_ids, queries[asked], vectors[rows], threshold, k, skip_self, bar)
+                yield from _matches(some_queries, some_ids, found)
+                floor[asked] = bar
 
     return store.select("embedding_id", "embedding").mapInArrow(score, schema)
 
@@ -151,14 +184,22 @@ def cells_in_reach(vector: Column | str, pivots: np.ndarray, radii: np.ndarray,
     return cells(vector)
 
 
-def cells_nearest(vector: Column | str, pivots: np.ndarray, probes: int) -> Column:
-    """The `probes` cells with the highest cosine to the vector."""
+def _cell_column(cell_of: CellOf, vector: str) -> Column:
+    """Cell per vector; `cell_of` maps a unit matrix to cell numbers."""
+
+    @F.arrow_udf("int")
+    def cell(vectors: pa.Array) -> pa.Array:
+        return pa.array(cell_of(unit_rows(dense(vectors))).astype(np.int32))
+
+    return cell(vector)
+
+
+def _cells_column(cells_of: CellOf, vector: str) -> Column:
+    """Cells to visit per query vector; `cells_of` maps a unit matrix to rows of cell numbers."""
 
     @F.arrow_udf("array<int>")
     def cells(vectors: pa.Array) -> pa.Array:
-        scores = unit_rows(dense(vectors)) @ pivots.T
-        order = np.argsort(-scores, axis=1, kind="stable")[:, :probes].astype(np.int32)
-        return pa.array(list(order), pa.list_(pa.int32()))
+        return pa.array(list(cells_of(unit_rows(dense(vectors))).astype(np.int32)), pa.list_(pa.int32()))
 
     return cells(vector)
 
@@ -218,16 +259,10 @@ def scored_pairs(store: DataFrame, queries: DataFrame, threshold: float, k: int
     another length than the first query's take no part.
     """
     schema = _pairs_schema(queries, store)
-    # one row more than the bound tells whether the query side fits
-    head = queries.filter(usable("query_vec")).select("query_id", "query_vec").limit(max_queries + 1).toArrow()
-    lengths = pc.list_value_length(head.column("query_vec"))
-    dim = lengths[0].as_py() if head.num_rows else 0
-    if head.num_rows <= max_queries:
-        fitting = head.filter(pc.equal(lengths, dim))
-        store, _ = _only_usable(store, queries, dim)
-        return _score_broadcast(store, fitting, schema, threshold, k, skip_self)
-
+    head, dim, fits = _query_head(queries, max_queries)
     store, queries = _only_usable(store, queries, dim)
+    if fits:
+        return _score_broadcast(store, head, schema, threshold, k, skip_self)
     pivots = pick_pivots(store, n_pivots)
     celled = store.withColumn("_near", nearest_cell("embedding", pivots)).select(
         "embedding_id", "embedding", F.col("_near.cell").alias("cell"), F.col("_near.angle").alias("angle"))
@@ -312,68 +347,64 @@ def precompute_neighbors(store: DataFrame, limit: int = NEIGHBOUR_LIMIT,
                         F.col("_best.embedding_id").alias("precomputed_neighbors"))
 
 
+def _pruned_search(store: DataFrame, queries: DataFrame, cells: Callable[[int], tuple[CellOf, CellOf]],
+                   threshold: float, limit: int, max_queries: int, block_rows: int) -> DataFrame:
+    """Search where a query only meets the cells it visits; `cells` gives both cell functions for a length."""
+    schema = _pairs_schema(queries, store)
+    head, dim, fits = _query_head(queries, max_queries)
+    store, queries = _only_usable(store, queries, dim)
+    cell_of, cells_of = cells(dim)
+    if fits:
+        return _ranked(_score_broadcast(store, head, schema, threshold, limit, False, cell_of, cells_of), limit)
+    celled = store.withColumn("cell", _cell_column(cell_of, "embedding"))
+    sizes = {row["cell"]: row["count"] for row in celled.groupBy("cell").count().collect()}
+    visiting = queries.withColumn("cells", _cells_column(cells_of, "query_vec"))
+    return _ranked(_score_cells(celled, visiting, sizes, schema, threshold, limit, False, block_rows), limit)
+
+
 def cluster_pruned_search(store: DataFrame, queries: DataFrame, centroids: np.ndarray, probes: int = 4,
                           limit: int = ENGINE_LIMIT, threshold: float = ENGINE_THRESHOLD,
-                          block_rows: int = BLOCK_ROWS) -> DataFrame:
+                          max_queries: int = MAX_QUERIES, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Search only the `probes` clusters nearest to each query; exact cosine inside them.
 
     Approximate: a match in a cluster that is not probed is missed.
     """
-    dim = _length(queries)
-    store, queries = _only_usable(store, queries, dim)
-    schema = _pairs_schema(queries, store)
     unit = unit_rows(centroids)
-    celled = store.withColumn("cell", nearest_cell("embedding", unit)["cell"])
-    sizes = {row["cell"]: row["count"] for row in celled.groupBy("cell").count().collect()}
-    visiting = queries.withColumn("cells", cells_nearest("query_vec", unit, probes))
-    return _ranked(_score_cells(celled, visiting, sizes, schema, threshold, limit, False, block_rows), limit)
 
+    def nearest(vectors: np.ndarray) -> np.ndarray:
+        return np.nan_to_num(vectors @ unit.T, nan=-1.0).argmax(axis=1)
 
-def hyperplanes(dim: int, bits: int, seed: int) -> np.ndarray:
-    """Normals of `bits` random planes through the origin."""
-    return np.random.default_rng(seed).standard_normal((bits, dim))
+    def probed(vectors: np.ndarray) -> np.ndarray:
+        return np.argsort(-(vectors @ unit.T), axis=1, kind="stable")[:, :probes]
 
+    return _pruned_search(store, queries, lambda _: (nearest, probed), threshold, limit, max_queries, block_rows)
 
-def _signature(planes: np.ndarray):
-    weights = 1 << np.arange(len(planes))
 
-    @F.arrow_udf("int")
-    def signature(vectors: pa.Array) -> pa.Array:
-        return pa.array((((dense(vectors) @ planes.T) > 0) @ weights).astype(np.int32))
+def hyperplanes(dim: int, bits: int, seed: int) -> np.ndarray:
+    """Normals of `bits` random planes through the origin."""
+    return np.random.default_rng(seed).standard_normal((bits, dim))
 
-    return signature
 
+def approx_similar_join(store: DataFrame, queries: DataFrame, threshold: float = ROUTER_THRESHOLD,
+                        limit: int = ROUTER_CANDIDATES, bits: int = 6, flips: int = 2, seed: int = 42,
+                        max_queries: int = MAX_QUERIES, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Approximate neighbours by random-hyperplane signatures, checked by exact cosine.
 
-def _signatures_near(planes: np.ndarray, flips: int):
-    """Own signature and all those at most `flips` bits away."""
-    bits = len(planes)
+    A cell is a signature: on which side of each plane a vector lies. A query visits its own signature and
+    those within `flips` bits. More flips find more and cost more; flips = bits is the exact search.
+    """
     weights = 1 << np.arange(bits)
     masks = np.array([m for m in range(1 << bits) if m.bit_count() <= flips])
 
-    @F.arrow_udf("array<int>")
-    def near(vectors: pa.Array) -> pa.Array:
-        own = ((dense(vectors) @ planes.T) > 0) @ weights
-        return pa.array(list((own[:, None] ^ masks[None, :]).astype(np.int32)), pa.list_(pa.int32()))
-
-    return near
+    def cells(dim: int) -> tuple[CellOf, CellOf]:
+        planes = hyperplanes(dim, bits, seed)
 
+        def signature(vectors: np.ndarray) -> np.ndarray:
+            return ((vectors @ planes.T) > 0) @ weights
 
-def approx_similar_join(store: DataFrame, queries: DataFrame, threshold: float = ROUTER_THRESHOLD,
-                        limit: int = ROUTER_CANDIDATES, bits: int = 6, flips: int = 2, seed: int = 42,
-                        block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Approximate neighbours by random-hyperplane signatures, checked by exact cosine.
+        return signature, lambda vectors: signature(vectors)[:, None] ^ masks[None, :]
 
-    A query visits its own signature and those within `flips` bits. More flips find more and cost more;
-    flips = bits is the exact search.
-    """
-    dim = _length(queries)
-    store, queries = _only_usable(store, queries, dim)
-    schema = _pairs_schema(queries, store)
-    planes = hyperplanes(dim, bits, seed)
-    celled = store.withColumn("cell", _signature(planes)("embedding"))
-    sizes = {row["cell"]: row["count"] for row in celled.groupBy("cell").count().collect()}
-    visiting = queries.withColumn("cells", _signatures_near(planes, flips)("query_vec"))
-    return _ranked(_score_cells(celled, visiting, sizes, schema, threshold, limit, False, block_rows), limit)
+    return _pruned_search(store, queries, cells, threshold, limit, max_queries, block_rows)
 
 
 def threshold_sweep(store: DataFrame, queries: DataFrame, thresholds: list[float], label: str = "label",
