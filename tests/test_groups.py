@@ -202,8 +202,18 @@ def test_alert_needs_neighbouring_windows(spark):
 
 
 def test_exposition_text(spark):
-    rows = spark.createDataFrame([("ops", "operation=a,status=ok", 3), ("up", "", 1)], "name string, labels string, value long")
-    assert [r["line"] for r in metrics.export_metrics_text(rows).collect()] == ['ops{operation="a",status="ok"} 3', "up 1"]
+    rows = spark.createDataFrame([("a,b", 'q"\\'), ("a,b", 'q"\\'), ("c", None)], "operation string, status string")
+    counted = metrics.label_counters(rows, {"ops": (["operation", "status"], None), "up": ([], F.col("operation") == "c")})
+    lines = sorted(r["line"] for r in metrics.export_metrics_text(metrics.counter_samples(counted)).collect())
+    assert lines == ['ops{operation="a,b",status="q\\"\\\\"} 2', 'ops{operation="c",status=""} 1', "up 1"]
+
+
+def test_histogram_lines(spark):
+    rows = spark.createDataFrame([("a", 0.1), ("a", 0.2), ("a", 0.7), ("a", None)], "op string, v double")
+    samples = metrics.histogram_samples(metrics.histogram(rows, "v", [0.1, 0.5], ["op"]), "t", ["op"])
+    assert sorted(r["line"] for r in metrics.export_metrics_text(samples).collect()) == [
+        't_bucket{op="a",le="+Inf"} 3', 't_bucket{op="a",le="0.1"} 1', 't_bucket{op="a",le="0.5"} 2',
+        't_count{op="a"} 3', 't_sum{op="a"} 1.000000']
 
 
 def test_pattern_similarity_without_clusters(spark):

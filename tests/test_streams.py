@@ -29,11 +29,13 @@ def _rows(df):
     return sorted(tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in df.collect())
 
 
-def test_access_stats_over_batches(spark, log_files, tmp_path):
+@pytest.mark.parametrize("full_every", [1, 3, 20])
+def test_access_stats_over_batches(spark, log_files, tmp_path, full_every):
     base = str(tmp_path)
-    jobs.stream_access_stats(_stream(spark, log_files), f"{base}/p", f"{base}/s", f"{base}/c").awaitTermination()
+    jobs.stream_access_stats(
+        _stream(spark, log_files), f"{base}/p", f"{base}/s", f"{base}/c", full_every=full_every).awaitTermination()
     assert jobs.read_batches(spark, f"{base}/p").select("batch").distinct().count() == 5
-    got = jobs.access_stats_after(spark, f"{base}/s")
+    got = jobs.access_stats_after(spark, f"{base}/s", full_every)
     assert _rows(got) == _rows(access.key_access_stats(log_files[1]))
     columns = ["event_id", "embedding_id", "access_frequency", "time_since_last_access"]
     assert _rows(jobs.read_batches(spark, f"{base}/p").select(columns)) == _rows(access.access_patterns(log_files[1]).select(columns))

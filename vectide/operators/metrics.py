@@ -14,6 +14,14 @@ from vectide.operators.groups import one_row, order_statistics
 LATENCY_BOUNDS = [0.001, 0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0]
 SCORE_BOUNDS = [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]
 DEFAULT_BOUNDS = [0.005, 0.01, 0.025, 0.05, 0.075, 0.1, 0.25, 0.5, 0.75, 1.0, 2.5, 5.0, 7.5, 10.0]
+CACHE_OPERATIONS = "embedding_cache_operations_total"
+EMBEDDING_OPERATIONS = "embedding_operations_total"
+ERRORS = "system_errors_total"
+REQUESTS = "grpc_requests_total"
+SIMILARITY_REQUESTS = "similarity_router_requests_total"
+HITS, MISSES, SEARCHES = "cache_hits_total", "cache_misses_total", "similarity_searches_total"
+LATENCY = "embedding_cache_latency_seconds"
+HIT_RATE = "embedding_cache_hit_rate"
 RETENTION_DAYS = 7
 COLLECTION_SECONDS = 30
 
@@ -89,6 +97,17 @@ def histogram(rows: DataFrame, value: str, bounds: list[float], by: list[str]) -
         *by, F.col("_bucket.le").alias("le"), F.col("_bucket.n").alias("bucket_count"), "total_sum", "total_count")
 
 
+def label_text(names: list[str]) -> Column:
+    """Labels as exposition text: name="value",... with backslash, quote and line end escaped."""
+    def escaped(name: str) -> Column:
+        text = F.coalesce(F.col(name).cast("string"), F.lit(""))
+        for raw, safe in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n")):
+            text = F.replace(text, F.lit(raw), F.lit(safe))
+        return F.concat(F.lit(f'{name}="'), text, F.lit('"'))
+
+    return F.concat_ws(",", *[escaped(name) for name in names])
+
+
 def label_counters(rows: DataFrame, counters: dict[str, tuple[list[str], Column | None]]) -> DataFrame:
     """Counts per label set of several counters: (counter, labels, count).
 
@@ -104,8 +123,7 @@ def label_counters(rows: DataFrame, counters: dict[str, tuple[list[str], Column
     entries = F.array(*[
         F.struct(
             F.lit(name).alias("counter"),
-            F.concat_ws(",", *[F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in labels])
-            .alias("labels"),
+            label_text(labels).alias("labels"),
             (F.col(flags[name]) if name in flags else F.lit(True)).alias("counts"))
         for name, (labels, _) in counters.items()
     ])
@@ -182,10 +200,41 @@ def alert_breaches(samples: DataFrame, series: str, value: str, threshold: float
     )
 
 
-def export_metrics_text(metrics: DataFrame) -> DataFrame:
-    """Metric rows (name, labels as `k=v,...`, value) as exposition text lines."""
-    quoted = F.regexp_replace(
-        F.regexp_replace(F.regexp_replace("labels", r"\\", r"\\\\"), '"', r'\\"'),
-        "([^=,]+)=([^,]*)", r'$1="$2"')
-    named = F.when(F.col("labels") == "", F.col("name")).otherwise(F.concat("name", F.lit("{"), quoted, F.lit("}")))
-    return metrics.select(F.concat(named, F.lit(" "), F.col("value").cast("string")).alias("line"))
+def counter_samples(counters: DataFrame) -> DataFrame:
+    """Counter rows as metric rows (name, labels, value as text)."""
+    return counters.select(F.col("counter").alias("name"), "labels", F.col("count").cast("string").alias("value"))
+
+
+def histogram_samples(buckets: DataFrame, name: str, by: list[str]) -> DataFrame:
+    """Rows of `histogram` as metric rows: a line per bucket, and sum and count per label set."""
+    labels, with_bound = label_text(by), label_text([*by, "le"])
+
+    def sample(suffix: str, text: Column, value: Column) -> Column:
+        return F.struct(F.lit(name + suffix).alias("name"), text.alias("labels"), value.cast("string").alias("value"))
+
+    bucket = sample("_bucket", with_bound, F.col("bucket_count"))
+    total = sample("_sum", labels, F.col("total_sum").cast("decimal(38,6)"))
+    count = sample("_count", labels, F.col("total_count"))
+    lines = F.when(F.col("le") == "+Inf", F.array(bucket, total, count)).otherwise(F.array(bucket))
+    return buckets.select(F.explode(lines).alias("_line")).select("_line.*")
+
+
+def gauge_samples(row: DataFrame, gauges: dict[str, str]) -> DataFrame:
+    """Columns of a one-row table as metric rows; `gauges` maps a metric name to its column."""
+    lines = F.array(*[
+        F.struct(F.lit(name).alias("name"), F.lit("").alias("labels"),
+                 F.col(column).cast("decimal(38,6)").cast("string").alias("value"))
+        for name, column in gauges.items()
+    ])
+    return row.select(F.explode(lines).alias("_line")).select("_line.*")
+
+
+def export_metrics_text(samples: DataFrame) -> DataFrame:
+    """Metric rows (name, labels as exposition text, value) as text lines."""
+    named = F.when(F.col("labels") == "", F.col("name")).otherwise(F.concat("name", F.lit("{"), "labels", F.lit("}")))
+    return samples.select(F.concat(named, F.lit(" "), F.col("value").cast("string")).alias("line"))
+
+
+def write_metrics_text(samples: DataFrame, path: str) -> None:
+    """Text lines as files below `path`."""
+    export_metrics_text(samples).write.mode("overwrite").text(path)

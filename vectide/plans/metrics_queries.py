@@ -9,7 +9,7 @@ from vectide.operators import metrics
 from vectide.plans import views
 from vectide.plans.registry import query
 from vectide.plans.rounding import nudged, rounded
-from vectide.session import cut_lineage
+from vectide.session import cut_lineage, new_folder
 
 
 @query("cache_stats", """
@@ -84,15 +84,25 @@ def request_duration_histogram(spark, folder):
     return rounded(metrics.histogram(rows, "seconds", metrics.DEFAULT_BOUNDS, ["method", "status"]), 4, "total_sum")
 
 
-COUNTERS_SQL = """
-SELECT 'cache_operations' AS counter, 'operation=' || op || ',status=' || status AS labels, count(*) AS count
-FROM labelled_log GROUP BY ALL
-UNION ALL SELECT 'embedding_operations', 'operation=' || op || ',model=' || model, count(*) FROM labelled_log GROUP BY ALL
-UNION ALL SELECT 'errors', 'component=' || component || ',error_type=' || op, count(*) FROM labelled_log
-  WHERE status = 'error' GROUP BY ALL
-UNION ALL SELECT 'rpc_requests', 'method=' || method || ',status=' || status, count(*) FROM labelled_log GROUP BY ALL
-UNION ALL SELECT 'similarity_requests', 'cache_status=' || cache_status || ',similarity_method=' || similarity_method, count(*)
-  FROM labelled_log GROUP BY ALL"""
+def _labels_sql(**labels: str) -> str:
+    return " || ',' || ".join(f"'{name}=\"' || {column} || '\"'" for name, column in labels.items()) or "''"
+
+
+def _counter_sql(name: str, where: str = "true", **labels: str) -> str:
+    return (f"SELECT '{name}' AS counter, {_labels_sql(**labels)} AS labels, count(*) AS count FROM labelled_log "
+            f"WHERE {where} GROUP BY ALL HAVING count(*) > 0")
+
+
+COUNTERS_SQL = " UNION ALL ".join([
+    _counter_sql(metrics.CACHE_OPERATIONS, operation="op", status="status"),
+    _counter_sql(metrics.EMBEDDING_OPERATIONS, operation="op", model="model"),
+    _counter_sql(metrics.ERRORS, "status = 'error'", component="component", error_type="op"),
+    _counter_sql(metrics.REQUESTS, method="method", status="status"),
+    _counter_sql(metrics.SIMILARITY_REQUESTS, cache_status="cache_status", similarity_method="similarity_method"),
+    _counter_sql(metrics.HITS, "cache_status = 'hit'"),
+    _counter_sql(metrics.MISSES, "cache_status = 'miss'"),
+    _counter_sql(metrics.SEARCHES, "similarity_method = 'exact'"),
+])
 LABELLED = """
 WITH labelled_log AS (
   SELECT op, CASE WHEN success THEN 'success' ELSE 'error' END AS status, model_name AS model,
@@ -115,25 +125,45 @@ def labelled_log(spark, folder) -> DataFrame:
 
 def counters(spark, folder) -> DataFrame:
     return metrics.label_counters(labelled_log(spark, folder), {
-        "cache_operations": (["operation", "status"], None),
-        "embedding_operations": (["operation", "model"], None),
-        "errors": (["component", "error_type"], F.col("status") == "error"),
-        "rpc_requests": (["method", "status"], None),
-        "similarity_requests": (["cache_status", "similarity_method"], None)})
+        metrics.CACHE_OPERATIONS: (["operation", "status"], None),
+        metrics.EMBEDDING_OPERATIONS: (["operation", "model"], None),
+        metrics.ERRORS: (["component", "error_type"], F.col("status") == "error"),
+        metrics.REQUESTS: (["method", "status"], None),
+        metrics.SIMILARITY_REQUESTS: (["cache_status", "similarity_method"], None),
+        metrics.HITS: ([], F.col("cache_status") == "hit"),
+        metrics.MISSES: ([], F.col("cache_status") == "miss"),
+        metrics.SEARCHES: ([], F.col("similarity_method") == "exact")})
 
 
-@query("label_counters", LABELLED + COUNTERS_SQL)
+@query("label_counters", f"{LABELLED} {COUNTERS_SQL}")
 def label_counters(spark, folder):
     return counters(spark, folder)
 
 
-@query("export_metrics_text", LABELLED + f"""
-SELECT counter || '_total{{' || regexp_replace(labels, '([^=,]+)=([^,]*)', '\\1="\\2"', 'g') || '}} ' || count AS line
-FROM ({COUNTERS_SQL})""")
+def _sample_sql(name: str, labels: str, value: str) -> str:
+    return f"SELECT '{name}{{' || {labels} || '}} ' || {value} AS line FROM buckets"
+
+
+BUCKETS = histogram_sql("access_log", "(latency_ms / 1000.0::DOUBLE)", metrics.LATENCY_BOUNDS, {"operation": "op"})
+
+
+@query("export_metrics_text", f"""{LABELLED}, counters AS ({COUNTERS_SQL}), buckets AS ({BUCKETS})
+SELECT counter || CASE WHEN labels = '' THEN '' ELSE '{{' || labels || '}}' END || ' ' || count AS line FROM counters
+UNION ALL {_sample_sql(metrics.LATENCY + "_bucket", _labels_sql(operation="operation", le="le"), "bucket_count")}
+UNION ALL {_sample_sql(metrics.LATENCY + "_sum", _labels_sql(operation="operation"), "total_sum::DECIMAL(38, 6)")} WHERE le = '+Inf'
+UNION ALL {_sample_sql(metrics.LATENCY + "_count", _labels_sql(operation="operation"), "total_count")} WHERE le = '+Inf'
+UNION ALL SELECT '{metrics.HIT_RATE} ' || (count(*) FILTER (cache_status = 'hit') / count(*))::DECIMAL(38, 6) FROM labelled_log""")
 def export_metrics_text(spark, folder):
-    rows = counters(spark, folder).select(
-        F.concat("counter", F.lit("_total")).alias("name"), "labels", F.col("count").alias("value"))
-    return metrics.export_metrics_text(rows)
+    """Counters, the latency histogram and the hit rate, written as text and read back."""
+    stats = metrics.cache_stats(views.request_log(spark, folder))
+    samples = (
+        metrics.counter_samples(counters(spark, folder))
+        .unionByName(metrics.histogram_samples(latency_histogram(spark, folder), metrics.LATENCY, ["operation"]))
+        .unionByName(metrics.gauge_samples(stats, {metrics.HIT_RATE: "hit_rate"}))
+    )
+    path = new_folder(spark, "metrics-text")
+    metrics.write_metrics_text(samples, path)
+    return spark.read.text(path).withColumnRenamed("value", "line")
 
 
 SNAPSHOT = """

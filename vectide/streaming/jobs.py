@@ -97,27 +97,42 @@ def stream_route(vectors: DataFrame, labels: list[int], centroids: np.ndarray, o
     return _start(routed.writeStream.outputMode("append").format("parquet").option("path", out), checkpoint, once)
 
 
+def _state_folder(state: str, number: int) -> str:
+    return f"{state}/after={number:012d}"
+
+
+def _state_after(spark: SparkSession, state: str, number: int, full_every: int) -> DataFrame | None:
+    """Running statistics after batch `number`: the last full table and the changes since, newest per key."""
+    folders = [_read_if_there(spark, _state_folder(state, n))
+               for n in range(number - number % full_every, number + 1)] if number >= 0 else []
+    tables = [t.withColumn("_after", F.lit(i)) for i, t in enumerate(folders) if t is not None]
+    if not tables:
+        return None
+    merged = tables[0]
+    for table in tables[1:]:
+        merged = merged.unionByName(table)
+    return latest_per_id(merged, newest="_after").drop("_after")
+
+
 def stream_access_stats(log: DataFrame, out: str, state: str, checkpoint: str, scores: int = 100,
-                        once: bool = True) -> StreamingQuery:
+                        full_every: int = 20, once: bool = True) -> StreamingQuery:
     """A pattern row per access, and running statistics per key.
 
-    The statistics after batch n are a table of their own, made from those after batch n - 1 and the
-    accesses of batch n. Inside a batch a hot key is spread over tasks as in the batch operators, where
-    a keyed state store would pass all its accesses through one. Accesses are taken to come in time
-    order from batch to batch.
+    Batch n writes the statistics of the keys it touched, made from those after batch n - 1 and its own
+    accesses; every `full_every` batches it writes all keys. Inside a batch a hot key is spread over tasks
+    as in the batch operators, where a keyed state store would pass all its accesses through one.
+    Accesses are taken to come in time order from batch to batch.
     """
-    stats_columns = ["embedding_id", "access_count", "first_access", "last_access", "recent"]
 
     def write(batch: DataFrame, number: int) -> None:
         batch = batch.persist(StorageLevel.MEMORY_AND_DISK)  # read by both writes
         try:
-            _write_stats(batch, number)
+            write_both(batch, number)
         finally:
             batch.unpersist()
 
-    def _write_stats(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        before = _read_if_there(spark, f"{state}/after={number - 1:012d}") if number else None
+    def write_both(batch: DataFrame, number: int) -> None:
+        before = _state_after(batch.sparkSession, state, number - 1, full_every)
         patterns = access_patterns(batch)
         counts = batch.groupBy("embedding_id").agg(
             F.count(F.lit(1)).alias("access_count"), F.min("ts").alias("first_access"), F.max("ts").alias("last_access"))
@@ -125,11 +140,17 @@ def stream_access_stats(log: DataFrame, out: str, state: str, checkpoint: str, s
             "embedding_id", "ts", "event_id", "similarity_score")
         if before is not None:
             known = before.select("embedding_id", F.col("access_count").alias("_n"), F.col("last_access").alias("_last"))
-            patterns = patterns.join(known, "embedding_id", "left").withColumn(
-                "time_since_last_access",
-                F.when((F.col("access_frequency") == 1) & F.col("_last").isNotNull(),
-                       (F.unix_micros("ts") - F.unix_micros("_last")) / 1e6).otherwise(F.col("time_since_last_access"))
-            ).withColumn("access_frequency", F.col("access_frequency") + F.coalesce("_n", F.lit(0))).drop("_n", "_last")
+            since_last = (F.unix_micros("ts") - F.unix_micros("_last")) / 1e6
+            first_here = (F.col("access_frequency") == 1) & F.col("_last").isNotNull()
+            patterns = (
+                patterns.join(known, "embedding_id", "left")
+                .withColumn("time_since_last_access",
+                            F.when(first_here, since_last).otherwise(F.col("time_since_last_access")))
+                .withColumn("access_frequency", F.col("access_frequency") + F.coalesce("_n", F.lit(0)))
+                .drop("_n", "_last")
+            )
+            if number % full_every:
+                before = before.join(batch.select("embedding_id").distinct(), "embedding_id", "left_semi")
             counts = counts.unionByName(before.select(*counts.columns)).groupBy("embedding_id").agg(
                 F.sum("access_count").alias("access_count"), F.min("first_access").alias("first_access"),
                 F.max("last_access").alias("last_access"))
@@ -140,17 +161,15 @@ def stream_access_stats(log: DataFrame, out: str, state: str, checkpoint: str, s
         # at most `scores` rows per key are collected
         lists = recent.groupBy("embedding_id").agg(
             F.collect_list(F.struct("ts", "event_id", "similarity_score")).alias("recent"))
-        stats = counts.join(lists, "embedding_id", "left").select(*stats_columns)
-        stats.write.mode("overwrite").parquet(f"{state}/after={number:012d}")
+        counts.join(lists, "embedding_id", "left").write.mode("overwrite").parquet(_state_folder(state, number))
 
     return _start(log.writeStream.foreachBatch(write), checkpoint, once)
 
 
-def access_stats_after(spark: SparkSession, state: str) -> DataFrame:
+def access_stats_after(spark: SparkSession, state: str, full_every: int = 20) -> DataFrame:
     """Statistics per key after the last finished batch, in the form of the batch operator."""
-    folders = spark.read.parquet(state)
-    last = folders.agg(F.max("after")).first()[0]
-    stats = folders.filter(F.col("after") == last)
+    last = spark.read.parquet(state).agg(F.max("after")).first()[0]
+    stats = _state_after(spark, state, int(last), full_every)
     span = (F.unix_micros("last_access") - F.unix_micros("first_access")) / 1e6
     scores = F.transform("recent", lambda r: r["similarity_score"])
     mean = F.try_divide(F.aggregate(scores, F.lit(0.0), lambda a, x: a + x), F.size(scores).cast("double"))
