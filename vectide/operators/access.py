@@ -161,8 +161,9 @@ def pattern_similarity(latest: DataFrame, reference_keys: list[int], limit: int
         return latest.select(
             F.col("embedding_id").alias("reference_key"), "embedding_id", F.lit(0.0).alias("similarity"),
             F.lit(0).alias("rank")).filter(F.lit(False))
+    key_type = latest.schema["embedding_id"].dataType
     references = F.array(*[
-        F.struct(F.lit(r["embedding_id"]).alias("key"), F.lit(r["vector_size"]).alias("size"),
+        F.struct(F.lit(r["embedding_id"]).cast(key_type).alias("key"), F.lit(r["vector_size"]).alias("size"),
                  F.lit(r["access_frequency"]).alias("frequency"),
                  F.lit(r["cluster_id"]).cast("string").alias("cluster"))
         for r in rows

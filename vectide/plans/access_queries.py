@@ -67,7 +67,7 @@ def latest_pattern(spark, folder):
 
 
 @query("sample_per_shard", """
-SELECT shard, embedding_id, rank FROM (
+SELECT shard, embedding_id, rank::INTEGER AS rank FROM (
   SELECT CAST(similarity_cluster % 6 AS INTEGER) AS shard, embedding_id,
          row_number() OVER (PARTITION BY similarity_cluster % 6 ORDER BY embedding_id) AS rank FROM store) WHERE rank <= 100""")
 def sample_per_shard(spark, folder):
@@ -91,7 +91,7 @@ def training_window(spark, folder):
 
 @query("usage_patterns", """
 SELECT embedding_id, access_count, round(hours_since_access + 1e-9, 6) AS hours_since_access,
-       round(access_frequency + 1e-11, 8) AS access_frequency, round(vector_norm + 1e-9, 6) AS vector_norm, dimension, similarity_group,
+       round(access_frequency + 1e-11, 8) AS access_frequency, round(vector_norm + 1e-9, 6) AS vector_norm, dimension::INTEGER AS dimension, similarity_group,
        round(label + 1e-11, 8) AS label FROM usage""")
 def usage_patterns(spark, folder):
     rows = access.usage_patterns(views.access_log(spark, folder), views.store(spark, folder), views.as_of(), views.WINDOW_HOURS)
@@ -119,7 +119,7 @@ def predictor_summary(spark, folder):
 WITH latest AS (
   SELECT embedding_id, max(access_frequency) AS f, max(vector_size) AS size, max(cluster_id) AS c FROM patterns GROUP BY 1),
 refs AS (SELECT * FROM latest ORDER BY f DESC, embedding_id LIMIT 10)
-SELECT reference_key, embedding_id, round(similarity + 1e-9, 6) AS similarity, rank FROM (
+SELECT reference_key, embedding_id, round(similarity + 1e-9, 6) AS similarity, rank::INTEGER AS rank FROM (
   SELECT *, row_number() OVER (PARTITION BY reference_key ORDER BY similarity DESC, embedding_id) AS rank FROM (
     SELECT r.embedding_id AS reference_key, l.embedding_id,
            round(((1 - abs(l.size - r.size) / greatest(l.size, r.size)) + (1 - abs(l.f - r.f) / greatest(l.f, r.f))
@@ -137,7 +137,7 @@ def pattern_similarity(spark, folder):
 WITH pairs AS (
   SELECT before_key AS embedding_id, embedding_id AS next_key, count(*) AS follows FROM user_steps
   WHERE gap_us <= 21600000000 GROUP BY 1, 2)
-SELECT embedding_id, next_key, follows, rank, round(follows / total + 1e-9, 6) AS share FROM (
+SELECT embedding_id, next_key, follows, rank::INTEGER AS rank, round(follows / total + 1e-9, 6) AS share FROM (
   SELECT *, row_number() OVER (PARTITION BY embedding_id ORDER BY follows DESC, next_key) AS rank,
          sum(follows) OVER (PARTITION BY embedding_id) AS total FROM pairs) WHERE rank <= 3""")
 def next_key_ngram(spark, folder):

@@ -12,7 +12,7 @@ THRESHOLD = 0.2  # the test vectors are random, so the defaults of 0.7 and more
 
 
 TOPK_SQL = """
-SELECT query_id, embedding_id, round(similarity, 9) AS similarity, rank FROM (
+SELECT query_id, embedding_id, round(similarity, 9) AS similarity, rank::INTEGER AS rank FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(similarity, 9) DESC, embedding_id) AS rank
   FROM all_pairs WHERE similarity >= {threshold} {where}) WHERE rank <= {limit}"""
 
@@ -24,7 +24,7 @@ def similar_topk(spark, folder):
 
 
 @query("knn_then_threshold", """
-SELECT query_id, embedding_id, round(similarity, 9) AS similarity, rank FROM (
+SELECT query_id, embedding_id, round(similarity, 9) AS similarity, rank::INTEGER AS rank FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(similarity, 9) DESC, embedding_id) AS rank
   FROM all_pairs) WHERE rank <= 50 AND similarity >= 0.25""")
 def knn_then_threshold(spark, folder):
@@ -34,7 +34,7 @@ def knn_then_threshold(spark, folder):
 
 
 @query("route_projection", """
-SELECT query_id, rank, embedding_id, round(similarity, 9) AS similarity_score,
+SELECT query_id, rank::INTEGER AS rank, embedding_id, round(similarity, 9) AS similarity_score,
        'embedding:' || embedding_id AS cache_key FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(similarity, 9) DESC, embedding_id) AS rank
   FROM all_pairs WHERE similarity >= 0.2) WHERE rank <= 50""")
@@ -45,7 +45,7 @@ def route_projection(spark, folder):
 
 
 @query("find_similar_fetch", """
-SELECT query_id, embedding_id, round(similarity, 9) AS similarity, rank, l.model_name,
+SELECT query_id, embedding_id, round(similarity, 9) AS similarity, rank::INTEGER AS rank, l.model_name,
        epoch_us(l.created_at) AS created_us, round(sqrt(list_dot_product(l.v, l.v)), 6) AS norm FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(similarity, 9) DESC, embedding_id) AS rank
   FROM all_pairs WHERE similarity >= 0.2) JOIN live_store l USING (embedding_id) WHERE rank <= 20""")
@@ -60,7 +60,7 @@ def find_similar_fetch(spark, folder):
 
 
 @query("filtered_search", """
-SELECT query_id, embedding_id, round(similarity, 9) AS similarity, rank FROM (
+SELECT query_id, embedding_id, round(similarity, 9) AS similarity, rank::INTEGER AS rank FROM (
   SELECT p.*, row_number() OVER (PARTITION BY query_id ORDER BY round(similarity, 9) DESC, embedding_id) AS rank
   FROM all_pairs p JOIN store USING (embedding_id)
   WHERE similarity >= 0.2 AND model_name = 'model_1' AND similarity_cluster = 3) WHERE rank <= 10""")
@@ -122,7 +122,7 @@ found AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(similarity, 9) DESC, embedding_id) AS rank
   FROM all_pairs p JOIN signatures a ON a.vec_id = p.query_id JOIN signatures b ON b.vec_id = p.embedding_id
   WHERE similarity >= 0.2 AND bit_count(xor(a.signature, b.signature)) <= 2)
-SELECT query_id, embedding_id, round(similarity, 9) AS similarity, rank, {EXACT_MARK} FROM found f WHERE rank <= 10""")
+SELECT query_id, embedding_id, round(similarity, 9) AS similarity, rank::INTEGER AS rank, {EXACT_MARK} FROM found f WHERE rank <= 10""")
 def approx_similar_join(spark, folder):
     store, asked = views.store(spark, folder), views.query_vectors(spark, folder)
     found = similarity.approx_similar_join(store, asked, THRESHOLD, 10)
@@ -138,7 +138,7 @@ found AS (
   SELECT p.*, row_number() OVER (PARTITION BY p.query_id ORDER BY round(similarity, 9) DESC, p.embedding_id) AS rank
   FROM all_pairs p JOIN routed r USING (embedding_id)
   JOIN probed b ON b.query_id = p.query_id AND b.label = r.cluster AND b.nth <= 4 WHERE similarity >= 0.2)
-SELECT query_id, embedding_id, round(similarity, 9) AS similarity, rank, {EXACT_MARK} FROM found f WHERE rank <= 10""")
+SELECT query_id, embedding_id, round(similarity, 9) AS similarity, rank::INTEGER AS rank, {EXACT_MARK} FROM found f WHERE rank <= 10""")
 def cluster_pruned_search(spark, folder):
     store, asked = views.store(spark, folder), views.query_vectors(spark, folder)
     _, centres = clusters.centroid_matrix(
@@ -148,7 +148,7 @@ def cluster_pruned_search(spark, folder):
 
 
 @query("threshold_sweep", """
-SELECT t.threshold, count(*) FILTER (round(similarity, 9) >= t.threshold) AS pairs,
+SELECT t.threshold::DOUBLE AS threshold, count(*) FILTER (round(similarity, 9) >= t.threshold) AS pairs,
        count(*) FILTER (round(similarity, 9) >= t.threshold AND p.label = s.similarity_cluster) AS agreeing,
        round(coalesce(count(*) FILTER (round(similarity, 9) >= t.threshold AND p.label = s.similarity_cluster)
          / nullif(count(*) FILTER (round(similarity, 9) >= t.threshold), 0), 0), 6) AS agreement
@@ -170,7 +170,7 @@ def exact_lookup(spark, folder):
 
 
 @query("batch_lookup", """
-SELECT event_id AS pos, l.embedding_id, s.embedding_id IS NOT NULL AS found, s.model_name, len(s.v) AS dims
+SELECT event_id AS pos, l.embedding_id, s.embedding_id IS NOT NULL AS found, s.model_name, len(s.v)::INTEGER AS dims
 FROM access_log l LEFT JOIN live_store s USING (embedding_id)""")
 def batch_lookup(spark, folder):
     requests = views.access_log(spark, folder).select(F.col("event_id").alias("pos"), "embedding_id")

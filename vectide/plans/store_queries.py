@@ -14,7 +14,7 @@ from vectide.session import new_folder
 from vectide.sources import blobs, storefiles
 from vectide.sources.tables import load_store as only_dim
 
-LOADED = """SELECT write_id, embedding_id, len(v) AS dims FROM incoming WHERE len(v) = 64"""
+LOADED = """SELECT write_id, embedding_id, len(v)::INTEGER AS dims FROM incoming WHERE len(v) = 64"""
 
 
 @query("load_store", LOADED)
@@ -28,7 +28,7 @@ def _weighted(vector: str):
 
 
 @query("decode_vectors", """
-SELECT vec_id, len(v) AS dims, round(sqrt(list_dot_product(v, v)) + 1e-9, 6) AS norm,
+SELECT vec_id, len(v)::INTEGER AS dims, round(sqrt(list_dot_product(v, v)) + 1e-9, 6) AS norm,
        round(list_dot_product(v, range(1, 65)::DOUBLE[]) + 1e-9, 6) AS weighted FROM vectors""")
 def decode_vectors(spark, folder):
     encoded = blobs.encode_vectors(views.embeddings(spark, folder))
@@ -57,7 +57,7 @@ def upsert_store(spark, folder):
 
 
 @query("bulk_store", """
-SELECT doc_id, key, len(text) > 0 AS success, 0.85 AS similarity_threshold, 7200 AS ttl_seconds, 0 AS access_count
+SELECT doc_id, key, len(text) > 0 AS success, 0.85::DOUBLE AS similarity_threshold, 7200 AS ttl_seconds, 0 AS access_count
 FROM text_keys""")
 def bulk_store(spark, folder):
     entries = views.documents(spark, folder).withColumn("embedding", text_embedding("text"))
@@ -250,7 +250,7 @@ def vector_content_groups(spark, folder):
 @query("index_stats", """
 SELECT i.*, t.*, round(t.cache_hits / greatest(t.total_requests, 1) + 1e-9, 6) AS hit_ratio,
        CASE WHEN i.embedding_count > 0 THEN 'healthy' ELSE 'degraded' END AS status
-FROM (SELECT count(*) AS embedding_count, max(len(v)) AS embedding_dimensions,
+FROM (SELECT count(*) AS embedding_count, max(len(v))::INTEGER AS embedding_dimensions,
              sum(4 * len(v))::BIGINT AS index_size_bytes FROM store) i,
      (SELECT count(*) AS total_requests, count(*) FILTER (cache_hit) AS cache_hits FROM request_log) t""")
 def index_stats(spark, folder):
