@@ -24,10 +24,10 @@ def access_patterns(spark, folder):
 
 @query("running_avg_interval", """
 SELECT event_id, embedding_id, round(avg(CASE WHEN access_frequency > 1 THEN time_since_last_access END) OVER (
-  PARTITION BY embedding_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) + 1e-7, 4) AS average_interval FROM patterns""")
+  PARTITION BY embedding_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) + 1e-5, 2) AS average_interval FROM patterns""")
 def running_avg_interval(spark, folder):
     return access.running_avg_interval(views.access_log(spark, folder)).select(
-        "event_id", "embedding_id", nudged("average_interval", 4).alias("average_interval"))
+        "event_id", "embedding_id", nudged("average_interval", 2).alias("average_interval"))
 
 
 @query("rolling_score_100", """
