@@ -55,6 +55,19 @@ def test_upsert_over_batches(spark, log_files, tmp_path):
     assert sorted(map(str, got.collect())) == sorted(map(str, want.select(columns).collect()))
 
 
+def test_lookup_with_fallback_over_batches(spark, log_files, tmp_path):
+    from vectide.operators.lookup import lookup_with_fallback
+
+    base = str(tmp_path)
+    store = views.live_store(spark, FOLDER)
+    vectors = views.embeddings(spark, FOLDER).select(F.col("vec_id").alias("embedding_id"), "embedding")
+    requests = _stream(spark, log_files).select("event_id", "embedding_id")
+    jobs.stream_lookup(requests, store, f"{base}/o", f"{base}/c", vectors, 0.28).awaitTermination()
+    want = lookup_with_fallback(log_files[1].select("event_id", "embedding_id"), store, vectors, 0.28)
+    got = jobs.read_batches(spark, f"{base}/o").drop("batch").select(want.columns)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
 def test_hit_rate_closes_windows(spark, log_files, tmp_path):
     base = str(tmp_path)
     requests = _stream(spark, log_files).select("ts", F.col("success").alias("cache_hit"))

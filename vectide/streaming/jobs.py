@@ -19,7 +19,8 @@ from vectide.functions.numbers import ratio
 from vectide.operators.access import access_patterns
 from vectide.operators.clusters import route_to_cluster
 from vectide.operators.groups import top_per_group
-from vectide.operators.lookup import batch_lookup
+from vectide.operators.lookup import batch_lookup, lookup_with_fallback
+from vectide.operators.similarity import ROUTER_THRESHOLD
 from vectide.operators.store import latest_per_id, split_valid
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -63,12 +64,20 @@ def stream_hit_rate(requests: DataFrame, out: str, checkpoint: str, seconds: int
     return _start(writer, checkpoint, once)
 
 
-def stream_lookup(requests: DataFrame, store: DataFrame, out: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Each request with `found` and the model of the stored entry."""
+def stream_lookup(requests: DataFrame, store: DataFrame, out: str, checkpoint: str, vectors: DataFrame | None = None,
+                  threshold: float = ROUTER_THRESHOLD, once: bool = True) -> StreamingQuery:
+    """Each request with `found` and the model of the stored entry.
+
+    With `vectors`, the query vector per key, a miss falls back to the most similar stored entry, and the
+    answer has the columns of `lookup_with_fallback`.
+    """
     lean = store.select("embedding_id", "model_name")
 
     def write(batch: DataFrame, number: int) -> None:
-        answers = batch_lookup(batch, lean)
+        if vectors is None:
+            answers = batch_lookup(batch, lean)
+        else:
+            answers = lookup_with_fallback(batch, store, vectors, threshold)
         answers.write.mode("overwrite").parquet(_batch_folder(out, number))
 
     return _start(requests.writeStream.foreachBatch(write), checkpoint, once)
