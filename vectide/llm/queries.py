@@ -37,13 +37,13 @@ def op3(spark, folder):
 
 @query("op4_substrings", r"""
 WITH split AS (
-    SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS ws FROM documents),
+    SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
 places AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM split WHERE len(ws) >= 50),
 windows AS (SELECT doc_id, i, sha256(array_to_string(ws[i:i + 49], ' ')) AS t FROM places),
 marked AS (SELECT doc_id, i FROM (SELECT *, min(doc_id) OVER (PARTITION BY t) AS first FROM windows) WHERE first < doc_id),
 gone AS (SELECT doc_id, list(DISTINCT p) AS ps FROM (SELECT doc_id, unnest(range(i, i + 50)) AS p FROM marked) GROUP BY doc_id)
 SELECT split.doc_id, len(ws)::BIGINT AS n_words, coalesce(len(ps), 0)::BIGINT AS n_removed,
-       sha256(array_to_string(CASE WHEN ps IS NULL THEN ws ELSE list_filter(ws, (x, k) -> NOT list_contains(ps, k::BIGINT)) END, ' ')) AS kept_sha256
+       sha256(array_to_string(CASE WHEN ps IS NULL THEN ws ELSE list_filter(ws, lambda x, k: NOT list_contains(ps, k::BIGINT)) END, ' ')) AS kept_sha256
 FROM split LEFT JOIN gone ON split.doc_id = gone.doc_id""")
 def op4(spark, folder):
     return substrings.repeat_digests(table(spark, folder, "documents"))
@@ -62,10 +62,10 @@ def op6(spark, folder):
 @query("op7_decontamination", r"""
 WITH split AS (
     SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
-           'abcdefghijklmnopqrstuvwxyz'), '[\x{1}-\x{2F}\x{3A}-\x{60}\x{7B}-\x{7F}]+'), x -> x <> '') AS ws FROM documents),
+           'abcdefghijklmnopqrstuvwxyz'), '[\x{1}-\x{2F}\x{3A}-\x{60}\x{7B}-\x{7F}]+'), lambda x: x <> '') AS ws FROM documents),
 items AS (
     SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
-           'abcdefghijklmnopqrstuvwxyz'), '[\x{1}-\x{2F}\x{3A}-\x{60}\x{7B}-\x{7F}]+'), x -> x <> '') AS ws FROM benchmark),
+           'abcdefghijklmnopqrstuvwxyz'), '[\x{1}-\x{2F}\x{3A}-\x{60}\x{7B}-\x{7F}]+'), lambda x: x <> '') AS ws FROM benchmark),
 item_windows AS (
     SELECT DISTINCT item_id, n, array_to_string(ws[i:i + n - 1], ' ') AS t
     FROM (SELECT item_id, ws, least(10, len(ws)) AS n, unnest(range(1, len(ws) - least(10, len(ws)) + 2)) AS i FROM items WHERE len(ws) > 0)),
@@ -96,7 +96,7 @@ marked AS (
     WHERE d < doc_id OR (d = doc_id AND p + 3 <= i)),
 gone AS (SELECT doc_id, list(DISTINCT p) AS ps FROM (SELECT doc_id, unnest(range(i, i + 3)) AS p FROM marked) GROUP BY doc_id)
 SELECT split.doc_id, len(ls)::BIGINT AS n_lines, coalesce(len(ps), 0)::BIGINT AS n_removed,
-       sha256(array_to_string(CASE WHEN ps IS NULL THEN ls ELSE list_filter(ls, (x, k) -> NOT list_contains(ps, k::BIGINT)) END, chr(10))) AS kept_sha256
+       sha256(array_to_string(CASE WHEN ps IS NULL THEN ls ELSE list_filter(ls, lambda x, k: NOT list_contains(ps, k::BIGINT)) END, chr(10))) AS kept_sha256
 FROM split LEFT JOIN gone ON split.doc_id = gone.doc_id""")
 def op8(spark, folder):
     lines = linededup.dedup_lines(table(spark, folder, "documents").select("doc_id", "text"))
