@@ -26,24 +26,35 @@ from vectide.llm.shared import kept
 # Bytes of text for each hash range of words: a task holds the distinct words of one range, which cannot be more.
 RANGE_BYTES = 32 << 20
 CHUNK_BYTES = 32 << 20
-PACKET = "chunk long, range int, kind string, words long, doc_id long, payload binary"
+# Documents in a row of positions.
+ROW_DOCS = 1000
+PACKET = "chunk long, range int, kind string, words long, payload binary"
 
 
-def _pack(data: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=3).compress(data)
+def _pack(*parts: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=6).compress(b"".join(parts))
 
 
 def _unpack(data: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(data)
 
 
+def _planes(numbers: np.ndarray) -> bytes:
+    """Low bytes of all numbers first: the high ones are mostly zero and pack away."""
+    return np.ascontiguousarray(numbers, "<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _numbers(data: bytes, n: int, at: int = 0) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8, 4 * n, at).reshape(4, n).T).view("<u4").reshape(-1)
+
+
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [pa.array(column, field.type) for column, field in zip(zip(*rows), schema)], schema=schema)
 
 
 _PACKETS = pa.schema([("chunk", pa.int64()), ("range", pa.int32()), ("kind", pa.string()), ("words", pa.int64()),
-                      ("doc_id", pa.int64()), ("payload", pa.binary())])
+                      ("payload", pa.binary())])
 
 
 def _range(word: bytes, ranges: int) -> int:
@@ -63,21 +74,26 @@ def _code(limit: int, ranges: int):
 
     def run(batches):
         for chunk, rows in chunked(batches, ["doc_id", "text"], "text", limit):
-            places, out = _Places(), []
-            for doc_id, text in rows:
-                spots = np.array([places[w] for w in (text or b"").split()], np.uint32)
-                out.append((chunk, None, "text", len(spots), doc_id, _pack(spots.tobytes())))
-                if len(out) == 1000:
-                    yield _batch(out, _PACKETS)
-                    out = []
-            if out:
-                yield _batch(out, _PACKETS)
-            parts: list[list[bytes]] = [[] for _ in range(ranges)]
-            for word in sorted(places):
-                parts[_range(word, ranges)].append(word)
-            out = [(chunk, n, "words", len(part), None,
-                    _pack(np.fromiter((places[w] for w in part), np.uint32, len(part)).tobytes() + b" ".join(part)))
-                   for n, part in enumerate(parts) if part]
+            places = _Places()
+            spots = [np.array([places[w] for w in (text or b"").split()], np.uint32) for _, text in rows]
+            uses = np.bincount(np.concatenate(spots), minlength=len(places)) if places else np.empty(0, np.int64)
+            order = np.argsort(-uses, kind="stable")
+            rank = np.empty(len(order), np.uint32)
+            rank[order] = np.arange(len(order), dtype=np.uint32)
+            for at in range(0, len(rows), ROW_DOCS):
+                part, ids = spots[at:at + ROW_DOCS], [doc_id for doc_id, _ in rows[at:at + ROW_DOCS]]
+                counts = np.array(list(map(len, part)), np.uint32)
+                yield _batch([(chunk, None, "text", len(ids), _pack(
+                    np.array([i or 0 for i in ids], np.int64).tobytes(), np.array([i is None for i in ids], np.uint8).tobytes(),
+                    _planes(counts), _planes(rank[np.concatenate(part)])))], _PACKETS)
+            names = list(places)
+            parts: list[tuple[list, list]] = [([], []) for _ in range(ranges)]
+            for place, old in enumerate(order.tolist()):
+                part = parts[_range(names[old], ranges)]
+                part[0].append(place)
+                part[1].append(names[old])
+            out = [(chunk, n, "words", len(mine), _pack(_planes(np.diff(mine, prepend=0)), b" ".join(words)))
+                   for n, (mine, words) in enumerate(parts) if mine]
             if out:
                 yield _batch(out, _PACKETS)
 
@@ -106,8 +122,8 @@ def _encode(path: str):
                     known[word] = np.array(got.ids, np.uint32)
                 ids = [known[w] for w in words]
                 counts = np.fromiter(map(len, ids), np.uint32, n)
-                yield _batch([(chunk, None, "ids", n, None,
-                               _pack(data[:4 * n] + counts.tobytes() + np.concatenate(ids).tobytes()))], _PACKETS)
+                yield _batch([(chunk, None, "ids", n, _pack(
+                    data[:4 * n], _planes(counts), _planes(np.concatenate(ids))))], _PACKETS)
 
     return run
 
@@ -122,19 +138,25 @@ def _words(path: str, rows: list[dict]) -> tuple[list[np.ndarray], list[str]]:
     ids, decoded = [None] * total, [None] * total
     for row in rows:
         if row["kind"] == "ids":
-            n, data = row["words"], np.frombuffer(_unpack(row["payload"]), np.uint32)
-            ends, flat = np.cumsum(data[n:2 * n]).tolist(), data[2 * n:].tolist()
+            n, data = row["words"], _unpack(row["payload"])
+            ends, flat = np.cumsum(_numbers(data, n, 4 * n)).tolist(), _numbers(data, len(data) // 4 - 2 * n, 8 * n).tolist()
             names, start = [pieces[i] for i in flat], 0
-            for place, end in zip(data[:n].tolist(), ends):
+            for place, end in zip(np.cumsum(_numbers(data, n)).tolist(), ends):
                 ids[place], decoded[place] = flat[start:end], " ".join(names[start:end])
                 start = end
     return ids, decoded
 
 
 def _texts(rows: list[dict]):
+    """(doc_id, positions) of each document."""
     for row in rows:
         if row["kind"] == "text":
-            yield row["doc_id"], np.frombuffer(_unpack(row["payload"]), np.uint32).tolist()
+            n, data = row["words"], _unpack(row["payload"])
+            ids, none = np.frombuffer(data, np.int64, n).tolist(), np.frombuffer(data, np.uint8, n, 8 * n).tolist()
+            ends = np.cumsum(_numbers(data, n, 9 * n))
+            spots = _numbers(data, (len(data) - 13 * n) // 4, 13 * n)
+            for doc_id, missing, part in zip(ids, none, np.split(spots, ends[:-1])):
+                yield None if missing else doc_id, part.tolist()
 
 
 def _tokens(path: str):
