@@ -7,9 +7,11 @@ ordered, which lays out the subtree from left to right: common prefixes of neigh
 nodes. A node as deep as `length` words is a passage that occurs more than once; the leaves below it that
 belong to later documents mark the words to remove, and runs of marks are the maximal repeats.
 
-Most suffixes occur once and need not travel. A window of `length` words contains `length - GRAM + 1` runs
-of GRAM words; the one with the least hash is its anchor. Equal windows have equal anchors at the same
-place, so only windows whose anchor occurs in two documents are kept.
+Most suffixes need not travel. A window of `length` words contains `length - GRAM + 1` runs of GRAM words;
+the least hash of these is its anchor, and equal windows have equal anchors. Neighbouring windows with one
+anchor form a stretch. A stretch whose words also occur as a stretch of an earlier document is marked as a
+whole; of equal stretches the first document's stands for all, and its suffixes are dealt out only if its
+anchor has different stretches too, which happens where copies begin, end or differ.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, functions as F
@@ -32,8 +35,9 @@ GRAM = 10
 GROUP = 200_000
 
 _SCAN = pa.schema([("chunk", pa.int64()), ("row", pa.int32()), ("doc_id", pa.int64()), ("payload", pa.binary()),
-                   ("anchor", pa.int64()), ("low", pa.int64()), ("high", pa.int64())])
-SCAN = "chunk long, row int, doc_id long, payload binary, anchor long, low long, high long"
+                   ("anchor", pa.int64()), ("stretch", pa.int64()), ("low", pa.int64()), ("high", pa.int64())])
+SCAN = ("chunk long, row int, doc_id long, payload binary, anchor long, stretch long, low long, high long")
+_FACTOR = 0xD6E8FEB86659FD93
 
 
 def _pack(data: bytes) -> bytes:
@@ -59,7 +63,7 @@ def _runs(words: np.ndarray, n: int) -> np.ndarray:
     """Hash of the n words from each place; shorter by n - 1."""
     out = np.zeros(max(0, len(words) - n + 1), np.uint64)
     for i in range(n):
-        out = out * np.uint64(0xD6E8FEB86659FD93) + words[i:len(words) - n + 1 + i]
+        out = out * np.uint64(_FACTOR) + words[i:len(words) - n + 1 + i]
     return _mixed(out)
 
 
@@ -92,12 +96,31 @@ def _anchors(words: np.ndarray, starts: np.ndarray, length: int, gram: int) -> n
     return least[starts]
 
 
+def _stretches(words: np.ndarray, sizes: list[int], length: int, gram: int):
+    """Of each stretch: its row, the window starts [begin, end) in the row of all words, anchor and hash."""
+    starts = _places(sizes, length)
+    found = _anchors(words, starts, length, gram)
+    owner = np.repeat(np.arange(len(sizes)), sizes)[starts]
+    change = np.ones(len(found), bool)
+    change[1:] = (found[1:] != found[:-1]) | (owner[1:] != owner[:-1])
+    at = np.flatnonzero(change)
+    begin = starts[at]
+    end = starts[np.append(at[1:], len(starts)) - 1] + 1 if len(at) else begin
+    # sums of words by powers of the factor; the inverse powers take the place out again
+    powers = np.ones((2, len(words) + 1), np.uint64)
+    for line, factor in zip(powers, (_FACTOR, pow(_FACTOR, -1, 1 << 64))):
+        line[1:] = np.multiply.accumulate(np.full(len(words), factor, np.uint64))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * powers[0, :-1], dtype=np.uint64)])
+    stop = end + length - 1
+    stretch = _mixed((sums[stop] - sums[begin]) * powers[1, begin] + (stop - begin).astype(np.uint64))
+    return owner[at], begin, end, found[at], stretch
+
+
 def _scan(length: int, gram: int, limit: int):
-    """Each document's text, and each chunk's anchors with their smallest and largest document."""
+    """Each document's text, and each chunk's different stretches with their smallest and largest document."""
 
     def run(batches):
         for chunk, rows in chunked(batches, ["doc_id", "text"], "text", limit):
-            texts = [text or b"" for _, text in rows]
             for at in range(0, len(rows), 1000):
                 part = rows[at:at + 1000]
                 n = len(part)
@@ -105,27 +128,22 @@ def _scan(length: int, gram: int, limit: int):
                     pa.array([chunk] * n, pa.int64()), pa.array(range(at, at + n), pa.int32()),
                     pa.array([doc_id for doc_id, _ in part], pa.int64()),
                     pa.array([_pack(text or b"") for _, text in part], pa.binary()),
-                    *[pa.nulls(n, pa.int64())] * 3], schema=_SCAN)
-            sizes, words = _word_hashes(texts)
-            starts = _places(sizes, length)
-            found = _anchors(words, starts, length, gram)
-            owner = np.repeat(np.arange(len(rows)), sizes)[starts]
-            change = np.ones(len(found), bool)
-            change[1:] = (found[1:] != found[:-1]) | (owner[1:] != owner[:-1])
-            found, owner = found[change], owner[change]
+                    *[pa.nulls(n, pa.int64())] * 4], schema=_SCAN)
+            sizes, words = _word_hashes([text or b"" for _, text in rows])
+            owner, _, _, anchor, stretch = _stretches(words, sizes, length, gram)
             ids = [doc_id for doc_id, _ in rows]
-            has = np.array([i is not None for i in ids])[owner] if len(owner) else np.empty(0, bool)
-            owner, found = np.array([i or 0 for i in ids], np.int64)[owner][has], found[has]
-            order = np.lexsort((owner, found))
-            found, owner = found[order], owner[order]
-            first = np.ones(len(found), bool)
-            first[1:] = found[1:] != found[:-1]
+            has = np.array([i is not None for i in ids])[owner]
+            doc, anchor, stretch = np.array([i or 0 for i in ids], np.int64)[owner][has], anchor[has], stretch[has]
+            order = np.lexsort((doc, stretch, anchor))
+            doc, anchor, stretch = doc[order], anchor[order], stretch[order]
+            first = np.ones(len(doc), bool)
+            first[1:] = (anchor[1:] != anchor[:-1]) | (stretch[1:] != stretch[:-1])
             last = np.roll(first, -1)
             n = int(first.sum())
             yield pa.RecordBatch.from_arrays([
                 pa.array(np.full(n, chunk, np.int64)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()),
-                pa.nulls(n, pa.binary()), pa.array(found[first].view(np.int64)), pa.array(owner[first]),
-                pa.array(owner[last])], schema=_SCAN)
+                pa.nulls(n, pa.binary()), pa.array(anchor[first].view(np.int64)), pa.array(stretch[first].view(np.int64)),
+                pa.array(doc[first]), pa.array(doc[last])], schema=_SCAN)
 
     return run
 
@@ -135,54 +153,47 @@ _SUFFIX = pa.schema([("chunk", pa.int64()), ("place", pa.int64()), ("doc_id", pa
 SUFFIX = "chunk long, place long, doc_id long, payload binary, letters array<long>"
 
 
-def _suffixes(length: int, block: int, gram: int):
-    """The suffixes of a chunk that may be repeats, one for each different window; and where the chunk has them.
+def _spread(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges, in order."""
+    size = end - begin
+    return np.repeat(begin - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
 
-    Of equal windows in the chunk only that of the smallest document travels; the others are marked
-    already if their document is larger.
-    """
+
+def _suffixes(length: int, block: int, gram: int):
+    """The suffixes that a chunk must deal out, and a state row: marked stretches and those dealt out."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("row", "ascending")])
         is_text = table["row"].is_valid()
-        rows, shared = table.filter(is_text), table.filter(pa.compute.invert(is_text))
-        if not len(shared):
+        rows, known = table.filter(is_text), table.filter(pc.invert(is_text))
+        if not len(known):
             return _SUFFIX.empty_table()
-        shared = np.sort(shared["anchor"].to_numpy().view(np.uint64))
         ids = rows["doc_id"].to_pylist()
         sizes, words = _word_hashes([_unpack(p) for p in rows["payload"].to_pylist()])
-        starts = _places(sizes, length)
-        anchors = _anchors(words, starts, length, gram)
-        spot = np.minimum(np.searchsorted(shared, anchors), len(shared) - 1)
-        starts = starts[shared[spot] == anchors]
-        owner = np.repeat(np.arange(len(ids)), sizes)[starts]
-        has = np.array([i is not None for i in ids])[owner]
-        starts, owner = starts[has], owner[has]
-        if not len(starts):
-            return _SUFFIX.empty_table()
-        docs = np.array([i or 0 for i in ids], np.int64)[owner]
-        blocks = _runs(words, block)
-        letters = [blocks[starts + at] for at in range(0, length, block)]
-        order = np.lexsort((starts, docs, *letters[::-1]))
-        same = np.ones(len(order), bool)
-        same[0] = False
-        for letter in letters:
-            same[1:] &= letter[order][1:] == letter[order][:-1]
-        number = np.empty(len(order), np.int64)
-        number[order] = np.cumsum(~same) - 1
-        first = order[~same]
-        later = docs > docs[first][number]
-        begins = np.cumsum(sizes) - sizes
-        state = np.concatenate([owner, starts - begins[owner], number, later.astype(np.int64)]).astype(np.int32)
-        n = len(first)
-        flat = np.stack([letter[first].view(np.int64) for letter in letters], axis=1).reshape(-1)
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * len(letters), len(letters), dtype=np.int32)),
-                                         pa.array(flat))
+        owner, begin, end, anchor, stretch = _stretches(words, sizes, length, gram)
+        a, r = (known[c].to_numpy().view(np.uint64) for c in ("anchor", "stretch"))
+        key = _mixed(a) + r
+        order = np.argsort(key)
+        spot = order[np.minimum(np.searchsorted(key[order], _mixed(anchor) + stretch), len(key) - 1)]
+        has = (a[spot] == anchor) & (r[spot] == stretch) & np.array([i is not None for i in ids])[owner]
+        owner, begin, end, spot = owner[has], begin[has], end[has], spot[has]
+        docs, first = np.array([i or 0 for i in ids], np.int64)[owner], known["first"].to_numpy()[spot]
+        marked = first < docs
+        dealt = ~marked & known["open"].to_numpy(zero_copy_only=False)[spot]
+        shift = (np.cumsum(sizes) - sizes)[owner]
+        state = [np.stack([owner[s], (begin - shift)[s], (end - shift)[s]]) for s in (marked, dealt)]
         chunk = table["chunk"][0].as_py()
-        state_row = pa.table([[chunk], [None], [None], [_pack(state.tobytes())], [None]], schema=_SUFFIX)
+        head = np.array([state[0].shape[1], state[1].shape[1]], np.int64)
+        state_row = pa.table([[chunk], [None], [None], [_pack(b"".join(x.astype(np.int64).tobytes() for x in (head, *state)))],
+                              [None]], schema=_SUFFIX)
+        starts = _spread(begin[dealt], end[dealt])
+        n, letters = len(starts), length // block
+        blocks = _runs(words, block)
+        flat = np.stack([blocks[starts + at].view(np.int64) for at in range(0, length, block)], axis=1).reshape(-1)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * letters, letters, dtype=np.int32)), pa.array(flat))
         return pa.concat_tables([state_row, pa.table([
-            pa.array(np.full(n, chunk, np.int64)), pa.array(np.arange(n)), pa.array(docs[first]),
-            pa.nulls(n, pa.binary()), lists], schema=_SUFFIX)])
+            pa.array(np.full(n, chunk, np.int64)), pa.array(np.arange(n)),
+            pa.array(np.repeat(docs[dealt], (end - begin)[dealt])), pa.nulls(n, pa.binary()), lists], schema=_SUFFIX)])
 
     return run
 
@@ -232,22 +243,22 @@ def _marked(table: pa.Table, length: int):
     states = [p for p, r in zip(table["payload"].to_pylist(), table["row"].to_pylist()) if r is None and p is not None]
     hits = table.filter(table["place"].is_valid())["place"].to_numpy()
     docs = list(zip(rows["doc_id"].to_pylist(), [_unpack(p).split() for p in rows["payload"].to_pylist()]))
-    steps = [None] * len(docs)
+    marks = [[] for _ in docs]
     if states:
-        owner, place, number, later = np.frombuffer(_unpack(states[0]), np.int32).reshape(4, -1)
-        found = np.zeros(int(number.max()) + 1, bool)
-        found[hits] = True
-        keep = (later == 1) | found[number]
-        owner, place = owner[keep], place[keep]
-        order = np.lexsort((place, owner))
+        data = np.frombuffer(_unpack(states[0]), np.int64)
+        n, m = data[:2].tolist()
+        marked, dealt = data[2:2 + 3 * n].reshape(3, n), data[2 + 3 * n:].reshape(3, m)
+        owner = np.concatenate([np.repeat(marked[0], marked[2] - marked[1]),
+                                np.repeat(dealt[0], dealt[2] - dealt[1])[hits]])
+        place = np.concatenate([_spread(marked[1], marked[2]), _spread(dealt[1], dealt[2])[hits]])
+        order = np.argsort(owner, kind="stable")
         owner, place = owner[order], place[order]
-        cuts = np.flatnonzero(np.diff(owner)) + 1
-        for part in np.split(np.arange(len(owner)), cuts):
+        for part in np.split(np.arange(len(owner)), np.flatnonzero(np.diff(owner)) + 1):
             if len(part):
-                steps[owner[part[0]]] = place[part]
-    for (doc_id, words), starts in zip(docs, steps):
+                marks[owner[part[0]]] = place[part]
+    for (doc_id, words), starts in zip(docs, marks):
         mask = np.zeros(len(words) + 1, np.int64)
-        if starts is not None:
+        if len(starts):
             np.add.at(mask, starts, 1)
             np.add.at(mask, starts + length, -1)
         yield doc_id, words, np.cumsum(mask)[:-1] > 0
@@ -288,10 +299,15 @@ def _run(docs, id_col, text_col, length, group, chunk_bytes, finish, schema):
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     scanned = kept(rows.mapInArrow(_scan(length, GRAM, chunk_bytes), SCAN), "scanned")
     texts = scanned.filter(F.col("row").isNotNull()).select("chunk", "row", "doc_id", "payload")
-    anchors = scanned.filter(F.col("anchor").isNotNull()).select("chunk", "anchor", "low", "high")
-    twice = anchors.groupBy("anchor").agg(F.min("low").alias("a"), F.max("high").alias("b")).filter("a < b").select("anchor")
-    wanted = anchors.join(twice, "anchor").select("chunk", "anchor")
-    both = texts.withColumn("anchor", F.lit(None).cast("long")).unionByName(wanted, allowMissingColumns=True)
+    stretches = scanned.filter(F.col("anchor").isNotNull()).select("chunk", "anchor", "stretch", "low", "high")
+    classes = stretches.groupBy("anchor", "stretch").agg(F.min("low").alias("first"), F.max("high").alias("last"))
+    twice = classes.groupBy("anchor").agg(
+        F.count(F.lit(1)).alias("n"), F.min("first").alias("a"), F.max("last").alias("b")).filter("a < b").select(
+        "anchor", (F.col("n") > 1).alias("open"))
+    shared = kept(classes.join(twice, "anchor").filter(F.col("open") | (F.col("first") < F.col("last"))).select(
+        "anchor", "stretch", "first", "open"), "shared-stretches")
+    wanted = stretches.select("chunk", "anchor", "stretch").join(shared, ["anchor", "stretch"])
+    both = texts.unionByName(wanted, allowMissingColumns=True)
     found = kept(both.groupBy("chunk").applyInArrow(_suffixes(length, BLOCK, GRAM), SUFFIX), "suffixes")
     suffixes = found.filter(F.col("place").isNotNull()).select(
         "chunk", "place", "doc_id", *[F.col("letters")[n].alias(f"l{n}") for n in range(depth)])
