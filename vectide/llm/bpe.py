@@ -76,8 +76,11 @@ def _code(limit: int, ranges: int):
         for chunk, rows in chunked(batches, ["doc_id", "text"], "text", limit):
             places = _Places()
             spots = [np.array([places[w] for w in (text or b"").split()], np.uint32) for _, text in rows]
-            uses = np.bincount(np.concatenate(spots), minlength=len(places)) if places else np.empty(0, np.int64)
-            order = np.argsort(-uses, kind="stable")
+            uses = np.bincount(np.concatenate(spots), minlength=len(places)).tolist()
+            names = list(places)
+            hashed = [_range(word, ranges) for word in names]
+            # words of one use count and range in a row, by their letters: packets then pack well
+            order = np.array(sorted(range(len(names)), key=lambda i: (-uses[i], hashed[i], names[i])), np.int64)
             rank = np.empty(len(order), np.uint32)
             rank[order] = np.arange(len(order), dtype=np.uint32)
             for at in range(0, len(rows), ROW_DOCS):
@@ -86,10 +89,9 @@ def _code(limit: int, ranges: int):
                 yield _batch([(chunk, None, "text", len(ids), _pack(
                     np.array([i or 0 for i in ids], np.int64).tobytes(), np.array([i is None for i in ids], np.uint8).tobytes(),
                     _planes(counts), _planes(rank[np.concatenate(part)])))], _PACKETS)
-            names = list(places)
             parts: list[tuple[list, list]] = [([], []) for _ in range(ranges)]
             for place, old in enumerate(order.tolist()):
-                part = parts[_range(names[old], ranges)]
+                part = parts[hashed[old]]
                 part[0].append(place)
                 part[1].append(names[old])
             out = [(chunk, n, "words", len(mine), _pack(_planes(np.diff(mine, prepend=0)), b" ".join(words)))
