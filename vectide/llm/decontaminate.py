@@ -125,4 +125,4 @@ def keep_clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     bad = contamination(docs, items, id_col, text_col).filter("contaminated").select(
         F.col("doc_id").alias("__bad_id"), F.col("text_key").alias("__bad_key")).distinct()
     same = F.col(id_col).eqNullSafe(F.col("__bad_id")) & (text_key(text_col) == F.col("__bad_key"))
-    return docs.join(kept(bad, "contaminated"), same, "left_anti")
+    return docs.join(kept(bad, "contaminated").hint("shuffle_hash"), same, "left_anti")

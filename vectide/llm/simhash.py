@@ -180,7 +180,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
     go = judged.filter(~stay).select(F.col("doc_id").alias("__go_id"), F.col("text_key").alias("__go_key")).distinct()
     keyed = docs.withColumn("__key", text_key(text_col))
     same = F.col(id_col).cast("long").eqNullSafe(F.col("__go_id")) & (F.col("__key") == F.col("__go_key"))
-    left = keyed.join(go, same, "left_anti")
+    left = keyed.join(go.hint("shuffle_hash"), same, "left_anti")
     repeats = judged.filter(stay & (F.col("n") > 1)).select(
         F.col("doc_id").alias("__go_id"), F.col("text_key").alias("__go_key"))
     if not repeats.isEmpty():
