@@ -59,8 +59,8 @@ def fit(buckets: list[np.ndarray], grades: np.ndarray, epochs: int = 20, decay:
         signal: float = 4.0) -> Model:
     """Maximum likelihood by Adagrad on mini-batches; a tenth is held out and sets the cut.
 
-    A bucket keeps weight 0 if it is met in fewer than three texts or their mean grade is within `signal`
-    standard errors of the mean of all: rare words would only be learnt by heart. A grade that no row has
+    A bucket keeps weight 0 if it is met in fewer than three texts, or if its texts pass no threshold more
+    or less often than all do, within `signal` standard errors: rare words would only be learnt by heart. A grade that no row has
     gets a threshold all the same; without rows every tail is above the cut and all is selected.
     """
     top = 2
@@ -71,11 +71,14 @@ def fit(buckets: list[np.ndarray], grades: np.ndarray, epochs: int = 20, decay:
     share = np.array([(np.sum(grades[used] < j) + 1) / (len(used) + 2) for j in range(1, top + 1)])
     thresholds = np.log(share) - np.log1p(-share) + np.arange(top) * 1e-3
     every = np.concatenate([np.empty(0, np.int64), *(buckets[i] for i in used)])
-    mine = np.repeat(grades[used], [len(buckets[i]) for i in used])
-    seen, sums = np.bincount(every, minlength=BUCKETS), np.bincount(every, mine, BUCKETS)
-    mean, spread = (grades[used].mean(), grades[used].var()) if len(used) else (0.0, 0.0)
-    error = np.sqrt(np.maximum(seen * spread * (1 - seen / max(1, len(used))), 1e-9))
-    common = np.flatnonzero((seen >= 3) & (np.abs(sums - seen * mean) >= signal * error))
+    seen, telling = np.bincount(every, minlength=BUCKETS), np.zeros(BUCKETS, bool)
+    for j in range(1, top + 1):
+        above = (grades[used] >= j).astype(float)
+        sums = np.bincount(every, np.repeat(above, [len(buckets[i]) for i in used]), BUCKETS)
+        mean = above.mean() if len(used) else 0.0
+        error = np.sqrt(np.maximum(seen * mean * (1 - mean) * (1 - seen / max(1, len(used))), 1e-9))
+        telling |= np.abs(sums - seen * mean) >= signal * error
+    common = np.flatnonzero((seen >= 3) & telling)
     place = np.full(BUCKETS, -1)
     place[common] = np.arange(len(common))
     rows = [(lambda at: at[at >= 0])(place[b]) for b in buckets]
