@@ -53,6 +53,19 @@ def content_hash(vector: Column | str) -> Column:
     return F.concat(F.lit(CONTENT_PREFIX), _vector_digest(vector))
 
 
+def _class_end(pattern: str, start: int) -> int | None:
+    """Place of the bracket that closes the class opened at `start`; a backslash takes the next character in."""
+    i = start + 1 + (pattern[start + 1:start + 2] == "^")
+    first = i
+    while i < len(pattern):
+        if pattern[i] == "\\":
+            i += 1
+        elif pattern[i] == "]" and i > first:
+            return i
+        i += 1
+    return None
+
+
 def glob_to_regex(pattern: str) -> str:
     """Key glob (`*`, `?`, `[...]`, `[^...]`, backslash escape) as an anchored regular expression."""
     out, i = [], 0
@@ -63,12 +76,14 @@ def glob_to_regex(pattern: str) -> str:
             out.append(".*")
         elif c == "?":
             out.append(".")
-        elif c == "[" and "]" in pattern[i + 2:]:
-            close = pattern.index("]", i + 2)
-            inner = pattern[i + 1:close]
-            negated = inner.startswith("^")
-            body = inner[1:] if negated else inner
-            body = body.replace("\\", "\\\\").replace("[", "\\[").replace("^", "\\^").replace("&", "\\&")
+        elif c == "[" and (close := _class_end(pattern, i)):
+            negated = pattern[i + 1] == "^"
+            body, j = "", i + 1 + negated
+            while j < close:
+                escaped = pattern[j] == "\\" and j + 1 < close
+                j += escaped
+                body += "\\" + pattern[j] if pattern[j] in "\\[]^&" or escaped and pattern[j] == "-" else pattern[j]
+                j += 1
             out.append(f"[{'^' if negated else ''}{body}]")
             i = close
         elif c == "\\" and i + 1 < len(pattern):
@@ -77,4 +92,4 @@ def glob_to_regex(pattern: str) -> str:
         else:
             out.append("\\" + c if c in special else c)
         i += 1
-    return "(?s)^" + "".join(out) + "$"
+    return "(?s)^" + "".join(out) + r"\z"

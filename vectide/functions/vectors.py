@@ -45,9 +45,11 @@ def usable(v: Column | str, dim: int | None = None) -> Column:
 
 
 def dense(column: pa.Array) -> np.ndarray:
-    """A list<float> Arrow column of equal lengths as an (n, d) double matrix."""
+    """A list<float> Arrow column as an (n, d) double matrix; raises where lengths differ."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
+    if len(column) and (np.diff(column.offsets.to_numpy()) != len(column[0])).any():
+        raise ValueError("vectors of different lengths in one column")
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 

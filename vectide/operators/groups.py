@@ -92,8 +92,8 @@ def trailing_mean(df: DataFrame, by: str, position: str, value: str, n: int, out
     """Mean of `value` over the row and the n - 1 rows before it in its key.
 
     `position` numbers the rows of a key from 1 without holes, so a key is cut into blocks of exactly
-    `block_rows`; each block also gets copies of the n rows before it. Running sums make the cost per
-    row independent of n.
+    `block_rows`; each block also gets copies of the n rows before it. Each mean is taken over its own
+    rows, so a huge or infinite value is gone once it has left the frame; n is small beside a block.
     """
     if block_rows < n:
         raise ValueError("block_rows must be at least n")
@@ -106,18 +106,12 @@ def trailing_mean(df: DataFrame, by: str, position: str, value: str, n: int, out
             F.when(needed_next, F.array(F.col("_own"), F.col("_own") + 1))
             .otherwise(F.array(F.col("_own")))))
     )
-    order = Window.partitionBy(by, "_block").orderBy(position)
-    running = order.rowsBetween(Window.unboundedPreceding, 0)
-    clean = F.when(~F.isnan(value), F.col(value))
+    frame = Window.partitionBy(by, "_block").orderBy(position).rowsBetween(-(n - 1), 0)
+    clean = F.when(~F.isnan(value), F.col(value).cast("double"))
     return (
-        copies.withColumn("_sum", F.coalesce(F.sum(clean).over(running), F.lit(0.0)))
-        .withColumn("_count", F.count(clean).over(running))
-        .withColumn("_sum_before", F.lag("_sum", n, 0.0).over(order))
-        .withColumn("_count_before", F.lag("_count", n, 0).over(order))
+        copies.withColumn(out, F.avg(clean).over(frame))
         .filter(F.col("_block") == F.col("_own"))
-        .withColumn(out, F.try_divide(F.col("_sum") - F.col("_sum_before"),
-                                      (F.col("_count") - F.col("_count_before")).cast("double")))
-        .drop("_own", "_block", "_sum", "_count", "_sum_before", "_count_before")
+        .drop("_own", "_block")
     )
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from vectide.functions.keys import cache_key
 from vectide.operators.similarity import similar_topk
+from vectide.session import cut_lineage
 
 
 def _found(requests: DataFrame, store: DataFrame, key: str) -> DataFrame:
@@ -94,7 +95,8 @@ def get_or_compute(requests: DataFrame, cached: DataFrame, compute: Callable[[Da
     """
     keyed = requests.withColumn("key", cache_key("model_version", "text"))
     missing = warm_candidates(requests, cached).select("key", "text", "model_version")
-    computed = compute(missing).select("key", "model_version", "embedding")
+    # both outputs use it: the function must run once per key, and both must see the same vectors
+    computed = cut_lineage(compute(missing).select("key", "model_version", "embedding"))
     fresh = computed.select("key", "model_version", "embedding", as_of.alias("created_at"), F.lit(0).alias("access_count"))
     known = cached.select("key", "embedding", F.lit(True).alias("cached")).unionByName(
         computed.select("key", "embedding", F.lit(False).alias("cached")))

@@ -106,9 +106,9 @@ def predict_access_needs(spark, folder):
     return _needs_rows(needs(spark, folder))
 
 
-@query("ranked_predictions", NEEDS + " ORDER BY needs.priority_score DESC, embedding_id LIMIT 20")
+@query("ranked_predictions", NEEDS)
 def ranked_predictions(spark, folder):
-    return _needs_rows(predict.ranked_predictions(needs(spark, folder), 20))
+    return _needs_rows(predict.ranked_predictions(needs(spark, folder)))
 
 
 @query("model_evaluation")

@@ -45,7 +45,9 @@ def encode_vectors(table: DataFrame, vector: str = "embedding") -> DataFrame:
 
 
 def shape_length(shape: Column) -> Column:
-    return F.aggregate(shape, F.lit(1), lambda acc, n: acc * n)
+    # -1 where the product is too large for a long: such a shape fits no blob
+    return F.coalesce(F.aggregate(shape, F.lit(1).cast("long"), lambda acc, n: F.try_multiply(acc, n.cast("long"))),
+                      F.lit(-1).cast("long"))
 
 
 def decode_vectors(table: DataFrame, vector: str = "embedding") -> tuple[DataFrame, DataFrame]:
