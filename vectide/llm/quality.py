@@ -70,7 +70,7 @@ def fit(buckets: list[np.ndarray], grades: np.ndarray, epochs: int = 20, decay:
     held, used = order[:len(order) // 10], order[len(order) // 10:]
     share = np.array([(np.sum(grades[used] < j) + 1) / (len(used) + 2) for j in range(1, top + 1)])
     thresholds = np.log(share) - np.log1p(-share) + np.arange(top) * 1e-3
-    every = np.concatenate([np.empty(0, np.int64), *(buckets[i] for i in used)])
+    every = np.concatenate([np.empty(0, np.int32), *(buckets[i] for i in used)])
     seen, telling = np.bincount(every, minlength=BUCKETS), np.zeros(BUCKETS, bool)
     for j in range(1, top + 1):
         above = (grades[used] >= j).astype(float)
@@ -133,7 +133,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         F.broadcast(picked), F.col("__doc") == F.col("__id")).select("text", "grade", "__id")
     rows = texts.select("text", "grade").mapInArrow(_features, "buckets array<int>, grade int").toArrow()
     grades = rows["grade"].to_numpy()
-    buckets = [np.array(b, np.int64) for b in rows["buckets"].to_pylist()]
+    # views of one flat array: lists of numbers would take ten times the memory
+    lists = rows["buckets"].combine_chunks()
+    flat, ends = lists.flatten().to_numpy(), lists.offsets.to_numpy()
+    buckets = [flat[a - ends[0]:b - ends[0]] for a, b in zip(ends[:-1], ends[1:])] if len(grades) else []
     # tasks end in any order
     order = sorted(range(len(grades)), key=lambda i: (int(grades[i]), buckets[i].tobytes()))
     return fit([buckets[i] for i in order], grades[order])
