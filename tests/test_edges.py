@@ -59,3 +59,48 @@ def test_compute_runs_once_for_both_outputs(spark):
     answers, fresh = lookup.get_or_compute(requests, cached, compute, F.lit("2024-01-31").cast("timestamp"))
     assert answers.count() == 3 and fresh.count() == 2
     assert calls.value == 2
+
+
+def _timed(spark, rows, schema="event_id long, embedding_id long, at string"):
+    return spark.createDataFrame(rows, schema).withColumn("ts", F.col("at").cast("timestamp")).drop("at")
+
+
+@pytest.mark.parametrize("rows_per_key", [1_000_000, 1])
+def test_ttl_labels_without_key_or_time_and_with_repeated_ids(spark, rows_per_key):
+    from vectide.operators.ttl import ttl_hits
+
+    log = _timed(spark, [
+        (1, None, "2024-01-01 00:00:00"), (2, None, "2024-01-01 00:10:00"),
+        (1, 7, "2024-01-01 00:00:00"), (2, 7, "2024-01-01 02:00:00"), (3, 7, "2024-01-01 02:30:00"),
+        (4, 7, None), (1, 8, "2024-01-01 00:05:00"), (9, 9, None)])
+    got = ttl_hits(log, rows_per_key=rows_per_key, kept_per_span=2, max_spans=2)
+    assert got.columns == ["event_id", "embedding_id", "ts", "cache_hit"]
+    assert sorted(((r["embedding_id"] or 0, r["event_id"]), r["cache_hit"]) for r in got.collect()) == [
+        ((0, 1), False), ((0, 2), True), ((7, 1), False), ((7, 2), False), ((7, 3), True), ((7, 4), False),
+        ((8, 1), False), ((9, 9), False)]
+
+
+def test_previous_rows_without_key_or_time(spark):
+    log = _timed(spark, [
+        (1, None, "2024-01-01 00:00:00"), (2, None, "2024-01-01 05:00:00"), (3, 7, None), (4, 7, "2024-01-01 00:00:00")])
+    rows = groups.with_previous(log, "embedding_id", "ts", "event_id", ["event_id"], 600).collect()
+    assert sorted((r["event_id"], r["position"], r["previous"] and r["previous"]["event_id"]) for r in rows) == [
+        (1, 1, None), (2, 2, 1), (3, 1, None), (4, 2, 3)]
+
+
+def test_merged_shards_do_not_depend_on_their_order(spark):
+    from vectide.operators.store import merge_shards
+
+    a, b = (_timed(spark, [(n, 1, "2024-01-01 00:00:00")]).withColumnRenamed("ts", "created_at") for n in (1, 2))
+    assert merge_shards([a, b]).collect() == merge_shards([b, a]).collect()
+    for shards in ([a, b], [b, a]):
+        assert [r["event_id"] for r in merge_shards(shards, tie="event_id").collect()] == [2]
+
+
+def test_neighbour_lists_that_are_empty(spark):
+    from vectide.operators.similarity import precompute_neighbors
+
+    store = spark.createDataFrame(
+        [(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 1.0]), (4, None)], "embedding_id long, embedding array<float>")
+    got = {r[0]: r[1] for r in precompute_neighbors(store, with_empty=True).collect()}
+    assert got == {1: [2], 2: [1], 3: [], 4: []}

@@ -106,3 +106,44 @@ def test_refresh_runs_what_is_due(spark, tmp_path):
     assert jobs.periodic_refresh(spark, state, tasks, 1000.0) == {"a": True, "b": False}
     assert jobs.periodic_refresh(spark, state, tasks, 1300.0) == {"a": False, "b": False}
     assert jobs.periodic_refresh(spark, state, tasks, 1300.5) == {"a": True, "b": False}
+
+
+def test_late_write_is_stored(spark, tmp_path):
+    base = str(tmp_path)
+    for row in [(1, "2024-01-01 00:00:00", 60), (9, "2024-01-01 00:20:00", 60), (2, "2024-01-01 00:09:59", 60),
+                (3, "2024-01-01 03:00:00", None)]:
+        spark.createDataFrame([row], "embedding_id long, at string, ttl_seconds int").select(
+            "embedding_id", F.col("at").cast("timestamp").alias("created_at"), "ttl_seconds").coalesce(1).write.mode("append").parquet(f"{base}/in")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", jobs.ROCKSDB)
+    try:
+        stream = spark.readStream.schema("embedding_id long, created_at timestamp, ttl_seconds int").option(
+            "maxFilesPerTrigger", 1).parquet(f"{base}/in")
+        jobs.stream_ttl_store(stream, f"{base}/out", f"{base}/c", jobs.LATE_SECONDS).awaitTermination()
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    assert sorted(r["embedding_id"] for r in spark.read.parquet(f"{base}/out").collect()) == [1, 2, 9]
+
+
+def test_bad_vectors_are_not_routed(spark, tmp_path):
+    import numpy as np
+
+    base = str(tmp_path)
+    spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0]), (3, None), (4, [0.0, 2.0]), (5, [1.0, 2.0, 3.0])],
+                          "embedding_id long, embedding array<float>").coalesce(1).write.parquet(f"{base}/in")
+    stream = spark.readStream.schema("embedding_id long, embedding array<float>").parquet(f"{base}/in")
+    jobs.stream_route(stream, [10, 20], np.eye(2), f"{base}/out", f"{base}/c").awaitTermination()
+    assert sorted((r[0], r[1]) for r in spark.read.parquet(f"{base}/out").collect()) == [(1, 10), (4, 20)]
+
+
+def test_lookup_reads_the_store_for_each_batch(spark, tmp_path):
+    base, reads = str(tmp_path), []
+    for n in (1, 2):
+        spark.createDataFrame([(n, 5)], "event_id long, embedding_id long").coalesce(1).write.mode("append").parquet(f"{base}/in")
+
+    def store(session):
+        reads.append(1)
+        return session.createDataFrame([(5, "m")] if len(reads) > 1 else [], "embedding_id long, model_name string")
+
+    stream = spark.readStream.schema("event_id long, embedding_id long").option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    jobs.stream_lookup(stream, store, f"{base}/out", f"{base}/c").awaitTermination()
+    assert sorted(r["found"] for r in jobs.read_batches(spark, f"{base}/out").collect()) == [False, True]

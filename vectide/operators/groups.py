@@ -56,11 +56,14 @@ def with_previous(df: DataFrame, by: str, ts: str, tie: str, carry: list[str],
 
     Rows are ordered by (ts, tie). Windows run inside (key, time block); the last row and the row count
     of each block travel through a summary of one row per block, so a hot key is spread over its blocks.
-    Choose `block_seconds` so that one key's busiest block fits one task.
+    Choose `block_seconds` so that one key's busiest block fits one task. Rows without a key are one key,
+    rows without a ts come first in theirs.
     """
-    blocks = df.withColumn("_block", time_block(ts, block_seconds))
+    # a struct equals another also where both hold null, and a join on it stays co-located with the window
+    blocks = df.withColumn("_by", F.struct(F.col(by).alias("k"))).withColumn(
+        "_block", F.coalesce(time_block(ts, block_seconds), F.lit(-(1 << 62))))
     kept = F.struct(*[F.col(c) for c in carry])
-    inner = Window.partitionBy(by, "_block").orderBy(ts, tie)
+    inner = Window.partitionBy("_by", "_block").orderBy(ts, tie)
     local = blocks.select(
         "*",
         F.row_number().over(inner).alias("_local_position"),
@@ -68,23 +71,23 @@ def with_previous(df: DataFrame, by: str, ts: str, tie: str, carry: list[str],
     )
     # the last ts alone is a plain maximum, which a hash aggregate can hold
     last = F.struct(F.max(ts).alias(ts)) if carry == [ts] else F.max_by(kept, F.struct(ts, tie))
-    ends = blocks.groupBy(by, "_block").agg(
+    ends = blocks.groupBy("_by", "_block").agg(
         F.count(F.lit(1)).alias("_rows"), last.alias("_last"), F.min(ts).alias("_first"))
-    chain = Window.partitionBy(by).orderBy("_block")
+    chain = Window.partitionBy("_by").orderBy("_block")
     carried = ends.select(
-        by, "_block",
+        "_by", "_block",
         F.sum("_rows").over(chain.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
         F.lag("_last").over(chain).alias("_carried"),
         F.min("_first").over(chain.rowsBetween(Window.unboundedPreceding, 0)).alias("_first"),
     )
     out = (
-        local.join(carried, [by, "_block"])
+        local.join(carried, ["_by", "_block"])
         .withColumn(position, F.col("_local_position") + F.coalesce("_before", F.lit(0)))
         .withColumn(previous, F.coalesce("_local_previous", "_carried"))
     )
     if first:
         out = out.withColumn(first, F.col("_first"))
-    return out.drop("_block", "_local_position", "_local_previous", "_before", "_carried", "_first")
+    return out.drop("_by", "_block", "_local_position", "_local_previous", "_before", "_carried", "_first")
 
 
 def trailing_mean(df: DataFrame, by: str, position: str, value: str, n: int, out: str,

@@ -337,14 +337,22 @@ def global_topk(store: DataFrame, query: DataFrame, limit: int = ENGINE_LIMIT, t
 
 
 def precompute_neighbors(store: DataFrame, limit: int = NEIGHBOUR_LIMIT,
-                         threshold: float = NEIGHBOUR_THRESHOLD, **how) -> DataFrame:
-    """Per entry the ids of its up to `limit` nearest other entries, best first, as an array."""
+                         threshold: float = NEIGHBOUR_THRESHOLD, with_empty: bool = False, **how) -> DataFrame:
+    """Per entry the ids of its up to `limit` nearest other entries, best first, as an array.
+
+    An entry that no other is near to has no row or, `with_empty`, an empty array.
+    """
     asked = store.select(F.col("embedding_id").alias("query_id"), F.col("embedding").alias("query_vec"))
     best = _ranked(scored_pairs(store, asked, threshold, limit, skip_self=True, **how), limit)
     lists = best.groupBy("query_id").agg(
         F.sort_array(F.collect_list(F.struct("rank", "embedding_id"))).alias("_best"))
-    return lists.select(F.col("query_id").alias("embedding_id"),
-                        F.col("_best.embedding_id").alias("precomputed_neighbors"))
+    found = lists.select(F.col("query_id").alias("embedding_id"),
+                         F.col("_best.embedding_id").alias("precomputed_neighbors"))
+    if not with_empty:
+        return found
+    none = F.array().cast(dict(found.dtypes)["precomputed_neighbors"])
+    return store.select("embedding_id").join(found, "embedding_id", "left").withColumn(
+        "precomputed_neighbors", F.coalesce("precomputed_neighbors", none))
 
 
 def _pruned_search(store: DataFrame, queries: DataFrame, cells: Callable[[int], tuple[CellOf, CellOf]],

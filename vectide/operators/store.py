@@ -165,12 +165,17 @@ def touch_metadata(store: DataFrame, log: DataFrame, key: str = "embedding_id")
     )
 
 
-def merge_shards(shards: list[DataFrame], key: str = "embedding_id", newest: str = "created_at") -> DataFrame:
-    """Rows of several shards as one store; the newest row of an id wins."""
+def merge_shards(shards: list[DataFrame], key: str = "embedding_id", newest: str = "created_at",
+                 tie: str | None = None) -> DataFrame:
+    """Rows of several shards as one store; the newest row of an id wins, then the highest `tie`.
+
+    What is left equal is decided by a hash of the row, so the order of the shards does not matter.
+    """
     merged = shards[0]
     for shard in shards[1:]:
         merged = merged.unionByName(shard)
-    return latest_per_id(merged, key, newest)
+    ties = F.struct(*([F.col(tie)] if tie else []), F.xxhash64(*[F.col(c) for c in merged.columns]))
+    return latest_per_id(merged.withColumn("_tie", ties), key, newest, "_tie").drop("_tie")
 
 
 def key_diff(before: DataFrame, after: DataFrame, key: str = "embedding_id") -> DataFrame:

@@ -36,9 +36,12 @@ def _label_whole_keys(timed: DataFrame, key: str, tie: str, ttl: int) -> DataFra
 
     def label(table: pa.Table) -> pa.Table:
         table = _sorted(table, tie)
-        times = table.column("_t").to_numpy()
-        hit = np.ones(len(times), bool)
-        hit[_walk(times, ttl, int(times[0]) - 1)[0]] = False
+        # rows without a time come last
+        timed_rows = len(table) - table.column("_t").null_count
+        times = table.column("_t").slice(0, timed_rows).to_numpy()
+        hit = np.arange(len(table)) < timed_rows
+        if timed_rows:
+            hit[_walk(times, ttl, int(times[0]) - 1)[0]] = False
         return table.drop_columns(["_t"]).append_column("cache_hit", pa.array(hit))
 
     fields = [f"`{name}` {kind}" for name, kind in timed.dtypes if name != "_t"]
@@ -61,19 +64,26 @@ def _round_of(ttl: int, kept: int, max_spans: int, key: str, tie: str):
         if done:
             # all rows up to the horizon are settled; go on behind it if the key has more
             reach, done = max(reach, horizon), until <= max(reach, horizon)
-        found = table.select([key, tie]).take(pa.array(misses, pa.int64())).append_column(
+        found = table.select([key, tie, "_t"]).take(pa.array(misses, pa.int64())).append_column(
             "_front", pa.nulls(len(misses), pa.int64()))
         if done:
             return found
         rest = pa.table([table.column(key).slice(0, 1), pa.nulls(1, table.schema.field(tie).type),
-                         pa.array([reach], pa.int64())], names=found.schema.names)
+                         pa.nulls(1, pa.int64()), pa.array([reach], pa.int64())], names=found.schema.names)
         return pa.concat_tables([found, rest])
 
     return walk
 
 
+def _join(left: DataFrame, right: DataFrame, names: list[str], how: str = "inner") -> DataFrame:
+    """Join on equality that also matches null with null; keeps the left key columns."""
+    renamed = right.select([F.col(c).alias(f"_r_{c}" if c in names else c) for c in right.columns])
+    same = [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in names]
+    return left.join(renamed, same, how).drop(*[f"_r_{c}" for c in names])
+
+
 def _misses_in_rounds(timed: DataFrame, key: str, tie: str, ttl: int, kept: int, max_spans: int) -> DataFrame:
-    """(key, tie) of all misses, where some key has more rows than one group may hold.
+    """(key, tie, _t) of all misses of keys with more rows than one group may hold.
 
     Time after a key's front is cut into spans of one TTL; at most one miss falls into a span. A round
     walks the `kept` earliest rows of each of the next `max_spans` spans. A key whose walk needs a later
@@ -81,25 +91,25 @@ def _misses_in_rounds(timed: DataFrame, key: str, tie: str, ttl: int, kept: int,
     """
     lean = timed.select(key, tie, "_t")
     types = dict(lean.dtypes)
-    schema = f"`{key}` {types[key]}, `{tie}` {types[tie]}, `_front` bigint"
+    schema = f"`{key}` {types[key]}, `{tie}` {types[tie]}, `_t` bigint, `_front` bigint"
     ahead, misses = lean, None
     while True:
         # spans start right before the key's next access, however far off that is
         front = ahead.groupBy(key).agg((F.min("_t") - 1).alias("_front"), F.max("_t").alias("_until"))
         spans = (
-            lean.join(front, key).filter(F.col("_t") > F.col("_front"))
+            _join(lean, front, [key]).filter(F.col("_t") > F.col("_front"))
             .withColumn("_span", F.floor((F.col("_t") - F.col("_front") - 1) / F.lit(ttl)).cast("long"))
             .filter(F.col("_span") < max_spans)
         )
         earliest = top_per_group(spans, [key, "_span"], [F.col("_t"), F.col(tie)], kept).drop("rank")
         walk = _round_of(ttl, kept, max_spans, key, tie)
         found = cut_lineage(earliest.groupBy(key).applyInArrow(walk, schema))
-        part = found.filter(F.col(tie).isNotNull()).select(key, tie)
+        part = found.filter(F.col("_front").isNull()).select(key, tie, "_t")
         misses = part if misses is None else misses.unionByName(part)
         rest = found.filter(F.col("_front").isNotNull()).select(key, "_front")
         if rest.isEmpty():
             return misses
-        ahead = lean.join(rest, key).filter(F.col("_t") > F.col("_front")).select(lean.columns)
+        ahead = _join(lean, rest, [key]).filter(F.col("_t") > F.col("_front")).select(lean.columns)
 
 
 def ttl_hits(log: DataFrame, key: str = "embedding_id", ts: str = "ts", tie: str = "event_id",
@@ -107,20 +117,24 @@ def ttl_hits(log: DataFrame, key: str = "embedding_id", ts: str = "ts", tie: str
              max_spans: int = 1000) -> DataFrame:
     """Adds `cache_hit`: false for the access that loads the key, true until the load is older than the TTL.
 
-    An access at exactly the TTL still hits; `tie` is unique over the log. The walk from load to load is
-    sequential, so a key's rows meet in one group, as long as no key has more than `rows_per_key` (counted
-    first, combined before the shuffle). Otherwise the misses are found in rounds over the earliest rows
-    of each TTL-long span, `kept_per_span` x `max_spans` of a key at a time, and joined on `tie`, not on the
-    key; the labels are the same.
+    An access at exactly the TTL still hits; one without a time is a miss that loads nothing. Rows without
+    a key are one key; `tie` is unique among the rows of a key. The walk from load to load is sequential, so
+    a key's rows meet in one group, unless it has more than `rows_per_key` (counted first, combined before
+    the shuffle). The misses of those keys alone are found in rounds over the earliest rows of each TTL-long
+    span, `kept_per_span` x `max_spans` of a key at a time; the labels are the same.
     """
     ttl = ttl_seconds * 1_000_000
     timed = log.withColumn("_t", F.unix_micros(F.col(ts)))
-    counts = log.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
-    if counts.filter(F.col("_rows") > rows_per_key).isEmpty():
+    # at most one row per `rows_per_key` rows of the log
+    hot = cut_lineage(
+        log.groupBy(key).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > rows_per_key).select(key))
+    if hot.isEmpty():
         return _label_whole_keys(timed, key, tie, ttl)
-    misses = _misses_in_rounds(timed, key, tie, ttl, kept_per_span, max_spans)
-    return (
-        log.join(misses.select(tie, F.lit(True).alias("_miss")), tie, "left")
-        .withColumn("cache_hit", F.col("_miss").isNull())
-        .drop("_miss")
+    crowded = _join(timed, hot, [key], "left_semi")
+    misses = _misses_in_rounds(crowded, key, tie, ttl, kept_per_span, max_spans)
+    labelled = (
+        _join(crowded, misses.withColumn("_miss", F.lit(True)), [key, tie, "_t"], "left")
+        .withColumn("cache_hit", F.col("_miss").isNull() & F.col("_t").isNotNull())
+        .drop("_miss", "_t")
     )
+    return labelled.unionByName(_label_whole_keys(_join(timed, hot, [key], "left_anti"), key, tie, ttl))

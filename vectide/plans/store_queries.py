@@ -212,7 +212,8 @@ SELECT embedding_id, model_name, epoch_us(created_at) AS created_us FROM (
 def merge_shards(spark, folder):
     columns = ["embedding_id", "model_name", "created_at"]
     good, _ = store.split_valid(views.incoming(spark, folder), views.DIM)
-    merged = store.merge_shards([views.store(spark, folder).select(columns), good.select(columns)])
+    stored = views.store(spark, folder).select(*columns, F.lit(-1).cast("long").alias("write_id"))
+    merged = store.merge_shards([stored, good.select(*columns, "write_id")], tie="write_id")
     return merged.select("embedding_id", "model_name", F.unix_micros("created_at").alias("created_us"))
 
 

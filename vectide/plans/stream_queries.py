@@ -43,7 +43,7 @@ FROM access_log l LEFT JOIN live_store s USING (embedding_id)""")
 def stream_lookup(spark, folder):
     out, checkpoint = _folders(spark, "lookup")
     requests = _log_stream(spark, folder).select("event_id", "embedding_id")
-    jobs.stream_lookup(requests, views.live_store(spark, folder), out, checkpoint).awaitTermination()
+    jobs.stream_lookup(requests, lambda now: views.live_store(now, folder), out, checkpoint).awaitTermination()
     return jobs.read_batches(spark, out).select("event_id", "embedding_id", "found", "model_name")
 
 
@@ -96,7 +96,8 @@ def stream_ttl_store(spark, folder):
     before = spark.conf.get(name, None)
     spark.conf.set(name, jobs.ROCKSDB)
     try:
-        jobs.stream_ttl_store(writes, out, checkpoint).awaitTermination()
+        # as they expire up to the last write: nothing may come after it
+        jobs.stream_ttl_store(writes, out, checkpoint, late_seconds=0).awaitTermination()
     finally:
         spark.conf.unset(name) if before is None else spark.conf.set(name, before)
     return spark.read.schema("embedding_id long, created_us long, expired_ms long").parquet(out).select(

@@ -7,7 +7,7 @@ run again after a failure replaces its own output and nothing is counted twice.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark import StorageLevel
@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from vectide.functions.numbers import ratio
+from vectide.functions.vectors import usable
 from vectide.operators.access import access_patterns
 from vectide.operators.clusters import route_to_cluster
 from vectide.operators.groups import top_per_group
@@ -64,20 +65,22 @@ def stream_hit_rate(requests: DataFrame, out: str, checkpoint: str, seconds: int
     return _start(writer, checkpoint, once)
 
 
-def stream_lookup(requests: DataFrame, store: DataFrame, out: str, checkpoint: str, vectors: DataFrame | None = None,
-                  threshold: float = ROUTER_THRESHOLD, once: bool = True) -> StreamingQuery:
+def stream_lookup(requests: DataFrame, store: DataFrame | Callable[[SparkSession], DataFrame], out: str, checkpoint: str,
+                  vectors: DataFrame | None = None, threshold: float = ROUTER_THRESHOLD,
+                  once: bool = True) -> StreamingQuery:
     """Each request with `found` and the model of the stored entry.
 
-    With `vectors`, the query vector per key, a miss falls back to the most similar stored entry, and the
-    answer has the columns of `lookup_with_fallback`.
+    A function for `store` is called for each micro-batch, so that entries written since the start are
+    found; a DataFrame is read as it was when it was made. With `vectors`, the query vector per key, a miss
+    falls back to the most similar stored entry, and the answer has the columns of `lookup_with_fallback`.
     """
-    lean = store.select("embedding_id", "model_name")
 
     def write(batch: DataFrame, number: int) -> None:
+        current = store(batch.sparkSession) if callable(store) else store
         if vectors is None:
-            answers = batch_lookup(batch, lean)
+            answers = batch_lookup(batch, current.select("embedding_id", "model_name"))
         else:
-            answers = lookup_with_fallback(batch, store, vectors, threshold)
+            answers = lookup_with_fallback(batch, current, vectors, threshold)
         answers.write.mode("overwrite").parquet(_batch_folder(out, number))
 
     return _start(requests.writeStream.foreachBatch(write), checkpoint, once)
@@ -101,8 +104,12 @@ def current_store(store: DataFrame, deltas: DataFrame) -> DataFrame:
 
 def stream_route(vectors: DataFrame, labels: list[int], centroids: np.ndarray, out: str, checkpoint: str,
                  once: bool = True) -> StreamingQuery:
-    """Incoming vectors with the cluster of the nearest centroid; stateless."""
-    routed = route_to_cluster(vectors, labels, centroids).select("embedding_id", "cluster")
+    """Incoming vectors with the cluster of the nearest centroid; stateless.
+
+    Vectors of another length than the centroids', or with missing numbers, are not routed.
+    """
+    good = vectors.filter(usable("embedding", centroids.shape[1]))
+    routed = route_to_cluster(good, labels, centroids).select("embedding_id", "cluster")
     return _start(routed.writeStream.outputMode("append").format("parquet").option("path", out), checkpoint, once)
 
 
@@ -228,7 +235,9 @@ class ExpiringEntry(StatefulProcessor):
 def stream_ttl_store(writes: DataFrame, out: str, checkpoint: str, late_seconds: int = 0, once: bool = True) -> StreamingQuery:
     """Keys as they expire. `writes` has embedding_id, created_at and ttl_seconds; time is event time.
 
-    Needs the RocksDB state store provider. Of several writes of a key in one micro-batch the newest counts.
+    A write up to `late_seconds` behind the newest of the batches before is stored, an older one is lost;
+    expiries are written as much later. Where writes can come late, pass LATE_SECONDS. Needs the
+    RocksDB state store provider. Of several writes of a key in one micro-batch the newest counts.
     """
     lean = writes.withWatermark("created_at", f"{late_seconds} seconds").select(
         "embedding_id", "created_at", F.unix_micros("created_at").alias("created_us"), "ttl_seconds")
