@@ -113,10 +113,11 @@ def test_kmeans_needs_as_many_entries_as_clusters(data):
     assert np.allclose(centres, again)
 
 
-def test_sweep_in_slices(data):
+@pytest.mark.parametrize("how", [{}, {"max_queries": 100}, {"max_queries": 100, "n_pivots": 9, "block_rows": 50}])
+def test_sweep_in_both_forms(data, how):
     frame, _, scores = data
     queries = frame.select(F.col("embedding_id").alias("query_id"), F.col("embedding").alias("query_vec"), "label")
-    counts = {r["threshold"]: r["pairs"] for r in similarity.threshold_sweep(frame, queries, [0.3, 0.8], max_queries=100).collect()}
+    counts = {r["threshold"]: r["pairs"] for r in similarity.threshold_sweep(frame, queries, [0.3, 0.8], **how).collect()}
     off = np.round(scores, 9)[~np.eye(600, dtype=bool)]
     assert counts == {0.3: int((off >= 0.3).sum()), 0.8: int((off >= 0.8).sum())}
 
@@ -137,3 +138,58 @@ def test_both_forms_of_pruned_search_agree(data):
     forms = [similarity.approx_similar_join(frame, queries, 0.5, 9, bits=5, flips=1, **how)
              for how in ({}, {"max_queries": 0, "block_rows": 40})]
     assert sorted(forms[0].collect()) == sorted(forms[1].collect())
+
+
+def test_bound_of_the_kth_best_leaves_out_most_cells(spark, monkeypatch):
+    """On clustered data a query is scored against a small part of the store, also with a low threshold."""
+    rng = np.random.default_rng(5)
+    centres = rng.standard_normal((40, 16))
+    matrix = np.repeat(centres, 50, axis=0) + 0.05 * rng.standard_normal((2000, 16))
+    frame = spark.createDataFrame(
+        [(i, [float(x) for x in v]) for i, v in enumerate(matrix)], "embedding_id long, embedding array<float>").cache()
+    queries = frame.select(F.col("embedding_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    scored, real = [], similarity._score_cells
+
+    def counted(store, asked, sizes, *rest):
+        visits = asked.select(F.explode("cells").alias("cell")).groupBy("cell").count().collect()
+        scored.append(sum(r["count"] * sizes[r["cell"]] for r in visits))
+        return real(store, asked, sizes, *rest)
+
+    monkeypatch.setattr(similarity, "_score_cells", counted)
+    got = _lists(similarity.similar_topk(frame, queries, 5, 0.2, max_queries=0, n_pivots=80))
+    assert got == _lists(similarity.similar_topk(frame, queries, 5, 0.2))
+    assert len(scored) == 2 and sum(scored) < 0.25 * 2000 * 2000
+
+
+@pytest.mark.parametrize("how", [{}, {"max_queries": 0}])
+def test_empty_store_and_queries_of_several_lengths(spark, data, how):
+    frame, queries, _ = data
+    assert similarity.similar_topk(frame.limit(0), queries, 5, 0.0, **how).count() == 0
+    assert similarity.similar_topk(frame, queries.limit(0), 5, 0.0, dim=16, **how).count() == 0
+    store = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0, 0.0])], "embedding_id long, embedding array<float>")
+    mixed = spark.createDataFrame([(7, [0.0, 1.0, 0.0]), (8, [1.0, 0.0]), (9, None), (10, [1.0, None])],
+                                  "query_id long, query_vec array<float>")
+    for dim, pair in ((2, (8, 1)), (3, (7, 2))):
+        got = similarity.similar_topk(store, mixed, 5, 0.5, dim=dim, **how).collect()
+        assert [(r["query_id"], r["embedding_id"]) for r in got] == [pair]
+    assert sorted(r["query_id"] for r in similarity.set_aside(mixed, 2).collect()) == [7, 9, 10]
+
+
+@pytest.mark.parametrize("how", [{}, {"max_queries": 0, "n_pivots": 20, "block_rows": 64}])
+def test_requests_with_their_own_limit_and_threshold(spark, data, how):
+    frame, queries, scores = data
+    asked = queries.filter("query_id < 40").withColumn("top_k", (F.col("query_id") % 7).cast("int")).withColumn(
+        "threshold", F.when(F.col("query_id") % 3 != 0, F.col("query_id") / 50))
+    bad = spark.createDataFrame([(900, [1.0], 3, 0.5), (901, [], 3, 0.5), (902, None, 1001, 0.5)],
+                                "query_id long, query_vec array<float>, top_k int, threshold double")
+    answers, rejected = similarity.search_requests(frame, asked.unionByName(bad), 16, **how)
+    want = {q: _best(scores[q:q + 1], q % 7, 0.85 if q % 3 == 0 else q / 50)[0] for q in range(40) if q % 7}
+    assert _lists(answers) == want
+    assert {r["query_id"]: r["error"] for r in rejected.collect()} == {
+        **{q: "top_k must be positive" for q in range(0, 40, 7)}, 900: "wrong dimension", 901: "empty query", 902: "empty query"}
+
+
+def test_entries_and_queries_need_one_id_type(spark, data):
+    frame, queries, _ = data
+    with pytest.raises(ValueError):
+        similarity.scored_pairs(frame, queries.withColumn("query_id", F.col("query_id").cast("string")), 0.5, skip_self=True)

@@ -135,3 +135,33 @@ def test_needs(spark):
     got = predict.ranked_predictions(predict.predict_access_needs(wanted, stats, scores)).collect()
     assert [(r["embedding_id"], r["confidence"], r["should_precompute"]) for r in got] == [(1, 1.0, True), (2, 0.6, False), (3, 0.2, False)]
     assert got[0]["priority_score"] == pytest.approx(0.8 * np.log1p(20))
+
+
+def test_upsert_moves_only_written_keys(spark):
+    """Stored rows of other ids pass without an exchange, and an older write loses."""
+    made = "embedding_id long, embedding array<float>, created_at timestamp, access_count int"
+    rows = [(i, [1.0, float(i)], i) for i in range(200)]
+    stored = spark.createDataFrame(rows, "embedding_id long, embedding array<float>, at long").select(
+        "embedding_id", "embedding", F.timestamp_seconds("at").alias("created_at"), F.lit(7).alias("access_count"))
+    writes = spark.createDataFrame([(3, [9.0, 9.0], 500, 1), (3, [8.0, 8.0], 400, 2), (5, [9.0, 9.0], 1, 3), (900, [9.0, 9.0], 1, 4),
+                                    (6, [9.0], 900, 5), (None, [9.0, 9.0], 900, 6), (7, [9.0, 9.0], 7, 7)],
+                                   "embedding_id long, embedding array<float>, at long, write_id long").select(
+        "embedding_id", "embedding", F.timestamp_seconds("at").alias("created_at"), "write_id")
+    after = store.upsert_store(stored, writes, 2)
+    assert after.schema.simpleString() == spark.createDataFrame([], made).schema.simpleString()
+    got = {r["embedding_id"]: (r["embedding"], r["access_count"]) for r in after.collect()}
+    assert len(got) == 201 and got[3] == ([9.0, 9.0], 1) and got[5] == ([1.0, 5.0], 7) and got[900] == ([9.0, 9.0], 1)
+    assert got[6] == ([1.0, 6.0], 7) and got[7] == ([9.0, 9.0], 1)
+    plan = after._jdf.queryExecution().executedPlan().toString()
+    assert "LeftAnti" in plan and "SortMergeJoin" not in plan
+
+
+def test_bulk_store_keeps_one_row_per_key(spark):
+    cached = spark.createDataFrame([("old", 1, [0.0] * 2, 0)], "key string, doc_id long, embedding array<float>, access_count int").withColumn(
+        "created_at", F.timestamp_seconds(F.lit(0)))
+    entries = spark.createDataFrame([(1, "a", "m", [1.0, 1.0]), (2, "a", "m", [2.0, 2.0]), (3, "b", "m", [1.0])],
+                                    "doc_id long, text string, model_version string, embedding array<float>")
+    outcome = store.bulk_store(entries, 2, F.timestamp_seconds(F.lit(10)))
+    after, stored = store.store_bulk(cached, outcome, "doc_id")
+    assert sorted((r["doc_id"], r["embedding"]) for r in after.collect()) == [(1, [0.0, 0.0]), (2, [2.0, 2.0])]
+    assert stored.first()["stored"] == 2

@@ -29,16 +29,61 @@ def _rows(df):
     return sorted(tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in df.collect())
 
 
-@pytest.mark.parametrize("full_every", [1, 3, 20])
-def test_access_stats_over_batches(spark, log_files, tmp_path, full_every):
+@pytest.fixture
+def rocksdb(spark):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", jobs.ROCKSDB)
+    yield
+    spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+
+
+@pytest.mark.parametrize("parts", [1, 4])
+def test_access_stats_over_batches(spark, log_files, tmp_path, rocksdb, parts):
     base = str(tmp_path)
-    jobs.stream_access_stats(
-        _stream(spark, log_files), f"{base}/p", f"{base}/s", f"{base}/c", full_every=full_every).awaitTermination()
-    assert jobs.read_batches(spark, f"{base}/p").select("batch").distinct().count() == 5
-    got = jobs.access_stats_after(spark, f"{base}/s", full_every)
-    assert _rows(got) == _rows(access.key_access_stats(log_files[1]))
+    jobs.stream_access_stats(_stream(spark, log_files), f"{base}/o", f"{base}/c", parts=parts).awaitTermination()
+    assert _rows(jobs.access_stats_after(spark, f"{base}/o")) == _rows(access.key_access_stats(log_files[1]))
+
+
+def _unordered_stream(spark, base):
+    """Three micro-batches of (key, minute, event) with accesses that come a batch late."""
+    schema = "embedding_id long, ts timestamp, event_id long, similarity_score double"
+    parts = [[(1, 30, 1), (1, 10, 2), (2, 20, 3)], [(1, 20, 4), (2, 5, 5), (1, 60, 6), (None, 40, 7)],
+             [(1, 50, 8), (None, 30, 9), (2, 300, 10)]]
+    log = None
+    for part in parts:
+        rows = spark.createDataFrame(part, "embedding_id long, minute long, event_id long").select(
+            "embedding_id", F.timestamp_seconds(1704067200 + F.col("minute") * 60).alias("ts"), "event_id",
+            F.when(F.col("event_id") % 3 != 0, F.col("event_id") / 10.0).alias("similarity_score"))
+        rows.coalesce(1).write.mode("append").parquet(f"{base}/in")
+        log = rows if log is None else log.unionByName(rows)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in"), log
+
+
+def test_unordered_accesses_give_the_stats_of_the_batch(spark, tmp_path, rocksdb):
+    base = str(tmp_path)
+    stream, log = _unordered_stream(spark, base)
+    jobs.stream_access_stats(stream, f"{base}/o", f"{base}/c", scores=2).awaitTermination()
+    got = jobs.access_stats_after(spark, f"{base}/o", 2).filter("embedding_id IS NOT NULL")
+    assert _rows(got) == _rows(access.key_access_stats(log.filter("embedding_id IS NOT NULL"), 2))
+    assert jobs.access_stats_after(spark, f"{base}/o", 2).filter("embedding_id IS NULL").first()["access_count"] == 2
+
+
+def test_late_accesses_are_numbered_in_their_place(spark, tmp_path, rocksdb):
+    base = str(tmp_path)
+    stream, log = _unordered_stream(spark, base)
+    jobs.stream_access_patterns(stream, f"{base}/o", f"{base}/c").awaitTermination()
     columns = ["event_id", "embedding_id", "access_frequency", "time_since_last_access"]
-    assert _rows(jobs.read_batches(spark, f"{base}/p").select(columns)) == _rows(access.access_patterns(log_files[1]).select(columns))
+    want = access.access_patterns(log).filter("event_id <> 10").select(columns)
+    got = spark.read.parquet(f"{base}/o").select(columns)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_patterns_over_batches_are_those_of_the_batch(spark, log_files, tmp_path, rocksdb):
+    base = str(tmp_path)
+    jobs.stream_access_patterns(_stream(spark, log_files), f"{base}/o", f"{base}/c").awaitTermination()
+    columns = ["event_id", "embedding_id", "access_frequency", "time_since_last_access"]
+    last = log_files[1].agg(F.max("ts")).first()[0]
+    want = access.access_patterns(log_files[1]).filter(F.col("ts") + F.expr("INTERVAL 1 HOUR") <= F.lit(last)).select(columns)
+    assert _rows(spark.read.parquet(f"{base}/o").select(columns)) == _rows(want)
 
 
 def test_upsert_over_batches(spark, log_files, tmp_path):
@@ -92,7 +137,7 @@ def test_entry_lives_on_when_written_again(spark, tmp_path):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", jobs.ROCKSDB)
     try:
         stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
-        jobs.stream_ttl_store(stream, f"{base}/out", f"{base}/c").awaitTermination()
+        jobs.stream_ttl_store(stream, f"{base}/out", f"{base}/c", late_seconds=0).awaitTermination()
     finally:
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
     got = sorted((r["embedding_id"], r["expired_ms"]) for r in spark.read.parquet(f"{base}/out").collect())
@@ -100,12 +145,15 @@ def test_entry_lives_on_when_written_again(spark, tmp_path):
     assert got == [(1, start + 110_001), (3, start + 65_001)]
 
 
-def test_refresh_runs_what_is_due(spark, tmp_path):
-    state = str(tmp_path)
-    tasks = {"a": (300, lambda: None), "b": (300, lambda: False)}
-    assert jobs.periodic_refresh(spark, state, tasks, 1000.0) == {"a": True, "b": False}
-    assert jobs.periodic_refresh(spark, state, tasks, 1300.0) == {"a": False, "b": False}
-    assert jobs.periodic_refresh(spark, state, tasks, 1300.5) == {"a": True, "b": False}
+def test_refresh_builds_what_is_stale(spark, tmp_path):
+    built = []
+
+    def build():
+        built.append(1)
+        return spark.range(len(built)).toDF("n")
+
+    path = f"{tmp_path}/table"
+    assert [jobs.refresh_if_stale(spark, path, now, 300, build).count() for now in (1000, 1300, 1301, 1400)] == [1, 1, 2, 2]
 
 
 def test_late_write_is_stored(spark, tmp_path):
@@ -118,7 +166,7 @@ def test_late_write_is_stored(spark, tmp_path):
     try:
         stream = spark.readStream.schema("embedding_id long, created_at timestamp, ttl_seconds int").option(
             "maxFilesPerTrigger", 1).parquet(f"{base}/in")
-        jobs.stream_ttl_store(stream, f"{base}/out", f"{base}/c", jobs.LATE_SECONDS).awaitTermination()
+        jobs.stream_ttl_store(stream, f"{base}/out", f"{base}/c").awaitTermination()
     finally:
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
     assert sorted(r["embedding_id"] for r in spark.read.parquet(f"{base}/out").collect()) == [1, 2, 9]

@@ -2,12 +2,17 @@
 
 Two physical forms give the same exact answer:
 
-* Small query side (measured, at most `max_queries` rows): its unit matrix is broadcast and each
+* Small query side (measured, bounded in rows and bytes): its unit matrix is broadcast and each
   Arrow batch of the store is scored by one matrix product. Vectors are never shuffled; only matches
   that can still be in a query's top k leave the batch.
-* Any query side: the store is cut into cells around pivots. The triangle inequality on angles says
-  which cells can hold a match for a query, so a query meets only those. Cells, and the queries that
-  visit them, are cut into blocks of bounded size, and one task scores one pair of blocks.
+* Any query side: the store is cut into cells around pivots, about the square root of its size. The
+  triangle inequality on angles says which cells can hold a match for a query, so a query meets only
+  those. With a limit, a query first meets the cells around it; the k-th best score found there is its
+  bound for all others. Cells, and the queries that visit them, are cut into blocks of bounded size, and
+  one task scores one pair of blocks.
+
+Vectors have one length, `dim`. Without it the commonest length of the queries is taken. Entries and
+queries of another length take no part; `set_aside` gives those queries.
 """
 
 from __future__ import annotations
@@ -22,14 +27,23 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from vectide.functions.vectors import dense, unit_rows, usable
 from vectide.operators.groups import top_per_group
+from vectide.operators.store import validate_requests
+from vectide.session import cut_lineage
 
 # Default thresholds and limits of the search operators.
 ENGINE_THRESHOLD, ENGINE_LIMIT = 0.7, 10
 ROUTER_THRESHOLD, ROUTER_CANDIDATES = 0.85, 50
 NEIGHBOUR_THRESHOLD, NEIGHBOUR_LIMIT = 0.8, 10
 
-# bound of a broadcast query side: 61 MB of float32 at 768 dimensions
+# bounds of a broadcast query side, in rows and in bytes of its double matrix
 MAX_QUERIES = 20_000
+BROADCAST_BYTES = 128 << 20
+# cells are about the square root of the store's rows, up to this; beyond it they are cut into more blocks
+MAX_PIVOTS = 1024
+# a query first meets the nearest cells that hold this many times its limit
+FIRST_SHARE = 4
+# added to a bound before cells are left out: above the rounding of scores and of arccos
+BOUND_SLACK = 1e-8
 BLOCK_ROWS = 16_384
 # maps a matrix of unit rows to one cell number, or one row of cell numbers, per row
 CellOf = Callable[[np.ndarray], np.ndarray]
@@ -46,9 +60,17 @@ def _unit(ids: pa.Array, vectors: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return (ids, matrix) if good.all() else (ids.filter(pa.array(good)), matrix[good])
 
 
-def _best(query_ids: pa.Array, ids: pa.Array, queries: np.ndarray, vectors: np.ndarray, threshold: float,
+def _asked(table: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Ids, unit rows and thresholds of the queries that have a direction."""
+    rows, unit = _unit(pa.array(np.arange(table.num_rows)), table.column("query_vec"))
+    kept = table.take(rows)
+    return kept.column("query_id").combine_chunks(), unit, kept.column("bar").to_numpy().astype(np.float64)
+
+
+def _best(query_ids: pa.Array, ids: pa.Array, queries: np.ndarray, vectors: np.ndarray, thresholds: np.ndarray,
           k: int | None, skip_self: bool, floor: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Positions (query, vector) and cosine of matches between unit rows, a strip of queries at a time.
+    """Positions (query, vector) and cosine of matches between unit rows, a strip of queries at a time;
+    each query has its threshold.
 
     A float32 product picks the candidates, with a margin above its rounding error; their cosine is then
     computed in double. With k, `floor` holds per query a score that k vectors seen so far reach, less
@@ -59,12 +81,13 @@ def _best(query_ids: pa.Array, ids: pa.Array, queries: np.ndarray, vectors: np.n
     n = len(vectors)
     for low in range(0, len(queries), QUERY_STRIP):
         strip, bar = queries[low:low + QUERY_STRIP], floor[low:low + QUERY_STRIP]
+        least = thresholds[low:low + QUERY_STRIP]
         scores = strip.astype(np.float32) @ light
-        if skip_self and query_ids.type == ids.type:
+        if skip_self:
             own = pc.index_in(query_ids.slice(low, len(strip)), value_set=ids)
             rows = np.flatnonzero(own.is_valid().to_numpy(zero_copy_only=False))
             scores[rows, own.drop_null().to_numpy()] = -np.inf
-        keep = scores >= np.maximum(bar, threshold - margin)[:, None]
+        keep = scores >= np.maximum(bar, least - margin)[:, None]
         if k is not None:
             crowded = np.flatnonzero(keep.sum(axis=1) > k)
             if len(crowded):
@@ -75,7 +98,7 @@ def _best(query_ids: pa.Array, ids: pa.Array, queries: np.ndarray, vectors: np.n
         for start in range(0, len(q_all), PAIR_STRIP):
             q, v = q_all[start:start + PAIR_STRIP], v_all[start:start + PAIR_STRIP]
             exact = np.einsum("ij,ij->i", strip[q], vectors[v])
-            good = exact >= threshold
+            good = exact >= least[q]
             yield q[good] + low, v[good], exact[good]
 
 
@@ -96,39 +119,59 @@ def _pairs_schema(queries: DataFrame, store: DataFrame) -> str:
     return f"query_id {query_type}, embedding_id {id_type}, similarity double"
 
 
-def _query_head(queries: DataFrame, max_queries: int) -> tuple[pa.Table, int, bool]:
-    """(usable queries up to the bound, vector length, whether these are all).
+def _common_length(queries: DataFrame) -> int:
+    """The commonest length of the query vectors, the shorter one on a tie; 0 without queries."""
+    lengths = queries.filter(usable("query_vec")).groupBy(F.size("query_vec").alias("n")).count()
+    first = lengths.orderBy(F.col("count").desc(), "n").first()
+    return first["n"] if first else 0
+
+
+def set_aside(queries: DataFrame, dim: int) -> DataFrame:
+    """The queries that a search with `dim` leaves out: no vector, another length or a null number."""
+    return queries.filter(~F.coalesce(usable("query_vec", dim), F.lit(False)))
+
+
+def _prepare(store: DataFrame, queries: DataFrame, threshold: float | None, dim: int | None, skip_self: bool,
+             extra: list[str]) -> tuple[DataFrame, DataFrame, int]:
+    """(usable store rows, usable queries with their threshold as `bar`, vector length)."""
+    if skip_self and dict(queries.dtypes)["query_id"] != dict(store.dtypes)["embedding_id"]:
+        raise ValueError("query_id and embedding_id must have one type where an entry is not to match itself")
+    dim = _common_length(queries) if dim is None else dim
+    bar = F.col("threshold") if threshold is None else F.lit(threshold)
+    return (store.filter(usable("embedding", dim)).select("embedding_id", "embedding", *extra),
+            queries.filter(usable("query_vec", dim)).select("query_id", "query_vec", bar.cast("double").alias("bar"), *extra),
+            dim)
 
-    One row more than the bound is asked for; the length is that of the first query.
-    """
-    head = queries.filter(usable("query_vec")).select("query_id", "query_vec").limit(max_queries + 1).toArrow()
-    lengths = pc.list_value_length(head.column("query_vec"))
-    dim = lengths[0].as_py() if head.num_rows else 0
-    return head.filter(pc.equal(lengths, dim)), dim, head.num_rows <= max_queries
 
+def _query_head(queries: DataFrame, dim: int, max_queries: int) -> tuple[pa.Table, bool]:
+    """(queries up to the bound, whether these are all); one row more than the bound is asked for."""
+    most = min(max_queries, BROADCAST_BYTES // (8 * max(dim, 1)))
+    head = queries.limit(most + 1).toArrow()
+    return head, head.num_rows <= most
 
-def _score_broadcast(store: DataFrame, query_table: pa.Table, schema: str, threshold: float, k: int | None,
+
+def _score_broadcast(store: DataFrame, query_table: pa.Table, schema: str, k: int | None,
                      skip_self: bool, cell_of: CellOf | None = None, cells_of: CellOf | None = None) -> DataFrame:
     """Scores each Arrow batch of the store against all queries or, with cell functions, each cell's rows
     in the batch against the queries that visit the cell."""
-    query_ids, queries = _unit(query_table.column("query_id").combine_chunks(), query_table.column("query_vec"))
+    query_ids, queries, bars = _asked(query_table)
     visitors: dict[int, np.ndarray] = {}
     if cells_of is not None and len(queries):
         visits = cells_of(queries)
         cells = np.repeat(np.arange(len(queries)), visits.shape[1])[np.argsort(visits, axis=None, kind="stable")]
         numbers, starts = np.unique(np.sort(visits, axis=None), return_index=True)
         visitors = dict(zip(numbers.tolist(), np.split(cells, starts[1:])))
-    shared = store.sparkSession.sparkContext.broadcast((query_ids, queries, visitors))
+    shared = store.sparkSession.sparkContext.broadcast((query_ids, queries, bars, visitors))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        query_ids, queries, visitors = shared.value
+        query_ids, queries, bars, visitors = shared.value
         floor = _no_floor(queries)
         for batch in batches:
             ids, vectors = _unit(batch.column(0), batch.column(1))
             if not len(ids) or not len(query_ids):
                 continue
             if cell_of is None:
-                found = _best(query_ids, ids, queries, vectors, threshold, k, skip_self, floor)
+                found = _best(query_ids, ids, queries, vectors, bars, k, skip_self, floor)
                 yield from _matches(query_ids, ids, found)
                 continue
             cells = cell_of(vectors)
@@ -137,7 +180,7 @@ def _score_broadcast(store: DataFrame, query_table: pa.Table, schema: str, thres
                 if asked is None:
                     continue
                 some_queries, some_ids, bar = query_ids.take(pa.array(asked)), ids.take(pa.array(rows)), floor[asked]
-                found = _best(some_queries, some_ids, queries[asked], vectors[rows], threshold, k, skip_self, bar)
+                found = _best(some_queries, some_ids, queries[asked], vectors[rows], bars[asked], k, skip_self, bar)
                 yield from _matches(some_queries, some_ids, found)
                 floor[asked] = bar
 
@@ -170,20 +213,60 @@ def nearest_cell(vector: Column | str, pivots: np.ndarray) -> Column:
     return nearest(vector)
 
 
-def cells_in_reach(vector: Column | str, pivots: np.ndarray, radii: np.ndarray, threshold: float) -> Column:
-    """Cells that can hold a vector with cosine >= threshold: angle to the pivot <= radius + arccos(threshold)."""
-    reach = radii + math.acos(max(-1.0, min(1.0, threshold))) + 1e-9
+def _angles(vectors: pa.Array, pivots: np.ndarray) -> np.ndarray:
+    with np.errstate(invalid="ignore"):
+        return np.arccos(np.clip(unit_rows(dense(vectors)) @ pivots.T, -1.0, 1.0))
+
+
+def _around(angles: np.ndarray, sizes: np.ndarray, rows: int) -> np.ndarray:
+    """Marks per query its nearest cells, as many as are needed to hold `rows` entries."""
+    order = np.argsort(angles, axis=1, kind="stable")
+    before = np.cumsum(sizes[order], axis=1) - sizes[order]
+    marks = np.zeros(angles.shape, bool)
+    np.put_along_axis(marks, order, before < rows, axis=1)
+    return marks & (sizes > 0)
+
+
+def _lists(marks: np.ndarray) -> pa.Array:
+    """The marked columns of each row as a list."""
+    offsets = np.concatenate([[0], np.cumsum(marks.sum(axis=1))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.nonzero(marks)[1].astype(np.int32)))
+
+
+def cells_around(vector: Column | str, pivots: np.ndarray, sizes: np.ndarray, rows: int) -> Column:
+    """The cells nearest to a vector that together hold `rows` entries."""
 
     @F.arrow_udf("array<int>")
     def cells(vectors: pa.Array) -> pa.Array:
-        with np.errstate(invalid="ignore"):
-            angles = np.arccos(np.clip(unit_rows(dense(vectors)) @ pivots.T, -1.0, 1.0))
-            near = angles <= reach
-        return pa.array([np.flatnonzero(row).astype(np.int32) for row in near], pa.list_(pa.int32()))
+        if not len(vectors):
+            return pa.array([], pa.list_(pa.int32()))
+        return _lists(_around(_angles(vectors, pivots), sizes, rows))
 
     return cells(vector)
 
 
+def cells_in_reach(vector: Column | str, bar: Column | str, pivots: np.ndarray, radii: np.ndarray,
+                   sizes: np.ndarray, seen_rows: int = 0) -> Column:
+    """Cells that can hold a vector with cosine >= bar: angle to the pivot <= radius + arccos(bar).
+
+    With `seen_rows` the cells that `cells_around` gives for it are left out.
+    """
+
+    @F.arrow_udf("array<int>")
+    def cells(vectors: pa.Array, bars: pa.Array) -> pa.Array:
+        if not len(vectors):
+            return pa.array([], pa.list_(pa.int32()))
+        angles = _angles(vectors, pivots)
+        least = np.arccos(np.clip(bars.to_numpy(zero_copy_only=False) - BOUND_SLACK, -1.0, 1.0))
+        with np.errstate(invalid="ignore"):
+            near = angles <= radii[None, :] + least[:, None] + 1e-7
+        if seen_rows:
+            near &= ~_around(angles, sizes, seen_rows)
+        return _lists(near & (sizes > 0))
+
+    return cells(vector, bar)
+
+
 def _cell_column(cell_of: CellOf, vector: str) -> Column:
     """Cell per vector; `cell_of` maps a unit matrix to cell numbers."""
 
@@ -204,15 +287,30 @@ def _cells_column(cells_of: CellOf, vector: str) -> Column:
     return cells(vector)
 
 
+def _match_blocks(k: int | None, skip_self: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Scores one block of the store against one block of queries."""
+
+    def score(stored: pa.Table, asked: pa.Table) -> pa.Table:
+        ids, vectors = _unit(stored.column("embedding_id").combine_chunks(), stored.column("embedding"))
+        query_ids, unit, bars = _asked(asked)
+        out = pa.schema([("query_id", query_ids.type), ("embedding_id", ids.type), ("similarity", pa.float64())])
+        if not len(ids) or not len(query_ids):
+            return out.empty_table()
+        found = _best(query_ids, ids, unit, vectors, bars, k, skip_self, _no_floor(unit))
+        return pa.Table.from_batches(_matches(query_ids, ids, found), out)
+
+    return score
+
+
 def _score_cells(store: DataFrame, queries: DataFrame, sizes: dict[int, int], schema: str,
-                 threshold: float, k: int | None, skip_self: bool, block_rows: int) -> DataFrame:
+                 score: Callable[[pa.Table, pa.Table], pa.Table], block_rows: int, extra: tuple[str, ...] = ()) -> DataFrame:
     """Scores store rows (with `cell`) against queries (with `cells`), one pair of blocks per group.
 
     `sizes` is the row count per cell. A cell is cut into blocks of about `block_rows` store rows, its
     visitors into blocks of about as many queries, so no group grows with the data. Cells without
     visitors are dropped before the shuffle; a cell is copied once per block of its visitors.
     """
-    visits = queries.select("query_id", "query_vec", F.explode("cells").alias("cell"))
+    visits = queries.select("query_id", "query_vec", "bar", *extra, F.explode("cells").alias("cell"))
     visitors = {row["cell"]: row["count"] for row in visits.groupBy("cell").count().collect()}
     most = max([*sizes, *visitors], default=0)
 
@@ -228,57 +326,61 @@ def _score_cells(store: DataFrame, queries: DataFrame, sizes: dict[int, int], sc
 
     parts, strips = blocks_of(sizes), blocks_of(visitors)
     left = store.filter(strips > 0).select(
-        "embedding_id", "embedding", "cell", one_of("embedding_id", parts).alias("part"), each_of(strips).alias("strip"))
+        "embedding_id", "embedding", *extra, "cell", one_of("embedding_id", parts).alias("part"), each_of(strips).alias("strip"))
     right = visits.filter(parts > 0).select(
-        "query_id", "query_vec", "cell", each_of(parts).alias("part"), one_of("query_id", strips).alias("strip"))
+        "query_id", "query_vec", "bar", *extra, "cell", each_of(parts).alias("part"), one_of("query_id", strips).alias("strip"))
     block = ["cell", "part", "strip"]
-
-    def score(stored: pa.Table, asked: pa.Table) -> pa.Table:
-        ids, vectors = _unit(stored.column("embedding_id").combine_chunks(), stored.column("embedding"))
-        query_ids, unit = _unit(asked.column("query_id").combine_chunks(), asked.column("query_vec"))
-        out = pa.schema([("query_id", query_ids.type), ("embedding_id", ids.type), ("similarity", pa.float64())])
-        if not len(ids) or not len(query_ids):
-            return out.empty_table()
-        found = _best(query_ids, ids, unit, vectors, threshold, k, skip_self, _no_floor(unit))
-        return pa.Table.from_batches(_matches(query_ids, ids, found), out)
-
     return left.groupBy(*block).cogroup(right.groupBy(*block)).applyInArrow(score, schema)
 
 
-def _only_usable(store: DataFrame, queries: DataFrame, dim: int) -> tuple[DataFrame, DataFrame]:
-    return (store.filter(usable("embedding", dim)).select("embedding_id", "embedding"),
-            queries.filter(usable("query_vec", dim)).select("query_id", "query_vec"))
+def _cells(store: DataFrame, n_pivots: int | None) -> tuple[DataFrame, np.ndarray, np.ndarray, np.ndarray]:
+    """(store with `cell`, pivots, radius and row count per cell); no pivots where nothing can match."""
+    if n_pivots is None:
+        n_pivots = max(1, min(MAX_PIVOTS, math.isqrt(store.count())))
+    pivots = pick_pivots(store, n_pivots)
+    if not len(pivots):
+        return store, pivots, np.empty(0), np.empty(0, np.int64)
+    # read by the counts and by each round
+    celled = cut_lineage(store.withColumn("_near", nearest_cell("embedding", pivots)).select(
+        *store.columns, F.col("_near.cell").alias("cell"), F.col("_near.angle").alias("angle")))
+    radii, sizes = np.full(len(pivots), -np.inf), np.zeros(len(pivots), np.int64)
+    for row in celled.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("angle").alias("radius")).collect():
+        sizes[row["cell"]] = row["n"]
+        if row["radius"] is not None:
+            radii[row["cell"]] = row["radius"]
+    return celled, pivots, radii, sizes
 
 
-def scored_pairs(store: DataFrame, queries: DataFrame, threshold: float, k: int | None = None,
-                 skip_self: bool = False, max_queries: int = MAX_QUERIES,
-                 n_pivots: int = 256, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def scored_pairs(store: DataFrame, queries: DataFrame, threshold: float | None, k: int | None = None,
+                 skip_self: bool = False, dim: int | None = None, max_queries: int = MAX_QUERIES,
+                 n_pivots: int | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(query_id, embedding_id, similarity) with similarity >= threshold.
 
-    With k, each query's k best (ties included) are among the rows; rank them to cut to k. Vectors of
-    another length than the first query's take no part.
+    Without a threshold each query has its own in the column `threshold`. With k, each query's k best
+    (ties included) are among the rows; rank them to cut to k. An empty side gives no rows.
     """
     schema = _pairs_schema(queries, store)
-    head, dim, fits = _query_head(queries, max_queries)
-    store, queries = _only_usable(store, queries, dim)
+    store, queries, dim = _prepare(store, queries, threshold, dim, skip_self, [])
+    head, fits = _query_head(queries, dim, max_queries)
     if fits:
-        return _score_broadcast(store, head, schema, threshold, k, skip_self)
-    pivots = pick_pivots(store, n_pivots)
-    celled = store.withColumn("_near", nearest_cell("embedding", pivots)).select(
-        "embedding_id", "embedding", F.col("_near.cell").alias("cell"), F.col("_near.angle").alias("angle"))
-    stats = celled.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("angle").alias("radius")).collect()
-    radii = np.full(len(pivots), -np.inf)
-    for row in stats:
-        if row["radius"] is not None:
-            radii[row["cell"]] = row["radius"]
-    visiting = queries.withColumn("cells", cells_in_reach("query_vec", pivots, radii, threshold))
-    sizes = {row["cell"]: row["n"] for row in stats}
-    return _score_cells(celled, visiting, sizes, schema, threshold, k, skip_self, block_rows)
-
-
-def _length(queries: DataFrame) -> int:
-    first = queries.filter(usable("query_vec")).select(F.size("query_vec")).first()
-    return first[0] if first else 0
+        return _score_broadcast(store, head, schema, k, skip_self)
+    celled, pivots, radii, sizes = _cells(store, n_pivots)
+    if not len(pivots):
+        return store.sparkSession.createDataFrame([], schema)
+    counts = dict(enumerate(sizes.tolist()))
+    score = _match_blocks(k, skip_self)
+    if k is None:
+        visiting = queries.withColumn("cells", cells_in_reach("query_vec", "bar", pivots, radii, sizes))
+        return _score_cells(celled, visiting, counts, schema, score, block_rows)
+    rows = FIRST_SHARE * (k + 1)
+    around = queries.withColumn("cells", cells_around("query_vec", pivots, sizes, rows))
+    # k rows per query, read for the bounds and for the answer
+    first = cut_lineage(_ranked(_score_cells(celled, around, counts, schema, score, block_rows), k))
+    reached = first.filter(F.col("rank") == k).select("query_id", F.col("similarity").alias("_reached"))
+    bounded = queries.join(reached, "query_id", "left").withColumn(
+        "bar", F.greatest("bar", F.col("_reached") - BOUND_SLACK)).drop("_reached")
+    rest = bounded.withColumn("cells", cells_in_reach("query_vec", "bar", pivots, radii, sizes, rows))
+    return first.drop("rank").unionByName(_score_cells(celled, rest, counts, schema, score, block_rows))
 
 
 def _ranked(pairs: DataFrame, limit: int) -> DataFrame:
@@ -287,6 +389,23 @@ def _ranked(pairs: DataFrame, limit: int) -> DataFrame:
     return top_per_group(pairs, ["query_id"], [F.col("similarity").desc(), F.col("embedding_id")], limit, spread=8)
 
 
+def search_requests(store: DataFrame, requests: DataFrame, dim: int, **how) -> tuple[DataFrame, DataFrame]:
+    """(answers, rejected requests) where each request brings its own top_k and threshold.
+
+    Requests have query_id (unique), query_vec, top_k and threshold; see `validate_requests` for the rules and
+    the default threshold. A vector of another length than `dim` is rejected, too.
+    """
+    checked = validate_requests(requests).withColumn("error", F.coalesce(
+        "error", F.when(~F.coalesce(usable("query_vec", dim), F.lit(False)), "wrong dimension")))
+    good = checked.filter(F.col("error").isNull())
+    # at most MAX_TOP_K, by the rules
+    most = good.agg(F.max("top_k")).first()[0] or 1
+    asked = good.select("query_id", "query_vec", F.col("threshold_used").alias("threshold"))
+    ranked = _ranked(scored_pairs(store, asked, None, most, dim=dim, **how), most)
+    answers = ranked.join(good.select("query_id", "top_k"), "query_id").filter(F.col("rank") <= F.col("top_k"))
+    return answers.drop("top_k"), checked.filter(F.col("error").isNotNull()).drop("threshold_used")
+
+
 def similar_topk(store: DataFrame, queries: DataFrame, limit: int = ENGINE_LIMIT,
                  threshold: float = ENGINE_THRESHOLD, **how) -> DataFrame:
     """For each query vector the stored vectors with cosine >= threshold, best first, at most `limit`."""
@@ -330,9 +449,10 @@ def filtered_search(store: DataFrame, queries: DataFrame, equals: dict[str, obje
     return similar_topk(store, queries, limit, threshold, **how)
 
 
-def global_topk(store: DataFrame, query: DataFrame, limit: int = ENGINE_LIMIT, threshold: float = -1.0) -> DataFrame:
+def global_topk(store: DataFrame, query: DataFrame, limit: int = ENGINE_LIMIT, threshold: float = -1.0,
+                **how) -> DataFrame:
     """Best-first list for one query vector."""
-    pairs = scored_pairs(store, query, threshold, limit).withColumn("similarity", F.round("similarity", RANK_DIGITS))
+    pairs = scored_pairs(store, query, threshold, limit, **how).withColumn("similarity", F.round("similarity", RANK_DIGITS))
     return pairs.orderBy(F.col("similarity").desc(), F.col("embedding_id")).limit(limit)
 
 
@@ -356,23 +476,24 @@ def precompute_neighbors(store: DataFrame, limit: int = NEIGHBOUR_LIMIT,
 
 
 def _pruned_search(store: DataFrame, queries: DataFrame, cells: Callable[[int], tuple[CellOf, CellOf]],
-                   threshold: float, limit: int, max_queries: int, block_rows: int) -> DataFrame:
+                   threshold: float, limit: int, max_queries: int, block_rows: int, dim: int | None) -> DataFrame:
     """Search where a query only meets the cells it visits; `cells` gives both cell functions for a length."""
     schema = _pairs_schema(queries, store)
-    head, dim, fits = _query_head(queries, max_queries)
-    store, queries = _only_usable(store, queries, dim)
+    store, queries, dim = _prepare(store, queries, threshold, dim, False, [])
     cell_of, cells_of = cells(dim)
+    head, fits = _query_head(queries, dim, max_queries)
     if fits:
-        return _ranked(_score_broadcast(store, head, schema, threshold, limit, False, cell_of, cells_of), limit)
+        return _ranked(_score_broadcast(store, head, schema, limit, False, cell_of, cells_of), limit)
     celled = store.withColumn("cell", _cell_column(cell_of, "embedding"))
     sizes = {row["cell"]: row["count"] for row in celled.groupBy("cell").count().collect()}
     visiting = queries.withColumn("cells", _cells_column(cells_of, "query_vec"))
-    return _ranked(_score_cells(celled, visiting, sizes, schema, threshold, limit, False, block_rows), limit)
+    return _ranked(_score_cells(celled, visiting, sizes, schema, _match_blocks(limit, False), block_rows), limit)
 
 
 def cluster_pruned_search(store: DataFrame, queries: DataFrame, centroids: np.ndarray, probes: int = 4,
                           limit: int = ENGINE_LIMIT, threshold: float = ENGINE_THRESHOLD,
-                          max_queries: int = MAX_QUERIES, block_rows: int = BLOCK_ROWS) -> DataFrame:
+                          max_queries: int = MAX_QUERIES, block_rows: int = BLOCK_ROWS,
+                          dim: int | None = None) -> DataFrame:
     """Search only the `probes` clusters nearest to each query; exact cosine inside them.
 
     Approximate: a match in a cluster that is not probed is missed.
@@ -385,7 +506,7 @@ def cluster_pruned_search(store: DataFrame, queries: DataFrame, centroids: np.nd
     def probed(vectors: np.ndarray) -> np.ndarray:
         return np.argsort(-(vectors @ unit.T), axis=1, kind="stable")[:, :probes]
 
-    return _pruned_search(store, queries, lambda _: (nearest, probed), threshold, limit, max_queries, block_rows)
+    return _pruned_search(store, queries, lambda _: (nearest, probed), threshold, limit, max_queries, block_rows, dim)
 
 
 def hyperplanes(dim: int, bits: int, seed: int) -> np.ndarray:
@@ -395,7 +516,8 @@ def hyperplanes(dim: int, bits: int, seed: int) -> np.ndarray:
 
 def approx_similar_join(store: DataFrame, queries: DataFrame, threshold: float = ROUTER_THRESHOLD,
                         limit: int = ROUTER_CANDIDATES, bits: int = 6, flips: int = 2, seed: int = 42,
-                        max_queries: int = MAX_QUERIES, block_rows: int = BLOCK_ROWS) -> DataFrame:
+                        max_queries: int = MAX_QUERIES, block_rows: int = BLOCK_ROWS,
+                        dim: int | None = None) -> DataFrame:
     """Approximate neighbours by random-hyperplane signatures, checked by exact cosine.
 
     A cell is a signature: on which side of each plane a vector lies. A query visits its own signature and
@@ -412,53 +534,67 @@ def approx_similar_join(store: DataFrame, queries: DataFrame, threshold: float =
 
         return signature, lambda vectors: signature(vectors)[:, None] ^ masks[None, :]
 
-    return _pruned_search(store, queries, cells, threshold, limit, max_queries, block_rows)
+    return _pruned_search(store, queries, cells, threshold, limit, max_queries, block_rows, dim)
 
 
 def threshold_sweep(store: DataFrame, queries: DataFrame, thresholds: list[float], label: str = "label",
-                    max_queries: int = MAX_QUERIES) -> DataFrame:
+                    dim: int | None = None, max_queries: int = MAX_QUERIES, n_pivots: int | None = None,
+                    block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Per threshold: pairs at or above it and the share whose labels agree.
 
     `queries` has query_id, query_vec and the label column. Pairs are counted where they are scored; a
-    batch gives one row per threshold, so no pair is ever shuffled. The query side goes out in slices
-    of at most `max_queries` rows.
+    batch or pair of blocks gives one row per threshold, so no pair is ever shuffled.
     """
-    spark = store.sparkSession
-    dim = _length(queries)
-    store = store.filter(usable("embedding", dim)).select("embedding_id", "embedding", label)
-    queries = queries.filter(usable("query_vec", dim)).select("query_id", "query_vec", label)
-    # slices by hash come out a little uneven, hence the fifth more of them
-    n_slices = max(1, math.ceil(queries.count() / max_queries * 1.2))
     cuts = np.array(thresholds)
-    counted = None
-    for i in range(n_slices):
-        mine = queries if n_slices == 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(n_slices)) == i)
-        table = mine.toArrow()
-        asked, unit = _unit(pa.array(np.arange(table.num_rows)), table.column("query_vec"))
-        shared = spark.sparkContext.broadcast((
-            table.column("query_id").combine_chunks().take(asked), unit, table.column(label).to_numpy()[asked]))
-
-        def count(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            q_ids, q_unit, q_labels = shared.value
-            pairs, agree = np.zeros(len(cuts), np.int64), np.zeros(len(cuts), np.int64)
+    lowest = float(cuts.min()) - 1e-6
+    store, queries, dim = _prepare(store, queries, lowest, dim, True, [label])
+    columns = ["threshold", "pairs", "agreeing"]
+    schema = "threshold double, pairs long, agreeing long"
+
+    def tally(stored: pa.Table, q_ids: pa.Array, q_unit: np.ndarray, bars: np.ndarray, q_labels: pa.Array) -> np.ndarray:
+        """Rows (pairs, agreeing) by threshold; a null label agrees with none."""
+        totals = np.zeros((2, len(cuts)), np.int64)
+        rows, vectors = _unit(pa.array(np.arange(stored.num_rows)), stored.column("embedding"))
+        if not len(rows) or not len(q_unit):
+            return totals
+        kept = stored.take(rows)
+        ids, labels = kept.column("embedding_id").combine_chunks(), kept.column(label).combine_chunks()
+        for q, v, scores in _best(q_ids, ids, q_unit, vectors, bars, None, True, _no_floor(q_unit)):
+            same = pc.equal(q_labels.take(pa.array(q)), labels.take(pa.array(v))).fill_null(False)
+            at = np.round(scores, RANK_DIGITS)[None, :] >= cuts[:, None]
+            totals += np.array([at.sum(axis=1), (at & same.to_numpy(zero_copy_only=False)[None, :]).sum(axis=1)])
+        return totals
+
+    def asked_with_labels(table: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray, pa.Array]:
+        rows, unit = _unit(pa.array(np.arange(table.num_rows)), table.column("query_vec"))
+        kept = table.take(rows)
+        return (kept.column("query_id").combine_chunks(), unit, kept.column("bar").to_numpy(),
+                kept.column(label).combine_chunks())
+
+    head, fits = _query_head(queries, dim, max_queries)
+    if fits:
+        shared = store.sparkSession.sparkContext.broadcast(asked_with_labels(head))
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                rows, vectors = _unit(pa.array(np.arange(batch.num_rows)), batch.column(1))
-                if len(rows) == 0 or len(q_unit) == 0:
-                    continue
-                ids = batch.column(0).take(rows)
-                labels = batch.column(2).take(rows).to_numpy(zero_copy_only=False)
-                found = _best(q_ids, ids, q_unit, vectors, cuts.min() - 1e-6, None, True, _no_floor(q_unit))
-                for q, v, scores in found:
-                    same = q_labels[q] == labels[v]
-                    at = np.round(scores, RANK_DIGITS)[None, :] >= cuts[:, None]
-                    pairs += at.sum(axis=1)
-                    agree += (at & same[None, :]).sum(axis=1)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(cuts), pa.array(pairs), pa.array(agree)], ["threshold", "pairs", "agreeing"])
-
-        part = store.mapInArrow(count, "threshold double, pairs long, agreeing long")
-        counted = part if counted is None else counted.unionByName(part)
-    return counted.groupBy("threshold").agg(
+                pairs, agreeing = tally(pa.Table.from_batches([batch]), *shared.value)
+                yield pa.RecordBatch.from_arrays([pa.array(cuts), pa.array(pairs), pa.array(agreeing)], columns)
+
+        counted = store.mapInArrow(count, schema)
+    else:
+
+        def count_blocks(stored: pa.Table, asked: pa.Table) -> pa.Table:
+            pairs, agreeing = tally(stored, *asked_with_labels(asked))
+            return pa.table([pa.array(cuts), pa.array(pairs), pa.array(agreeing)], columns)
+
+        celled, pivots, radii, sizes = _cells(store, n_pivots)
+        if len(pivots):
+            visiting = queries.withColumn("cells", cells_in_reach("query_vec", "bar", pivots, radii, sizes))
+            counted = _score_cells(celled, visiting, dict(enumerate(sizes.tolist())), schema, count_blocks, block_rows, (label,))
+        else:
+            counted = store.sparkSession.createDataFrame([], schema)
+    every = store.sparkSession.createDataFrame([(t, 0, 0) for t in thresholds], schema)
+    return counted.unionByName(every).groupBy("threshold").agg(
         F.sum("pairs").alias("pairs"), F.sum("agreeing").alias("agreeing"),
         F.coalesce(F.try_divide(F.sum("agreeing").cast("double"), F.sum("pairs").cast("double")),
                    F.lit(0.0)).alias("agreement"))

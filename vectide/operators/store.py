@@ -17,6 +17,9 @@ MAX_TOP_K = 1000
 HOT_ACCESS_COUNT = 5
 HOT_WINDOW_SECONDS = 300
 
+# written keys that are sent to all executors: some 100 MB of ids or text keys
+BROADCAST_KEYS = 1_000_000
+
 
 def validate_vectors(rows: DataFrame, dim: int, key: str = "embedding_id", vector: str = "embedding") -> DataFrame:
     """Adds `error`: null for a row that may be stored, else the first rule it breaks."""
@@ -64,6 +67,25 @@ def latest_per_id(rows: DataFrame, key: str = "embedding_id", newest: str = "cre
     return picked.select(key, "_row.*").select(*rows.columns)
 
 
+def _settle(store: DataFrame, writes: DataFrame, key: str, tie: str | None) -> DataFrame:
+    """The store after `writes` (one per key): only rows of written keys are compared, all others pass as they are.
+
+    Up to BROADCAST_KEYS written keys (counted) are broadcast, so the store is not shuffled; beyond that the
+    joins shuffle. The store has one row per key, as each writer here leaves it.
+    """
+    writes = cut_lineage(writes)  # read three times
+    keys = writes.select(key)
+    if keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
+        keys = F.broadcast(keys)
+    old = store.join(keys, key, "left_semi").withColumn("_write", F.lit(0))
+    both = old.unionByName(writes.withColumn("_write", F.lit(1)), allowMissingColumns=True)
+    order = "_write"
+    if tie and tie in both.columns:
+        both = both.withColumn("_write", F.coalesce(F.col(tie), F.lit(-1)))
+    settled = latest_per_id(both, key, tie=order).select(*store.columns)
+    return store.join(keys, key, "left_anti").unionByName(settled)
+
+
 def upsert_store(store: DataFrame, incoming: DataFrame, dim: int) -> DataFrame:
     """The store after writing `incoming`: rejected rows are left out, the newest write of an id wins and a
     write beats the stored row of equal age. Columns the writer leaves out start at their defaults."""
@@ -73,12 +95,8 @@ def upsert_store(store: DataFrame, incoming: DataFrame, dim: int) -> DataFrame:
     for name, value in defaults.items():
         if name in store.columns and name not in good.columns:
             good = good.withColumn(name, value)
-    both = store.withColumn("_write", F.lit(0)).unionByName(
-        good.withColumn("_write", F.lit(1)), allowMissingColumns=True)
-    tie = "_write"
-    if "write_id" in both.columns:
-        both = both.withColumn("_write", F.coalesce(F.col("write_id"), F.lit(-1)))
-    return latest_per_id(both, tie=tie).select(*store.columns)
+    tie = "write_id" if "write_id" in good.columns else None
+    return _settle(store, latest_per_id(good, tie=tie), "embedding_id", tie)
 
 
 def bulk_store(entries: DataFrame, dim: int, as_of: Column, ttl_seconds: int | None = None,
@@ -95,6 +113,17 @@ def bulk_store(entries: DataFrame, dim: int, as_of: Column, ttl_seconds: int | N
         F.lit(threshold).alias("similarity_threshold"), F.lit(ttl_seconds).cast("int").alias("ttl_seconds"))
 
 
+def store_bulk(store: DataFrame, outcome: DataFrame, tie: str) -> tuple[DataFrame, DataFrame]:
+    """(store after writing what `bulk_store` accepted, one row with the number of entries stored).
+
+    A key that is written several times is stored once, the newest, then the highest `tie`; each accepted row
+    counts as stored.
+    """
+    good = outcome.filter("success").drop("success", "error")
+    stored = outcome.agg(F.count_if("success").alias("stored"))
+    return _settle(store, latest_per_id(good, "key", tie=tie), "key", None), stored
+
+
 def metadata_json(store: DataFrame, fields: list[str]) -> DataFrame:
     """Each metadata field as a JSON text."""
     out = store

@@ -19,17 +19,40 @@ SELECT query_id, embedding_id, round(similarity, 9) AS similarity, rank::INTEGER
 
 @query("similar_topk", TOPK_SQL.format(threshold=0.2, where="", limit=10))
 def similar_topk(spark, folder):
-    found = similarity.similar_topk(views.store(spark, folder), views.query_vectors(spark, folder), 10, THRESHOLD)
+    found = similarity.similar_topk(views.store(spark, folder), views.query_vectors(spark, folder), 10, THRESHOLD, dim=views.DIM)
     return found
 
 
+@query("similar_topk_cells", TOPK_SQL.format(threshold=0.2, where="", limit=10))
+def similar_topk_cells(spark, folder):
+    """The same search in the form for a query side of any size."""
+    return similarity.similar_topk(
+        views.store(spark, folder), views.query_vectors(spark, folder), 10, THRESHOLD, dim=views.DIM, max_queries=0)
+
+
+@query("search_requests", """
+SELECT query_id, embedding_id, round(similarity, 9) AS similarity, rank::INTEGER AS rank, NULL::VARCHAR AS error FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(similarity, 9) DESC, embedding_id) AS rank
+  FROM all_pairs WHERE similarity >= CASE WHEN query_id % 4 = 0 THEN 0.85 ELSE 0.1 + 0.05 * (query_id % 4) END)
+WHERE rank <= query_id % 9 UNION ALL
+SELECT query_id, NULL, NULL, NULL, 'top_k must be positive' FROM query_vectors WHERE query_id % 9 = 0""")
+def search_requests(spark, folder):
+    """Each request with its own top_k and threshold; no threshold means the default, no top_k is an error."""
+    asked = views.query_vectors(spark, folder).select(
+        "query_id", "query_vec", (F.col("query_id") % 9).alias("top_k"),
+        F.when(F.col("query_id") % 4 != 0, 0.1 + 0.05 * (F.col("query_id") % 4)).alias("threshold"))
+    answers, rejected = similarity.search_requests(views.store(spark, folder), asked, views.DIM)
+    return answers.withColumn("error", F.lit(None).cast("string")).unionByName(
+        rejected.select("query_id", "error"), allowMissingColumns=True)
+
+
 @query("knn_then_threshold", """
 SELECT query_id, embedding_id, round(similarity, 9) AS similarity, rank::INTEGER AS rank FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(similarity, 9) DESC, embedding_id) AS rank
   FROM all_pairs) WHERE rank <= 50 AND similarity >= 0.25""")
 def knn_then_threshold(spark, folder):
     found = similarity.knn_then_threshold(
-        views.store(spark, folder), views.query_vectors(spark, folder), threshold=0.25)
+        views.store(spark, folder), views.query_vectors(spark, folder), threshold=0.25, dim=views.DIM)
     return found
 
 
@@ -40,7 +63,7 @@ SELECT query_id, rank::INTEGER AS rank, embedding_id, round(similarity, 9) AS si
   FROM all_pairs WHERE similarity >= 0.2) WHERE rank <= 50""")
 def route_projection(spark, folder):
     found = similarity.knn_then_threshold(
-        views.store(spark, folder), views.query_vectors(spark, folder), threshold=THRESHOLD)
+        views.store(spark, folder), views.query_vectors(spark, folder), threshold=THRESHOLD, dim=views.DIM)
     return similarity.route_projection(found)
 
 
@@ -53,7 +76,8 @@ def find_similar_fetch(spark, folder):
     from vectide.functions.vectors import l2_norm
 
     found = similarity.find_similar_fetch(
-        views.store(spark, folder), views.live_store(spark, folder), views.query_vectors(spark, folder), 20, THRESHOLD)
+        views.store(spark, folder), views.live_store(spark, folder), views.query_vectors(spark, folder), 20, THRESHOLD,
+        dim=views.DIM)
     return found.select(
         "query_id", "embedding_id", "similarity", "rank", "model_name",
         F.unix_micros("created_at").alias("created_us"), F.round(l2_norm("embedding"), 6).alias("norm"))
@@ -67,7 +91,7 @@ SELECT query_id, embedding_id, round(similarity, 9) AS similarity, rank::INTEGER
 def filtered_search(spark, folder):
     found = similarity.filtered_search(
         views.store(spark, folder), views.query_vectors(spark, folder),
-        {"model_name": "model_1", "similarity_cluster": 3}, 10, THRESHOLD)
+        {"model_name": "model_1", "similarity_cluster": 3}, 10, THRESHOLD, dim=views.DIM)
     return found
 
 
@@ -80,16 +104,27 @@ def global_topk(spark, folder):
     store = views.store(spark, folder)
     mean = clusters.group_means(store.withColumn("query_id", F.lit(0)), "query_id").withColumnRenamed(
         "centroid", "query_vec")
-    return similarity.global_topk(store, mean, 10).select("embedding_id", "similarity")
+    return similarity.global_topk(store, mean, 10, dim=views.DIM).select("embedding_id", "similarity")
 
 
-@query("precompute_neighbors", """
+NEIGHBOURS_SQL = """
 SELECT a AS embedding_id, string_agg(b, ',' ORDER BY rank) AS neighbors FROM (
   SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY round(sim, 9) DESC, b) AS rank FROM (
     SELECT x.vec_id AS a, y.vec_id AS b, list_cosine_similarity(x.v, y.v) AS sim
-    FROM vectors x, vectors y WHERE x.vec_id <> y.vec_id) WHERE sim >= 0.25) WHERE rank <= 10 GROUP BY a""")
+    FROM vectors x, vectors y WHERE x.vec_id <> y.vec_id) WHERE sim >= 0.25) WHERE rank <= 10 GROUP BY a"""
+
+
+@query("precompute_neighbors", NEIGHBOURS_SQL)
 def precompute_neighbors(spark, folder):
-    found = similarity.precompute_neighbors(views.store(spark, folder), 10, 0.25)
+    found = similarity.precompute_neighbors(views.store(spark, folder), 10, 0.25, dim=views.DIM)
+    return found.select("embedding_id", F.array_join(
+        F.col("precomputed_neighbors").cast("array<string>"), ",").alias("neighbors"))
+
+
+@query("precompute_neighbors_cells", NEIGHBOURS_SQL)
+def precompute_neighbors_cells(spark, folder):
+    """The same lists in the form for a store of any size."""
+    found = similarity.precompute_neighbors(views.store(spark, folder), 10, 0.25, dim=views.DIM, max_queries=0)
     return found.select("embedding_id", F.array_join(
         F.col("precomputed_neighbors").cast("array<string>"), ",").alias("neighbors"))
 
@@ -225,9 +260,15 @@ def route_to_cluster(spark, folder):
     return routed.select("embedding_id", "similarity_cluster", "cluster")
 
 
-@query("hash_route")
+@query("hash_route", """
+SELECT vec_id AS embedding_id, min(vec_id) OVER (PARTITION BY v) AS same_as, true AS in_range FROM vectors""")
 def hash_route(spark, folder):
-    return views.store(spark, folder).select("embedding_id", clusters.hash_route("embedding").alias("cluster"))
+    """Each entry with the smallest id of the same vector and cluster; equal vectors must share their cluster."""
+    placed = views.store(spark, folder).select(
+        "embedding_id", "embedding", clusters.hash_route("embedding").alias("cluster"))
+    same = ["embedding", "cluster"]
+    return placed.join(placed.groupBy(*same).agg(F.min("embedding_id").alias("same_as")), same).select(
+        "embedding_id", "same_as", F.col("cluster").between(0, clusters.CLUSTERS - 1).alias("in_range"))
 
 
 @query("assign_shard", "SELECT embedding_id, cluster, CAST(cluster % 6 AS INTEGER) AS shard FROM routed")
@@ -246,8 +287,18 @@ def shard_memory(spark, folder):
     return by_shard(routed.withColumn("shard", clusters.assign_shard("cluster", views.SHARDS)))
 
 
-@query("kmeans_clusters")
+@query("kmeans_clusters", """
+SELECT vec_id AS embedding_id, true AS nearest, 16 AS clusters FROM vectors""")
 def kmeans_clusters(spark, folder):
-    labelled, centres = clusters.kmeans_clusters(views.store(spark, folder))
-    routed = clusters.route_to_cluster(views.store(spark, folder), list(range(len(centres))), centres)
-    return labelled.join(routed.select("embedding_id", F.col("cluster").alias("route")), "embedding_id")
+    """Per entry whether the cluster it was given has the centre nearest to it, and the number of centres."""
+    store = views.store(spark, folder)
+    labelled, centres = clusters.kmeans_clusters(store)
+    own = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in centres])
+
+    def distance(centre):
+        return F.aggregate(F.zip_with("embedding", centre, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda a, x: a + x)
+
+    ranges = F.transform(own, distance)
+    return labelled.join(store.select("embedding_id", "embedding"), "embedding_id").select(
+        "embedding_id", (F.element_at(ranges, F.col("cluster") + 1) <= F.array_min(ranges) + 1e-9).alias("nearest"),
+        F.lit(len(centres)).alias("clusters"))

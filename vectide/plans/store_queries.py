@@ -65,6 +65,24 @@ def bulk_store(spark, folder):
     return stored.select("doc_id", "key", "success", "similarity_threshold", "ttl_seconds", "access_count")
 
 
+@query("bulk_store_stored", """
+SELECT key, doc_id, access_count, dims, (SELECT count(*) FROM text_keys WHERE len(text) > 0) AS stored FROM (
+  SELECT key, max(doc_id) AS doc_id, 0 AS access_count, 8 AS dims FROM text_keys WHERE len(text) > 0 GROUP BY key
+  UNION ALL
+  SELECT key, stored_doc, 1, 0 FROM text_store WHERE key NOT IN (SELECT key FROM text_keys WHERE len(text) > 0))""")
+def bulk_store_stored(spark, folder):
+    """The text store, written and read back, after a bulk write of all documents, and how many were stored."""
+    cached = views.text_store(spark, folder).select(
+        "key", F.col("stored_doc").alias("doc_id"), F.array().cast("array<float>").alias("embedding"),
+        F.timestamp_micros(F.lit(views.STORE_START_US)).alias("created_at"), F.lit(1).alias("access_count"))
+    entries = views.documents(spark, folder).withColumn("embedding", text_embedding("text"))
+    after, stored = store.store_bulk(cached, store.bulk_store(entries, 8, views.as_of()), "doc_id")
+    sharded = after.withColumn("shard", numbers.hash_bucket("key", views.SHARDS))
+    path = storefiles.write_store(sharded, new_folder(spark, "texts"), 1)
+    return storefiles.read_store(spark, path).select(
+        "key", "doc_id", "access_count", F.size("embedding").alias("dims")).crossJoin(F.broadcast(stored))
+
+
 def text_embedding(text: str):
     """A stand-in embedding of eight hash digits, so that texts have vectors to store; empty for no text."""
     digits = F.transform(F.sequence(F.lit(1), F.lit(8)),
@@ -123,9 +141,13 @@ def cache_key(spark, folder):
     return views.documents(spark, folder).select("doc_id", keys.cache_key("model_version", "text").alias("key"))
 
 
-@query("content_hash")
+@query("content_hash", """
+SELECT vec_id, min(vec_id) OVER (PARTITION BY v) AS same_as FROM vectors""")
 def content_hash(spark, folder):
-    return views.embeddings(spark, folder).select("vec_id", keys.content_hash("embedding").alias("content"))
+    """Each vector with the smallest id of the same hash; DuckDB compares the vectors themselves."""
+    hashed = views.embeddings(spark, folder).select("vec_id", keys.content_hash("embedding").alias("content"))
+    first = hashed.groupBy("content").agg(F.min("vec_id").alias("same_as"))
+    return hashed.join(first, "content").select("vec_id", "same_as")
 
 
 @query("parse_key", """
@@ -291,7 +313,13 @@ def scalar_suite(spark, folder):
         F.regexp_replace("model_name", "model_", "m").alias("short_name"), F.substring("model_name", 1, 3).alias("start"))
 
 
-@query("hash_buckets")
+@query("hash_buckets", """
+SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS same_as, true AS in_range FROM documents""")
 def hash_buckets(spark, folder):
-    return views.documents(spark, folder).select(
-        "doc_id", numbers.hash_bucket("text", 1000).alias("of_1000"), numbers.hash_bucket("text", 6).alias("of_6"))
+    """Each text with the smallest id of the same text and buckets; equal texts must share their buckets."""
+    placed = views.documents(spark, folder).select(
+        "doc_id", keys.text_hash("text").alias("content"), numbers.hash_bucket("text", 1000).alias("of_1000"),
+        numbers.hash_bucket("text", 6).alias("of_6"))
+    same = ["content", "of_1000", "of_6"]
+    return placed.join(placed.groupBy(*same).agg(F.min("doc_id").alias("same_as")), same).select(
+        "doc_id", "same_as", (F.col("of_1000").between(0, 999) & F.col("of_6").between(0, 5)).alias("in_range"))

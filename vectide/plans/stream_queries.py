@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+
 from pyspark.sql import DataFrame, functions as F
 
+from vectide.functions.vectors import dot
 from vectide.operators import clusters
 from vectide.plans import views
 from vectide.plans.metrics_queries import WINDOW_RATE
@@ -19,6 +22,18 @@ def _folders(spark, name: str) -> tuple[str, str]:
     return f"{base}/out", f"{base}/checkpoint"
 
 
+@contextlib.contextmanager
+def _rocksdb(spark):
+    """The state store that stateful processors need, for the streams started inside."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, jobs.ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def _log_stream(spark, folder) -> DataFrame:
     return views.log_of(views.event_stream(spark, folder))
 
@@ -71,14 +86,28 @@ def stream_route(spark, folder):
 SELECT embedding_id, access_count, epoch_us(last_access) AS last_us, round(average_interval + 1e-7, 4) AS average_interval,
        round(avg_similarity + 1e-11, 8) AS avg_similarity FROM key_stats""")
 def stream_access_stats(spark, folder):
-    base = new_folder(spark, "access-stats")
-    jobs.stream_access_stats(
-        _log_stream(spark, folder), f"{base}/patterns", f"{base}/state", f"{base}/checkpoint").awaitTermination()
-    return jobs.access_stats_after(spark, f"{base}/state").select(
+    out, checkpoint = _folders(spark, "access-stats")
+    with _rocksdb(spark):
+        jobs.stream_access_stats(_log_stream(spark, folder), out, checkpoint).awaitTermination()
+    return jobs.access_stats_after(spark, out).select(
         "embedding_id", "access_count", F.unix_micros("last_access").alias("last_us"),
         nudged("average_interval", 4).alias("average_interval"), nudged("avg_similarity", 8).alias("avg_similarity"))
 
 
+@query("stream_access_patterns", """
+SELECT event_id, embedding_id, row_number() OVER w AS access_frequency,
+       round(coalesce((epoch_us(ts) - lag(epoch_us(ts)) OVER w) / 1e6, 0) + 1e-9, 6) AS time_since_last_access
+FROM access_log WHERE epoch_us(ts) <= (SELECT max(epoch_us(ts)) FROM access_log) // 1000 * 1000 - 3600000000
+WINDOW w AS (PARTITION BY embedding_id ORDER BY ts, event_id)""")
+def stream_access_patterns(spark, folder):
+    """Accesses up to the watermark, an hour before the last."""
+    out, checkpoint = _folders(spark, "access-patterns")
+    with _rocksdb(spark):
+        jobs.stream_access_patterns(_log_stream(spark, folder), out, checkpoint).awaitTermination()
+    return spark.read.parquet(out).select(
+        "event_id", "embedding_id", "access_frequency", nudged("time_since_last_access", 6).alias("time_since_last_access"))
+
+
 @query("stream_ttl_store", """
 SELECT embedding_id, epoch_us(created_at) AS created_us FROM (
   SELECT *, max(created_at) OVER () AS final FROM (
@@ -92,40 +121,34 @@ def stream_ttl_store(spark, folder):
         F.when(F.col("op") == "signup", F.col("user_id") + views.NEW_IDS).otherwise(F.col("embedding_id")).alias("embedding_id"),
         F.col("ts").alias("created_at"), F.lit(86400).alias("ttl_seconds"))
     out, checkpoint = _folders(spark, "ttl-store")
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, jobs.ROCKSDB)
-    try:
+    with _rocksdb(spark):
         # as they expire up to the last write: nothing may come after it
         jobs.stream_ttl_store(writes, out, checkpoint, late_seconds=0).awaitTermination()
-    finally:
-        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
     return spark.read.schema("embedding_id long, created_us long, expired_ms long").parquet(out).select(
         "embedding_id", "created_us")
 
 
 @query("periodic_refresh", """
-SELECT * FROM (VALUES ('first', true, true), ('second', false, false), ('third', true, false)) AS t(run, centroids, training)""")
+SELECT r.run, s.similarity_cluster AS label, count(*) AS entries,
+       round(avg(list_dot_product(s.v, range(1, 65)::DOUBLE[])) + 1e-9, 6) AS weighted
+FROM (VALUES ('first', TIMESTAMP '2024-01-25'), ('second', TIMESTAMP '2024-01-25'), ('third', TIMESTAMP '2024-01-25 09:00:00')) AS r(run, asked)
+JOIN store s ON s.created_at <= r.asked GROUP BY ALL""")
 def periodic_refresh(spark, folder):
-    """Three calls of the job: at the start, after a minute and after six; centroids are due every 300 s,
-    training every 3,600 s and with more than 100 accesses."""
-    base = new_folder(spark, "refresh")
-    store, log = views.store(spark, folder), views.access_log(spark, folder)
-
-    def refresh_centroids():
-        clusters.group_means(store, "similarity_cluster").write.mode("overwrite").parquet(f"{base}/centroids")
-
-    def retrain():
-        if log.limit(101).count() <= 100:
-            return False
-        from vectide.operators import predict
-        from vectide.plans.predict_queries import usage
-
-        predict.fit_precompute_classifier(usage(spark, folder))[0].write().overwrite().save(f"{base}/model")
-
-    tasks = {"centroids": (300, refresh_centroids), "training": (3600, retrain)}
-    rows = []
-    for name, after in (("first", 0), ("second", 60), ("third", 360)):
-        ran = jobs.periodic_refresh(spark, base, tasks, views.AS_OF_EPOCH + after)
-        rows.append((name, ran["centroids"], ran["training"]))
-    return spark.createDataFrame(rows, "run string, centroids boolean, training boolean")
+    """Centroids of the entries there are, asked for at three times and built anew when six hours old: the
+    second call finds the table of the first."""
+    base, store = new_folder(spark, "refresh"), views.store(spark, folder)
+
+    def asked(run: str, now: int) -> DataFrame:
+        there = store.filter(F.col("created_at") <= F.timestamp_seconds(F.lit(now)))
+
+        def build() -> DataFrame:
+            sizes = there.groupBy("similarity_cluster").agg(F.count(F.lit(1)).alias("entries"))
+            return clusters.group_means(there, "similarity_cluster").join(sizes, "similarity_cluster")
+
+        current = jobs.refresh_if_stale(spark, f"{base}/centroids", now, 6 * 3600, build)
+        return current.select(F.lit(run).alias("run"), F.col("similarity_cluster").alias("label"), "entries",
+                              nudged(dot("centroid", F.sequence(F.lit(1), F.lit(views.DIM))), 6).alias("weighted"))
+
+    start = 1706140800  # 2024-01-25 00:00 UTC
+    return asked("first", start).unionByName(asked("second", start + 3 * 3600)).unionByName(
+        asked("third", start + 9 * 3600))

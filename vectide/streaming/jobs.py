@@ -7,17 +7,17 @@ run again after a failure replaces its own output and nothing is counted twice.
 
 from __future__ import annotations
 
+import bisect
+import heapq
 from collections.abc import Callable, Iterator
 
 import numpy as np
-from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from vectide.functions.numbers import ratio
 from vectide.functions.vectors import usable
-from vectide.operators.access import access_patterns
 from vectide.operators.clusters import route_to_cluster
 from vectide.operators.groups import top_per_group
 from vectide.operators.lookup import batch_lookup, lookup_with_fallback
@@ -38,10 +38,11 @@ def _batch_folder(out: str, batch: int) -> str:
 
 
 def _read_if_there(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table, or None where there is no folder or no finished file in it."""
     try:
         return spark.read.parquet(path)
     except AnalysisException as missing:
-        if missing.getCondition() == "PATH_NOT_FOUND":
+        if missing.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             return None
         raise
 
@@ -113,86 +114,142 @@ def stream_route(vectors: DataFrame, labels: list[int], centroids: np.ndarray, o
     return _start(routed.writeStream.outputMode("append").format("parquet").option("path", out), checkpoint, once)
 
 
-def _state_folder(state: str, number: int) -> str:
-    return f"{state}/after={number:012d}"
+class AccessTotals(StatefulProcessor):
+    """Count, first and last access and the newest scores of one part of a key; order of arrival does not matter."""
 
+    def __init__(self, scores: int):
+        self.scores = scores
 
-def _state_after(spark: SparkSession, state: str, number: int, full_every: int) -> DataFrame | None:
-    """Running statistics after batch `number`: the last full table and the changes since, newest per key."""
-    folders = [_read_if_there(spark, _state_folder(state, n))
-               for n in range(number - number % full_every, number + 1)] if number >= 0 else []
-    tables = [t.withColumn("_after", F.lit(i)) for i, t in enumerate(folders) if t is not None]
-    if not tables:
-        return None
-    merged = tables[0]
-    for table in tables[1:]:
-        merged = merged.unionByName(table)
-    return latest_per_id(merged, newest="_after").drop("_after")
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.totals = handle.getValueState("totals", "n long, first_us long, last_us long")
+        self.recent = handle.getListState("recent", "us long, event_id long, score double")
 
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        n, first, last = self.totals.get() if self.totals.exists() else (0, None, None)
+        kept = [tuple(r) for r in self.recent.get()] if self.recent.exists() else []
 
-def stream_access_stats(log: DataFrame, out: str, state: str, checkpoint: str, scores: int = 100,
-                        full_every: int = 20, once: bool = True) -> StreamingQuery:
-    """A pattern row per access, and running statistics per key.
+        def newest(found: list) -> list:
+            return heapq.nlargest(self.scores, found, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or 0))
 
-    Batch n writes the statistics of the keys it touched, made from those after batch n - 1 and its own
-    accesses; every `full_every` batches it writes all keys. Inside a batch a hot key is spread over tasks
-    as in the batch operators, where a keyed state store would pass all its accesses through one.
-    Accesses are taken to come in time order from batch to batch.
-    """
+        for row in rows:
+            n += 1
+            if row.us is not None:
+                first = row.us if first is None else min(first, row.us)
+                last = row.us if last is None else max(last, row.us)
+            if row.similarity_score is not None:
+                kept.append((row.us, row.event_id, row.similarity_score))
+                if len(kept) >= 10 * self.scores:
+                    kept = newest(kept)
+        kept = newest(kept)
+        self.totals.update((n, first, last))
+        if kept:
+            self.recent.put(kept)
+        yield Row(embedding_id=key[0], part=key[1], access_count=n, first_us=first, last_us=last,
+                  recent_us=[r[0] for r in kept], recent_ids=[r[1] for r in kept], recent_scores=[r[2] for r in kept])
 
-    def write(batch: DataFrame, number: int) -> None:
-        batch = batch.persist(StorageLevel.MEMORY_AND_DISK)  # read by both writes
-        try:
-            write_both(batch, number)
-        finally:
-            batch.unpersist()
-
-    def write_both(batch: DataFrame, number: int) -> None:
-        before = _state_after(batch.sparkSession, state, number - 1, full_every)
-        patterns = access_patterns(batch)
-        counts = batch.groupBy("embedding_id").agg(
-            F.count(F.lit(1)).alias("access_count"), F.min("ts").alias("first_access"), F.max("ts").alias("last_access"))
-        scored = batch.filter(F.col("similarity_score").isNotNull()).select(
-            "embedding_id", "ts", "event_id", "similarity_score")
-        if before is not None:
-            known = before.select("embedding_id", F.col("access_count").alias("_n"), F.col("last_access").alias("_last"))
-            since_last = (F.unix_micros("ts") - F.unix_micros("_last")) / 1e6
-            first_here = (F.col("access_frequency") == 1) & F.col("_last").isNotNull()
-            patterns = (
-                patterns.join(known, "embedding_id", "left")
-                .withColumn("time_since_last_access",
-                            F.when(first_here, since_last).otherwise(F.col("time_since_last_access")))
-                .withColumn("access_frequency", F.col("access_frequency") + F.coalesce("_n", F.lit(0)))
-                .drop("_n", "_last")
-            )
-            if number % full_every:
-                before = before.join(batch.select("embedding_id").distinct(), "embedding_id", "left_semi")
-            counts = counts.unionByName(before.select(*counts.columns)).groupBy("embedding_id").agg(
-                F.sum("access_count").alias("access_count"), F.min("first_access").alias("first_access"),
-                F.max("last_access").alias("last_access"))
-            scored = scored.unionByName(before.select("embedding_id", F.explode("recent").alias("_r")).select(
-                "embedding_id", "_r.ts", "_r.event_id", "_r.similarity_score"))
-        patterns.write.mode("overwrite").parquet(_batch_folder(out, number))
-        recent = top_per_group(scored, ["embedding_id"], [F.col("ts").desc(), F.col("event_id").desc()], scores)
-        # at most `scores` rows per key are collected
-        lists = recent.groupBy("embedding_id").agg(
-            F.collect_list(F.struct("ts", "event_id", "similarity_score")).alias("recent"))
-        counts.join(lists, "embedding_id", "left").write.mode("overwrite").parquet(_state_folder(state, number))
-
-    return _start(log.writeStream.foreachBatch(write), checkpoint, once)
-
-
-def access_stats_after(spark: SparkSession, state: str, full_every: int = 20) -> DataFrame:
-    """Statistics per key after the last finished batch, in the form of the batch operator."""
-    last = spark.read.parquet(state).agg(F.max("after")).first()[0]
-    stats = _state_after(spark, state, int(last), full_every)
-    span = (F.unix_micros("last_access") - F.unix_micros("first_access")) / 1e6
-    scores = F.transform("recent", lambda r: r["similarity_score"])
-    mean = F.try_divide(F.aggregate(scores, F.lit(0.0), lambda a, x: a + x), F.size(scores).cast("double"))
-    return stats.select(
-        "embedding_id", "access_count", "last_access",
+    def close(self) -> None:
+        pass
+
+
+TOTALS_SCHEMA = ("embedding_id long, part int, access_count long, first_us long, last_us long, "
+                 "recent_us array<long>, recent_ids array<long>, recent_scores array<double>")
+
+
+def stream_access_stats(log: DataFrame, out: str, checkpoint: str, scores: int = 100, parts: int = 16,
+                        once: bool = True) -> StreamingQuery:
+    """Running statistics per key, each change as a row; read them with `access_stats_after`.
+
+    Accesses of a key are dealt over `parts`, so a hot key is spread over tasks; its parts are put together
+    when they are read. Late and unordered accesses count like all others. Needs the RocksDB state store
+    provider.
+    """
+    lean = log.select(
+        "embedding_id", F.pmod(F.coalesce(F.xxhash64("event_id"), F.lit(0)), F.lit(parts)).cast("int").alias("part"),
+        F.unix_micros("ts").alias("us"), "event_id", "similarity_score")
+    totals = lean.groupBy("embedding_id", "part").transformWithState(
+        statefulProcessor=AccessTotals(scores), outputStructType=TOTALS_SCHEMA, outputMode="Append", timeMode="None")
+    return _start(totals.writeStream.outputMode("append").format("parquet").option("path", out), checkpoint, once)
+
+
+def access_stats_after(spark: SparkSession, out: str, scores: int = 100) -> DataFrame:
+    """Statistics per key as of the last finished batch, in the form of the batch operator."""
+    rows = spark.read.schema(TOTALS_SCHEMA).parquet(out)
+    # the count of a part only grows, so its newest row is the one with the highest
+    others = [c for c in rows.columns if c not in ("embedding_id", "part")]
+    parts = rows.groupBy("embedding_id", "part").agg(
+        F.max_by(F.struct(*others), F.col("access_count")).alias("_row")).select("embedding_id", "_row.*")
+    counts = parts.groupBy("embedding_id").agg(
+        F.sum("access_count").alias("access_count"), F.min("first_us").alias("_first"), F.max("last_us").alias("_last"))
+    scored = parts.select("embedding_id", F.explode(F.arrays_zip("recent_us", "recent_ids", "recent_scores")).alias("r"))
+    recent = top_per_group(scored, ["embedding_id"], [F.col("r.recent_us").desc(), F.col("r.recent_ids").desc()], scores)
+    means = recent.groupBy("embedding_id").agg(F.avg("r.recent_scores").alias("_score"))
+    span = (F.col("_last") - F.col("_first")) / 1e6
+    return counts.join(means, counts["embedding_id"].eqNullSafe(means["embedding_id"]), "left").select(
+        counts["embedding_id"], "access_count", F.timestamp_micros("_last").alias("last_access"),
         F.try_divide(span, F.col("access_count") - 1).alias("average_interval"),
-        F.coalesce(mean, F.lit(0.0)).alias("avg_similarity"))
+        F.coalesce("_score", F.lit(0.0)).alias("avg_similarity"))
+
+
+class OrderedAccesses(StatefulProcessor):
+    """Numbers the accesses of a key in time order, once the watermark says that none can come before them."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.done = handle.getValueState("done", "n long, last_us long, timer_ms long")
+        self.waiting = handle.getListState("waiting", "us long, event_id long")
+
+    def _pass(self, key, rows: list, watermark_ms: int) -> Iterator[Row]:
+        n, last, timer = self.done.get() if self.done.exists() else (0, None, None)
+        rows.sort()
+        ready = bisect.bisect_right(rows, (watermark_ms * 1000, float("inf")))
+        for us, event_id in rows[:ready]:
+            n += 1
+            yield Row(embedding_id=key[0], event_id=event_id, us=us, access_frequency=n,
+                      time_since_last_access=0.0 if last is None else (us - last) / 1e6)
+            last = us
+        left = rows[ready:]
+        if timer is not None and timer > watermark_ms:
+            self.handle.deleteTimer(timer)
+        timer = None
+        if left:
+            # the first millisecond at which nothing can come before the first of them
+            timer = left[0][0] // 1000 + 1
+            self.handle.registerTimer(timer)
+            self.waiting.put(left)
+        elif self.waiting.exists():
+            self.waiting.clear()
+        self.done.update((n, last, timer))
+
+    def _held(self) -> list:
+        return [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        found = self._held() + [(r.us, r.event_id) for r in rows]
+        yield from self._pass(key, found, timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        yield from self._pass(key, self._held(), timerValues.getCurrentWatermarkInMs())
+
+    def close(self) -> None:
+        pass
+
+
+def stream_access_patterns(log: DataFrame, out: str, checkpoint: str, late_seconds: int = LATE_SECONDS,
+                           once: bool = True) -> StreamingQuery:
+    """A pattern row per access: its number in its key and the seconds since the access before.
+
+    A row is written when the watermark has passed it, so accesses up to `late_seconds` late are numbered in
+    their place; later ones, and those without a time, are left out. A key's order makes its accesses one
+    sequence: what waits of a key is at most its accesses of `late_seconds` and one micro-batch, as two numbers
+    each. Needs the RocksDB state store provider.
+    """
+    lean = log.filter(F.col("ts").isNotNull() & F.col("event_id").isNotNull()).withWatermark(
+        "ts", f"{late_seconds} seconds").select("embedding_id", "ts", F.unix_micros("ts").alias("us"), "event_id")
+    patterns = lean.groupBy("embedding_id").transformWithState(
+        statefulProcessor=OrderedAccesses(),
+        outputStructType="embedding_id long, event_id long, us long, access_frequency long, time_since_last_access double",
+        outputMode="Append", timeMode="EventTime")
+    return _start(patterns.writeStream.outputMode("append").format("parquet").option("path", out), checkpoint, once)
 
 
 class ExpiringEntry(StatefulProcessor):
@@ -232,12 +289,12 @@ class ExpiringEntry(StatefulProcessor):
         pass
 
 
-def stream_ttl_store(writes: DataFrame, out: str, checkpoint: str, late_seconds: int = 0, once: bool = True) -> StreamingQuery:
+def stream_ttl_store(writes: DataFrame, out: str, checkpoint: str, late_seconds: int = LATE_SECONDS,
+                     once: bool = True) -> StreamingQuery:
     """Keys as they expire. `writes` has embedding_id, created_at and ttl_seconds; time is event time.
 
     A write up to `late_seconds` behind the newest of the batches before is stored, an older one is lost;
-    expiries are written as much later. Where writes can come late, pass LATE_SECONDS. Needs the
-    RocksDB state store provider. Of several writes of a key in one micro-batch the newest counts.
+    expiries are written as much later. Needs the RocksDB state store provider. Of several writes of a key in one micro-batch the newest counts.
     """
     lean = writes.withWatermark("created_at", f"{late_seconds} seconds").select(
         "embedding_id", "created_at", F.unix_micros("created_at").alias("created_us"), "ttl_seconds")
@@ -248,22 +305,15 @@ def stream_ttl_store(writes: DataFrame, out: str, checkpoint: str, late_seconds:
     return _start(expired.writeStream.outputMode("append").format("parquet").option("path", out), checkpoint, once)
 
 
-def periodic_refresh(spark: SparkSession, state: str, tasks: dict[str, tuple[int, object]], now: float) -> dict[str, bool]:
-    """Runs each task whose last run is older than its interval: {name: ran}.
+def refresh_if_stale(spark: SparkSession, path: str, now: int, every_seconds: int,
+                     build: Callable[[], DataFrame]) -> DataFrame:
+    """The newest table below `path`, built anew when it is older than `every_seconds` at `now` (epoch seconds).
 
-    `tasks` maps a name to (seconds, callable); a callable that returns False did not refresh and stays
-    due. Last runs are a small table below `state`. Call it from any scheduler; it keeps no clock.
+    Call it from any scheduler; it keeps no clock. Earlier tables stay as they are.
     """
-    known = _read_if_there(spark, f"{state}/runs")
-    last: dict[str, float] = {}
-    if known is not None:
-        wanted = known.filter(F.col("task").isin(list(tasks)))
-        last = {r["task"]: r["at"] for r in wanted.groupBy("task").agg(F.max("at").alias("at")).collect()}
-    ran = {}
-    for name, (seconds, task) in tasks.items():
-        due = name not in last or now - last[name] > seconds
-        ran[name] = bool(due and task() is not False)
-    done = [(name, float(now)) for name, did in ran.items() if did]
-    if done:
-        spark.createDataFrame(done, "task string, at double").coalesce(1).write.mode("append").parquet(f"{state}/runs")
-    return ran
+    known = _read_if_there(spark, path)
+    last = known.agg(F.max("at")).first()[0] if known is not None else None
+    if last is None or now - last > every_seconds:
+        build().write.mode("overwrite").parquet(f"{path}/at={now}")
+        last = now
+    return spark.read.parquet(f"{path}/at={last}")
