@@ -321,3 +321,15 @@ def test_pipeline_stages(spark):
         assert ids is None or now <= ids
         ids = now
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, folder).collect()} == ids
+
+
+def test_pii_sample_is_the_first_by_hash(spark):
+    """Also where copies leave a gap in the hashes, and with fewer rows than asked for."""
+    from vectide.llm.pii import _first_by_hash
+
+    rows = [([], f"text {i % 40 if i < 600 else i}") for i in range(1000)] + [([], None)]
+    found = spark.createDataFrame(rows, "base array<struct<kind:string,start:long,end:long>>, text string").repartition(7)
+    whole = [r["text"] for r in found.filter("text IS NOT NULL").selectExpr("xxhash64(text) AS h", "text").orderBy("h", "text").collect()]
+    for n in (1, 5, 90, 700, 2000):
+        assert [r["text"] for r in _first_by_hash(found, n)] == whole[:n]
+    assert _first_by_hash(found.limit(0), 5) == []
