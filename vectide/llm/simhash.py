@@ -167,7 +167,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
 
     Ties and repeated rows: one of them stays. A row without id stays only where its group has no id.
     """
-    group = near_duplicates(docs, id_col, text_col, radius)
+    return keep_first(docs, near_duplicates(docs, id_col, text_col, radius), id_col, text_col)
+
+
+def keep_first(docs: DataFrame, group: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs` that are the first of their group; `group` has doc_id, text_key, fingerprint, component_id."""
     # a group whose rows all lack an id is told by its fingerprint
     whole = F.struct(F.col("component_id").alias("c"),
                      F.when(F.col("component_id").isNull(), F.col("fingerprint")).alias("f"))
