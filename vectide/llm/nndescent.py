@@ -6,7 +6,8 @@ neighbours replace worse ones: neighbours of neighbours. Rounds end when the lin
 hardly change and the audited recall reaches its target. 4. A node all of whose list is above the threshold
 is saturated: its list is enlarged to all saturated nodes of its component. Those within half the
 threshold's angle of the component's centre are linked with each other by the triangle inequality and are
-only counted; the others are scored against the component in blocks.
+only counted; the others are scored against the component in blocks. Two components whose centres and radii
+leave room for a link are scored across, as their lists may hold only nodes nearer than any of the other's.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
 from vectide.llm.components import components
@@ -173,15 +174,113 @@ def _score(threshold: float):
     return run
 
 
-def _saturated_links(dense: DataFrame, threshold: float, block: int) -> DataFrame:
-    """(node, links): links among the saturated nodes (node, root, vec, n) of each component."""
-    norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x.cast("double") * x))
-    unit = dense.withColumn("unit", F.transform("vec", lambda x: x.cast("double") / norm))
-    centre = (
+def _centres(unit: DataFrame) -> DataFrame:
+    """(root, centre): the mean of the unit vectors of each component."""
+    return (
         unit.select("root", F.posexplode("unit").alias("i", "x")).groupBy("root", "i").agg(F.avg("x").alias("x"))
         .groupBy("root").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("centre")))
-    inner = F.aggregate(F.zip_with("unit", "centre", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    length = F.sqrt(F.aggregate("centre", F.lit(0.0), lambda a, x: a + x * x))
+
+
+def _unit_column() -> Column:
+    norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x.cast("double") * x))
+    return F.transform("vec", lambda x: x.cast("double") / norm)
+
+
+def _inner(a: str, b: str) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+
+
+def _close_centres(angle: float):
+    """Pairs of components that can hold two nodes within `angle`, by the triangle inequality."""
+
+    def run(batches):
+        for batch in batches:
+            left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for q, t in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist()):
+                x, y = (np.array([m["centre"] for m in side]) for side in (q, t))
+                a, b = (np.array([m["root"] for m in side]) for side in (q, t))
+                wide = np.array([m["radius"] for m in q])[:, None] + np.array([m["radius"] for m in t])
+                i, j = np.nonzero((np.arccos(np.clip(x @ y.T, -1, 1)) <= wide + angle + 1e-6) & (a[:, None] < b))
+                left.append(a[i])
+                right.append(b[j])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (left, right)], names=["a", "b"])
+
+    return run
+
+
+def _score_across(threshold: float):
+    """Weighted counts of links from each side to the other, and the two components where there are any."""
+
+    def run(batches):
+        for batch in batches:
+            parts = []
+            for a, b, (q, x), (t, y) in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(),
+                                            _groups(batch.column("left")), _groups(batch.column("right"))):
+                hit = x @ y.T >= threshold
+                if hit.any():
+                    parts.append((q["node"], hit @ t["n"], np.full(len(x), -1)))
+                    parts.append((t["node"], q["n"] @ hit, np.full(len(y), -1)))
+                    parts.append((np.array([a]), np.array([0]), np.array([b])))
+            yield _table(["node", "links", "other"], parts, [pa.int64()] * 3)
+
+    return run
+
+
+def _links_across(dense: DataFrame, threshold: float, block: int) -> DataFrame | None:
+    """(node, links, other): links between saturated nodes (node, root, label, vec, n) of different components;
+    where `other` is not -1, `node` and `other` are roots of components that a link joins.
+
+    Centres meet within label and length, in blocks. Of two components only nodes that are near enough to the
+    other's centre are scored. None if no two components can hold a link.
+    """
+    if dense.select("root").distinct().limit(2).count() < 2:
+        return None
+    angle = math.acos(threshold)
+    unit = dense.withColumn("unit", _unit_column())
+    length = F.sqrt(_inner("centre", "centre"))
+    # without a direction a centre tells nothing, and its radius is all there is
+    centred = _centres(unit).withColumn("known", length > 1e-6).withColumn(
+        "centre", F.when(F.col("known"), F.transform("centre", lambda x: x / length)).otherwise(F.col("centre")))
+    placed = kept(unit.join(centred, "root"), "placed")
+    away = F.when(F.col("known"), F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), _inner("unit", "centre"))))).otherwise(F.lit(math.pi))
+    key = ["label", "dim"]
+    spans = kept(placed.select("root", "label", F.size("vec").alias("dim"), "centre", away.alias("away")).groupBy("root", *key).agg(
+        F.max("away").alias("radius")).join(centred.select("root", "centre"), "root"), "spans")
+    sized = spans.join(spans.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / block).alias("parts"), F.count(F.lit(1)).alias("all"))
+                       .filter(F.col("all") > 1), key)
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    own, member = F.pmod(F.xxhash64("root"), F.col("parts")), F.struct("root", "centre", "radius")
+    rows = sized.withColumn("i", own).withColumn("j", each("parts"))
+    columns = sized.withColumn("j", own).withColumn("i", each("parts"))
+    near = kept(
+        rows.groupBy(*key, "i", "j").agg(F.collect_list(member).alias("left"))
+        .join(columns.groupBy(*key, "i", "j").agg(F.collect_list(member).alias("right")), [*key, "i", "j"])
+        .select("left", "right").mapInArrow(_close_centres(angle), "a long, b long"), "close-components")
+    if near.isEmpty():
+        return None
+    both = near.select("a", "b", F.col("a").alias("root"), F.col("b").alias("far")).union(
+        near.select("a", "b", F.col("b").alias("root"), F.col("a").alias("far")))
+    far = both.join(spans.select(F.col("root").alias("far"), F.col("centre").alias("beyond"), "radius"), "far")
+    reach = F.cos(F.least(F.lit(math.pi), F.col("radius") + angle + 1e-6))
+    sides = kept(placed.select("root", "node", "n", "vec", "unit").join(far, "root").filter(
+        (F.col("radius") >= math.pi - 1e-6) | (_inner("unit", "beyond") >= reach - 1e-9)).select("a", "b", "root", "node", "n", "vec"), "facing")
+    left = F.col("root") == F.col("a")
+    counts = sides.groupBy("a", "b").agg(F.ceil(F.count(F.when(left, 1)) / block).alias("lefts"),
+                                         F.ceil(F.count(F.when(~left, 1)) / block).alias("rights")).filter("lefts > 0 and rights > 0")
+    dealt, own, member = sides.join(counts, ["a", "b"]), F.xxhash64("node"), F.struct("node", "n", "vec")
+    lefts = dealt.filter(left).withColumn("i", F.pmod(own, F.col("lefts"))).withColumn("j", each("rights"))
+    rights = dealt.filter(~left).withColumn("j", F.pmod(own, F.col("rights"))).withColumn("i", each("lefts"))
+    blocks = lefts.groupBy("a", "b", "i", "j").agg(F.collect_list(member).alias("left")).join(
+        rights.groupBy("a", "b", "i", "j").agg(F.collect_list(member).alias("right")), ["a", "b", "i", "j"])
+    return kept(blocks.select("a", "b", "left", "right").mapInArrow(
+        _score_across(threshold), "node long, links long, other long"), "across")
+
+
+def _saturated_links(dense: DataFrame, threshold: float, block: int) -> DataFrame:
+    """(node, links): links among the saturated nodes (node, root, vec, n) of each component."""
+    unit = dense.withColumn("unit", _unit_column())
+    centre, inner = _centres(unit), _inner("unit", "centre")
+    length = F.sqrt(_inner("centre", "centre"))
     half = math.cos(math.acos(threshold) / 2) + 1e-9
     # the hash is the node's place among the blocks
     placed = kept(unit.join(centre, "root").select(
@@ -250,10 +349,15 @@ def _weighted_links(nodes, lists, threshold, k, block):
         full.select(F.col("node").alias("nb"), F.lit(1).alias("g")), "nb", "left")
     listed = flagged.filter(F.col("f").isNull() | F.col("g").isNull()).join(
         weights.select(F.col("node").alias("nb"), "n"), "nb").groupBy("node").agg(F.sum("n").alias("links"))
-    dense = full.join(nodes.select("node", "vec", "n"), "node").join(roots, "node", "left").select(
-        "node", F.coalesce("root", "node").alias("root"), "vec", "n")
-    links = listed.union(_saturated_links(dense, threshold, block)).groupBy("node").agg(F.sum("links").alias("links"))
-    return kept(links, "links"), roots
+    dense = full.join(nodes.select("node", "label", "vec", "n"), "node").join(roots, "node", "left").select(
+        "node", F.coalesce("root", "node").alias("root"), "label", "vec", "n")
+    links = listed.union(_saturated_links(dense.drop("label"), threshold, block))
+    across = _links_across(dense, threshold, block)
+    if across is not None:
+        links = links.union(across.filter("other < 0").select("node", "links"))
+        joins = across.filter("other >= 0").select(F.col("node").alias("a"), F.col("other").alias("b"))
+        roots = kept(components(edges.union(joins)), "roots-across")
+    return kept(links.groupBy("node").agg(F.sum("links").alias("links")), "links"), roots
 
 
 def near_duplicates(table: DataFrame, id_col: str = "vec_id", vector: str = "embedding", label: str = "label",
