@@ -34,3 +34,27 @@ def test_groups_with_full_lists_are_joined(spark, block):
     want = _brute(rows)
     assert want[0] == (79, 0) and want[40] == (79, 0)
     assert got == want
+
+
+def test_audit_sees_the_loss_of_small_groups(spark):
+    """One group of 100 is found whole, of 30 pairs none: summed links would give 0.99."""
+    rng, rows = np.random.default_rng(5), []
+    for size in (100, *[2] * 30):
+        centre = rng.normal(size=32)
+        rows += [(len(rows) + i, 1, (centre + 0.01 * rng.normal(size=32)).tolist(), 1) for i in range(size)]
+    nodes = spark.createDataFrame([(i, str(label), v, n) for i, label, v, n in rows], "node long, label string, vec array<double>, n long")
+    links = spark.createDataFrame([(i, 99) for i in range(100)], "node long, links long")
+    assert nndescent.audit(nodes, links, 0.93) == 0
+
+
+def test_links_that_the_descent_misses_are_found_by_all_pairs(spark, monkeypatch):
+    first = nndescent._first_lists
+    monkeypatch.setattr(nndescent, "_first_lists", lambda *a: first(*a).filter("sim < 0.93"))
+    monkeypatch.setattr(nndescent, "_descend", lambda nodes, lists, k: lists.withColumn("new", nndescent.F.lit(0)))
+    rng, rows = np.random.default_rng(6), []
+    for size in (12, 3, 2, 2, 1, 1):
+        centre = rng.normal(size=16)
+        rows += [(len(rows) + i, (centre + 0.01 * rng.normal(size=16)).tolist(), 1) for i in range(size)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in nndescent.near_duplicates(df, block=8).collect()}
+    assert got == _brute(rows)

@@ -3,7 +3,8 @@
 1. Equal vectors become one node with a weight. 2. Random hyperplanes give each node first neighbours.
 3. Rounds: each node's list and the nodes that list it meet, all are compared with each other, and better
 neighbours replace worse ones: neighbours of neighbours. Rounds end when the links above the threshold
-hardly change and the audited recall reaches its target. 4. A node all of whose list is above the threshold
+hardly change and the audited recall reaches its target; where further first neighbours do not bring it
+there, all pairs of a label are compared in blocks. 4. A node all of whose list is above the threshold
 is saturated: its list is enlarged to all saturated nodes of its component. Those within half the
 threshold's angle of the component's centre are linked with each other by the triangle inequality and are
 only counted; the others are scored against the component in blocks. Two components whose centres and radii
@@ -26,9 +27,12 @@ THRESHOLD = 0.93
 K = 8
 TABLES = 6
 BLOCK = 512
-# Nodes whose links are compared with brute force, and the share of their links that must be found.
+# Nodes whose links are compared with brute force, and the share of a node's links that must be found on average.
 AUDIT = 256
 RECALL = 0.97
+# Rounds of first lists before all pairs of a label are compared, and the chance that a pair at the threshold meets in one.
+ROUNDS = 4
+MEET = 0.8
 SEED = 20
 
 
@@ -128,6 +132,8 @@ def _top(pairs: DataFrame, k: int) -> DataFrame:
 def _first_lists(nodes: DataFrame, k: int, tables: int, block: int, round_: int) -> DataFrame:
     """Neighbours inside hyperplane cells; a cell with more than `block` nodes is dealt to several blocks."""
     bits = max(1, min(48, math.ceil(math.log2(max(2, nodes.count()) / 32))))
+    one = (1 - math.acos(THRESHOLD) / math.pi) ** bits
+    tables = max(tables, math.ceil(math.log(1 - MEET) / math.log(1 - one)))
     cells = kept(
         nodes.select("node", "label", "vec").mapInArrow(
             _signatures(bits, tables, round_), "node long, label string, dim int, cells array<long>")
@@ -141,6 +147,36 @@ def _first_lists(nodes: DataFrame, k: int, tables: int, block: int, round_: int)
     return blocks.select("members").mapInArrow(_nearest(k), PAIR)
 
 
+def _across_blocks(k: int):
+    """The k best neighbours of each node of the first list in the second."""
+
+    def run(batches):
+        for batch in batches:
+            parts = []
+            for (q, x), (t, y) in zip(_groups(batch.column("left")), _groups(batch.column("right"))):
+                sims = np.where(q["node"][:, None] == t["node"], -2, x @ y.T)
+                best = np.argpartition(-sims, min(k, len(y)) - 1, axis=1)[:, :min(k, len(y))]
+                found = np.take_along_axis(sims, best, 1).reshape(-1)
+                true = found > -2
+                parts.append((np.repeat(q["node"], best.shape[1])[true], t["node"][best].reshape(-1)[true], found[true]))
+            yield _table(_PAIR[0], parts, _PAIR[1])
+
+    return run
+
+
+def _exact_lists(nodes: DataFrame, k: int, block: int) -> DataFrame:
+    """Each node's k best by all pairs within label and length, in blocks."""
+    key = ["label", "dim"]
+    sized = nodes.select("node", "label", F.size("vec").alias("dim"), "vec")
+    sized = sized.join(sized.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / block).alias("parts")), key)
+    own, each = F.pmod(F.xxhash64("node"), F.col("parts")), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+    member = F.struct("node", "vec")
+    left = sized.withColumn("i", own).withColumn("j", each).groupBy(*key, "i", "j").agg(F.collect_list(member).alias("left"))
+    right = sized.withColumn("j", own).withColumn("i", each).groupBy(*key, "i", "j").agg(F.collect_list(member).alias("right"))
+    pairs = left.join(right, [*key, "i", "j"]).select("left", "right").mapInArrow(_across_blocks(k), PAIR)
+    return kept(_top(pairs.withColumn("new", F.lit(1)), k), "lists")
+
+
 def _descend(nodes: DataFrame, lists: DataFrame, k: int) -> DataFrame:
     """One round; of the nodes that list a node the k nearest take part."""
     near = Window.partitionBy("nb").orderBy(F.col("sim").desc(), "node")
@@ -323,17 +359,22 @@ def _brute(queries: list[tuple], threshold: float):
     return run
 
 
-def audit(nodes: DataFrame, links: DataFrame, threshold: float, sample: int = AUDIT) -> float:
-    """Share of the links of `sample` nodes, picked by hash, that are among `links`."""
+def audit(nodes: DataFrame, links: DataFrame, threshold: float, sample: int = AUDIT, few: int = K) -> float:
+    """Of `sample` nodes, picked by hash: the average share of a node's links that are among `links`.
+
+    Nodes of up to `few` links are also averaged apart, and the lower average counts, so that neither large
+    groups hide the loss of small ones nor the other way round.
+    """
     picked = nodes.orderBy(F.xxhash64("node")).limit(sample).select("node", "label", "vec").collect()
     queries = [(r["node"], r["label"], list(r["vec"])) for r in picked]
     if not queries:
         return 1.0
     truth = nodes.select("node", "label", "vec", "n").mapInArrow(
-        _brute(queries, threshold), "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
+        _brute(queries, threshold), "node long, links long").groupBy("node").agg(F.sum("links").alias("links")).filter("links > 0")
+    share = F.least("links", F.coalesce("found", F.lit(0))) / F.col("links")
     got = truth.join(links.select("node", F.col("links").alias("found")), "node", "left").agg(
-        F.sum("links"), F.sum(F.least("links", F.coalesce("found", F.lit(0))))).first()
-    return got[1] / got[0] if got[0] else 1.0
+        F.avg(share), F.avg(F.when(F.col("links") <= few, share))).first()
+    return min([1.0, *[x for x in got if x is not None]])
 
 
 def _weighted_links(nodes, lists, threshold, k, block):
@@ -391,7 +432,12 @@ def near_duplicates(table: DataFrame, id_col: str = "vec_id", vector: str = "emb
         links, roots = _weighted_links(nodes, lists, threshold, k, block)
         share = audit(nodes, links, threshold)
         round_ += 1
-        if share >= recall or (round_ > 1 and share <= reached):
+        if share >= recall:
+            break
+        if round_ >= ROUNDS or (round_ > 1 and share <= reached):
+            # the descent does not get there
+            lists = _exact_lists(nodes, k, block)
+            links, roots = _weighted_links(nodes, lists, threshold, k, block)
             break
         # more first neighbours where the descent has stopped too early
         reached = share
