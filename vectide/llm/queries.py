@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vectide.llm import (
-    bpe, decontaminate, licenses, linededup, nndescent, pii, quality, secretscan, simhash, substrings,
+    bpe, crosstok, decontaminate, licenses, linededup, nndescent, pii, quality, secretscan, simhash, substrings,
 )
 from vectide.llm.shared import table
 from vectide.plans.registry import query
 
 TOKENIZER = "word_bpe_49k.json"
+BYTE_TOKENIZER, PIECE_TOKENIZER = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -121,6 +122,12 @@ def op10(spark, folder):
     return nndescent.near_duplicates(table(spark, folder, "embeddings"))
 
 
+@query("op11_crosstok")
+def op11(spark, folder):
+    return crosstok.align_documents(table(spark, folder, "documents"), tokenizer_path(BYTE_TOKENIZER),
+                                    tokenizer_path(PIECE_TOKENIZER))
+
+
 @query("pipeline")
 def pipeline(spark, folder):
     import corpus_pipeline
