@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vectide.llm import (
-    bpe, crosstok, decontaminate, licenses, linededup, nndescent, pii, quality, secretscan, simhash, substrings,
+    bpe, crosstok, decontaminate, licenses, linededup, merkle, nndescent, pii, quality, secretscan, simhash, substrings,
 )
 from vectide.llm.shared import table
 from vectide.plans.registry import query
@@ -128,6 +128,59 @@ def op11(spark, folder):
                                     tokenizer_path(PIECE_TOKENIZER))
 
 
+@query("op12_merkle", r"""
+WITH RECURSIVE fields AS (
+    SELECT doc_id, lang, n_chars,
+           CASE WHEN doc_id IS NULL THEN '-' ELSE strlen(doc_id::VARCHAR) || ':' || doc_id END ||
+           CASE WHEN source IS NULL THEN '-' ELSE strlen(source) || ':' || source END ||
+           CASE WHEN lang IS NULL THEN '-' ELSE strlen(lang) || ':' || lang END AS head,
+           CASE WHEN text IS NULL THEN '-' ELSE strlen(text) || ':' || text END AS tail FROM documents),
+summed AS (  -- CRC-32 of the decimal doc_id, bit by bit; -1 stands for one shift
+    SELECT *, xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(
+               string_split(doc_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+           lambda x, y: CASE WHEN y >= 0 THEN xor(x, y) ELSE xor(x >> 1, (x & 1) * 3988292384) END)) AS crc FROM fields),
+leaves AS (
+    SELECT doc_id, lang, sha256(head || CASE WHEN n_chars IS NULL THEN '-' ELSE strlen(n_chars::VARCHAR) || ':' || n_chars END || tail) AS h,
+           CASE WHEN n_chars IS NOT NULL AND crc % 7 = 0
+                THEN sha256(head || strlen((n_chars + 1)::VARCHAR) || ':' || (n_chars + 1) || tail) END AS changed FROM summed),
+placed AS (
+    SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, h) - 1 AS p, count(*) OVER (PARTITION BY lang) AS n FROM leaves),
+nodes AS (
+    SELECT 0 AS level, lang, p, n, h, lead(h) OVER (PARTITION BY lang ORDER BY p) AS nxt FROM placed
+    UNION ALL
+    SELECT level, lang, p, n, h, lead(h) OVER (PARTITION BY lang ORDER BY p)
+    FROM (SELECT level + 1 AS level, lang, p // 2 AS p, (n + 1) // 2 AS n, sha256(h || coalesce(nxt, '')) AS h
+          FROM nodes WHERE n > 1 AND p % 2 = 0)),
+langs AS (
+    SELECT lang, h, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS p, count(*) OVER () AS n FROM nodes WHERE n = 1),
+upper AS (
+    SELECT 0 AS level, p, n, h, lead(h) OVER (ORDER BY p) AS nxt FROM langs
+    UNION ALL
+    SELECT level, p, n, h, lead(h) OVER (ORDER BY p)
+    FROM (SELECT level + 1 AS level, p // 2 AS p, (n + 1) // 2 AS n, sha256(h || coalesce(nxt, '')) AS h
+          FROM upper WHERE n > 1 AND p % 2 = 0)),
+low AS (
+    SELECT 0 AS level, lang, p AS leaf_p, p, n, '' AS proof, coalesce(changed, h) AS cur FROM placed
+    UNION ALL
+    SELECT low.level + 1, low.lang, leaf_p, low.p // 2, (low.n + 1) // 2, proof || coalesce(s.h, ''),
+           CASE WHEN low.p % 2 = 1 THEN sha256(s.h || cur) ELSE sha256(cur || coalesce(s.h, '')) END
+    FROM low LEFT JOIN nodes s ON s.level = low.level AND s.lang IS NOT DISTINCT FROM low.lang AND s.p = xor(low.p, 1)
+    WHERE low.n > 1),
+high AS (
+    SELECT 0 AS level, low.lang, leaf_p, langs.p, langs.n, proof, cur FROM low JOIN langs ON langs.lang IS NOT DISTINCT FROM low.lang
+    WHERE low.n = 1
+    UNION ALL
+    SELECT high.level + 1, lang, leaf_p, high.p // 2, (high.n + 1) // 2, proof || coalesce(s.h, ''),
+           CASE WHEN high.p % 2 = 1 THEN sha256(s.h || cur) ELSE sha256(cur || coalesce(s.h, '')) END
+    FROM high LEFT JOIN upper s ON s.level = high.level AND s.p = xor(high.p, 1) WHERE high.n > 1)
+SELECT doc_id, placed.h AS leaf, langs.h AS subroot, upper.h AS root, sha256(proof) AS proof_sha256, cur AS folded_root,
+       cur = upper.h AS verified
+FROM placed JOIN high ON high.lang IS NOT DISTINCT FROM placed.lang AND leaf_p = placed.p AND high.n = 1
+JOIN langs ON langs.lang IS NOT DISTINCT FROM placed.lang, upper WHERE upper.n = 1""")
+def op12(spark, folder):
+    return merkle.manifest(table(spark, folder, "documents"))
+
+
 @query("pipeline")
 def pipeline(spark, folder):
     import corpus_pipeline
