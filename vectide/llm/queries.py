@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vectide.llm import (
-    bpe, crosstok, decontaminate, licenses, linededup, merkle, nndescent, pii, quality, secretscan, simhash, substrings,
+    bpe, crosstok, decontaminate, licenses, linededup, merkle, nndescent, pii, quality, secretscan, simhash, substrings, warc,
 )
 from vectide.llm.shared import table
 from vectide.plans.registry import query
+from vectide.session import new_folder
 
 TOKENIZER = "word_bpe_49k.json"
 BYTE_TOKENIZER, PIECE_TOKENIZER = "byte_bpe_50k.json", "piece_bpe_32k.model"
@@ -181,6 +182,19 @@ def op12(spark, folder):
     return merkle.manifest(table(spark, folder, "documents"))
 
 
+@query("op13_warc", r"""
+WITH rows AS (SELECT page_id, sha1(coalesce(html, '')) AS h, strlen(coalesce(html, ''))::BIGINT AS n FROM pages),
+held AS (SELECT *, max(page_id) OVER (PARTITION BY h, n) AS holder FROM rows)
+SELECT page_id, n AS payload_bytes, array_to_string(list_transform(range(0, 32), lambda i: substr(
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, 5 * (i // 4) + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31) + 1, 1)), '')
+           AS payload_digest,
+       CASE WHEN page_id < holder THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id < holder THEN holder END AS refers_to
+FROM held""")
+def op13(spark, folder):
+    return warc.round_trip(table(spark, folder, "pages"), new_folder(spark, "warc"))
+
+
 @query("pipeline")
 def pipeline(spark, folder):
     import corpus_pipeline
