@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vectide.llm import bpe, decontaminate, linededup, nearcopies, quality
+from vectide.llm import bpe, decontaminate, linededup, quality, simhash
 from vectide.llm.queries import tokenizer_path
 from vectide.llm.shared import kept, table
 from vectide.session import apply_settings
@@ -32,8 +32,8 @@ def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose texts share 0.8 or more of their five-word runs, also by way of others."""
-    return nearcopies.keep_one(docs)
+    """One document of each group whose fingerprints are linked: four-word shingles, four bits of 64 at most."""
+    return simhash.keep_one(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
