@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from vectide.operators import access
 from vectide.plans import views
+from vectide.sources import commitlog
 from vectide.streaming import jobs
 
 FOLDER = "/root/testdata/sf0.001"
@@ -90,14 +91,16 @@ def test_upsert_over_batches(spark, log_files, tmp_path):
     from vectide.operators.store import upsert_store
 
     base = str(tmp_path)
-    writes = views.writes_of(_stream(spark, log_files), views.embeddings(spark, FOLDER))
-    jobs.stream_upsert(writes, f"{base}/d", f"{base}/c", views.DIM).awaitTermination()
     store = views.store(spark, FOLDER)
-    deltas = jobs.read_batches(spark, f"{base}/d").drop("batch").withColumn("access_count", F.lit(1))
+    log = commitlog.StoreLog(spark, f"{base}/d", tie="write_id")
+    log.write(store.withColumn("shard", F.col("embedding_id") % 5))
+    writes = views.writes_of(_stream(spark, log_files), views.embeddings(spark, FOLDER))
+    place = lambda rows: rows.withColumn("shard", F.col("embedding_id") % 5)
+    jobs.stream_upsert(writes, log, place, f"{base}/c", views.DIM, fold_after=2).awaitTermination()
     want = upsert_store(store, views.incoming(spark, FOLDER), views.DIM)
     columns = ["embedding_id", "model_name", "created_at", "ttl_seconds"]
-    got = jobs.current_store(store, deltas).select(columns)
-    assert sorted(map(str, got.collect())) == sorted(map(str, want.select(columns).collect()))
+    assert log.state().version > 2 and len(log.state().deltas) < 2
+    assert sorted(map(str, log.read().select(columns).collect())) == sorted(map(str, want.select(columns).collect()))
 
 
 def test_lookup_with_fallback_over_batches(spark, log_files, tmp_path):

@@ -13,7 +13,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from vectide.functions.keys import cache_key
-from vectide.operators.similarity import similar_topk
+from vectide.operators.similarity import RANK_DIGITS, similar_topk
+from vectide.operators.store import effective_threshold
 from vectide.session import cut_lineage
 
 
@@ -47,28 +48,34 @@ def batch_lookup(requests: DataFrame, store: DataFrame, key: str = "embedding_id
 
 
 def lookup_with_fallback(requests: DataFrame, store: DataFrame, vectors: DataFrame, threshold: float,
-                         key: str = "embedding_id", **how) -> DataFrame:
+                         key: str = "embedding_id", own_threshold: str = "threshold", flag: str = "enable_fallback",
+                         **how) -> DataFrame:
     """Exact hit, else the most similar stored entry at or above the threshold, else not found.
 
-    `vectors` gives the query vector per key. The search runs once per distinct missing key, in one pass
-    over the store; its answers are joined back to the requests.
+    A request may bring its own threshold (null or not above zero: the default) and a flag that turns the
+    fallback off (null: on), in columns of these names. `vectors` gives the query vector per key. The search runs
+    once per distinct missing key, at the lowest threshold asked for it, in one pass over the store; its best
+    match answers each request whose threshold it reaches, as rounded to nine digits.
     """
-    asked = requests.select(key).distinct()
+    bar = effective_threshold(F.col(own_threshold), threshold) if own_threshold in requests.columns else F.lit(threshold)
+    wanted = F.coalesce(F.col(flag), F.lit(True)) if flag in requests.columns else F.lit(True)
+    # read for the hits, for the misses and, by the search, for its size
+    asked = cut_lineage(requests.groupBy(key).agg(F.min(F.when(wanted, bar)).alias("_least")))
     stored = store.select(key, F.lit(True).alias("_hit"))
-    missing = asked.join(stored, key, "left_anti")
+    missing = asked.filter(F.col("_least").isNotNull()).join(stored, key, "left_anti")
     queries = missing.join(vectors.select(key, "embedding"), key).select(
-        F.col(key).alias("query_id"), F.col("embedding").alias("query_vec"))
-    nearest = similar_topk(store, queries, 1, threshold, **how).select(
-        F.col("query_id").alias(key), F.col(key).alias("matched_key"),
-        F.col("similarity").alias("similarity_score"), F.lit(True).alias("similarity_match"))
+        F.col(key).alias("query_id"), F.col("embedding").alias("query_vec"), F.col("_least").alias("threshold"))
+    nearest = similar_topk(store, queries, 1, None, **how).select(
+        F.col("query_id").alias(key), F.col(key).alias("_matched"), F.col("similarity").alias("_score"))
     exact = asked.join(stored, key, "left_semi").select(
-        key, F.col(key).alias("matched_key"), F.lit(None).cast("double").alias("similarity_score"),
-        F.lit(False).alias("similarity_match"))
+        key, F.col(key).alias("_matched"), F.lit(None).cast("double").alias("_score"))
     answers = exact.unionByName(nearest)
-    return requests.join(answers, key, "left").select(
-        *requests.columns, "matched_key", "similarity_score",
-        F.col("matched_key").isNotNull().alias("found"),
-        F.coalesce("similarity_match", F.lit(False)).alias("similarity_match"))
+    good = F.col("_score").isNull() | (F.col("_wanted") & (F.col("_score") >= F.round(F.col("_bar"), RANK_DIGITS)))
+    joined = requests.withColumns({"_bar": bar, "_wanted": wanted}).join(answers, key, "left")
+    return joined.select(
+        *requests.columns, F.when(good, F.col("_matched")).alias("matched_key"),
+        F.when(good, F.col("_score")).alias("similarity_score"),
+        (good & F.col("_matched").isNotNull()).alias("found"), (good & F.col("_score").isNotNull()).alias("similarity_match"))
 
 
 def orphan_index_entries(index: DataFrame, store: DataFrame, key: str = "embedding_id") -> DataFrame:

@@ -150,31 +150,44 @@ def _query_head(queries: DataFrame, dim: int, max_queries: int) -> tuple[pa.Tabl
     return head, head.num_rows <= most
 
 
-def _score_broadcast(store: DataFrame, query_table: pa.Table, schema: str, k: int | None,
-                     skip_self: bool, cell_of: CellOf | None = None, cells_of: CellOf | None = None) -> DataFrame:
+def visitors_of(visits: np.ndarray) -> dict[int, np.ndarray]:
+    """The queries (by position) that visit each cell; `visits` has a row of cell numbers for each query."""
+    if not visits.size:
+        return {}
+    asking = np.repeat(np.arange(len(visits)), visits.shape[1])[np.argsort(visits, axis=None, kind="stable")]
+    numbers, starts = np.unique(np.sort(visits, axis=None), return_index=True)
+    return dict(zip(numbers.tolist(), np.split(asking, starts[1:])))
+
+
+def _score_broadcast(store: DataFrame, query_table: pa.Table, schema: str, k: int | None, skip_self: bool,
+                     cell_of: CellOf | None = None, cells_of: CellOf | None = None) -> DataFrame:
     """Scores each Arrow batch of the store against all queries or, with cell functions, each cell's rows
     in the batch against the queries that visit the cell."""
-    query_ids, queries, bars = _asked(query_table)
-    visitors: dict[int, np.ndarray] = {}
-    if cells_of is not None and len(queries):
-        visits = cells_of(queries)
-        cells = np.repeat(np.arange(len(queries)), visits.shape[1])[np.argsort(visits, axis=None, kind="stable")]
-        numbers, starts = np.unique(np.sort(visits, axis=None), return_index=True)
-        visitors = dict(zip(numbers.tolist(), np.split(cells, starts[1:])))
-    shared = store.sparkSession.sparkContext.broadcast((query_ids, queries, bars, visitors))
+    asked = _asked(query_table)
+    visitors = visitors_of(cells_of(asked[1])) if cells_of is not None and len(asked[1]) else {}
+    return score_visitors(store, asked, visitors, schema, k, skip_self, cell_of)
+
+
+def score_visitors(store: DataFrame, asked: tuple[pa.Array, np.ndarray, np.ndarray], visitors: dict[int, np.ndarray],
+                   schema: str, k: int | None, skip_self: bool, cell_of: CellOf | None = None) -> DataFrame:
+    """As `_score_broadcast`, with the visitors of each cell. Rows bring their `cell` if `cell_of` is not given
+    and there are visitors; without either all queries meet all rows."""
+    shared = store.sparkSession.sparkContext.broadcast((*asked, visitors))
+    stored = cell_of is None and "cell" in store.columns
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query_ids, queries, bars, visitors = shared.value
         floor = _no_floor(queries)
         for batch in batches:
-            ids, vectors = _unit(batch.column(0), batch.column(1))
+            rows, vectors = _unit(pa.array(np.arange(batch.num_rows)), batch.column(1))
+            ids = batch.column(0).take(rows)
             if not len(ids) or not len(query_ids):
                 continue
-            if cell_of is None:
+            if cell_of is None and not stored:
                 found = _best(query_ids, ids, queries, vectors, bars, k, skip_self, floor)
                 yield from _matches(query_ids, ids, found)
                 continue
-            cells = cell_of(vectors)
+            cells = batch.column(2).take(rows).to_numpy() if stored else cell_of(vectors)
             for cell in np.unique(cells).tolist():
                 asked, rows = visitors.get(cell), np.flatnonzero(cells == cell)
                 if asked is None:
@@ -184,7 +197,7 @@ def _score_broadcast(store: DataFrame, query_table: pa.Table, schema: str, k: in
                 yield from _matches(some_queries, some_ids, found)
                 floor[asked] = bar
 
-    return store.select("embedding_id", "embedding").mapInArrow(score, schema)
+    return store.select("embedding_id", "embedding", *(["cell"] if stored else [])).mapInArrow(score, schema)
 
 
 def pick_pivots(store: DataFrame, n: int) -> np.ndarray:
@@ -325,7 +338,8 @@ def _score_cells(store: DataFrame, queries: DataFrame, sizes: dict[int, int], sc
         return F.explode(F.sequence(F.lit(0), blocks - 1))
 
     parts, strips = blocks_of(sizes), blocks_of(visitors)
-    left = store.filter(strips > 0).select(
+    # where `cell` is a folder the first condition prunes the scan
+    left = store.filter(F.col("cell").isin(sorted(visitors)) & (strips > 0)).select(
         "embedding_id", "embedding", *extra, "cell", one_of("embedding_id", parts).alias("part"), each_of(strips).alias("strip"))
     right = visits.filter(parts > 0).select(
         "query_id", "query_vec", "bar", *extra, "cell", each_of(parts).alias("part"), one_of("query_id", strips).alias("strip"))
@@ -367,6 +381,16 @@ def scored_pairs(store: DataFrame, queries: DataFrame, threshold: float | None,
     celled, pivots, radii, sizes = _cells(store, n_pivots)
     if not len(pivots):
         return store.sparkSession.createDataFrame([], schema)
+    return search_cells(celled, queries, pivots, radii, sizes, schema, k, skip_self, block_rows)
+
+
+def search_cells(celled: DataFrame, queries: DataFrame, pivots: np.ndarray, radii: np.ndarray, sizes: np.ndarray,
+                 schema: str, k: int | None, skip_self: bool, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Exact matches of `queries` (query_id, query_vec, bar) among store rows with `cell`, by blocks.
+
+    `radii` and `sizes` are the largest angle to the pivot and the rows of each cell. Cells that no query can
+    need are left out; they are not even read where `cell` is a folder.
+    """
     counts = dict(enumerate(sizes.tolist()))
     score = _match_blocks(k, skip_self)
     if k is None:

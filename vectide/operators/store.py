@@ -67,16 +67,20 @@ def latest_per_id(rows: DataFrame, key: str = "embedding_id", newest: str = "cre
     return picked.select(key, "_row.*").select(*rows.columns)
 
 
-def _settle(store: DataFrame, writes: DataFrame, key: str, tie: str | None) -> DataFrame:
+def few_keys(rows: DataFrame, key: str) -> DataFrame:
+    """The keys of `rows`, marked for a broadcast if there are (counted) at most BROADCAST_KEYS."""
+    keys = rows.select(key)
+    return F.broadcast(keys) if keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else keys
+
+
+def settle(store: DataFrame, writes: DataFrame, key: str, tie: str | None) -> DataFrame:
     """The store after `writes` (one per key): only rows of written keys are compared, all others pass as they are.
 
     Up to BROADCAST_KEYS written keys (counted) are broadcast, so the store is not shuffled; beyond that the
     joins shuffle. The store has one row per key, as each writer here leaves it.
     """
     writes = cut_lineage(writes)  # read three times
-    keys = writes.select(key)
-    if keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
-        keys = F.broadcast(keys)
+    keys = few_keys(writes, key)
     old = store.join(keys, key, "left_semi").withColumn("_write", F.lit(0))
     both = old.unionByName(writes.withColumn("_write", F.lit(1)), allowMissingColumns=True)
     order = "_write"
@@ -86,17 +90,23 @@ def _settle(store: DataFrame, writes: DataFrame, key: str, tie: str | None) -> D
     return store.join(keys, key, "left_anti").unionByName(settled)
 
 
-def upsert_store(store: DataFrame, incoming: DataFrame, dim: int) -> DataFrame:
-    """The store after writing `incoming`: rejected rows are left out, the newest write of an id wins and a
-    write beats the stored row of equal age. Columns the writer leaves out start at their defaults."""
+def accepted_writes(incoming: DataFrame, dim: int, columns: list[str]) -> DataFrame:
+    """The writes that break no rule; of the store's `columns` those the writer leaves out start at their defaults."""
     good, _ = split_valid(incoming, dim)
     defaults = {"access_count": F.lit(1), "last_accessed": F.col("created_at"),
                 "ttl_seconds": F.lit(None).cast("int")}
     for name, value in defaults.items():
-        if name in store.columns and name not in good.columns:
+        if name in columns and name not in good.columns:
             good = good.withColumn(name, value)
+    return good
+
+
+def upsert_store(store: DataFrame, incoming: DataFrame, dim: int) -> DataFrame:
+    """The store after writing `incoming`: rejected rows are left out, the newest write of an id wins and a
+    write beats the stored row of equal age. See `sources.commitlog` for the same on a store on disk."""
+    good = accepted_writes(incoming, dim, store.columns)
     tie = "write_id" if "write_id" in good.columns else None
-    return _settle(store, latest_per_id(good, tie=tie), "embedding_id", tie)
+    return settle(store, latest_per_id(good, tie=tie), "embedding_id", tie)
 
 
 def bulk_store(entries: DataFrame, dim: int, as_of: Column, ttl_seconds: int | None = None,
@@ -121,7 +131,7 @@ def store_bulk(store: DataFrame, outcome: DataFrame, tie: str) -> tuple[DataFram
     """
     good = outcome.filter("success").drop("success", "error")
     stored = outcome.agg(F.count_if("success").alias("stored"))
-    return _settle(store, latest_per_id(good, "key", tie=tie), "key", None), stored
+    return settle(store, latest_per_id(good, "key", tie=tie), "key", None), stored
 
 
 def metadata_json(store: DataFrame, fields: list[str]) -> DataFrame:

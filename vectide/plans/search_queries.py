@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from vectide.operators import clusters, lookup, similarity
+from vectide.operators import cellindex, clusters, lookup, similarity
+from vectide.operators.store import accepted_writes
 from vectide.plans import views
 from vectide.plans.registry import query
+from vectide.session import cut_lineage, new_folder
 
 THRESHOLD = 0.2  # the test vectors are random, so the defaults of 0.7 and more match nothing but a vector itself
 
@@ -159,9 +161,12 @@ found AS (
   WHERE similarity >= 0.2 AND bit_count(xor(a.signature, b.signature)) <= 2)
 SELECT query_id, embedding_id, round(similarity, 9) AS similarity, rank::INTEGER AS rank, {EXACT_MARK} FROM found f WHERE rank <= 10""")
 def approx_similar_join(spark, folder):
-    store, asked = views.store(spark, folder), views.query_vectors(spark, folder)
-    found = similarity.approx_similar_join(store, asked, THRESHOLD, 10)
-    return _recall(similarity.similar_topk(store, asked, 10, THRESHOLD), found)
+    """Signatures kept as folders of an index: the search reads those within two bits of a query's own."""
+    asked = kept_queries(spark, folder)
+    kept = cellindex.CellIndex(spark, new_folder(spark, "signatures"), views.DIM, planes=True)
+    kept.build(views.store(spark, folder), bits=6)
+    found = kept.probe(asked, 3, 10, THRESHOLD)
+    return _recall(similarity.similar_topk(views.store(spark, folder), asked, 10, THRESHOLD, dim=views.DIM), found)
 
 
 @query("cluster_pruned_search", f"""
@@ -175,11 +180,45 @@ found AS (
   JOIN probed b ON b.query_id = p.query_id AND b.label = r.cluster AND b.nth <= 4 WHERE similarity >= 0.2)
 SELECT query_id, embedding_id, round(similarity, 9) AS similarity, rank::INTEGER AS rank, {EXACT_MARK} FROM found f WHERE rank <= 10""")
 def cluster_pruned_search(spark, folder):
-    store, asked = views.store(spark, folder), views.query_vectors(spark, folder)
+    """Clusters kept as folders of an index: the search reads the four nearest to each query."""
+    asked = kept_queries(spark, folder)
+    kept = _clustered_index(spark, folder)
+    return _recall(kept.search(asked, 10, THRESHOLD), kept.probe(asked, 4, 10, THRESHOLD))
+
+
+def kept_queries(spark, folder):
+    """The query side, computed once: it is read for its size, for its rows and by the search for comparison."""
+    return cut_lineage(views.query_vectors(spark, folder))
+
+
+def _clustered_index(spark, folder):
+    store = views.store(spark, folder)
     _, centres = clusters.centroid_matrix(
         clusters.group_means(store, "similarity_cluster"), "similarity_cluster")
-    found = similarity.cluster_pruned_search(store, asked, centres, 4, 10, THRESHOLD)
-    return _recall(similarity.similar_topk(store, asked, 10, THRESHOLD), found)
+    kept = cellindex.CellIndex(spark, new_folder(spark, "cells"), views.DIM, tie="write_id")
+    kept.build(store, centres)
+    return kept
+
+
+@query("indexed_search", TOPK_SQL.format(threshold=0.2, where="", limit=10))
+def indexed_search(spark, folder):
+    """The exact search from an index kept with the store."""
+    kept = cellindex.CellIndex(spark, new_folder(spark, "cells"), views.DIM)
+    kept.build(views.store(spark, folder))
+    return kept.search(kept_queries(spark, folder), 10, THRESHOLD)
+
+
+@query("indexed_search_after_writes", """
+SELECT query_id, embedding_id, round(similarity, 9) AS similarity, rank::INTEGER AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(similarity, 9) DESC, embedding_id) AS rank FROM (
+    SELECT q.query_id, u.embedding_id, list_cosine_similarity(q.query_vec, u.v) AS similarity
+    FROM query_vectors q, upserted u) WHERE similarity >= 0.2) WHERE rank <= 10""")
+def indexed_search_after_writes(spark, folder):
+    """The exact search after the log's writes went into the cells they belong to."""
+    kept = _clustered_index(spark, folder)
+    writes = accepted_writes(views.incoming(spark, folder), views.DIM, views.store(spark, folder).columns)
+    kept.upsert(writes, "log", 0)
+    return kept.search(kept_queries(spark, folder), 10, THRESHOLD)
 
 
 @query("threshold_sweep", """
@@ -193,7 +232,7 @@ FROM (SELECT unnest([0.1, 0.2, 0.3, 0.4, 0.5]) AS threshold) t,
 GROUP BY t.threshold""")
 def threshold_sweep(spark, folder):
     store = views.store(spark, folder).withColumnRenamed("similarity_cluster", "label")
-    swept = similarity.threshold_sweep(store, views.query_vectors(spark, folder), [0.1, 0.2, 0.3, 0.4, 0.5])
+    swept = similarity.threshold_sweep(store, views.query_vectors(spark, folder), [0.1, 0.2, 0.3, 0.4, 0.5], dim=views.DIM)
     return swept.withColumn("agreement", F.round("agreement", 6))
 
 
@@ -230,10 +269,33 @@ LEFT JOIN (
 def lookup_with_fallback(spark, folder):
     requests = views.access_log(spark, folder).select(F.col("event_id").alias("pos"), "embedding_id")
     vectors = views.embeddings(spark, folder).select(F.col("vec_id").alias("embedding_id"), "embedding")
-    answers = lookup.lookup_with_fallback(requests, views.live_store(spark, folder), vectors, 0.28)
+    answers = lookup.lookup_with_fallback(requests, views.live_store(spark, folder), vectors, 0.28, dim=views.DIM)
     return answers
 
 
+@query("lookup_per_request", """
+SELECT event_id AS pos, embedding_id, CASE WHEN hit THEN embedding_id WHEN good THEN matched END AS matched_key,
+       round(CASE WHEN good THEN similarity END, 9) AS similarity_score, hit OR good AS found, good AS similarity_match
+FROM (
+  SELECT r.event_id, r.embedding_id, l.embedding_id IS NOT NULL AS hit, m.matched, m.similarity,
+         l.embedding_id IS NULL AND r.user_id % 4 <> 0 AND coalesce(
+           round(m.similarity, 9) >= CASE WHEN r.user_id % 3 = 0 THEN 0.35 ELSE 0.28 END, false) AS good
+  FROM access_log r LEFT JOIN live_store l USING (embedding_id)
+  LEFT JOIN (
+    SELECT query_id, matched, similarity FROM (
+      SELECT p.query_id, p.embedding_id AS matched, p.similarity,
+             row_number() OVER (PARTITION BY p.query_id ORDER BY round(p.similarity, 9) DESC, p.embedding_id) AS rank
+      FROM all_pairs p JOIN live_store USING (embedding_id)) WHERE rank = 1) m ON m.query_id = r.embedding_id)""")
+def lookup_per_request(spark, folder):
+    """Requests with a threshold of their own, and some that turn the fallback off."""
+    requests = views.access_log(spark, folder).select(
+        F.col("event_id").alias("pos"), "embedding_id", F.when(F.col("user_id") % 3 == 0, 0.35).alias("threshold"),
+        (F.col("user_id") % 4 != 0).alias("enable_fallback"))
+    vectors = views.embeddings(spark, folder).select(F.col("vec_id").alias("embedding_id"), "embedding")
+    answers = lookup.lookup_with_fallback(requests, views.live_store(spark, folder), vectors, 0.28, dim=views.DIM)
+    return answers.drop("threshold", "enable_fallback")
+
+
 @query("orphan_index_entries", """
 SELECT embedding_id, model_name FROM store WHERE embedding_id NOT IN (SELECT embedding_id FROM live_store)""")
 def orphan_index_entries(spark, folder):

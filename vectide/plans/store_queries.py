@@ -11,7 +11,7 @@ from vectide.plans import views
 from vectide.plans.registry import query
 from vectide.plans.rounding import nudged
 from vectide.session import new_folder
-from vectide.sources import blobs, storefiles
+from vectide.sources import blobs, commitlog, storefiles
 from vectide.sources.tables import load_store as only_dim
 
 LOADED = """SELECT write_id, embedding_id, len(v)::INTEGER AS dims FROM incoming WHERE len(v) = 64"""
@@ -48,12 +48,38 @@ def _entry(table):
         "ttl_seconds", "access_count", nudged(_weighted("embedding"), 6).alias("weighted"))
 
 
+def _logged_store(spark, folder, name):
+    """The store on disk, in shards by cluster, with its commit log."""
+    log = commitlog.StoreLog(spark, new_folder(spark, name), tie="write_id")
+    log.write(sharded(views.store(spark, folder)))
+    return log
+
+
+def sharded(rows):
+    return rows.withColumn("shard", clusters.assign_shard("similarity_cluster", views.SHARDS))
+
+
 @query("upsert_store", UPSERTED)
 def upsert_store(spark, folder):
-    merged = store.upsert_store(views.store(spark, folder), views.incoming(spark, folder), views.DIM)
-    sharded = merged.withColumn("shard", clusters.assign_shard("similarity_cluster", views.SHARDS))
-    path = storefiles.write_store(sharded, new_folder(spark, "store"), 1)
-    return _entry(storefiles.read_store(spark, path))
+    log = _logged_store(spark, folder, "store")
+    log.upsert(sharded(store.accepted_writes(views.incoming(spark, folder), views.DIM, views.store(spark, folder).columns)))
+    return _entry(log.read())
+
+
+@query("store_versions", """
+SELECT 1 AS version, count(*) AS entries, count(DISTINCT label % 6) AS shards FROM vectors UNION ALL
+SELECT 2, count(*), count(DISTINCT similarity_cluster % 6) FROM upserted""")
+def store_versions(spark, folder):
+    """Entries and shards of each version of the store; the writes come as two deltas, folded in at the end."""
+    log = _logged_store(spark, folder, "versions")
+    first = log.state().version
+    writes = sharded(store.accepted_writes(views.incoming(spark, folder), views.DIM, views.store(spark, folder).columns))
+    for batch, part in enumerate((F.col("write_id") % 2 == 0, F.col("write_id") % 2 == 1)):
+        log.append(writes.filter(part), "log", batch)
+    last = log.fold()
+    kept = [log.read(v).select(F.lit(n).alias("version"), "shard") for n, v in ((1, first), (2, last))]
+    return kept[0].union(kept[1]).groupBy("version").agg(
+        F.count(F.lit(1)).alias("entries"), F.countDistinct("shard").alias("shards"))
 
 
 @query("bulk_store", """

@@ -12,7 +12,7 @@ from vectide.plans import views
 from vectide.plans.metrics_queries import WINDOW_RATE
 from vectide.plans.registry import query
 from vectide.plans.rounding import nudged
-from vectide.plans.store_queries import UPSERTED, _entry
+from vectide.plans.store_queries import UPSERTED, _entry, _logged_store, sharded
 from vectide.session import new_folder
 from vectide.streaming import jobs
 
@@ -64,11 +64,11 @@ def stream_lookup(spark, folder):
 
 @query("stream_upsert", UPSERTED)
 def stream_upsert(spark, folder):
-    out, checkpoint = _folders(spark, "upsert")
+    _, checkpoint = _folders(spark, "upsert")
+    log = _logged_store(spark, folder, "store")
     writes = views.writes_of(_log_stream(spark, folder), views.embeddings(spark, folder))
-    jobs.stream_upsert(writes, out, checkpoint, views.DIM).awaitTermination()
-    deltas = jobs.read_batches(spark, out).drop("batch").withColumn("access_count", F.lit(1))
-    return _entry(jobs.current_store(views.store(spark, folder), deltas))
+    jobs.stream_upsert(writes, log, sharded, checkpoint, views.DIM).awaitTermination()
+    return _entry(log.read())
 
 
 @query("stream_route", "SELECT embedding_id, cluster FROM routed")

@@ -22,7 +22,8 @@ from vectide.operators.clusters import route_to_cluster
 from vectide.operators.groups import top_per_group
 from vectide.operators.lookup import batch_lookup, lookup_with_fallback
 from vectide.operators.similarity import ROUTER_THRESHOLD
-from vectide.operators.store import latest_per_id, split_valid
+from vectide.operators.store import accepted_writes
+from vectide.sources.commitlog import FOLD_AFTER, StoreLog
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 LATE_SECONDS = 3600
@@ -87,22 +88,23 @@ def stream_lookup(requests: DataFrame, store: DataFrame | Callable[[SparkSession
     return _start(requests.writeStream.foreachBatch(write), checkpoint, once)
 
 
-def stream_upsert(writes: DataFrame, out: str, checkpoint: str, dim: int, once: bool = True) -> StreamingQuery:
-    """Valid writes of each micro-batch, newest per id, as a delta folder; see `current_store`."""
+def stream_upsert(writes: DataFrame, log: StoreLog, place: Callable[[DataFrame], DataFrame], checkpoint: str, dim: int,
+                  name: str = "stream", fold_after: int = FOLD_AFTER, once: bool = True) -> StreamingQuery:
+    """Valid writes of each micro-batch, newest per id, as a delta in the commit log of the store.
+
+    `place` adds the store's part to the rows. A batch that is run again changes nothing: the log knows the last
+    batch of `name`. Every `fold_after` deltas are folded into the parts they touch.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        good, _ = split_valid(batch, dim)
-        latest_per_id(good, tie="write_id").write.mode("overwrite").parquet(_batch_folder(out, number))
+        good = accepted_writes(batch, dim, log.read().columns)
+        log.append(place(good), name, number)
+        if len(log.state().deltas) >= fold_after:
+            log.fold()
 
     return _start(writes.writeStream.foreachBatch(write), checkpoint, once)
 
 
-def current_store(store: DataFrame, deltas: DataFrame) -> DataFrame:
-    """The base store with all deltas applied; the newest write of an id wins."""
-    both = store.withColumn("write_id", F.lit(-1).cast("long")).unionByName(deltas, allowMissingColumns=True)
-    return latest_per_id(both.select(*store.columns, "write_id"), tie="write_id").drop("write_id")
-
-
 def stream_route(vectors: DataFrame, labels: list[int], centroids: np.ndarray, out: str, checkpoint: str,
                  once: bool = True) -> StreamingQuery:
     """Incoming vectors with the cluster of the nearest centroid; stateless.
