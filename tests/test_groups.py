@@ -221,3 +221,16 @@ def test_pattern_similarity_without_clusters(spark):
     latest = spark.createDataFrame(rows, "embedding_id long, vector_size int, access_frequency long, cluster_id int")
     got = {r["embedding_id"]: r["similarity"] for r in access.pattern_similarity(latest, [1]).collect()}
     assert got == {2: 0.75, 3: 0.55}
+
+
+@pytest.mark.parametrize("n", [1, 2, 5, 7])
+@pytest.mark.parametrize("block_rows", [1, 10, 1000])
+def test_trailing_mean_of_any_length(spark, n, block_rows):
+    values = [1.0, None, float("inf"), 2.0, float("nan"), 1e17, 3.0, -5.0, None, None, None, 7.0, 1e-3, 4.0, 0.5] * 3
+    df = spark.createDataFrame([("k", i + 1, v) for i, v in enumerate(values)] + [(None, 1, 9.0)], "k string, position long, v double")
+    got = {(r["k"], r["position"]): r["m"] for r in groups.trailing_mean(df, "k", "position", "v", n, "m", block_rows).collect()}
+    assert got.pop((None, 1)) == 9.0
+    for i in range(len(values)):
+        frame = [v for v in values[max(0, i - n + 1):i + 1] if v is not None and v == v]
+        want = sum(frame) / len(frame) if frame else None
+        assert got["k", i + 1] == (want if want is None else pytest.approx(want))

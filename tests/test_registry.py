@@ -1,6 +1,9 @@
 """Every registered query runs; those with SQL equal DuckDB on the same files."""
 
 import math
+import os
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -51,3 +54,14 @@ def test_query(spark, duck, name):
 
 def test_entry(spark):
     assert contract.entry(spark).columns == ["query_id", "embedding_id", "similarity", "rank"]
+
+
+def test_entry_without_a_library_of_the_text_operators():
+    """With a package missing the text queries are not there, the others are."""
+    code = ("import sys; sys.modules['xxhash'] = None\n"
+            "import __spark_entry__ as c\n"
+            "assert 'similar_topk' in c.queries() and not any(n.startswith('op') or n == 'pipeline' for n in c.queries())\n"
+            "assert set(c.oracle_sql()) <= set(c.queries())")
+    done = subprocess.run([sys.executable, "-c", code], cwd=os.path.dirname(os.path.abspath(contract.__file__)),
+                          capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0, done.stderr

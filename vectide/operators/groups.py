@@ -92,29 +92,41 @@ def with_previous(df: DataFrame, by: str, ts: str, tie: str, carry: list[str],
 
 def trailing_mean(df: DataFrame, by: str, position: str, value: str, n: int, out: str,
                   block_rows: int = 100_000) -> DataFrame:
-    """Mean of `value` over the row and the n - 1 rows before it in its key.
+    """Mean of `value` over the row and the n - 1 rows before it in its key, in constant work per row.
 
-    `position` numbers the rows of a key from 1 without holes, so a key is cut into blocks of exactly
-    `block_rows`; each block also gets copies of the n rows before it. Each mean is taken over its own
-    rows, so a huge or infinite value is gone once it has left the frame; n is small beside a block.
+    `position` numbers the rows of a key from 1 without holes. Rows are cut into chunks of n: a frame that ends in
+    a chunk is the chunk's rows up to it and the last rows of the chunk before. Both sums run over unbounded frames,
+    one from the left, one from the right, and are added, never subtracted, so a huge or infinite value is gone once
+    it has left the frame. A key is also cut into blocks of about `block_rows` rows, whole chunks; each block gets
+    copies of the chunk before it. Null and NaN do not count; a frame without a number has no mean.
     """
-    if block_rows < n:
-        raise ValueError("block_rows must be at least n")
+    if n < 1:
+        raise ValueError("n must be at least 1")
+    block_rows = -(-block_rows // n) * n
     zero_based = F.col(position) - 1
     own = F.floor(zero_based / F.lit(block_rows)).cast("long")
     needed_next = F.pmod(zero_based, F.lit(block_rows)) >= block_rows - n
-    copies = (
-        df.withColumn("_own", own)
-        .withColumn("_block", F.explode(
-            F.when(needed_next, F.array(F.col("_own"), F.col("_own") + 1))
-            .otherwise(F.array(F.col("_own")))))
-    )
-    frame = Window.partitionBy(by, "_block").orderBy(position).rowsBetween(-(n - 1), 0)
     clean = F.when(~F.isnan(value), F.col(value).cast("double"))
+    copies = df.withColumns({"_own": own, "_chunk": F.floor(zero_based / F.lit(n)).cast("long"), "_value": clean}).withColumn(
+        "_block", F.explode(F.when(needed_next, F.array(F.col("_own"), F.col("_own") + 1)).otherwise(F.array(F.col("_own")))))
+    chunk, upward = Window.partitionBy(by, "_block", "_chunk"), (Window.unboundedPreceding, 0)
+    from_left = chunk.orderBy(position).rowsBetween(*upward)
+    from_right = chunk.orderBy(F.col(position).desc()).rowsBetween(*upward)
+    summed = copies.withColumns({
+        "_right": F.struct(F.sum("_value").over(from_right).alias("sum"), F.count("_value").over(from_right).alias("rows")),
+    }).withColumns({
+        "_sum": F.sum("_value").over(from_left), "_rows": F.count("_value").over(from_left),
+    })
+    # the frame of a chunk's last row is the chunk itself
+    crosses = F.pmod(zero_based, F.lit(n)) != n - 1
+    before = F.when(crosses, F.lag("_right", n - 1).over(Window.partitionBy(by, "_block").orderBy(position)))
     return (
-        copies.withColumn(out, F.avg(clean).over(frame))
+        summed.withColumn("_before", before)
+        .withColumn(out, F.try_divide(
+            F.coalesce("_sum", F.lit(0.0)) + F.coalesce("_before.sum", F.lit(0.0)),
+            F.col("_rows") + F.coalesce("_before.rows", F.lit(0))))
         .filter(F.col("_block") == F.col("_own"))
-        .drop("_own", "_block")
+        .drop("_own", "_block", "_chunk", "_value", "_right", "_sum", "_rows", "_before")
     )
 
 

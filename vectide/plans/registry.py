@@ -37,7 +37,7 @@ def with_views(body: str) -> str:
     return f"WITH RECURSIVE {ctes}{',' if own else ''}\n{body[own.end():] if own else body}"
 
 
-def query(name: str, sql: str | None = None):
+def query(name: str, sql: str | None = None, queries: dict[str, Query] = QUERIES, oracle: dict[str, str] = ORACLE):
     """Registers fn(spark, folder) under `name`; the session gets the UTC and AQE settings first."""
 
     def register(fn: Query) -> Query:
@@ -45,11 +45,11 @@ def query(name: str, sql: str | None = None):
         def run(spark: SparkSession, folder: str) -> DataFrame:
             return fn(apply_settings(spark), folder)
 
-        if name in QUERIES:
+        if name in queries:
             raise ValueError(f"query {name} is registered twice")
-        QUERIES[name] = run
+        queries[name] = run
         if sql is not None:
-            ORACLE[name] = with_views(sql)
+            oracle[name] = with_views(sql)
         return run
 
     return register
