@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
@@ -107,6 +108,11 @@ def test_windows_do_not_change_the_alignment():
     encode_b, pieces_b = crosstok.load_b(PATH_B)
     text = "The naïve word-splitter isn't fooled by 日本語, numbers 12345 or  double  blanks."
     a, b = encode_a(" " + text), encode_b(text)
-    groups, links = crosstok.align(tuple(a), tuple(b), pieces_a, pieces_b)
-    assert [i for g, _ in groups for i in g] == a and [i for _, g in groups for i in g] == b
-    assert len(links) == len(a) + len(b) - len(groups)
+    sizes = [np.array([len(x) for x in pieces]) for pieces in (pieces_a, pieces_b)]
+    key = np.array(a + [i + crosstok.SHIFT for i in b], "<u4").tobytes()
+    texts, groups, link_a, link_b, window = crosstok.align([key, key], *sizes, crosstok.Names(len(pieces_a), len(pieces_b)))
+    assert texts[0] == texts[1] and groups[0] == groups[1] == texts[0].count(";") + 1
+    parts = [g.split("|") for g in texts[0].split(";")]
+    assert [int(i) for g, _ in parts for i in g.split(",")] == a and [int(i) for _, g in parts for i in g.split(",")] == b
+    assert (window == 0).sum() == (window == 1).sum() == len(a) + len(b) - groups[0]
+    assert set(link_a) == set(a) and set(link_b) == set(b)

@@ -2,7 +2,9 @@
 
 Both tokenizers encode the whole text. Where a token of each ends at the same byte and the next token of each
 begins with a blank, the text is cut: no token crosses such an anchor, so what lies between two anchors (a
-window, in prose a word) is aligned for itself, once for each pair of id tuples in a chunk of documents.
+window, in prose a word) is aligned for itself, once for each pair of id tuples in a chunk of documents. The
+distinct windows of a chunk are laid end to end and aligned together: both sides cover the same bytes, so every
+place where a token of either side ends closes one overlap, and every place where both end closes a group.
 
 1. Tasks cut documents into chunks and write each document as positions of its windows, each distinct window
    as positions of the id pairs it links, and each distinct id pair with its count in the chunk. 2. Counts are
@@ -77,11 +79,11 @@ def load_a(path: str):
     import tiktoken
 
     fast = tiktoken.Encoding("own", pat_str=SPLIT, special_tokens={},
-                             mergeable_ranks={piece: n for n, piece in enumerate(pieces) if piece}).encode_ordinary
+                             mergeable_ranks={piece: n for n, piece in enumerate(pieces) if piece})
 
     def ids(text: str) -> list[int]:
         try:
-            return fast(text)
+            return fast.encode_ordinary(text)
         except BaseException as error:  # its panic is no Exception
             if type(error).__name__ != "PanicException":
                 raise
@@ -102,50 +104,51 @@ def load_b(path: str):
     return lambda text: model.encode(text, num_threads=1), pieces
 
 
-def align(a: tuple, b: tuple, pieces_a: list[bytes], pieces_b: list[bytes]):
-    """(groups, links) of two token sequences over the same bytes.
+# Added to ids of B in a window's key, so that a key is one sequence of numbers that names both sides.
+SHIFT = 1 << 24
 
-    A group is the tokens between two places where both sequences end a token; links are the pairs whose
-    byte ranges overlap. One walk: of two tokens that overlap, the one that ends first gives way.
+
+class Names:
+    """Decimal ids with what follows them in a list of groups."""
+
+    def __init__(self, count_a: int, count_b: int):
+        names = [str(n) for n in range(max(count_a, count_b))]
+        self.a = np.array([[n + end for n in names[:count_a]] for end in ",|"], object)
+        self.b = np.array([[n + end for n in names[:count_b]] for end in (",", ";", "")], object)
+
+
+def align(keys: list[bytes], size_a: np.ndarray, size_b: np.ndarray, names: Names):
+    """(groups as text, number of groups) of each window, and (a, b, window) of each link, by window.
+
+    A key holds a window's ids of A, then its ids of B plus SHIFT, as 32-bit numbers. A group is the tokens
+    between two places where both sides end a token; links are the pairs whose byte ranges overlap.
     """
-    groups, links = [], []
-    i = j = first_i = first_j = 0
-    end_a, end_b = len(pieces_a[a[0]]), len(pieces_b[b[0]])
-    while True:
-        links.append((a[i], b[j]))
-        step_a, step_b = end_a <= end_b, end_b <= end_a
-        if step_a and step_b:
-            groups.append((a[first_i:i + 1], b[first_j:j + 1]))
-            first_i, first_j = i + 1, j + 1
-            if first_i == len(a):
-                return groups, links
-        if step_a:
-            i += 1
-            end_a += len(pieces_a[a[i]])
-        if step_b:
-            j += 1
-            end_b += len(pieces_b[b[j]])
-
-
-class _Windows(dict):
-    """Position of each distinct window (ids of A, ids of B) of a chunk; aligns a window when first met."""
-
-    def __init__(self, pieces_a: list[bytes], pieces_b: list[bytes]):
-        super().__init__()
-        self.pieces = pieces_a, pieces_b
-        self.text: list[str] = []
-        self.groups: list[int] = []
-        self.links: list[int] = []
-        self.sizes: list[int] = []
-        self.pairs: dict[tuple[int, int], int] = {}
-
-    def __missing__(self, key: tuple) -> int:
-        groups, links = align(*key, *self.pieces)
-        self.text.append(";".join([f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in groups]))
-        self.groups.append(len(groups))
-        self.sizes.append(len(links))
-        pairs = self.pairs
-        self.links += [pairs.setdefault(link, len(pairs)) for link in links]
+    if not keys:
+        return [], *[np.zeros(0, np.int64)] * 4
+    flat = np.frombuffer(b"".join(keys), "<u4").astype(np.int64)
+    window = np.repeat(np.arange(len(keys)), np.fromiter(map(len, keys), np.int64, len(keys)) // 4)
+    side_a = flat < SHIFT
+    a, b = flat[side_a], flat[~side_a] - SHIFT
+    window_a, window_b = window[side_a], window[~side_a]
+    end_a, end_b = np.cumsum(size_a[a]), np.cumsum(size_b[b])
+    closes_a, closes_b = (x[np.searchsorted(x, y)] == y for x, y in ((end_b, end_a), (end_a, end_b)))
+    ends = np.sort(np.concatenate([end_a, end_b[~closes_b]]), kind="stable")  # two sorted runs
+    at_a, at_b = np.searchsorted(end_a, ends), np.searchsorted(end_b, ends)
+    group_a, group_b = np.cumsum(closes_a) - closes_a, np.cumsum(closes_b) - closes_b
+    last_b = np.append(window_b[1:] != window_b[:-1], True)
+    words = np.concatenate([names.a[closes_a.astype(int), a], names.b[closes_b.astype(int) + last_b, b]])
+    # tokens in the order group, side, place
+    order = np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")
+    words = words[order].tolist()
+    stops = np.cumsum(np.bincount(window, minlength=len(keys))).tolist()
+    texts = ["".join(words[x:y]) for x, y in zip([0, *stops], stops)]
+    return texts, np.bincount(window_a, closes_a, len(keys)).astype(np.int64), a[at_a], b[at_b], window_a[at_a]
+
+
+class _Places(dict):
+    """Position of each distinct window, in the order in which windows are met."""
+
+    def __missing__(self, key: bytes) -> int:
         self[key] = len(self)
         return self[key]
 
@@ -197,36 +200,40 @@ def _code(path_a: str, path_b: str, limit: int):
             if not text:
                 return [], []
             whole, a, b = b" " + data, encode_a(" " + text), encode_b(text)
-            same = b"".join([pieces_a[i] for i in a]) == whole and b"".join([pieces_b[i] for i in b]) == whole
+            same = b"".join(map(pieces_a.__getitem__, a)) == whole and b"".join(map(pieces_b.__getitem__, b)) == whole
             return (a, b) if same else ([], [])
 
+        names = Names(len(pieces_a), len(pieces_b))
         for chunk, rows in chunked(batches, ["doc_id", "text"], "text", limit):
-            windows = _Windows(pieces_a, pieces_b)
-            used: list[np.ndarray] = []
-            out: dict[str, list] = {c: [] for c in ("doc_id", "n_a", "n_b", "n_groups", "groups_sha256", "payload")}
-            for doc_id, text in rows:
+            places, spots, counts = _Places(), [], []
+            for _, text in rows:
                 a, b = tokens(text)
-                spots, digest = [], ""
-                if a:
-                    cut_a, cut_b = anchors(np.array(a), np.array(b), size_a, size_b, blank_a, blank_b)
-                    spots = [windows[tuple(a[i:j]), tuple(b[k:m])] for i, j, k, m in zip(
-                        cut_a, [*cut_a[1:], len(a)], cut_b, [*cut_b[1:], len(b)])]
-                    names = windows.text
-                    digest = hashlib.sha256(";".join([names[s] for s in spots]).encode()).hexdigest()
-                    used.append(np.array(spots, np.uint32))
-                groups = windows.groups
-                for name, value in zip(out, (doc_id, len(a), len(b), sum([groups[s] for s in spots]), digest,
-                                             _pack(np.array(spots, np.uint32)))):
-                    out[name].append(value)
-            yield _rows({"chunk": chunk, "kind": "text", **out})
-            if windows:
-                links, sizes = np.array(windows.links, np.int64), np.array(windows.sizes, np.int64)
-                uses = np.repeat(np.bincount(np.concatenate(used), minlength=len(windows)), sizes)
-                counts = np.bincount(links, uses, len(windows.pairs)).astype(np.int64)  # exact below 2 ** 53
+                counts.append((len(a), len(b)))
+                if not a:
+                    spots.append(np.zeros(0, np.uint32))
+                    continue
+                a, b = np.array(a, np.uint32), np.array(b, np.uint32)
+                cut_a, cut_b = anchors(a, b, size_a, size_b, blank_a, blank_b)
+                a, b = a.tobytes(), (b + np.uint32(SHIFT)).tobytes()
+                cut_a, cut_b = [4 * x for x in cut_a], [4 * x for x in cut_b]
+                spots.append(np.array([places[a[i:j] + b[k:m]] for i, j, k, m in zip(
+                    cut_a, [*cut_a[1:], len(a)], cut_b, [*cut_b[1:], len(b)])], np.uint32))
+            texts, groups, link_a, link_b, window = align(list(places), size_a, size_b, names)
+            digests = [hashlib.sha256(";".join([texts[s] for s in part.tolist()]).encode()).hexdigest() if len(part) else ""
+                       for part in spots]
+            n_a, n_b = (np.array(c, np.int64) for c in zip(*counts))
+            yield _rows({"chunk": chunk, "kind": "text", "doc_id": [i for i, _ in rows], "n_a": n_a, "n_b": n_b,
+                         "n_groups": [int(groups[part].sum()) for part in spots], "groups_sha256": digests,
+                         "payload": [_pack(part) for part in spots]})
+            if places:
+                pairs, links = np.unique(link_a << 32 | link_b, return_inverse=True)
+                sizes = np.bincount(window, minlength=len(places))
+                uses = np.bincount(np.concatenate(spots), minlength=len(places))
+                count = np.bincount(links, uses[window], len(pairs)).astype(np.int64)  # exact below 2 ** 53
                 yield _rows({"chunk": chunk, "kind": "windows", "payload": [
                     _pack(np.concatenate([[len(sizes)], sizes, links]))]})
-                yield _rows({"chunk": chunk, "kind": "pair", "place": np.arange(len(counts)), "n": counts, **{
-                    side: np.array([p[x] for p in windows.pairs]) for x, side in enumerate("ab")}})
+                yield _rows({"chunk": chunk, "kind": "pair", "place": np.arange(len(pairs)), "n": count,
+                             "a": pairs >> 32, "b": pairs & 0xFFFFFFFF})
 
     return run
 
