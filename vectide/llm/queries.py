@@ -8,9 +8,17 @@ from vectide.llm import (
     bpe, crosstok, decontaminate, licenses, linededup, merkle, nndescent, pii, quality, secretscan, simhash, substrings, warc,
 )
 from vectide.llm.shared import table
-from vectide.plans.registry import query
+from vectide.plans.registry import query as _register
 from vectide.session import new_folder
 
+TEXT_QUERIES, TEXT_ORACLE = {}, {}
+
+
+def query(name: str, sql: str | None = None):
+    """Registers in tables of its own, so that a module that cannot be imported leaves no query behind."""
+    return _register(name, sql, TEXT_QUERIES, TEXT_ORACLE)
+
+
 TOKENIZER = "word_bpe_49k.json"
 BYTE_TOKENIZER, PIECE_TOKENIZER = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
