@@ -89,11 +89,11 @@ def test_newest(log, n):
     assert got == set(pdf["event_id"].tail(n))
 
 
-@pytest.mark.parametrize("accuracy", [50, 100_000])
-def test_order_statistics(log, accuracy):
+@pytest.mark.parametrize("list_rows", [0, 3, 100_000])
+def test_order_statistics(log, list_rows):
     frame, pdf = log
     shares = {"p0": 0.0, "p50": 0.5, "p95": 0.95, "p99": 0.99, "p100": 1.0}
-    got = groups.order_statistics(frame, "latency_ms", shares, ["embedding_id"], accuracy)
+    got = groups.order_statistics(frame, "latency_ms", shares, ["embedding_id"], list_rows=list_rows)
     for row in got.collect():
         values = np.sort(pdf[pdf["embedding_id"] == row["embedding_id"]]["latency_ms"])
         for name, share in shares.items():
@@ -102,7 +102,29 @@ def test_order_statistics(log, accuracy):
 
 def test_order_statistics_of_one_repeated_value(spark):
     frame = spark.range(1000).select(F.lit(0).alias("g"), F.when(F.col("id") < 990, 7.0).otherwise(9.0).alias("v"))
-    assert groups.order_statistics(frame, "v", {"a": 0.95, "b": 0.99}, ["g"], 100).first()[1:] == (7.0, 9.0)
+    for list_rows in (0, 100, 10_000):
+        assert groups.order_statistics(frame, "v", {"a": 0.95, "b": 0.99}, ["g"], list_rows=list_rows).first()[1:] == (7.0, 9.0)
+
+
+def test_order_statistics_of_all_kinds_of_numbers(spark):
+    """Signs, zeros, infinities, subnormal and close values, in one group of all rows and in groups with null."""
+    rnd = np.random.default_rng(1)
+    values = np.concatenate([rnd.standard_normal(500) * 10.0 ** rnd.integers(-300, 300, 500), [0.0, -0.0, np.inf, -np.inf, 5e-324],
+                             1.0 + np.arange(300) * 2.0 ** -52, np.full(400, -3.5)]).tolist() + [None, float("nan")]
+    frame = spark.createDataFrame([(i % 2 or None, v) for i, v in enumerate(values)], "g int, v double")
+    shares = {f"p{i}": i / 20 for i in range(21)}
+
+    def want(part):
+        part = sorted(v for v in part if v is not None and v == v)
+        return [part[min(int(s * len(part)), len(part) - 1)] for s in shares.values()]
+
+    for list_rows in (0, 50, 10_000):
+        got = groups.order_statistics(frame, "v", shares, [], list_rows=list_rows, extra=[F.count("*").alias("n")]).collect()
+        assert list(got[0])[:-1] == want(values) and got[0]["n"] == len(values) - 2 and len(got) == 1
+        got = {r["g"]: list(r)[1:] for r in groups.order_statistics(frame, "v", shares, ["g"], list_rows=list_rows).collect()}
+        assert got == {g: want(values[1 - (g is None)::2]) for g in (1, None)}
+    empty = groups.order_statistics(frame.limit(0), "v", {"a": 0.5}, [])
+    assert empty.collect()[0]["a"] is None and groups.order_statistics(frame.limit(0), "v", {"a": 0.5}, ["g"]).count() == 0
 
 
 def _hits(pdf, ttl_seconds):

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from vectide.session import cut_lineage
@@ -130,73 +132,73 @@ def trailing_mean(df: DataFrame, by: str, position: str, value: str, n: int, out
     )
 
 
+# Bits settled in a round of `order_statistics`: a group has at most 2 ** RADIX_BITS counts in it.
+RADIX_BITS = 16
+# Values of a group that are put in order as one list; with more left another round follows.
+LIST_ROWS = 10_000
+
+
+def _sortable(value: str) -> Column:
+    """The bits of a double as a long that sorts like it; -0.0 counts as 0.0."""
+
+    @F.arrow_udf("long")
+    def bits(values: pa.Array) -> pa.Array:
+        raw = (values.to_numpy(zero_copy_only=False) + 0.0).view(np.int64)
+        return pa.array(raw ^ ((raw >> 63) & np.int64(0x7FFFFFFFFFFFFFFF)))
+
+    return bits(value)
+
+
 def order_statistics(df: DataFrame, value: str, shares: dict[str, float], by: list[str],
-                     accuracy: int = 100_000, extra: list[Column] | None = None) -> DataFrame:
-    """Exact order statistics: for each group the value at 0-based index floor(share * n).
+                     extra: list[Column] | None = None, list_rows: int = LIST_ROWS) -> DataFrame:
+    """Exact order statistics: for each group the value at 0-based index floor(share * n), the last one for share 1.
 
-    `extra` are aggregates over the group's rows with a value, taken in the same first pass. Without
-    groups the bracket is one row; it is fetched, and its bounds enter the plan as literals.
+    Null and NaN do not count; a group without a value has no row, an empty table without groups one of nulls.
+    `extra` are aggregates over the group's rows with a value.
 
-    A mergeable sketch brackets each index between two values; only the rows inside the bracket
-    (a few n / accuracy) are ordered, and rows below it are just counted. No group is sorted whole.
+    Radix selection on the bits of the doubles. A round counts the rows by their next RADIX_BITS bits, combined
+    before the shuffle, and keeps for each share the one prefix that holds its index. At most four rounds
+    settle all bits; earlier, a prefix of up to `list_rows` rows (counted) is put in order as a list. No group is
+    sorted whole, and no task holds more of one than its counts.
     """
-    extra = extra or []
-    clean = df.withColumn("_value", F.col(value).cast("double")).filter(
-        F.col("_value").isNotNull() & ~F.isnan("_value"))
-    rows = clean.select(*by, "_value")
-    slack = 4.0 / accuracy
-    cuts = []
-    for share in shares.values():
-        cuts += [max(0.0, share - slack), min(1.0, share + slack)]
-    first_pass = clean.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.percentile_approx("_value", cuts, accuracy).alias("_cuts"), *extra,
-    )
-    if by:
-        # one row per group, read twice below
-        first_pass = cut_lineage(first_pass)
-    if by:
-        bracketed = rows.join(first_pass.select(*by, "_n", "_cuts"), by)
-        n, cut = F.col("_n"), [F.col("_cuts")[i] for i in range(len(cuts))]
-    else:
-        known = first_pass.first()
-        n = F.lit(known["_n"])
-        cut = [F.lit(value).cast("double") for value in known["_cuts"] or [None] * len(cuts)]
-        bracketed = rows
-    wanted = F.array(*[
-        F.struct(
-            F.lit(name).alias("name"),
-            # the last index when share is 1
-            F.least(F.floor(F.lit(share) * n), n - 1).alias("index"), cut[2 * i].alias("low"),
-            (F.lit(float("inf")) if share + slack >= 1.0 else cut[2 * i + 1]).alias("high"),
-        )
-        for i, (name, share) in enumerate(shares.items())
-    ])
-    tagged = (
-        bracketed.withColumn("_want", F.explode(wanted))
-        .filter(F.col("_value") <= F.col("_want.high"))
-        .select(*by, F.col("_want.name").alias("_name"), F.col("_want.index").alias("_index"),
-                # null stands for "below the bracket"
-                F.when(F.col("_value") >= F.col("_want.low"), F.col("_value")).alias("_value"))
-    )
-    counted = tagged.groupBy(*by, "_name", "_index", "_value").agg(F.count(F.lit(1)).alias("_rows"))
-    order = Window.partitionBy(*by, "_name").orderBy(F.col("_value").asc_nulls_first())
-    reached = F.sum("_rows").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    there = F.col("_reached") > F.col("_index")
-
-    def pick(name: str) -> Column:
-        mine = F.col("_name") == name
-        value = F.min(F.when(mine & there, F.col("_value")))
-        # the sketch's error bound rules both out; a wrong value must not pass in silence all the same
-        too_low = F.coalesce(F.bool_or(mine & there & F.col("_value").isNull()), F.lit(False))
-        missed = too_low | (value.isNull() & (F.count(F.lit(1)) > 0))
-        return F.when(missed, F.raise_error(F.lit(f"{name} is outside its bracket"))).otherwise(value).alias(name)
-
-    picked = counted.withColumn("_reached", reached).groupBy(*by).agg(*[pick(name) for name in shares])
-    if not extra:
-        return picked
-    totals = first_pass.drop("_n", "_cuts")
-    return picked.join(totals, by) if by else one_row(picked, totals)
+    clean = df.withColumn("_value", F.col(value).cast("double")).filter(F.col("_value").isNotNull() & ~F.isnan("_value"))
+    # a struct equals another also where both hold null
+    group = F.struct(*[F.col(c) for c in by]) if by else F.struct(F.lit(0).alias("none"))
+    rows = clean.select(group.alias("_g"), "_value").withColumn("_bits", _sortable("_value"))
+    shift = 64 - RADIX_BITS
+    counts = cut_lineage(rows.groupBy("_g", F.shiftright("_bits", shift).alias("_prefix")).agg(F.count(F.lit(1)).alias("_rows")))
+    sizes = counts.groupBy("_g").agg(F.sum("_rows").alias("_n"))
+    index = F.array(*[F.struct(F.lit(name).alias("name"), F.least(
+        F.floor(F.lit(share) * F.col("_n")).cast("long"), F.col("_n") - 1).alias("index")) for name, share in shares.items()])
+    wanted = sizes.select("_g", F.explode(index).alias("_w")).select("_g", "_w.name", "_w.index")
+    run = Window.partitionBy("_g", "name").orderBy("_prefix").rowsBetween(Window.unboundedPreceding, 0)
+    while True:
+        reached = (counts.join(wanted, "_g") if "name" not in counts.columns else counts.join(wanted, ["_g", "name"])).withColumn(
+            "_upto", F.sum("_rows").over(run))
+        # at most one row for each group and share
+        wanted = cut_lineage(reached.filter((F.col("_upto") > F.col("index")) & (F.col("_upto") - F.col("_rows") <= F.col("index"))).select(
+            "_g", "name", (F.col("index") - F.col("_upto") + F.col("_rows")).alias("index"), "_prefix", "_rows"))
+        inside = rows.withColumn("_prefix", F.shiftright("_bits", shift)).join(
+            wanted.select("_g", "_prefix", "name"), ["_g", "_prefix"]).drop("_prefix")
+        most = wanted.agg(F.max("_rows")).first()[0] or 0
+        if most <= list_rows or not shift:
+            break
+        shift -= RADIX_BITS
+        counts = inside.groupBy("_g", "name", F.shiftright("_bits", shift).alias("_prefix")).agg(F.count(F.lit(1)).alias("_rows"))
+        wanted = wanted.drop("_prefix", "_rows")
+    if shift:
+        found = inside.groupBy("_g", "name").agg(F.array_sort(F.collect_list("_value")).alias("_values")).join(
+            wanted, ["_g", "name"]).select("_g", "name", F.get("_values", F.col("index").cast("int")).alias("_value"))
+    else:  # all bits are settled, so the rows of a prefix are one value
+        found = inside.groupBy("_g", "name").agg(F.min("_value").alias("_value"))
+    picked = found.groupBy("_g").agg(*[F.max(F.when(F.col("name") == name, F.col("_value"))).alias(name) for name in shares])
+    if not by:
+        picked = picked.agg(*[F.max(name).alias(name) for name in shares])
+        return one_row(picked, clean.agg(*extra)) if extra else picked
+    if extra:
+        totals = clean.groupBy(group.alias("_g")).agg(*extra)
+        picked = picked.join(totals, "_g")
+    return picked.select(*[F.col(f"_g.{c}") for c in by], *[c for c in picked.columns if c != "_g"])
 
 
 def newest(df: DataFrame, ts: str, tie: str, n: int, block_seconds: int = 3600) -> DataFrame:

@@ -36,8 +36,7 @@ def cache_stats(requests: DataFrame) -> DataFrame:
     ).withColumn("hit_rate", ratio("cache_hits", "total_requests"))
 
 
-def load_metrics(requests: DataFrame, duration_seconds: float, accuracy: int = 100_000,
-                 latencies: DataFrame | None = None) -> DataFrame:
+def load_metrics(requests: DataFrame, duration_seconds: float, latencies: DataFrame | None = None) -> DataFrame:
     """Totals, latency mean, 95th and 99th percentile by index, maximum, throughput and rates.
 
     `latencies` may give latency_ms of the same requests from a cheaper plan than `requests`.
@@ -55,7 +54,7 @@ def load_metrics(requests: DataFrame, duration_seconds: float, accuracy: int = 1
     )
     ranked = order_statistics(
         requests if latencies is None else latencies, "latency_ms",
-        {"p95_latency_ms": 0.95, "p99_latency_ms": 0.99}, [], accuracy)
+        {"p95_latency_ms": 0.95, "p99_latency_ms": 0.99}, [])
     return one_row(totals, ranked).select(
         "total_requests", "successful_requests", "failed_requests", "avg_latency_ms",
         F.coalesce("p95_latency_ms", F.lit(0.0)).alias("p95_latency_ms"),
@@ -67,9 +66,9 @@ def load_metrics(requests: DataFrame, duration_seconds: float, accuracy: int = 1
         F.lit(float(duration_seconds)).alias("duration_seconds"))
 
 
-def hit_miss_speedup(requests: DataFrame, accuracy: int = 100_000) -> DataFrame:
+def hit_miss_speedup(requests: DataFrame) -> DataFrame:
     """Mean and 95th percentile latency of hits and of misses, and mean miss over mean hit."""
-    sides = order_statistics(requests, "latency_ms", {"p95": 0.95}, ["cache_hit"], accuracy,
+    sides = order_statistics(requests, "latency_ms", {"p95": 0.95}, ["cache_hit"],
                              [F.avg("latency_ms").alias("avg")])
 
     def side(hit: bool, name: str) -> Column:
