@@ -4,6 +4,7 @@ clashing column names and empty tables."""
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -154,18 +155,61 @@ def test_benchmark_passages(spark):
     assert decontaminate.keep_clean(frame(spark, texts), bench).count() == sum(not got[i][1] for i in got)
 
 
-def test_repeated_lines(spark):
-    texts = corpus(4)
-    got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in linededup.dedup_lines(frame(spark, texts)).collect()}
-    first = {}
-    for i, text in enumerate(texts):
-        lines, gone = (text or "").split("\n"), set()
-        for s in range(len(lines) - 2):
-            before = first.setdefault(tuple(lines[s:s + 3]), (i, s))
-            if before[0] < i or before[1] + 3 <= s:
-                gone.update(range(s, s + 3))
-        kept = "\n".join(line for k, line in enumerate(lines) if k not in gone)
-        assert got[i] == (None if text is None else kept, len(gone)), i
+def brute_lines(texts, min_words=1):
+    """(text, lines removed) of each text, in the order of the documents."""
+    seen, out = {}, []
+    for d, text in enumerate(texts):
+        lines = (text or "").split("\n")
+        full = [len([w for w in re.split("[ \t-\r]+", x) if w]) >= min_words for x in lines]
+        gone = set()
+        for i, line in enumerate(lines):
+            if not any(full):
+                break
+            if full[i]:
+                key, at = ("line", line), i
+            else:  # the stretch of other lines around i, with the full line before it or, at the head, behind it
+                a = b = i
+                while a > 0 and not full[a - 1]:
+                    a -= 1
+                while b + 1 < len(lines) and not full[b + 1]:
+                    b += 1
+                key, at = (("tail", *lines[a - 1:b + 1]) if a else ("head", *lines[:b + 2])), a
+            if seen.setdefault(key, (d, at)) != (d, at):
+                gone.add(i)
+        out.append((text if text is None else "\n".join(x for i, x in enumerate(lines) if i not in gone), len(gone)))
+    return out
+
+
+@pytest.mark.parametrize("min_words", [1, 3])
+def test_repeated_lines(spark, min_words):
+    rnd = random.Random(6)
+    some = ["", " ", "\t", "a", "b c", "d e f", "one two three four", "x y z", "\r", "é ü ñ"]
+    texts = corpus(4) + ["a\nb", "a\nb", "\n\n", "\n\na\n\nnew", "\n\na\n\n"] + [
+        "\n".join(rnd.choice(some + [f"only {rnd.random()} here"]) for _ in range(rnd.randint(1, 12))) for _ in range(150)]
+    got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in linededup.dedup_lines(frame(spark, texts), min_words=min_words).collect()}
+    assert got == dict(enumerate(brute_lines(texts, min_words)))
+
+
+def test_line_counts_leave_columns_of_the_user_alone(spark):
+    df = spark.createDataFrame([(3, "a\nb", 99, "mine", 1), (4, "a\nb\nc", 98, "too", 2), (4, "a\nb\nc", 98, "too", 2), (None, "a", 1, "x", 3),
+                                (5, None, 0, "y", 4)], "doc_id long, text string, n_lines long, n_removed string, gone int")
+    got = sorted(linededup.dedup_lines(df).collect(), key=str)
+    assert linededup.count_columns(df) == ("_n_lines", "_n_removed")
+    assert [tuple(r) for r in got] == sorted([
+        (3, "a\nb", 99, "mine", 1, 2, 0), (4, "c", 98, "too", 2, 3, 2), (4, "c", 98, "too", 2, 3, 2), (None, "a", 1, "x", 3, 1, 0),
+        (5, None, 0, "y", 4, 1, 0)], key=lambda r: str(spark.createDataFrame([r], linededup.dedup_lines(df).schema).first()))
+
+
+def test_time_of_repeated_lines_is_linear(spark):
+    def seconds(n):
+        text = "\n".join(f"line {i}" for i in range(n))
+        df = spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string")
+        start = time.time()
+        assert {r["n_removed"] for r in linededup.dedup_lines(df).collect()} == {0, n}
+        return time.time() - start
+
+    seconds(1000)
+    assert seconds(80_000) < 3 * seconds(40_000) + 2
 
 
 def test_tokens_equal_the_library(spark):

@@ -97,17 +97,20 @@ def op7(spark, folder):
 
 
 @query("op8_lines", r"""
-WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
-windows AS (
-    SELECT doc_id, i, ls[i:i + 2] AS t FROM (SELECT doc_id, ls, unnest(range(1, len(ls) - 1)) AS i FROM split WHERE len(ls) >= 3)),
-first AS (SELECT t, min((doc_id, i)) AS f FROM windows GROUP BY t),
-marked AS (
-    SELECT doc_id, i FROM (SELECT doc_id, i, f[1] AS d, f[2] AS p FROM windows JOIN first USING (t))
-    WHERE d < doc_id OR (d = doc_id AND p + 3 <= i)),
-gone AS (SELECT doc_id, list(DISTINCT p) AS ps FROM (SELECT doc_id, unnest(range(i, i + 3)) AS p FROM marked) GROUP BY doc_id)
-SELECT split.doc_id, len(ls)::BIGINT AS n_lines, coalesce(len(ps), 0)::BIGINT AS n_removed,
-       sha256(array_to_string(CASE WHEN ps IS NULL THEN ls ELSE list_filter(ls, lambda x, k: NOT list_contains(ps, k::BIGINT)) END, chr(10))) AS kept_sha256
-FROM split LEFT JOIN gone ON split.doc_id = gone.doc_id""")
+WITH lines AS (
+    SELECT doc_id, i, l, regexp_matches(l, '[^\x20\x09-\x0D]') AS f FROM (
+        SELECT doc_id, unnest(ls) AS l, generate_subscripts(ls, 1) AS i FROM (
+            SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents))),
+units AS (SELECT *, sum(f::INTEGER) OVER (PARTITION BY doc_id ORDER BY i) AS u FROM lines),
+pieces AS (SELECT doc_id, u, f, min(i) AS i, count(*) AS n, string_agg(l, chr(10) ORDER BY i) AS p FROM units GROUP BY doc_id, u, f),
+keys AS (
+    SELECT doc_id, i, n, p, CASE WHEN f THEN 'line' || p WHEN u > 0 THEN 'tail' || lag(p) OVER w || chr(10) || p
+        WHEN lead(p) OVER w IS NOT NULL THEN 'head' || p || chr(10) || lead(p) OVER w END AS k
+    FROM pieces WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+marked AS (SELECT *, k IS NOT NULL AND row_number() OVER (PARTITION BY k ORDER BY doc_id, i) > 1 AS gone FROM keys)
+SELECT doc_id, sum(n)::BIGINT AS n_lines, sum(CASE WHEN gone THEN n ELSE 0 END)::BIGINT AS n_removed,
+       sha256(coalesce(string_agg(p, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id""")
 def op8(spark, folder):
     lines = linededup.dedup_lines(table(spark, folder, "documents").select("doc_id", "text"))
     return lines.select("doc_id", "n_lines", "n_removed",
