@@ -21,13 +21,13 @@ def select_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the runs of lines that occur before; one of which no line is left goes.
+    """Documents without the lines that occur before; one that loses lines and keeps no word goes.
 
     n_chars follows the new text.
     """
-    lines = linededup.dedup_lines(docs)
-    left = lines.filter((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines")))
-    changed = F.col("n_removed") > 0
+    lines, (_, removed) = linededup.dedup_lines(docs), linededup.count_columns(docs)
+    left = lines.filter((F.col(removed) == 0) | F.col("text").rlike(linededup.WORD))
+    changed = F.col(removed) > 0
     return left.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
 
 
