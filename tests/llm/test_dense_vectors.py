@@ -44,7 +44,45 @@ def test_audit_sees_the_loss_of_small_groups(spark):
         rows += [(len(rows) + i, 1, (centre + 0.01 * rng.normal(size=32)).tolist(), 1) for i in range(size)]
     nodes = spark.createDataFrame([(i, str(label), v, n) for i, label, v, n in rows], "node long, label string, vec array<double>, n long")
     links = spark.createDataFrame([(i, 99) for i in range(100)], "node long, links long")
-    assert nndescent.audit(nodes, links, 0.93) == 0
+    told = nndescent.audit(nodes, links, 0.93)
+    assert told.share == 0 and told.sound and told.looked == told.linked == 160
+
+
+def _nodes(spark, rows):
+    return spark.createDataFrame([(i, str(label), v, 1) for i, v, label in rows], "node long, label string, vec array<double>, n long")
+
+
+def _rare(n, pairs, dim, seed=7):
+    """Vectors of which only `pairs` pairs are close."""
+    x = np.random.default_rng(seed).normal(size=(n, dim))
+    for p in range(pairs):
+        x[n - 1 - p] = x[p * 7] + 0.02 * x[n - 1 - p]
+    return x
+
+
+def test_audit_does_not_pass_without_evidence(spark):
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(_rare(4000, 3, 32))]
+    nodes, none = _nodes(spark, rows), spark.createDataFrame([], "node long, links long")
+    told = nndescent.audit(nodes, none, 0.93)
+    assert (told.share, told.looked, told.linked, told.sound) == (0.0, 4000, 6, True)
+    told = nndescent.audit(nodes, none, 0.93, steps=(256, 1000))
+    assert told.looked == 1000 and told.linked < nndescent.ENOUGH and not told.sound
+    assert nndescent.audit(nodes.limit(0), none, 0.93).sound
+
+
+def test_rare_links_among_many_vectors_are_found(spark):
+    x = _rare(50_000, 40, 32)
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x.astype(np.float32))], "vec_id long, embedding array<float>, label int")
+    unit = x.astype(np.float32).astype(float)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    want = {}
+    for at in range(0, len(unit), 2000):
+        a, b = np.nonzero(unit[at:at + 2000] @ unit.T >= 0.93)
+        for i, j in zip(a + at, b):
+            if i != j:
+                want[int(i)] = want.get(int(i), 0) + 1
+    got = {r["vec_id"]: r["n_links"] for r in nndescent.near_duplicates(df.repartition(16)).filter("n_links > 0").collect()}
+    assert len(want) >= 80 and sum(got.get(i, 0) == n for i, n in want.items()) >= 0.9 * len(want) and set(got) <= set(want)
 
 
 def test_links_that_the_descent_misses_are_found_by_all_pairs(spark, monkeypatch):

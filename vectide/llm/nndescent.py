@@ -4,7 +4,7 @@
 3. Rounds: each node's list and the nodes that list it meet, all are compared with each other, and better
 neighbours replace worse ones: neighbours of neighbours. Rounds end when the links above the threshold
 hardly change and the audited recall reaches its target; where further first neighbours do not bring it
-there, all pairs of a label are compared in blocks. 4. A node all of whose list is above the threshold
+there, or links are too rare for an audit, all pairs of a label are compared in blocks. 4. A node all of whose list is above the threshold
 is saturated: its list is enlarged to all saturated nodes of its component. Those within half the
 threshold's angle of the component's centre are linked with each other by the triangle inequality and are
 only counted; the others are scored against the component in blocks. Two components whose centres and radii
@@ -14,6 +14,7 @@ leave room for a link are scored across, as their lists may hold only nodes near
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -21,14 +22,19 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
 from vectide.llm.components import components
-from vectide.llm.shared import kept
+from vectide.llm.shared import first_by_hash, kept
 
 THRESHOLD = 0.93
 K = 8
 TABLES = 6
 BLOCK = 512
-# Nodes whose links are compared with brute force, and the share of a node's links that must be found on average.
-AUDIT = 256
+# Rows of the left side that are scored at once, and how much larger than BLOCK the blocks of all pairs are.
+STRIP = 512
+EXACT_BLOCKS = 8
+# Nodes that are compared with all others, first few, then more, until ENOUGH of them have links; and the share of a
+# node's links that must be found on average.
+AUDIT = (256, 4096)
+ENOUGH = 32
 RECALL = 0.97
 # Rounds of first lists before all pairs of a label are compared, and the chance that a pair at the threshold meets in one.
 ROUNDS = 4
@@ -154,11 +160,13 @@ def _across_blocks(k: int):
         for batch in batches:
             parts = []
             for (q, x), (t, y) in zip(_groups(batch.column("left")), _groups(batch.column("right"))):
-                sims = np.where(q["node"][:, None] == t["node"], -2, x @ y.T)
-                best = np.argpartition(-sims, min(k, len(y)) - 1, axis=1)[:, :min(k, len(y))]
-                found = np.take_along_axis(sims, best, 1).reshape(-1)
-                true = found > -2
-                parts.append((np.repeat(q["node"], best.shape[1])[true], t["node"][best].reshape(-1)[true], found[true]))
+                for at in range(0, len(x), STRIP):
+                    asking = q["node"][at:at + STRIP]
+                    sims = np.where(asking[:, None] == t["node"], -2, x[at:at + STRIP] @ y.T)
+                    best = np.argpartition(-sims, min(k, len(y)) - 1, axis=1)[:, :min(k, len(y))]
+                    found = np.take_along_axis(sims, best, 1).reshape(-1)
+                    true = found > -2
+                    parts.append((np.repeat(asking, best.shape[1])[true], t["node"][best].reshape(-1)[true], found[true]))
             yield _table(_PAIR[0], parts, _PAIR[1])
 
     return run
@@ -341,40 +349,64 @@ def _saturated_links(dense: DataFrame, threshold: float, block: int) -> DataFram
 
 
 def _brute(queries: list[tuple], threshold: float):
-    """Weighted count of the links of each query, over the nodes of a task."""
+    """Weighted count of the links of each query, over the nodes of a task; one matrix product for each label and length."""
+    asked: dict[tuple, list] = {}
+    for q, label, vec in queries:
+        asked.setdefault((label, len(vec)), []).append((q, vec))
+    sides = {key: (np.array([q for q, _ in part]), _unit(np.array([v for _, v in part]))) for key, part in asked.items()}
 
     def run(batches):
-        sums = {q[0]: 0 for q in queries}
+        sums = {key: np.zeros(len(ids), np.int64) for key, (ids, _) in sides.items()}
         for batch in batches:
-            table = pa.Table.from_batches([batch])
-            labels, node, n = (np.array(table[c].to_pylist()) for c in ("label", "node", "n"))
-            vecs = table["vec"].to_pylist()
-            for q, label, vec in queries:
-                rows = [r for r in np.flatnonzero(labels == label) if len(vecs[r]) == len(vec) and node[r] != q]
-                if rows:
-                    hit = _unit(np.array([vecs[r] for r in rows])) @ _unit(np.array([vec]))[0] >= threshold
-                    sums[q] += int(n[rows][hit].sum())
-        yield pa.RecordBatch.from_pydict({"node": pa.array(sums.keys(), pa.int64()), "links": pa.array(sums.values(), pa.int64())})
+            labels, vecs = np.array(batch.column("label").to_pylist(), object), batch.column("vec")
+            nodes, weight = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("node", "n"))
+            sizes, values = np.diff(vecs.offsets.to_numpy()), vecs.flatten().to_numpy()
+            starts = np.cumsum(sizes) - sizes
+            for (label, dim), (ids, unit) in sides.items():
+                rows = np.flatnonzero((labels == label) & (sizes == dim))
+                for at in range(0, len(rows), STRIP):
+                    part = rows[at:at + STRIP]
+                    x = _unit(values[starts[part][:, None] + np.arange(dim)])
+                    hit = (unit @ x.T >= threshold) & (ids[:, None] != nodes[part])
+                    sums[label, dim] += hit @ weight[part]
+        for key, (ids, _) in sides.items():
+            yield pa.RecordBatch.from_pydict({"node": pa.array(ids), "links": pa.array(sums[key])})
 
     return run
 
 
-def audit(nodes: DataFrame, links: DataFrame, threshold: float, sample: int = AUDIT, few: int = K) -> float:
-    """Of `sample` nodes, picked by hash: the average share of a node's links that are among `links`.
+@dataclass(frozen=True)
+class Audit:
+    """Lower average share of links found, nodes looked at, those among them with links, and whether that is enough."""
+
+    share: float
+    looked: int
+    linked: int
+    sound: bool
+
 
-    Nodes of up to `few` links are also averaged apart, and the lower average counts, so that neither large
-    groups hide the loss of small ones nor the other way round.
+def audit(nodes: DataFrame, links: DataFrame, threshold: float, few: int = K, enough: int = ENOUGH,
+          steps: tuple[int, ...] = AUDIT) -> Audit:
+    """Compares nodes, the first by hash, with all others: the average share of a node's links that are in `links`.
+
+    Nodes without links say nothing, so more are looked at until `enough` have links. Nodes of up to `few` links are
+    also averaged apart, and the lower average counts, so that neither large groups hide the loss of small ones nor
+    the other way round. It is sound if `enough` nodes had links or all nodes were looked at.
     """
-    picked = nodes.orderBy(F.xxhash64("node")).limit(sample).select("node", "label", "vec").collect()
-    queries = [(r["node"], r["label"], list(r["vec"])) for r in picked]
-    if not queries:
-        return 1.0
-    truth = nodes.select("node", "label", "vec", "n").mapInArrow(
-        _brute(queries, threshold), "node long, links long").groupBy("node").agg(F.sum("links").alias("links")).filter("links > 0")
-    share = F.least("links", F.coalesce("found", F.lit(0))) / F.col("links")
-    got = truth.join(links.select("node", F.col("links").alias("found")), "node", "left").agg(
-        F.avg(share), F.avg(F.when(F.col("links") <= few, share))).first()
-    return min([1.0, *[x for x in got if x is not None]])
+    total, result = nodes.count(), Audit(1.0, 0, 0, True)
+    for step in steps if total else ():
+        picked = first_by_hash(nodes.select("node", "label", "vec"), ["node"], step).collect()
+        queries = [(r["node"], r["label"], list(r["vec"])) for r in picked]
+        truth = nodes.select("node", "label", "vec", "n").mapInArrow(
+            _brute(queries, threshold), "node long, links long").groupBy("node").agg(F.sum("links").alias("links")).filter("links > 0")
+        share = F.least("links", F.coalesce("found", F.lit(0))) / F.col("links")
+        mean, mean_few, linked = truth.join(links.select("node", F.col("links").alias("found")), "node", "left").agg(
+            F.avg(share), F.avg(F.when(F.col("links") <= few, share)), F.count(F.lit(1))).first()
+        result = Audit(min([1.0, *[x for x in (mean, mean_few) if x is not None]]), len(queries), linked,
+                       linked >= enough or len(queries) >= total)
+        if result.sound:
+            break
+    return result
 
 
 def _weighted_links(nodes, lists, threshold, k, block):
@@ -430,13 +462,14 @@ def near_duplicates(table: DataFrame, id_col: str = "vec_id", vector: str = "emb
             if (new or 0) <= 0.001 * now:
                 break
         links, roots = _weighted_links(nodes, lists, threshold, k, block)
-        share = audit(nodes, links, threshold)
+        told = audit(nodes, links, threshold)
+        share = told.share
         round_ += 1
-        if share >= recall:
+        if told.sound and share >= recall:
             break
-        if round_ >= ROUNDS or (round_ > 1 and share <= reached):
-            # the descent does not get there
-            lists = _exact_lists(nodes, k, block)
+        if not told.sound or round_ >= ROUNDS or (round_ > 1 and share <= reached):
+            # too few links to tell, or the descent does not get there
+            lists = _exact_lists(nodes, k, EXACT_BLOCKS * block)
             links, roots = _weighted_links(nodes, lists, threshold, k, block)
             break
         # more first neighbours where the descent has stopped too early
