@@ -250,7 +250,7 @@ def test_secret_patterns_and_network(spark):
 
 def test_license_alignment(spark):
     notice = "Licensed under the Apache License, Version 2.0"
-    texts = [None, "", "nothing here", "é intro. " + notice + " more words", "licensed UNDER the apache license version 2 point 0",
+    texts = [None, "", "nothing here", "é intro. " + notice + " more words", "licensed UNDER the new apache license version 2.0 point",
              "the version of apache " * 50, notice + "\n" + "Released under the MIT License.", "word " * 5000 + notice]
     rows = {r["doc_id"]: r for r in licenses.scan(frame(spark, texts)).collect()}
     assert [rows[i]["licenses"] for i in range(8)] == ["", "", "", "Apache-2.0", "Apache-2.0", "", "Apache-2.0,MIT", "Apache-2.0"]
@@ -259,6 +259,81 @@ def test_license_alignment(spark):
     assert licenses.align("a b c d e".split(), "x b d y e".split()) == [(1, 1), (3, 2), (4, 4)]
 
 
+def _plain(text):
+    return text.replace("{", "").replace("}", "")
+
+
+def test_license_names_are_right_or_missing():
+    find = licenses.Scanner(licenses.standard_templates(), licenses.COVERAGE).find
+    names = lambda text: [h[0] for h in find(text)]
+    for text in ("Released under the BSD License", "Released under the GPL License", "GNU General Public License, version 2",
+                 "The MIT License is short", "licensed under the terms of nothing", "published by the author under 4.0"):
+        assert names(text) == [], text
+    for kind in licenses.CC_KINDS:
+        for version in licenses.CC_VERSIONS:
+            spelt = "-".join(licenses.CC_TERMS[p] for p in kind.split("-"))
+            assert names(f"Licensed under CC {kind} {version}.") == [f"CC-{kind}-{version}"]
+            assert names(f"This work is licensed under a Creative Commons {spelt} {version} International License") == [f"CC-{kind}-{version}"]
+    for name, text in licenses.NOTICES + licenses.TEXTS:
+        lines = "\n * ".join(_plain(text).upper().split(" "))
+        assert names(f"/* {lines} */ int x;") == [name], text[:60]
+    assert names("# SPDX-License-Identifier: (MIT OR Apache-2.0) AND GPL-2.0-only WITH Classpath-exception-2.0\nMIT") == [
+        "MIT", "Apache-2.0", "GPL-2.0-only", "Classpath-exception-2.0"]
+
+
+@pytest.mark.parametrize("copies", [2, 3, 4, 6])
+def test_adjacent_notices_are_all_found(copies):
+    find = licenses.Scanner(licenses.standard_templates(), licenses.COVERAGE).find
+    for name, notice in (("MIT", "Released under the MIT License. "), ("MIT", "Released today under the MIT License. "),
+                         ("BSD-2-Clause", licenses.TEXTS[2][1] + " "), ("GPL-3.0", _plain(licenses.NOTICES[2][1]) + " ")):
+        found = find("foo bar baz " + notice * copies + "end of it")
+        assert [h[0] for h in found] == [name] * copies, notice[:40]
+
+
+def _longest(a, b):
+    """Length of the longest common sequence of words, by the plain dynamic programme."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last, row = row, [0] * (len(b) + 1)
+        for j, y in enumerate(b):
+            row[j + 1] = last[j] + 1 if x == y else max(last[j + 1], row[j])
+    return row[-1]
+
+
+def test_license_places_equal_all_starts_by_dynamic_programme():
+    """Notices with words dropped, changed or put in, among other words, with and without words that must stand."""
+    rnd = random.Random(8)
+    names = [f"n{i}" for i in range(60)]
+    templates = [("T1", "alpha beta gamma {delta 1 0} epsilon zeta eta theta iota kappa"),
+                 ("T2", "alpha beta gamma {delta 2 0} epsilon zeta eta theta iota kappa"),
+                 ("T3", "one two three four five six seven eight nine ten eleven twelve")]
+    find = licenses.Scanner(templates, 0.8).find
+    parsed = [licenses.Template.parse(*t) for t in templates]
+    for _ in range(250):
+        text = []
+        for _ in range(rnd.randint(1, 4)):
+            text += [rnd.choice(names) for _ in range(rnd.randint(15, 25))]
+            planted = list(rnd.choice(parsed).words)
+            for _ in range(rnd.randint(0, 3)):
+                at = rnd.randrange(len(planted))
+                planted[at:at + 1] = rnd.choice([[], [rnd.choice(names)], [planted[at], rnd.choice(names)]])
+            text += planted
+        text += [rnd.choice(names) for _ in range(15)]
+        want = []
+        for t in parsed:
+            m = len(t.words)
+            phrase = t.words[slice(*t.phrases[0])] if t.phrases else ()
+            for s in range(0, len(text), 1):
+                part = text[s:s + m + 3]
+                stands = not phrase or any(tuple(part[i:i + len(phrase)]) == phrase for i in range(len(part)))
+                if part and part[0] in t.words and stands and _longest(part, t.words) >= 0.8 * m:
+                    want.append((t.name, s))
+        # starts a few words apart are one place
+        places = [w for n, w in enumerate(sorted(want, key=lambda w: w[1])) if n == 0 or w[1] - sorted(want, key=lambda w: w[1])[n - 1][1] > 6]
+        got = find(" ".join(text))
+        assert [h[0] for h in got] == [w[0] for w in places], " ".join(text)
+
+
 def test_personal_data(spark):
     texts = [None, "", "plain", "mail a.b@c.d.e and +1 (212) 555-1234", "card 4111 1111 1111 1111 ip 1.2.3.4.5.6.7.8 256.1.1.1",
              "+12 345 6789 x+1 23", "1" * 5000, "a@b c@d.e+f@g.h", "٣٤ 4111-1111-1111-1112"] + [
