@@ -248,6 +248,74 @@ def test_secret_patterns_and_network(spark):
     assert (net.probabilities(fresh[0]) >= net.threshold).mean() > 0.9 > 0.1 > (net.probabilities(fresh[1]) >= net.threshold).mean()
 
 
+def _keyed_texts(rnd, n=500):
+    """Texts with a key of letters only at the end of a long address, and addresses without one; the places of the keys."""
+    key = lambda: "".join(rnd.choice("QZXWVKJ") for _ in range(24))
+    plain = lambda: "".join(rnd.choice("aeioulnrst") for _ in range(24))
+    texts, found = [], []
+    for i in range(n):
+        lead, secret = f"see //hooks.example.com/services/T{plain()[:8]}/B{plain()[:8]}/", i % 3 == 0
+        texts.append(f"{lead}{key() if secret else plain()} and {plain()} too")
+        if secret:
+            found.append((i, len(lead), len(lead) + 24))
+    return texts, found
+
+
+def test_network_learns_findings_anywhere_in_a_candidate(spark):
+    """Keys beyond the first window and without a digit, labelled by findings that no pattern gives."""
+    texts, found = _keyed_texts(random.Random(9))
+    findings = spark.createDataFrame([(*f, "x") for f in found] + [(None, 1, 2, "y"), (5, None, 3, "z")], "doc_id long, start int, `end` int, text string")
+    assert all(start >= 47 for _, start, _ in found)
+    net = secretscan.train(frame(spark, texts), findings=findings)
+    fresh, keys = _keyed_texts(random.Random(10))
+    rows = {r["doc_id"]: r["spans"] for r in secretscan.scan(frame(spark, fresh), network=net).collect()}
+    hit = {i for i, spans in rows.items() if any(s.startswith("model:4:") for s in spans.split(","))}
+    assert len(hit & {i for i, _, _ in keys}) > 0.9 * len(keys) and len(hit - {i for i, _, _ in keys}) < 0.1 * len(fresh)
+
+
+def test_chances_are_reliable_on_held_out_rows():
+    """Among windows with the true share of secrets, those with a chance near p are secrets in about a share of p."""
+    rnd = np.random.default_rng(4)
+    labels = (rnd.random(60_000) < 0.02).astype(float)
+    scores = rnd.normal(size=len(labels)) + 2.5 * labels
+    picked = np.concatenate([np.flatnonzero(labels == 1)[:500], np.flatnonzero(labels == 0)[:500]])
+    scale, offset = secretscan.calibrate(scores[picked], labels[picked], 0.02)
+    held = np.setdiff1d(np.arange(len(labels)), picked)
+    chance = 1 / (1 + np.exp(-(scale * scores[held] + offset)))
+    assert abs(chance.mean() - labels[held].mean()) < 0.005
+    for low, high in ((0.0, 0.01), (0.01, 0.1), (0.1, 0.5), (0.5, 1.0)):
+        part = (chance >= low) & (chance < high)
+        assert abs(chance[part].mean() - labels[held][part].mean()) < 0.08
+
+
+def test_windows_hold_all_of_a_candidate():
+    for a, b in ((0, 12), (5, 53), (5, 54), (100, 5000)):
+        seen = set()
+        for s in secretscan.places(a, b):
+            seen |= set(range(s - secretscan.BEFORE, s - secretscan.BEFORE + secretscan.WIDTH))
+        assert set(range(a - secretscan.BEFORE, b + secretscan.BEHIND)) <= seen
+    text = "é\0" + "k" * 100
+    for s in (0, 1, 60, 101):
+        data = secretscan.window(text, s)
+        want = [0 if i < 0 or i >= len(text) else ord(text[i]) if 0 < ord(text[i]) < 128 else 1 for i in range(s - secretscan.BEFORE, s - secretscan.BEFORE + secretscan.WIDTH)]
+        assert list(data) == want
+
+
+def test_many_findings_in_one_text_take_linear_time():
+    def seconds(n):
+        text = " ".join(f"{i:032x}" for i in range(n))
+        start = time.time()
+        base, free, windows = secretscan._windows(text, None)
+        assert len(base) == n and not free and all(label for _, label in windows)
+        return time.time() - start
+
+    seconds(100)
+    assert seconds(20_000) < 3.5 * seconds(10_000) + 0.5
+    spans = secretscan.Spans([(0, 100), (5, 7), (200, 220)])
+    assert [spans.meets(*x) for x in ((99, 101), (100, 200), (219, 300), (220, 230))] == [True, False, True, False]
+    assert [spans.shows(*x) for x in ((95, 101), (90, 101), (210, 300), (215, 300), (4, 8))] == [False, True, True, False, True]
+
+
 def test_license_alignment(spark):
     notice = "Licensed under the Apache License, Version 2.0"
     texts = [None, "", "nothing here", "é intro. " + notice + " more words", "licensed UNDER the new apache license version 2.0 point",
