@@ -119,10 +119,12 @@ def test_soft_labels_and_model_store(spark, tmp_path):
     chances = predict.model_evaluation(scored, "label", "access_probability", True).first()
     assert chances["mae"] < 0.1 and chances["log_loss"] < 0.7
     training = spark.createDataFrame([(300,)], "training_patterns long")
+    with pytest.raises(ValueError):
+        models.save_model(model, training.union(training), str(tmp_path / "two"))
     models.save_model(model, training, str(tmp_path / "m"))
     status, info = models.model_info(spark, str(tmp_path / "m"))
     assert status == "ready" and info.first()[0] == 300
-    copy = predict.predict_precompute(models.load_model(str(tmp_path / "m")), held_out)
+    copy = predict.predict_precompute(models.load_model(spark, str(tmp_path / "m")), held_out)
     assert scored.orderBy("embedding_id").collect() == copy.orderBy("embedding_id").collect()
     training.write.parquet(str(tmp_path / "broken" / "training"))
     assert models.model_info(spark, str(tmp_path / "broken"))[0] == "error"

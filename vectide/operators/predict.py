@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame, functions as F
 
 from vectide.functions.numbers import age_seconds
+from vectide.operators import trainer
 from vectide.operators.access import access_patterns
 from vectide.operators.groups import BLOCK_SECONDS, with_previous
 from vectide.operators.store import hot_entry
@@ -99,35 +98,22 @@ def gap_score(gap: Column, horizon_seconds: float = 4 * 3600.0) -> Column:
     return F.exp(-F.greatest(gap, F.lit(0.0)) / F.lit(horizon_seconds))
 
 
-def soft_label_rows(usage: DataFrame) -> DataFrame:
-    """Each row once as a positive with weight label and once as a negative with weight 1 - label.
+def fit_precompute_classifier(usage: DataFrame, seed: int = 42, validation: float = trainer.HELD_OUT,
+                              **how) -> tuple[trainer.Network, DataFrame]:
+    """(model of the access probability, held-out rows). The held-out loss steers the fit: its best weights are
+    kept. Rows are split by the hash of their key, so a recomputed partition falls on the same side."""
+    net = trainer.fit(usage, USAGE_FEATURES, "label", "embedding_id", share=validation, seed=seed, **how)
+    return net, usage.filter(trainer.held_out("embedding_id", validation))
 
-    Weighted logistic loss over these rows is the cross-entropy against the soft label.
-    """
-    sides = F.array(
-        F.struct(F.lit(1.0).alias("target"), F.col("label").alias("weight")),
-        F.struct(F.lit(0.0).alias("target"), (1.0 - F.col("label")).alias("weight")))
-    return usage.withColumn("_side", F.explode(sides)).select(*usage.columns, "_side.target", "_side.weight").filter(
-        F.col("weight") > 0)
-
-
-def fit_precompute_classifier(usage: DataFrame, seed: int = 42, validation: float = 0.2,
-                              max_iter: int = 50) -> tuple[PipelineModel, DataFrame]:
-    """(model of the access probability, held-out rows). Rows are split by the hash of their key, so a
-    recomputed partition falls on the same side."""
-    buckets = 1000
-    side = F.pmod(F.xxhash64("embedding_id", F.lit(seed)), F.lit(buckets))
-    train, held_out = usage.filter(side >= int(validation * buckets)), usage.filter(side < int(validation * buckets))
-    pipeline = Pipeline(stages=[
-        VectorAssembler(inputCols=USAGE_FEATURES, outputCol="raw"),
-        StandardScaler(inputCol="raw", outputCol="features", withMean=True),
-        LogisticRegression(labelCol="target", weightCol="weight", maxIter=max_iter, standardization=False),
-    ])
-    return _fit(pipeline, soft_label_rows(train)), held_out
+
+def refit_precompute_classifier(usage: DataFrame, last_trained_us: int | None, as_of_us: int, **how) -> trainer.Network | None:
+    """A new model, or None where the last one is not old enough or the examples are too few."""
+    few = usage.limit(trainer.MINIMUM_EXAMPLES).count()
+    return fit_precompute_classifier(usage, **how)[0] if trainer.training_due(last_trained_us, as_of_us, few) else None
 
 
-def predict_precompute(model: PipelineModel, usage: DataFrame, threshold: float = PROBABILITY_THRESHOLD) -> DataFrame:
-    scored = model.transform(usage).withColumn("access_probability", vector_to_array("probability")[1])
+def predict_precompute(model: trainer.Network, usage: DataFrame, threshold: float = PROBABILITY_THRESHOLD) -> DataFrame:
+    scored = model.predict(usage, "access_probability")
     return scored.select(*usage.columns, "access_probability", (F.col("access_probability") > threshold).alias("precompute"))
 
 

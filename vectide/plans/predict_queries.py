@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from vectide.operators import access, lookup, predict
+from vectide.operators import access, lookup, predict, trainer
 from vectide.plans import views
 from vectide.plans.registry import query
 from vectide.plans.rounding import nudged
 from vectide.plans.store_queries import text_embedding, touched
-from vectide.session import new_folder
+from vectide.session import cut_lineage, new_folder
 from vectide.sources import models
 
 FEATURES = """
@@ -50,8 +50,10 @@ def scale_features(spark, folder):
 
 
 def _regressor(spark, folder):
+    """(forecast, examples of the keys it was not fitted on)."""
     examples = predict.next_gap_examples(features(spark, folder))
-    return predict.fit_access_regressor(examples), examples
+    held = trainer.held_out("embedding_id")
+    return predict.fit_access_regressor(examples.filter(~held)), examples.filter(held)
 
 
 @query("fit_access_regressor")
@@ -75,6 +77,63 @@ def fit_precompute_classifier(spark, folder):
     return predict.predict_precompute(model, held_out).select("embedding_id", "label", "access_probability", "precompute")
 
 
+HELD = "('0x' || substr(sha256(embedding_id::VARCHAR), 1, 4))::INTEGER % 1000 < 200"
+
+
+@query("precompute_training", f"""
+WITH split AS (SELECT label, {HELD} AS held FROM usage),
+mean AS (SELECT avg(label) FILTER (NOT held) AS m FROM split)
+SELECT count(*) AS examples, count(*) FILTER (held) AS held_rows, count(*) >= 50 AS due_without_model,
+       false AS due_after_an_hour, count(*) >= 50 AS due_after_a_day,
+       round(avg(-(label * ln(m) + (1 - label) * ln(1 - m))) FILTER (held) + 1e-9, 6) AS loss_of_the_mean, true AS better_than_the_mean,
+       true AS chances_in_range FROM split, mean""")
+def precompute_training(spark, folder):
+    """When training is due, and whether the model beats the mean label on held-out keys."""
+    rows = cut_lineage(usage(spark, folder))
+    held = trainer.held_out("embedding_id")
+    net, held_rows = predict.fit_precompute_classifier(rows)
+    n, m = rows.count(), rows.filter(~held).agg(F.avg("label")).first()[0]
+    scored = predict.predict_precompute(net, held_rows)
+    chance = F.least(F.greatest(F.col("access_probability"), F.lit(1e-12)), F.lit(1 - 1e-12))
+    loss = lambda p: F.avg(-(F.col("label") * F.log(p) + (1 - F.col("label")) * F.log(1 - p)))
+    due = lambda hours: F.lit(trainer.training_due(hours and 0, (hours or 0) * 3_600_000_000, n))
+    return scored.agg(
+        F.lit(n).cast("long").alias("examples"), F.count(F.lit(1)).alias("held_rows"), due(None).alias("due_without_model"),
+        due(1).alias("due_after_an_hour"), due(25).alias("due_after_a_day"),
+        nudged(loss(F.lit(m)), 6).alias("loss_of_the_mean"), (loss(chance) < loss(F.lit(m))).alias("better_than_the_mean"),
+        F.bool_and(F.col("access_probability").between(0, 1)).alias("chances_in_range"))
+
+
+@query("model_checks", f"""
+WITH gaps AS (
+  SELECT embedding_id, lead(epoch_us(ts)) OVER (PARTITION BY embedding_id ORDER BY ts, event_id) - epoch_us(ts) AS gap_us FROM keyed_log)
+SELECT 'next_gap' AS model, count(*) AS held_rows, true AS holds, true AS same_after_reload FROM gaps WHERE gap_us IS NOT NULL AND {HELD}
+UNION ALL SELECT 'precompute', count(*), true, true FROM usage WHERE {HELD}""")
+def model_checks(spark, folder):
+    """On held-out keys: whether each model scores alike after a reload, and whether it holds: the chance has a lower squared
+    error than the training mean, the forecast (of gaps that are random here) stays in the range of the training gaps."""
+    examples = cut_lineage(predict.next_gap_examples(features(spark, folder)))
+    held = trainer.held_out("embedding_id")
+    forecast = predict.fit_access_regressor(examples.filter(~held))
+    rows = cut_lineage(usage(spark, folder))
+    net, _ = predict.fit_precompute_classifier(rows)
+    checked = []
+    for name, model, table, truth, score in (
+            ("next_gap", forecast, examples, "next_gap", lambda m, t: m.transform(t).withColumn("answer", F.col("prediction"))),
+            ("precompute", net, rows, "label", lambda m, t: m.predict(t, "answer"))):
+        mean, low, high = table.filter(~held).agg(F.avg(truth), F.min(truth), F.max(truth)).first()
+        base = new_folder(spark, "model")
+        models.save_model(model, spark.range(1).select(F.lit(True).alias("trained")), base)
+        scored = score(models.load_model(spark, base), score(model, table.filter(held)).withColumnRenamed("answer", "before").drop(
+            "prediction", "raw", "features"))
+        error = lambda c: F.avg((c - F.col(truth)) * (c - F.col(truth)))  # noqa: E731, B023
+        better, inside = error(F.col("answer")) < error(F.lit(mean)), F.bool_and(F.col("answer").between(low, high))
+        checked.append(scored.agg(
+            F.lit(name).alias("model"), F.count(F.lit(1)).alias("held_rows"), (inside if name == "next_gap" else better).alias("holds"),
+            F.bool_and(F.abs(F.col("answer") - F.col("before")) < 1e-9).alias("same_after_reload")))
+    return checked[0].union(checked[1])
+
+
 @query("predict_precompute")
 def predict_precompute(spark, folder):
     rows = usage(spark, folder)
@@ -113,9 +172,9 @@ def ranked_predictions(spark, folder):
 
 @query("model_evaluation")
 def model_evaluation(spark, folder):
-    """Errors of both models: the forecast on its examples, the probability on held-out keys."""
-    regressor, examples = _regressor(spark, folder)
-    gaps = predict.model_evaluation(regressor.transform(examples), "next_gap", "prediction", False)
+    """Errors of both models on held-out keys."""
+    regressor, held_out = _regressor(spark, folder)
+    gaps = predict.model_evaluation(regressor.transform(held_out), "next_gap", "prediction", False)
     classifier, held_out = predict.fit_precompute_classifier(usage(spark, folder))
     scored = predict.predict_precompute(classifier, held_out)
     chances = predict.model_evaluation(scored, "label", "access_probability", True)
@@ -156,6 +215,6 @@ def model_store(spark, folder):
     training = rows.agg(F.count(F.lit(1)).alias("training_patterns")).withColumn("trained_at", views.as_of())
     models.save_model(model, training, base)
     after, info = models.model_info(spark, base)
-    scored = predict.predict_precompute(models.load_model(base), rows)
+    scored = predict.predict_precompute(models.load_model(spark, base), rows)
     return scored.agg(F.avg("access_probability").alias("mean_probability"), F.count(F.lit(1)).alias("training_patterns")).join(
         info, "training_patterns").withColumn("status_before", F.lit(before)).withColumn("status_after", F.lit(after))

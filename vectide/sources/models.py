@@ -1,4 +1,4 @@
-"""Fitted pipelines on shared storage, with one row of training metadata."""
+"""Fitted models on shared storage, with one row of training metadata."""
 
 from __future__ import annotations
 
@@ -6,14 +6,26 @@ from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 
+from vectide.operators.trainer import Network, load_network, save_network
 
-def save_model(model: PipelineModel, training: DataFrame, folder: str) -> None:
-    """Writes the fitted pipeline (scaler included) and the one-row `training` table."""
-    model.write().overwrite().save(f"{folder}/model")
-    training.limit(1).write.mode("overwrite").parquet(f"{folder}/training")
 
+def save_model(model: PipelineModel | Network, training: DataFrame, folder: str) -> None:
+    """Writes the fitted model (its scaling included) and the one-row `training` table."""
+    if training.limit(2).count() != 1:
+        raise ValueError("training must have one row")
+    if isinstance(model, Network):
+        save_network(training.sparkSession, model, f"{folder}/network")
+    else:
+        model.write().overwrite().save(f"{folder}/model")
+    training.write.mode("overwrite").parquet(f"{folder}/training")
 
-def load_model(folder: str) -> PipelineModel:
+
+def load_model(spark: SparkSession, folder: str) -> PipelineModel | Network:
+    try:
+        return load_network(spark, f"{folder}/network")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
     return PipelineModel.load(f"{folder}/model")
 
 
@@ -26,7 +38,7 @@ def model_info(spark: SparkSession, folder: str) -> tuple[str, DataFrame | None]
             return "no_model", None
         return "error", None
     try:
-        load_model(folder)
-    except Exception:  # the stages may fail to load in any way
+        load_model(spark, folder)
+    except Exception:  # the parts may fail to load in any way
         return "error", None
     return "ready", training
