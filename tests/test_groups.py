@@ -256,3 +256,25 @@ def test_trailing_mean_of_any_length(spark, n, block_rows):
         frame = [v for v in values[max(0, i - n + 1):i + 1] if v is not None and v == v]
         want = sum(frame) / len(frame) if frame else None
         assert got["k", i + 1] == (want if want is None else pytest.approx(want))
+
+
+def test_history_written_twice_is_one_set_of_rows(spark, tmp_path):
+    from vectide.operators import metrics
+
+    rows = [(i, f"2024-01-0{1 + i % 3} {i % 24:02d}:00:0{i % 9}", i % 700, i % 3 > 0, i % 5 > 0, 64, 700.0 if i % 50 else 7_300_000.0) for i in range(6000)]
+    log = spark.createDataFrame(rows, "event_id long, t string, embedding_id long, cache_hit boolean, success boolean, vector_size int, latency_ms double").withColumn(
+        "ts", F.to_timestamp("t")).withColumn("similarity_score", F.lit(0.5))
+    hours, path = metrics.mergeable_snapshot(log, 3600), str(tmp_path / "h")
+    for part in (hours.filter("hour(window_start) < 13"), hours.filter("hour(window_start) >= 13"), hours, hours.limit(0)):
+        metrics.append_history(part, path)
+    stored = spark.read.parquet(path)
+    assert stored.count() == hours.count() == 24
+    days = {r["window_start"]: r for r in metrics.read_snapshot(metrics.roll_up(stored, 86400)).collect()}
+    exact = {r["window_start"]: r["n"] for r in log.groupBy(F.window("ts", "1 day")["start"].alias("window_start")).agg(F.countDistinct("embedding_id").alias("n")).collect()}
+    assert days.keys() == exact.keys()
+    assert all(abs(days[d]["total_embeddings"] - n) <= 0.02 * n for d, n in exact.items())
+    # a miss of more than two hours waits at the end of two or three windows, the others end in their own
+    exact_queue = {r["window_start"]: r["queue_size"] for r in metrics.metric_snapshot(log, 3600).collect()}
+    assert exact_queue == {r["window_start"]: r["queue_size"] for r in stored.collect()} and max(exact_queue.values()) > 0
+    now = F.to_timestamp(F.lit("2024-01-03 00:00:00"))
+    assert metrics.read_history(spark, path, now, 1).filter("window_start <= timestamp'2024-01-02 00:00:00'").count() == 0

@@ -5,10 +5,12 @@ A request log has event_id, ts, latency_ms, success, cache_hit and label columns
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from vectide.functions.numbers import ratio
 from vectide.operators.groups import one_row, order_statistics
+from vectide.session import cut_lineage
 
 # Bucket bounds and periods of the metrics.
 LATENCY_BOUNDS = [0.001, 0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0]
@@ -133,10 +135,87 @@ def label_counters(rows: DataFrame, counters: dict[str, tuple[list[str], Column
     )
 
 
+# Registers of a distinct-key sketch, as a power of two: about 0.8 % of error.
+SKETCH_BITS = 14
+
+
+def _queued(requests: DataFrame, seconds: int) -> DataFrame:
+    """(window_start, queue_size): misses that began before the end of the window and were not answered by then.
+
+    A miss takes latency_ms. It counts in as many windows as end while it lasts, in most cases none or one.
+    """
+    width = seconds * 1_000_000
+    started, done = F.unix_micros("ts"), F.unix_micros("ts") + F.floor(F.col("latency_ms") * 1000)
+    first = F.floor(started / F.lit(width)).cast("long")
+    last = F.floor((done - 1) / F.lit(width)).cast("long") - 1  # the last window that ends before the answer
+    waiting = requests.filter(~F.col("cache_hit") & F.col("latency_ms").isNotNull()).select(first.alias("_a"), last.alias("_b"))
+    each = waiting.filter(F.col("_b") >= F.col("_a")).select(F.explode(F.sequence("_a", "_b")).alias("_w"))
+    return each.groupBy(F.timestamp_micros(F.col("_w") * width).alias("window_start")).agg(F.count(F.lit(1)).alias("queue_size"))
+
+
+def mergeable_snapshot(requests: DataFrame, seconds: int = COLLECTION_SECONDS) -> DataFrame:
+    """Per collection window what can be rolled up to any longer one: counts, sums and a sketch of the keys.
+
+    Needs vector_size and latency_ms; rows without a time are in no window.
+    """
+    window = F.window("ts", f"{seconds} seconds")["start"].alias("window_start")
+    counted = requests.groupBy(window).agg(
+        F.count_if("cache_hit").alias("cache_hits"), F.count_if(~F.col("cache_hit")).alias("cache_misses"),
+        F.sum("similarity_score").alias("score_sum"), F.count("similarity_score").alias("score_count"),
+        F.count_if(~F.col("success")).alias("error_count"), F.sum("vector_size").alias("size_sum"),
+        F.count("vector_size").alias("size_count"), F.hll_sketch_agg("embedding_id", SKETCH_BITS).alias("keys"))
+    return counted.join(_queued(requests, seconds), "window_start", "left").withColumn(
+        "queue_size", F.coalesce("queue_size", F.lit(0).cast("long")))
+
+
+def roll_up(snapshots: DataFrame, seconds: int) -> DataFrame:
+    """Mergeable snapshots over longer windows, without the log; the queue is the longest of the parts."""
+    window = F.window("window_start", f"{seconds} seconds")["start"].alias("_start")
+    sums = ["cache_hits", "cache_misses", "score_sum", "score_count", "error_count", "size_sum", "size_count"]
+    return snapshots.groupBy(window).agg(
+        *[F.sum(c).alias(c) for c in sums], F.hll_union_agg("keys").alias("keys"), F.max("queue_size").alias("queue_size"),
+        F.count(F.lit(1)).alias("windows")).withColumnRenamed("_start", "window_start")
+
+
+def read_snapshot(snapshots: DataFrame) -> DataFrame:
+    """Mergeable snapshots as figures: hit rate, mean score, estimated distinct keys and their bytes."""
+    keys = F.hll_sketch_estimate("keys")
+    return snapshots.select(
+        "window_start", "cache_hits", "cache_misses", keys.alias("total_embeddings"),
+        F.coalesce(F.try_divide("score_sum", "score_count"), F.lit(0.0)).alias("avg_similarity_score"),
+        (keys * F.coalesce(F.try_divide("size_sum", "size_count"), F.lit(0.0)) * 4).cast("long").alias("memory_bytes"),
+        "error_count", "queue_size", ratio("cache_hits", F.col("cache_hits") + F.col("cache_misses")).alias("hit_rate"))
+
+
+def append_history(snapshots: DataFrame, path: str, ts: str = "window_start") -> None:
+    """Adds snapshots to the history below `path`, a folder per day; windows that are there already are replaced.
+
+    Only the days of the new snapshots are written; the same snapshots a second time leave the same rows.
+    """
+    spark = snapshots.sparkSession
+    fresh = cut_lineage(snapshots.withColumn("day", F.to_date(ts)))
+    days = [row["day"] for row in fresh.select("day").distinct().collect()]  # as many as the snapshots span
+    try:
+        old = spark.read.schema(fresh.schema).parquet(path).filter(F.col("day").isin(days))
+        # the folders that are read are written next
+        fresh = fresh.unionByName(cut_lineage(old.join(fresh.select(ts), ts, "left_anti").select(fresh.columns)))
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+    fresh.repartition("day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
+
+
+def read_history(spark: SparkSession, path: str, now: Column, days: int = RETENTION_DAYS, ts: str = "window_start") -> DataFrame:
+    """The history that is newer than the retention; older days are not read."""
+    oldest = now - F.make_dt_interval(days=F.lit(days))
+    return spark.read.parquet(path).filter((F.col("day") >= F.to_date(oldest)) & (F.col(ts) > oldest)).drop("day")
+
+
 def metric_snapshot(requests: DataFrame, seconds: int = COLLECTION_SECONDS) -> DataFrame:
-    """Per collection window: hits, misses, hit rate, distinct keys, mean score, vector bytes, errors.
+    """Per collection window: hits, misses, hit rate, distinct keys, mean score, vector bytes, errors, queue size.
 
-    Needs vector_size; bytes are those of the vectors that were asked for, each once.
+    Exact; see `mergeable_snapshot` for what is kept. Needs vector_size and latency_ms; bytes are those of the
+    vectors that were asked for, each once.
     """
     window = F.window("ts", f"{seconds} seconds")["start"].alias("window_start")
     # one row per (window, key) first, so the distinct count is a plain count
@@ -144,20 +223,15 @@ def metric_snapshot(requests: DataFrame, seconds: int = COLLECTION_SECONDS) -> D
         F.count_if("cache_hit").alias("_hits"), F.count_if(~F.col("cache_hit")).alias("_misses"),
         F.sum("similarity_score").alias("_score"), F.count("similarity_score").alias("_scores"),
         F.count_if(~F.col("success")).alias("_errors"), F.max("vector_size").alias("_size"))
-    return keys.groupBy("window_start").agg(
+    counted = keys.groupBy("window_start").agg(
         F.sum("_hits").alias("cache_hits"), F.sum("_misses").alias("cache_misses"),
         F.count(F.lit(1)).alias("total_embeddings"),
         F.coalesce(F.try_divide(F.sum("_score"), F.sum("_scores")), F.lit(0.0)).alias("avg_similarity_score"),
         (F.sum("_size") * 4).cast("long").alias("memory_bytes"),
         F.sum("_errors").alias("error_count"),
     ).withColumn("hit_rate", ratio("cache_hits", F.col("cache_hits") + F.col("cache_misses")))
-
-
-def metrics_history(history: DataFrame, snapshots: DataFrame, now: Column, days: int = RETENTION_DAYS,
-                    ts: str = "window_start") -> DataFrame:
-    """History with new snapshots, without those that are not newer than the retention."""
-    kept = history.unionByName(snapshots)
-    return kept.filter(F.col(ts) > now - F.make_dt_interval(days=F.lit(days)))
+    return counted.join(_queued(requests, seconds), "window_start", "left").withColumn(
+        "queue_size", F.coalesce("queue_size", F.lit(0).cast("long")))
 
 
 def hit_rate_window(requests: DataFrame, seconds: int) -> DataFrame:

@@ -167,11 +167,19 @@ def export_metrics_text(spark, folder):
 
 
 SNAPSHOT = """
-SELECT epoch_us(time_bucket(INTERVAL {width}, r.ts, TIMESTAMP '2024-01-01')) AS window_us,
-       count(*) FILTER (cache_hit) AS cache_hits, count(*) FILTER (NOT cache_hit) AS cache_misses,
-       count(DISTINCT r.embedding_id) AS total_embeddings, round(coalesce(avg(similarity_score), 0) + 1e-9, 6) AS avg_similarity_score,
-       count(DISTINCT r.embedding_id) * 256 AS memory_bytes, count(*) FILTER (NOT success) AS error_count,
-       round(count(*) FILTER (cache_hit) / count(*) + 1e-9, 6) AS hit_rate FROM request_log r {where} GROUP BY 1"""
+WITH waiting AS (
+  SELECT unnest(generate_series(a, b)) AS w FROM (
+    SELECT epoch_us(ts) // {us} AS a, (epoch_us(ts) + floor(latency_ms * 1000)::BIGINT - 1) // {us} - 1 AS b FROM request_log
+    WHERE NOT cache_hit AND latency_ms IS NOT NULL) WHERE b >= a),
+queued AS (SELECT w * {us} AS window_us, count(*) AS queue_size FROM waiting GROUP BY 1)
+SELECT s.*, coalesce(queue_size, 0) AS queue_size FROM (
+  SELECT epoch_us(ts) // {us} * {us} AS window_us,
+         count(*) FILTER (cache_hit) AS cache_hits, count(*) FILTER (NOT cache_hit) AS cache_misses,
+         count(DISTINCT r.embedding_id) AS total_embeddings, round(coalesce(avg(similarity_score), 0) + 1e-9, 6) AS avg_similarity_score,
+         count(DISTINCT r.embedding_id) * 256 AS memory_bytes, count(*) FILTER (NOT success) AS error_count,
+         round(count(*) FILTER (cache_hit) / count(*) + 1e-9, 6) AS hit_rate FROM request_log r {where} GROUP BY 1) s
+LEFT JOIN queued USING (window_us)"""
+HOUR, DAY = 3_600_000_000, 86_400_000_000
 
 
 def _sized_requests(spark, folder):
@@ -184,20 +192,44 @@ def _snapshot_rows(snapshots: DataFrame) -> DataFrame:
     return rounded(rows, 6, "avg_similarity_score", "hit_rate")
 
 
-@query("metric_snapshot", SNAPSHOT.format(width="30 SECOND", where=""))
+@query("metric_snapshot", SNAPSHOT.format(us=30_000_000, where=""))
 def metric_snapshot(spark, folder):
     return _snapshot_rows(metrics.metric_snapshot(_sized_requests(spark, folder)))
 
 
-@query("metrics_history", SNAPSHOT.format(width="1 HOUR", where="""
-WHERE time_bucket(INTERVAL 1 HOUR, r.ts, TIMESTAMP '2024-01-01') > TIMESTAMP '2024-01-24'"""))
+def _stored_history(spark, folder):
+    """Hourly snapshots on disk: those up to noon of the 30th first, then the rest, and once more a day that is there."""
+    snapshots = cut_lineage(metrics.mergeable_snapshot(_sized_requests(spark, folder), 3600))
+    path, cut = new_folder(spark, "history"), timestamp("2024-01-30 12:00:00")
+    metrics.append_history(snapshots.filter(F.col("window_start") <= cut), path)
+    metrics.append_history(snapshots.filter(F.col("window_start") > cut), path)
+    metrics.append_history(snapshots.filter(F.to_date("window_start") == F.to_date(cut)), path)
+    return path
+
+
+@query("metrics_history", SNAPSHOT.format(us=HOUR, where="""
+WHERE epoch_us(ts) // 3600000000 * 3600000000 > epoch_us(TIMESTAMP '2024-01-24')"""))
 def metrics_history(spark, folder):
-    """Hourly snapshots up to the 30th as history, those after it as new."""
-    snapshots = cut_lineage(metrics.metric_snapshot(_sized_requests(spark, folder), 3600))  # stands for the stored history
-    cut = timestamp("2024-01-30 00:00:00")
-    kept = metrics.metrics_history(
-        snapshots.filter(F.col("window_start") <= cut), snapshots.filter(F.col("window_start") > cut), views.as_of())
-    return _snapshot_rows(kept)
+    """The stored history within its retention."""
+    path = _stored_history(spark, folder)
+    return _snapshot_rows(metrics.read_snapshot(metrics.read_history(spark, path, views.as_of())))
+
+
+@query("metrics_rollup", f"""
+WITH hours AS ({SNAPSHOT.format(us=HOUR, where="")}),
+days AS (SELECT epoch_us(ts) // {DAY} * {DAY} AS window_us, count(DISTINCT embedding_id) AS keys FROM request_log GROUP BY 1)
+SELECT days.window_us, sum(cache_hits)::BIGINT AS cache_hits, sum(cache_misses)::BIGINT AS cache_misses, sum(error_count)::BIGINT AS error_count,
+       max(queue_size) AS queue_size, count(*) AS windows, max(keys) AS exact_keys, true AS estimate_close
+FROM hours JOIN days ON hours.window_us // {DAY} * {DAY} = days.window_us GROUP BY 1""")
+def metrics_rollup(spark, folder):
+    """Days rolled up from the stored hours, beside the distinct keys of the log and whether the estimate is within 2 %."""
+    days = metrics.roll_up(spark.read.parquet(_stored_history(spark, folder)), 86400)
+    exact = views.access_log(spark, folder).groupBy(F.window("ts", "1 day")["start"].alias("window_start")).agg(
+        F.countDistinct("embedding_id").alias("exact_keys"))
+    close = F.abs(F.hll_sketch_estimate("keys") - F.col("exact_keys")) <= 0.02 * F.col("exact_keys")
+    return days.join(exact, "window_start").select(
+        F.unix_micros("window_start").alias("window_us"), "cache_hits", "cache_misses", "error_count", "queue_size", "windows",
+        "exact_keys", close.alias("estimate_close"))
 
 
 @query("batch_summary", """
