@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from vectide.operators import similarity
 from vectide.operators.cellindex import CellIndex
+from vectide.operators.neighbours import NeighbourLists
 from vectide.operators.store import latest_per_id, settle
 from vectide.sources.commitlog import Conflict, StoreLog
 
@@ -199,3 +200,25 @@ def test_empty_index(spark, tmp_path):
     assert index.search(asked(store), 5, 0.5).count() == 0 and index.probe(asked(store), 2, 5, 0.5).count() == 0
     index.upsert(store.limit(5))
     assert index.rows().count() == 5
+
+
+def test_neighbour_lists_follow_the_writes(spark, tmp_path):
+    store, index = vectors(spark), CellIndex(spark, str(tmp_path / "i"), DIM)
+    index.build(store)
+    lists = NeighbourLists(spark, str(tmp_path / "n"), index, 4, 0.6)
+    lists.build()
+    every, rng, now = lists.searched, np.random.default_rng(4), store
+    for batch in range(3):
+        data = [(int(i), (rng.standard_normal(DIM) * [1, 0.1][batch % 2]).tolist(), batch + 2) for i in rng.choice(700, 6, replace=False)]
+        data += [(int(900 + batch), [1.0] * DIM, 1), (int(910 + batch), [1.0], 9)]
+        writes = spark.createDataFrame(data, "embedding_id long, embedding array<float>, created_at long")
+        lists.update(writes, "w", batch)
+        lists.update(writes, "w", batch)
+        good = latest_per_id(writes.filter(F.size("embedding") == DIM))
+        now = settle(now, good, "embedding_id", None)
+        want = similarity.precompute_neighbors(now.filter(F.size("embedding") == DIM), 4, 0.6, with_empty=True, dim=DIM)
+        got = {r["embedding_id"]: [n["embedding_id"] for n in r["neighbors"]] for r in lists.read().collect()}
+        assert got == {r["embedding_id"]: r["precomputed_neighbors"] for r in want.collect()}
+        # entries that were written, and those that named one: about four for each
+        assert lists.searched < every / 4
+    assert lists.log.state().applied == {"w": 2}

@@ -146,7 +146,24 @@ class CellIndex:
         rest = self._score((ids, unit, bars), reach & ~around & (sizes > 0), schema, limit)
         return sim._ranked(first.drop("rank").unionByName(rest), limit)
 
-    def _score(self, asked: tuple, marks: np.ndarray, schema: str, limit: int) -> DataFrame:
+    def matches(self, queries: DataFrame, threshold: float, max_queries: int = sim.MAX_QUERIES,
+                block_rows: int = sim.BLOCK_ROWS) -> DataFrame:
+        """All entries with cosine >= threshold, for each query, from the cells in reach."""
+        schema, asked, head, fits = self._asked(queries, threshold, max_queries)
+        centres = unit_rows(self._centres(self.log.state()))
+        sizes, radii = self._sizes()
+        if not len(centres) or not sizes.sum():
+            return self.spark.createDataFrame([], schema)
+        if not fits:
+            return sim.search_cells(self.rows(), asked, centres, radii, sizes, schema, None, False, block_rows)
+        ids, unit, bars = sim._asked(head)
+        if not len(unit):
+            return self.spark.createDataFrame([], schema)
+        angles = np.arccos(np.clip(unit @ centres.T, -1.0, 1.0))
+        reach = angles <= radii[None, :] + np.arccos(np.clip(bars - sim.BOUND_SLACK, -1.0, 1.0))[:, None] + 1e-7
+        return self._score((ids, unit, bars), reach & (sizes > 0), schema, None)
+
+    def _score(self, asked: tuple, marks: np.ndarray, schema: str, limit: int | None) -> DataFrame:
         visitors = {int(c): np.flatnonzero(marks[:, c]) for c in np.flatnonzero(marks.any(axis=0))}
         return sim.score_visitors(self.rows(sorted(visitors)), asked, visitors, schema, limit, False)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from vectide.operators import cellindex, clusters, lookup, similarity
+from vectide.operators import cellindex, clusters, lookup, neighbours, similarity
 from vectide.operators.store import accepted_writes
 from vectide.plans import views
 from vectide.plans.registry import query
@@ -131,6 +131,23 @@ def precompute_neighbors_cells(spark, folder):
         F.col("precomputed_neighbors").cast("array<string>"), ",").alias("neighbors"))
 
 
+@query("neighbors_after_writes", """
+SELECT a AS embedding_id, string_agg(b, ',' ORDER BY rank) AS neighbors FROM (
+  SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY round(sim, 9) DESC, b) AS rank FROM (
+    SELECT x.embedding_id AS a, y.embedding_id AS b, list_cosine_similarity(x.v, y.v) AS sim
+    FROM upserted x, upserted y WHERE x.embedding_id <> y.embedding_id) WHERE sim >= 0.25) WHERE rank <= 10 GROUP BY a""")
+def neighbors_after_writes(spark, folder):
+    """Lists kept with the index, after the log's writes in two batches."""
+    kept = _clustered_index(spark, folder)
+    lists = neighbours.NeighbourLists(spark, new_folder(spark, "neighbours"), kept, 10, 0.25)
+    lists.build()
+    writes = cut_lineage(accepted_writes(views.incoming(spark, folder), views.DIM, views.store(spark, folder).columns))
+    for batch, part in enumerate((F.col("write_id") % 2 == 0, F.col("write_id") % 2 == 1)):
+        lists.update(writes.filter(part), "log", batch)
+    return lists.read().filter(F.size("neighbors") > 0).select("embedding_id", F.array_join(
+        F.col("neighbors.embedding_id").cast("array<string>"), ",").alias("neighbors"))
+
+
 def _recall(exact: DataFrame, approximate: DataFrame) -> DataFrame:
     """The approximate matches, each marked by whether the exact list has it."""
     known = exact.select("query_id", "embedding_id", F.lit(True).alias("_exact"))
