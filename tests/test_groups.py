@@ -278,3 +278,51 @@ def test_history_written_twice_is_one_set_of_rows(spark, tmp_path):
     assert exact_queue == {r["window_start"]: r["queue_size"] for r in stored.collect()} and max(exact_queue.values()) > 0
     now = F.to_timestamp(F.lit("2024-01-03 00:00:00"))
     assert metrics.read_history(spark, path, now, 1).filter("window_start <= timestamp'2024-01-02 00:00:00'").count() == 0
+
+
+def _walks(spark, seed, users, steps):
+    """Sessions in which the next key depends on the two before, with some noise; a break of a day now and then."""
+    rnd, rows, event = np.random.default_rng(seed), [], 0
+    for user in range(users):
+        a, b, t = 0, 1, 0
+        for _ in range(steps):
+            a, b = b, int((3 * a + 5 * b + 1) % 11) if rnd.random() < 0.8 else int(rnd.integers(0, 11))
+            t += 86_400 * 3 if rnd.random() < 0.05 else 60
+            rows.append((event, user, t, b))
+            event += 1
+    return spark.createDataFrame(rows, "event_id long, user_id long, t long, embedding_id long").withColumn("ts", F.timestamp_seconds("t")).drop("t")
+
+
+def test_backoff_is_not_below_pairs_on_held_out_sessions(spark):
+    from vectide.operators import sessions
+
+    steps = sessions.context_steps(_walks(spark, 1, 30, 100), 3600, 3)
+    held = sessions.context_steps(_walks(spark, 2, 10, 100), 3600, 3).cache()
+    hits = {}
+    for n in (1, 3):
+        model = sessions.backoff_model(steps, n, top=1, least=3)
+        found = sessions.predict_next(held, model, n, ["event_id"])
+        hits[n] = found.join(held, "event_id").filter("next_key = embedding_id").count()
+    assert hits[3] >= hits[1] and hits[3] > 0.5 * held.filter("size(context) > 0").count()
+    # contexts end where a session begins
+    rows = sorted(held.select("user_id", "ts", "event_id", "embedding_id", "context").collect(), key=lambda r: (r["user_id"], r["ts"], r["event_id"]))
+    for i, r in enumerate(rows):
+        want = []
+        for j in range(i - 1, max(-1, i - 4), -1):
+            if rows[j]["user_id"] != r["user_id"] or (rows[j + 1]["ts"] - rows[j]["ts"]).total_seconds() > 3600:
+                break
+            want.append(rows[j]["embedding_id"])
+        assert list(r["context"]) == want
+    held.unpersist()
+
+
+def test_backoff_of_rare_and_unknown_contexts(spark):
+    from vectide.operators import sessions
+
+    steps = spark.createDataFrame([([1, 2], 5), ([1, 3], 6), ([1, 2], 5), ([9], 7), ([], 8)], "context array<long>, embedding_id long")
+    model = sessions.backoff_model(steps, 2, top=2)
+    got = {(tuple(r["context"]), r["next_key"]): (r["follows"], r["total"], r["share"]) for r in model.collect()}
+    assert got == {((1,), 5): (2, 3, 0.5), ((1,), 6): (1, 3, 0.5 / 3), ((1, 2), 5): (2, 2, 0.75), ((9,), 7): (1, 1, 0.5)}
+    asked = spark.createDataFrame([("a", [1, 2, 4]), ("b", [1, 3]), ("c", [4, 1]), ("d", [])], "id string, context array<long>")
+    found = {(r["id"], r["context_length"], r["next_key"], r["rank"]) for r in sessions.predict_next(asked, model, 2, ["id"]).collect()}
+    assert found == {("a", 2, 5, 1), ("b", 1, 5, 1), ("b", 1, 6, 2)}

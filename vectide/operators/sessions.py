@@ -68,6 +68,53 @@ def next_key_ngram(log: DataFrame, gap_seconds: int, top: int = 3, user: str = "
     return best.join(totals, "embedding_id").withColumn("share", ratio("follows", "_total")).drop("_total")
 
 
+def context_steps(log: DataFrame, gap_seconds: int, n: int, user: str = "user_id") -> DataFrame:
+    """Accesses with `context`: the up to n keys before it in its session, the last one first.
+
+    Each round carries one key more over from the access before, so a context of n keys takes n rounds of blocked
+    windows and no window holds more than a block.
+    """
+    rows, none = log, F.array().cast(f"array<{dict(log.dtypes)['embedding_id']}>")
+    for k in range(n):
+        carry = ["ts", "embedding_id"] + (["context"] if k else [])
+        stepped = with_previous(rows, user, "ts", "event_id", carry)
+        within = F.unix_micros("ts") - F.unix_micros("previous.ts") <= gap_seconds * 1_000_000
+        longer = F.array("previous.embedding_id") if not k else F.concat(F.array("previous.embedding_id"), "previous.context")
+        rows = stepped.withColumn("context", F.when(F.coalesce(within, F.lit(False)), F.slice(longer, 1, n)).otherwise(none)).drop(
+            "previous", "position")
+    return rows
+
+
+def backoff_model(steps: DataFrame, n: int, top: int = 3, least: int = 2, discount: float = 0.5) -> DataFrame:
+    """(context, next_key, follows, total, rank, share) for every context of 1 to n keys that occurs `least` times.
+
+    The `top` keys that most often follow, with the share of follows left after an absolute discount; what the
+    discount takes belongs to shorter contexts. A single key keeps its row however rare, as nothing is shorter.
+    """
+    contexts = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda k: F.slice("context", F.lit(1), k))
+    grams = steps.filter(F.size("context") > 0).select(
+        F.explode(F.array_distinct(contexts)).alias("context"), F.col("embedding_id").alias("next_key"))
+    # one row per context and key; kept, since both the best keys and the totals come from it
+    counts = cut_lineage(grams.groupBy("context", "next_key").agg(F.count(F.lit(1)).alias("follows")))
+    totals = counts.groupBy("context").agg(F.sum("follows").alias("total")).filter(
+        (F.col("total") >= least) | (F.size("context") == 1))
+    best = top_per_group(counts, ["context"], [F.col("follows").desc(), F.col("next_key")], top)
+    return best.join(totals, "context").withColumn("share", (F.col("follows") - F.lit(discount)) / F.col("total"))
+
+
+def predict_next(histories: DataFrame, model: DataFrame, n: int, by: list[str]) -> DataFrame:
+    """(by, context_length, next_key, rank, share) for each history, from the longest of its contexts in the model.
+
+    `histories` has `context` with the last key first; `by` tells its rows apart. A history whose last key is not in
+    the model has no row.
+    """
+    contexts = F.transform(F.sequence(F.lit(1), F.least(F.lit(n), F.size("context"))), lambda k: F.slice("context", F.lit(1), k))
+    asked = histories.filter(F.size("context") > 0).select(*by, F.explode(contexts).alias("context"))
+    known = asked.join(model.select("context").distinct(), "context")
+    longest = known.groupBy(*by).agg(F.max_by("context", F.size("context")).alias("context"))
+    return longest.join(model, "context").select(*by, F.size("context").alias("context_length"), "next_key", "rank", "share")
+
+
 def session_drift(log: DataFrame, vectors: DataFrame, gap_seconds: int, user: str = "user_id") -> DataFrame:
     """Mean cosine between neighbouring accesses of a session; null for sessions of one access.
 

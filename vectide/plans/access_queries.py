@@ -8,6 +8,7 @@ from vectide.operators import access, sessions
 from vectide.plans import views
 from vectide.plans.registry import query
 from vectide.plans.rounding import nudged
+from vectide.session import cut_lineage
 
 
 @query("ttl_hit_label", "SELECT event_id, embedding_id, cache_hit FROM request_log")
@@ -145,6 +146,36 @@ def next_key_ngram(spark, folder):
     return found.withColumn("share", nudged("share", 6))
 
 
+@query("next_key_backoff", """
+WITH one AS (
+  SELECT user_id, ts, event_id, embedding_id, CASE WHEN gap_us <= 21600000000 THEN before_key END AS p1 FROM user_steps),
+two AS (SELECT *, CASE WHEN p1 IS NOT NULL THEN lag(p1) OVER (PARTITION BY user_id ORDER BY ts, event_id) END AS p2 FROM one),
+three AS (SELECT *, CASE WHEN p1 IS NOT NULL THEN lag(p2) OVER (PARTITION BY user_id ORDER BY ts, event_id) END AS p3 FROM two),
+counts AS (
+  SELECT context, embedding_id AS next_key, count(*) AS follows FROM (
+    SELECT [p1] AS context, embedding_id FROM three WHERE p1 IS NOT NULL UNION ALL
+    SELECT [p1, p2], embedding_id FROM three WHERE p2 IS NOT NULL UNION ALL
+    SELECT [p1, p2, p3], embedding_id FROM three WHERE p3 IS NOT NULL) GROUP BY 1, 2),
+model AS (
+  SELECT * FROM (
+    SELECT *, sum(follows) OVER (PARTITION BY context) AS total,
+           row_number() OVER (PARTITION BY context ORDER BY follows DESC, next_key) AS rank FROM counts)
+  WHERE rank <= 3 AND (total >= 2 OR len(context) = 1)),
+last AS (SELECT user_id, list_filter([embedding_id, p1, p2], lambda x: x IS NOT NULL) AS history FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM three) WHERE rn = 1),
+asked AS (SELECT user_id, history[1:k] AS context, k FROM last, (SELECT unnest([1, 2, 3]) AS k) WHERE k <= len(history)),
+longest AS (SELECT user_id, max(k) AS k FROM asked WHERE context IN (SELECT context FROM model) GROUP BY 1)
+SELECT user_id, k AS context_length, next_key, rank::INTEGER AS rank, round((follows - 0.5) / total + 1e-9, 6) AS share
+FROM longest JOIN asked USING (user_id, k) JOIN model USING (context)""")
+def next_key_backoff(spark, folder):
+    """For each user the likely next keys after the last access of the log, from contexts of up to three keys."""
+    steps = cut_lineage(sessions.context_steps(views.access_log(spark, folder), views.SESSION_GAP, 3))
+    last = steps.groupBy("user_id").agg(F.max_by(
+        F.slice(F.concat(F.array("embedding_id"), "context"), 1, 3), F.struct("ts", "event_id")).alias("context"))
+    found = sessions.predict_next(last, sessions.backoff_model(steps, 3), 3, ["user_id"])
+    return found.withColumn("share", nudged("share", 6))
+
+
 @query("session_drift", """
 SELECT user_id, epoch_us(session_start) AS session_us, count(*) AS accesses,
        round(avg(list_cosine_similarity(a.v, b.v)) + 1e-9, 6) AS mean_similarity
