@@ -104,3 +104,35 @@ def test_neighbour_lists_that_are_empty(spark):
         [(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 1.0]), (4, None)], "embedding_id long, embedding array<float>")
     got = {r[0]: r[1] for r in precompute_neighbors(store, with_empty=True).collect()}
     assert got == {1: [2], 2: [1], 3: [], 4: []}
+
+
+def test_routing_falls_back_to_hashes(spark):
+    from vectide.operators import clusters
+
+    rows = [(1, [1.0, 0.1]), (2, [0.0, 0.0]), (3, [1.0]), (4, None), (5, [float("nan"), 1.0]), (6, [0.1, 1.0]), (7, [float("inf"), 0.0])]
+    store = spark.createDataFrame(rows, "embedding_id long, embedding array<float>")
+    centroids = np.array([[1.0, 0.0], [0.0, 1.0]])
+    got = {r["embedding_id"]: r["cluster"] for r in clusters.route_to_cluster(store, [7, 9], centroids).collect()}
+    assert (got[1], got[6]) == (7, 9) and all(0 <= got[i] < clusters.CLUSTERS for i in (2, 3, 4, 5, 7))
+    plain = {r["embedding_id"]: r["cluster"] for r in clusters.route_to_cluster(store, [], None).collect()}
+    assert all(plain[i] == got[i] for i in (2, 3, 4, 5, 7))
+    placed = spark.createDataFrame([(1, 8), (2, None)], "k long, c int").select(
+        clusters.assign_shard("c", 6).alias("a"), clusters.assign_shard("c", 6, "k").alias("b")).collect()
+    assert tuple(placed[0]) == (2, 2) and placed[1]["a"] is None and 0 <= placed[1]["b"] < 6
+
+
+def test_bytes_of_vectors_row_by_row(spark):
+    from vectide.functions.vectors import float32_bytes
+    from vectide.sources import blobs
+
+    vectors = [[1.0, 2.5], None, [], [0.1] * 5, [-3.0]]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(vectors)], "i int, embedding array<float>").coalesce(1)
+    got = [r[0] for r in df.orderBy("i").select(float32_bytes("embedding")).collect()]
+    assert [None if g is None else bytes(g) for g in got] == [None if v is None else np.array(v, "<f4").tobytes() for v in vectors]
+    raw = [(0, np.array([1.5, 2.0], "<f4").tobytes(), "float32", [2]), (1, np.array([1.5, 2.0, 3.0], "<f8").tobytes(), "float64", [3]),
+           (2, b"123", "float32", [1]), (3, b"", "float32", [0]), (4, None, "float32", [1]), (5, b"1234", "int8", [1]),
+           (6, np.array([9.0], "<f4").tobytes(), "float32", [1, 1]), (7, b"1234", None, [1]), (8, b"1234", "float32", None)]
+    table = spark.createDataFrame(raw, "i int, blob binary, element_type string, shape array<int>").coalesce(1)
+    good, bad = blobs.decode_vectors(table)
+    assert {r["i"]: list(r["embedding"]) for r in good.collect()} == {0: [1.5, 2.0], 1: [1.5, 2.0, 3.0], 3: [], 6: [9.0]}
+    assert {r["i"] for r in bad.collect()} == {2, 4, 5, 7, 8}

@@ -326,3 +326,18 @@ def test_backoff_of_rare_and_unknown_contexts(spark):
     asked = spark.createDataFrame([("a", [1, 2, 4]), ("b", [1, 3]), ("c", [4, 1]), ("d", [])], "id string, context array<long>")
     found = {(r["id"], r["context_length"], r["next_key"], r["rank"]) for r in sessions.predict_next(asked, model, 2, ["id"]).collect()}
     assert found == {("a", 2, 5, 1), ("b", 1, 5, 1), ("b", 1, 6, 2)}
+
+
+def test_families_come_with_help_and_type_first(spark):
+    from vectide.operators import metrics
+
+    rows = spark.createDataFrame([("a", 0.2), ("b", 0.7)], "op string, v double")
+    samples = metrics.histogram_samples(metrics.histogram(rows, "v", [0.5], ["op"]), metrics.LATENCY, ["op"]).unionByName(
+        metrics.labelled_gauges(rows, metrics.MEMORY, ["op"], "v")).unionByName(
+        metrics.labelled_gauges(rows.limit(1), "unknown_family", [], "v"))
+    lines = [r["line"] for r in metrics.export_metrics_text(samples, metrics.FAMILIES).collect()]
+    for name, kind in ((metrics.LATENCY, "histogram"), (metrics.MEMORY, "gauge")):
+        at = lines.index(f"# HELP {name} {metrics.FAMILIES[name][1]}")
+        assert lines[at + 1] == f"# TYPE {name} {kind}" and all(x.startswith(name) for x in lines[at + 2:at + 4])
+    assert "unknown_family 0.200000" in lines and not any(x.startswith("#") and metrics.QUEUE in x for x in lines)
+    assert len(lines) == 2 * 2 + 2 * 4 + 2 + 1

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import hashlib
+from pyspark.sql import Column, functions as F
 
-import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import Column, functions as F, types as T
+from vectide.functions.vectors import float32_bytes
 
 # Key prefixes and the hash length used in keys.
 ENTRY_PREFIX = "emb:"
@@ -36,21 +34,9 @@ def strip_namespace(key: Column | str) -> Column:
     return F.regexp_replace(key, "^[^:]*:", "")
 
 
-@F.arrow_udf(T.StringType())
-def _vector_digest(vectors: pa.Array) -> pa.Array:
-    flat = vectors.flatten().cast(pa.float32()).to_numpy(zero_copy_only=False)
-    ends = pc.list_value_length(vectors).fill_null(0).to_numpy(zero_copy_only=False).cumsum()
-    digests, start = [], 0
-    for end, valid in zip(ends, vectors.is_valid().to_pylist()):
-        raw = flat[start:end].tobytes()
-        digests.append(hashlib.sha256(raw).hexdigest()[:HASH_LENGTH] if valid else None)
-        start = end
-    return pa.array(digests, pa.string())
-
-
 def content_hash(vector: Column | str) -> Column:
     """Key of the set of entries whose float32 bytes are the same."""
-    return F.concat(F.lit(CONTENT_PREFIX), _vector_digest(vector))
+    return F.concat(F.lit(CONTENT_PREFIX), F.substring(F.sha2(float32_bytes(vector), 256), 1, HASH_LENGTH))
 
 
 def _class_end(pattern: str, start: int) -> int | None:

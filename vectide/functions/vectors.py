@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, functions as F
+import pyarrow.compute as pc
+from pyspark.sql import Column, functions as F, types as T
 
 
 def _col(value: Column | str) -> Column:
@@ -58,3 +59,13 @@ def unit_rows(matrix: np.ndarray) -> np.ndarray:
     """Rows scaled to length one; a zero row becomes NaN and so matches nothing."""
     with np.errstate(divide="ignore", invalid="ignore"):
         return matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
+
+
+@F.arrow_udf(T.BinaryType())
+def float32_bytes(vectors: pa.Array) -> pa.Array:
+    """The little-endian float32 bytes of each vector, null for null; a null element is NaN. No loop over rows."""
+    flat = vectors.flatten().cast(pa.float32()).to_numpy(zero_copy_only=False).astype("<f4")
+    ends = 4 * pc.list_value_length(vectors).fill_null(0).to_numpy(zero_copy_only=False).cumsum()
+    offsets = np.concatenate([[0], ends]).astype("<i4")
+    packed = pa.Array.from_buffers(pa.binary(), len(vectors), [None, pa.py_buffer(offsets), pa.py_buffer(flat)])
+    return pc.if_else(vectors.is_valid(), packed, pa.scalar(None, pa.binary())) if vectors.null_count else packed

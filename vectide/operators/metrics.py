@@ -24,6 +24,21 @@ SIMILARITY_REQUESTS = "similarity_router_requests_total"
 HITS, MISSES, SEARCHES = "cache_hits_total", "cache_misses_total", "similarity_searches_total"
 LATENCY = "embedding_cache_latency_seconds"
 HIT_RATE = "embedding_cache_hit_rate"
+SCORES = "embedding_similarity_scores"
+HTTP_DURATION, GRPC_DURATION = "http_request_duration_seconds", "grpc_request_duration_seconds"
+MEMORY, QUEUE = "redis_memory_usage_bytes", "embedding_precompute_queue_size"
+# kind and description of each family
+FAMILIES = {
+    CACHE_OPERATIONS: ("counter", "Cache operations by kind and outcome"),
+    EMBEDDING_OPERATIONS: ("counter", "Embedding operations by kind and model"),
+    ERRORS: ("counter", "Errors by component and kind"),
+    REQUESTS: ("counter", "Requests by method and outcome"),
+    SIMILARITY_REQUESTS: ("counter", "Routed requests by cache status and method"),
+    HITS: ("counter", "Cache hits"), MISSES: ("counter", "Cache misses"), SEARCHES: ("counter", "Similarity searches"),
+    LATENCY: ("histogram", "Latency of cache operations"), SCORES: ("histogram", "Similarity scores"),
+    HTTP_DURATION: ("histogram", "Duration of HTTP requests"), GRPC_DURATION: ("histogram", "Duration of remote calls"),
+    HIT_RATE: ("gauge", "Share of hits"), MEMORY: ("gauge", "Bytes of vectors by node"), QUEUE: ("gauge", "Keys waiting to be computed"),
+}
 RETENTION_DAYS = 7
 COLLECTION_SECONDS = 30
 
@@ -302,12 +317,38 @@ def gauge_samples(row: DataFrame, gauges: dict[str, str]) -> DataFrame:
     return row.select(F.explode(lines).alias("_line")).select("_line.*")
 
 
-def export_metrics_text(samples: DataFrame) -> DataFrame:
-    """Metric rows (name, labels as exposition text, value) as text lines."""
+def labelled_gauges(rows: DataFrame, name: str, labels: list[str], value: str) -> DataFrame:
+    """A gauge per row as metric rows."""
+    return rows.select(F.lit(name).alias("name"), label_text(labels).alias("labels"),
+                       F.col(value).cast("decimal(38,6)").cast("string").alias("value"))
+
+
+def family_lines(samples: DataFrame, families: dict[str, tuple[str, str]] = FAMILIES) -> DataFrame:
+    """(family, line) of the samples, and of the HELP and TYPE lines of the families that have some."""
+    # an entry per sample name, as many as the table has lines
+    known = {name + suffix: name for name, (kind, _) in families.items()
+             for suffix in (("_bucket", "_sum", "_count") if kind == "histogram" else ("",))}
+    of = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
+    texts = F.create_map(*[x for name, (kind, text) in families.items() for x in (
+        F.lit(name), F.array(F.lit(f"# HELP {name} {text}"), F.lit(f"# TYPE {name} {kind}")))])
+    lines = samples.select(F.coalesce(of[F.col("name")], F.col("name")).alias("family"), _line().alias("line"))
+    there = lines.select("family").distinct().filter(F.col("family").isin(list(families)))
+    return there.select("family", F.explode(texts[F.col("family")]).alias("line")).unionByName(lines)
+
+
+def _line() -> Column:
     named = F.when(F.col("labels") == "", F.col("name")).otherwise(F.concat("name", F.lit("{"), "labels", F.lit("}")))
-    return samples.select(F.concat(named, F.lit(" "), F.col("value").cast("string")).alias("line"))
+    return F.concat(named, F.lit(" "), F.col("value").cast("string"))
+
+
+def export_metrics_text(samples: DataFrame, families: dict[str, tuple[str, str]] | None = None) -> DataFrame:
+    """Metric rows (name, labels as exposition text, value) as text lines; with `families` in order, a family's HELP and
+    TYPE before its samples."""
+    if families is None:
+        return samples.select(_line().alias("line"))
+    return family_lines(samples, families).orderBy("family", ~F.col("line").startswith("#"), "line").select("line")
 
 
-def write_metrics_text(samples: DataFrame, path: str) -> None:
+def write_metrics_text(samples: DataFrame, path: str, families: dict[str, tuple[str, str]] | None = None) -> None:
     """Text lines as files below `path`."""
-    export_metrics_text(samples).write.mode("overwrite").text(path)
+    export_metrics_text(samples, families).write.mode("overwrite").text(path)

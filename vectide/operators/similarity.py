@@ -446,13 +446,17 @@ def knn_then_threshold(store: DataFrame, queries: DataFrame, k: int = ROUTER_CAN
     return similar_topk(store, queries, k or ROUTER_CANDIDATES, threshold, **how)
 
 
-def route_projection(matches: DataFrame) -> DataFrame:
-    """Matches as result records with their cache key."""
+def route_projection(matches: DataFrame, store: DataFrame | None = None, metadata: tuple[str, ...] = ()) -> DataFrame:
+    """Matches as result records with their cache key and, from `store`, the metadata columns of the entry.
+
+    The columns are fetched for the matches alone, after the ranking; they are null for an entry that is gone.
+    """
     from vectide.functions.keys import TEXT_PREFIX, prefixed
 
-    return matches.select(
+    records = matches.select(
         "query_id", "rank", "embedding_id", F.col("similarity").alias("similarity_score"),
         prefixed(TEXT_PREFIX, "embedding_id").alias("cache_key"))
+    return records if store is None else records.join(store.select("embedding_id", *metadata), "embedding_id", "left")
 
 
 def find_similar_fetch(index: DataFrame, live: DataFrame, queries: DataFrame, k: int, threshold: float,

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from vectide.functions.numbers import timestamp
+from vectide.functions.vectors import vector_bytes
 from vectide.operators import metrics
 from vectide.plans import views
+from vectide.plans.predict_queries import needs
 from vectide.plans.registry import query
 from vectide.plans.rounding import nudged, rounded
 from vectide.session import cut_lineage, new_folder
@@ -70,18 +74,30 @@ def similarity_histogram(spark, folder):
     return rounded(metrics.histogram(rows, "similarity_score", metrics.SCORE_BOUNDS, []), 4, "total_sum")
 
 
-# the operation of an event stands for the method; every request goes to one endpoint
-REQUEST_LABELS = {"method": "op", "endpoint": "'/embeddings'", "status": "CASE WHEN success THEN 'success' ELSE 'error' END"}
+# the operation of an event stands for the method; writes and reads go to an endpoint and a service each
+STATUS = "CASE WHEN success THEN 'success' ELSE 'error' END"
+WRITES = "op IN ('purchase', 'signup')"
+HTTP_LABELS = {"method": "op", "endpoint": f"CASE WHEN {WRITES} THEN '/embeddings' ELSE '/similar' END", "status": STATUS}
+GRPC_LABELS = {"service": f"CASE WHEN {WRITES} THEN 'store' ELSE 'search' END", "method": "op", "status": STATUS}
+SECONDS = "(latency_ms / 1000.0::DOUBLE)"
+HTTP_SQL = histogram_sql("access_log", SECONDS, metrics.DEFAULT_BOUNDS, HTTP_LABELS)
+GRPC_SQL = histogram_sql("access_log", SECONDS, metrics.DEFAULT_BOUNDS, GRPC_LABELS)
 
 
-@query("request_duration_histogram", histogram_sql(
-    "access_log", "(latency_ms / 1000.0::DOUBLE)", metrics.DEFAULT_BOUNDS,
-    {"method": "op", "status": REQUEST_LABELS["status"]}))
-def request_duration_histogram(spark, folder):
+def _durations(spark, folder, labels: dict[str, str]) -> DataFrame:
     rows = views.access_log(spark, folder).select(
-        F.col("op").alias("method"), F.when(F.col("success"), "success").otherwise("error").alias("status"),
-        (F.col("latency_ms") / 1000.0).alias("seconds"))
-    return rounded(metrics.histogram(rows, "seconds", metrics.DEFAULT_BOUNDS, ["method", "status"]), 4, "total_sum")
+        *[F.expr(sql).alias(name) for name, sql in labels.items()], (F.col("latency_ms") / 1000.0).alias("seconds"))
+    return rounded(metrics.histogram(rows, "seconds", metrics.DEFAULT_BOUNDS, list(labels)), 4, "total_sum")
+
+
+@query("request_duration_histogram", HTTP_SQL)
+def request_duration_histogram(spark, folder):
+    return _durations(spark, folder, HTTP_LABELS)
+
+
+@query("call_duration_histogram", GRPC_SQL)
+def call_duration_histogram(spark, folder):
+    return _durations(spark, folder, GRPC_LABELS)
 
 
 def _labels_sql(**labels: str) -> str:
@@ -140,29 +156,53 @@ def label_counters(spark, folder):
     return counters(spark, folder)
 
 
-def _sample_sql(name: str, labels: str, value: str) -> str:
-    return f"SELECT '{name}{{' || {labels} || '}} ' || {value} AS line FROM buckets"
-
-
-BUCKETS = histogram_sql("access_log", "(latency_ms / 1000.0::DOUBLE)", metrics.LATENCY_BOUNDS, {"operation": "op"})
-
-
-@query("export_metrics_text", f"""{LABELLED}, counters AS ({COUNTERS_SQL}), buckets AS ({BUCKETS})
-SELECT counter || CASE WHEN labels = '' THEN '' ELSE '{{' || labels || '}}' END || ' ' || count AS line FROM counters
-UNION ALL {_sample_sql(metrics.LATENCY + "_bucket", _labels_sql(operation="operation", le="le"), "bucket_count")}
-UNION ALL {_sample_sql(metrics.LATENCY + "_sum", _labels_sql(operation="operation"), "total_sum::DECIMAL(38, 6)")} WHERE le = '+Inf'
-UNION ALL {_sample_sql(metrics.LATENCY + "_count", _labels_sql(operation="operation"), "total_count")} WHERE le = '+Inf'
-UNION ALL SELECT '{metrics.HIT_RATE} ' || (count(*) FILTER (cache_status = 'hit') / count(*))::DECIMAL(38, 6) FROM labelled_log""")
+def _histogram_samples(name: str, body: str, **labels: str) -> str:
+    """The samples of a histogram as (name, labels, value)."""
+    own, with_bound = _labels_sql(**labels), _labels_sql(**labels, le="le")
+    return f"""SELECT '{name}_bucket' AS name, {with_bound} AS labels, bucket_count::VARCHAR AS value FROM ({body})
+UNION ALL SELECT '{name}_sum', {own}, total_sum::DECIMAL(38, 6)::VARCHAR FROM ({body}) WHERE le = '+Inf'
+UNION ALL SELECT '{name}_count', {own}, total_count::VARCHAR FROM ({body}) WHERE le = '+Inf'"""
+
+
+LATENCY_SQL = histogram_sql("access_log", SECONDS, metrics.LATENCY_BOUNDS, {"operation": "op"})
+SCORES_SQL = histogram_sql("access_log", "similarity_score", metrics.SCORE_BOUNDS, {})
+FAMILIES_SQL = ", ".join(f"('{name}', '{kind}', '{text}')" for name, (kind, text) in metrics.FAMILIES.items())
+
+
+@query("export_metrics_text", f"""{LABELLED}, counters AS ({COUNTERS_SQL}),
+samples AS (
+  SELECT counter AS name, labels, count::VARCHAR AS value FROM counters
+  UNION ALL {_histogram_samples(metrics.LATENCY, LATENCY_SQL, operation="operation")}
+  UNION ALL {_histogram_samples(metrics.SCORES, SCORES_SQL)}
+  UNION ALL {_histogram_samples(metrics.HTTP_DURATION, HTTP_SQL, method="method", endpoint="endpoint", status="status")}
+  UNION ALL {_histogram_samples(metrics.GRPC_DURATION, GRPC_SQL, service="service", method="method", status="status")}
+  UNION ALL SELECT '{metrics.HIT_RATE}', '', (count(*) FILTER (cache_status = 'hit') / count(*))::DECIMAL(38, 6)::VARCHAR FROM labelled_log
+  UNION ALL SELECT '{metrics.MEMORY}', 'node="shard_' || (similarity_cluster % 6) || '"', sum(4 * len(v))::DECIMAL(38, 6)::VARCHAR FROM store GROUP BY 2
+  UNION ALL SELECT '{metrics.QUEUE}', '', count(*)::DECIMAL(38, 6)::VARCHAR FROM needs WHERE should_precompute),
+families AS (SELECT * FROM (VALUES {FAMILIES_SQL}) AS t(family, kind, description)),
+there AS (SELECT DISTINCT family, kind, description FROM families JOIN samples
+  ON CASE WHEN kind = 'histogram' THEN regexp_replace(name, '_(bucket|sum|count)$', '') ELSE name END = family)
+SELECT name || CASE WHEN labels = '' THEN '' ELSE '{{' || labels || '}}' END || ' ' || value AS line FROM samples
+UNION ALL SELECT '# HELP ' || family || ' ' || description FROM there
+UNION ALL SELECT '# TYPE ' || family || ' ' || kind FROM there""")
 def export_metrics_text(spark, folder):
-    """Counters, the latency histogram and the hit rate, written as text and read back."""
+    """All families, written as text with their HELP and TYPE lines and read back."""
     stats = metrics.cache_stats(views.request_log(spark, folder))
-    samples = (
-        metrics.counter_samples(counters(spark, folder))
-        .unionByName(metrics.histogram_samples(latency_histogram(spark, folder), metrics.LATENCY, ["operation"]))
-        .unionByName(metrics.gauge_samples(stats, {metrics.HIT_RATE: "hit_rate"}))
-    )
+    memory = views.store(spark, folder).groupBy(F.concat(
+        F.lit("shard_"), (F.col("similarity_cluster") % views.SHARDS).cast("string")).alias("node")).agg(
+            F.sum(vector_bytes("embedding")).alias("bytes"))
+    queue = needs(spark, folder).agg(F.count_if("should_precompute").alias("queue"))
+    parts = [
+        metrics.counter_samples(counters(spark, folder)),
+        metrics.histogram_samples(latency_histogram(spark, folder), metrics.LATENCY, ["operation"]),
+        metrics.histogram_samples(similarity_histogram(spark, folder), metrics.SCORES, []),
+        metrics.histogram_samples(_durations(spark, folder, HTTP_LABELS), metrics.HTTP_DURATION, list(HTTP_LABELS)),
+        metrics.histogram_samples(_durations(spark, folder, GRPC_LABELS), metrics.GRPC_DURATION, list(GRPC_LABELS)),
+        metrics.gauge_samples(stats, {metrics.HIT_RATE: "hit_rate"}), metrics.labelled_gauges(memory, metrics.MEMORY, ["node"], "bytes"),
+        metrics.gauge_samples(queue, {metrics.QUEUE: "queue"})]
+    samples = cut_lineage(reduce(DataFrame.unionByName, parts))  # read for the lines and for their families
     path = new_folder(spark, "metrics-text")
-    metrics.write_metrics_text(samples, path)
+    metrics.write_metrics_text(samples, path, metrics.FAMILIES)
     return spark.read.text(path).withColumnRenamed("value", "line")
 
 

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from vectide.functions.numbers import hash_bucket
 from vectide.operators import access, lookup, predict, trainer
 from vectide.plans import views
 from vectide.plans.registry import query
 from vectide.plans.rounding import nudged
 from vectide.plans.store_queries import text_embedding, touched
 from vectide.session import cut_lineage, new_folder
-from vectide.sources import models
+from vectide.sources import commitlog, models
 
 FEATURES = """
 SELECT event_id, embedding_id, vector_size::DOUBLE AS vector_size, coalesce(similarity_score, 0.0) AS score,
@@ -193,6 +194,26 @@ def get_or_compute(spark, folder):
     return answers.select("doc_id", "key", "model_version", "cached")
 
 
+@query("get_or_compute_stored", """
+SELECT doc_id, key, model_version, key IN (SELECT key FROM text_store) AS cached_before, true AS cached_after,
+       (SELECT count(DISTINCT key) FROM text_keys) AS entries FROM text_keys""")
+def get_or_compute_stored(spark, folder):
+    """The computed entries go into the store on disk; asked again, every text is cached."""
+    log = commitlog.StoreLog(spark, new_folder(spark, "texts"), key="key", part="part")
+    place = lambda rows: rows.withColumn("part", hash_bucket("key", views.SHARDS))
+    entry = [F.col("key"), F.lit(None).cast("string").alias("model_version"), F.array().cast("array<float>").alias("embedding"),
+             views.as_of().alias("created_at"), F.lit(0).alias("access_count")]
+    log.write(place(views.text_store(spark, folder).select(*entry)))
+    compute = lambda missing: missing.withColumn("embedding", text_embedding("text"))
+    asked = views.documents(spark, folder)
+    first, fresh = lookup.get_or_compute(asked, log.read().select("key", "embedding"), compute, views.as_of())
+    first = cut_lineage(first.select("doc_id", "key", "model_version", F.col("cached").alias("cached_before")))
+    log.upsert(place(fresh), "compute", 0)
+    again, _ = lookup.get_or_compute(asked, log.read().select("key", "embedding"), compute, views.as_of())
+    return first.join(again.select("doc_id", F.col("cached").alias("cached_after")), "doc_id").withColumn(
+        "entries", F.lit(log.read().count()))
+
+
 @query("precompute_queue", """
 SELECT embedding_id, round(max(priority_score) + 1e-9, 6) AS priority_score, bool_or(r) AS recommended, bool_or(h) AS hot FROM (
   SELECT embedding_id, priority_score, true AS r, false AS h FROM needs WHERE should_precompute UNION ALL

@@ -60,13 +60,14 @@ def knn_then_threshold(spark, folder):
 
 @query("route_projection", """
 SELECT query_id, rank::INTEGER AS rank, embedding_id, round(similarity, 9) AS similarity_score,
-       'embedding:' || embedding_id AS cache_key FROM (
+       'embedding:' || embedding_id AS cache_key, model_name, similarity_cluster, epoch_us(created_at) AS created_us FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(similarity, 9) DESC, embedding_id) AS rank
-  FROM all_pairs WHERE similarity >= 0.2) WHERE rank <= 50""")
+  FROM all_pairs WHERE similarity >= 0.2) JOIN store USING (embedding_id) WHERE rank <= 50""")
 def route_projection(spark, folder):
-    found = similarity.knn_then_threshold(
-        views.store(spark, folder), views.query_vectors(spark, folder), threshold=THRESHOLD, dim=views.DIM)
-    return similarity.route_projection(found)
+    store = views.store(spark, folder)
+    found = similarity.knn_then_threshold(store, kept_queries(spark, folder), threshold=THRESHOLD, dim=views.DIM)
+    records = similarity.route_projection(found, store, ("model_name", "similarity_cluster", "created_at"))
+    return records.withColumn("created_us", F.unix_micros("created_at")).drop("created_at")
 
 
 @query("find_similar_fetch", """

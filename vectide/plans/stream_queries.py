@@ -129,26 +129,12 @@ def stream_ttl_store(spark, folder):
 
 
 @query("periodic_refresh", """
-SELECT r.run, s.similarity_cluster AS label, count(*) AS entries,
-       round(avg(list_dot_product(s.v, range(1, 65)::DOUBLE[])) + 1e-9, 6) AS weighted
-FROM (VALUES ('first', TIMESTAMP '2024-01-25'), ('second', TIMESTAMP '2024-01-25'), ('third', TIMESTAMP '2024-01-25 09:00:00')) AS r(run, asked)
-JOIN store s ON s.created_at <= r.asked GROUP BY ALL""")
+WITH ends AS (SELECT DISTINCT (epoch_us(created_at) // 86400000000 + 1) * 86400000000 AS refreshed_us FROM store)
+SELECT refreshed_us, similarity_cluster AS label, count(*) AS entries,
+       round(avg(list_dot_product(v, range(1, 65)::DOUBLE[])) + 1e-9, 6) AS weighted
+FROM ends JOIN store ON epoch_us(created_at) < refreshed_us GROUP BY 1, 2""")
 def periodic_refresh(spark, folder):
-    """Centroids of the entries there are, asked for at three times and built anew when six hours old: the
-    second call finds the table of the first."""
-    base, store = new_folder(spark, "refresh"), views.store(spark, folder)
-
-    def asked(run: str, now: int) -> DataFrame:
-        there = store.filter(F.col("created_at") <= F.timestamp_seconds(F.lit(now)))
-
-        def build() -> DataFrame:
-            sizes = there.groupBy("similarity_cluster").agg(F.count(F.lit(1)).alias("entries"))
-            return clusters.group_means(there, "similarity_cluster").join(sizes, "similarity_cluster")
-
-        current = jobs.refresh_if_stale(spark, f"{base}/centroids", now, 6 * 3600, build)
-        return current.select(F.lit(run).alias("run"), F.col("similarity_cluster").alias("label"), "entries",
-                              nudged(dot("centroid", F.sequence(F.lit(1), F.lit(views.DIM))), 6).alias("weighted"))
-
-    start = 1706140800  # 2024-01-25 00:00 UTC
-    return asked("first", start).unionByName(asked("second", start + 3 * 3600)).unionByName(
-        asked("third", start + 9 * 3600))
+    """Centroids as they are at the end of each day on which entries were written."""
+    daily = clusters.refreshed_means(views.store(spark, folder), "similarity_cluster", 86400)
+    return daily.select(F.unix_micros("refreshed_at").alias("refreshed_us"), F.col("similarity_cluster").alias("label"), "entries",
+                        nudged(dot("centroid", F.sequence(F.lit(1), F.lit(views.DIM))), 6).alias("weighted"))
