@@ -495,21 +495,6 @@ def test_empty_tables(spark, run):
     assert run(frame(spark, ["a"]).filter("doc_id < 0")).count() == 0
 
 
-def test_pipeline_stages(spark):
-    import corpus_pipeline
-
-    folder = "/root/testdata/sf0.001"
-    docs = spark.read.parquet(f"{folder}/documents.parquet")
-    left, ids = docs, None
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        left = stage(spark, left, folder)
-        assert left.columns == docs.columns
-        now = {r[0] for r in left.select("doc_id").collect()}
-        assert ids is None or now <= ids
-        ids = now
-    assert {r["doc_id"] for r in corpus_pipeline.run(spark, folder).collect()} == ids
-
-
 def test_pii_sample_is_the_first_by_hash(spark):
     """Also where copies leave a gap in the hashes, and with fewer rows than asked for."""
     from vectide.llm.pii import _first_by_hash

@@ -14,7 +14,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from vectide.llm.shared import text_key
+from vectide.llm.shared import first_by_hash, text_key
 
 BUCKETS = 1 << 18
 # Labelled rows the model is fitted on, picked by hash of the id; a bound, whatever the number of labels.
@@ -128,7 +128,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     grade = F.when(toxic, 0).when(F.col("quality") <= 0, 1).otherwise(2)
     graded = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(
         F.min(grade).alias("grade"))
-    picked = graded.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).withColumnRenamed("doc_id", "__id")
+    picked = first_by_hash(graded, ["doc_id"], sample).withColumnRenamed("doc_id", "__id")
     texts = docs.select(F.col(id_col).cast("long").alias("__doc"), F.col(text_col).cast("binary").alias("text")).join(
         F.broadcast(picked), F.col("__doc") == F.col("__id")).select("text", "grade", "__id")
     rows = texts.select("text", "grade").mapInArrow(_features, "buckets array<int>, grade int").toArrow()
@@ -170,7 +170,10 @@ def grade(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def keep_selected(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows of `docs` that the model selects, all columns; no join, the filter runs where the rows are."""
+    """The rows of `docs` that the model selects, all columns; no join, the filter runs where the rows are.
+
+    A null text is judged as an empty one; repeated rows and rows without id are judged each for itself.
+    """
     model = Model(model.weights.astype(np.float32), model.thresholds, model.cut)
     at = docs.columns.index(text_col)
 

@@ -22,6 +22,8 @@ SHINGLE = 4
 SEED = 42
 # Fingerprints that one task compares at once; larger buckets are split by further masks, not cut.
 BUCKET = 512
+# Fingerprints of a task that writes them into all tables.
+TABLE_ROWS = 16_384
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -111,7 +113,10 @@ def near_links(prints: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) ->
         raise ValueError("bucket must be at least 2 ** radius")
     spark = prints.sparkSession
     tables = {str(n): mask for n, mask in enumerate(covering_masks(list(range(BITS)), radius))}
-    cells = prints.select("fp").distinct().select("fp", F.explode(F.array(*[
+    # few bytes, but each row becomes many: dealt by the number of rows
+    single = kept(prints.select("fp").distinct(), "distinct-fingerprints")
+    single = single.repartition(max(1, -(-single.count() // TABLE_ROWS)), "fp")
+    cells = single.select("fp", F.explode(F.array(*[
         F.struct(F.lit(name).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(mask))).alias("k"))
         for name, mask in tables.items()])).alias("cell")).select("fp", "cell.t", "cell.k")
     found = None
@@ -152,12 +157,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     no row of the group has an id. Extra columns are ignored; an empty table gives an empty result.
     """
     prints = kept(fingerprints(docs, id_col, text_col), "fingerprints")
-    links = components(near_links(prints, radius))
-    firsts = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    rooted = firsts.join(links, firsts["fp"] == links["node"], "left").select(
-        "fp", "first", F.coalesce("root", "fp").alias("root"))
-    ids = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(ids, "root").select("fp", "component_id")
+    # a fingerprint as a node that sorts by its first document, so that a group's root names the group
+    node = F.struct(F.col("first").isNull().alias("none"), "first", "fp")
+    firsts = kept(prints.groupBy("fp").agg(F.min("doc_id").alias("first")).select("fp", "first", node.alias("node")), "first-documents")
+    links = near_links(prints, radius)
+    for side in ("a", "b"):
+        links = links.join(firsts.select(F.col("fp").alias(side), F.col("node").alias(f"{side}_node")), side)
+    groups = components(links.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")))
+    named = firsts.select("fp", "first").join(groups.select("node.fp", F.col("root.first").alias("root")), "fp", "left").select(
+        "fp", F.coalesce("root", "first").alias("component_id"))
     return prints.join(named, "fp").select(
         "doc_id", "text_key", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
@@ -165,13 +173,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """One row of each group of near-duplicates, the one with the smallest doc_id, with all its columns.
 
-    Ties and repeated rows: one of them stays. A row without id stays only where its group has no id.
+    Ties and repeated rows: one of them stays. A row without id stays only where its group has no id. Null and empty
+    texts are one group. An empty table gives an empty result; other columns stay as they are.
     """
     return keep_first(docs, near_duplicates(docs, id_col, text_col, radius), id_col, text_col)
 
 
 def keep_first(docs: DataFrame, group: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` that are the first of their group; `group` has doc_id, text_key, fingerprint, component_id."""
+    """The rows of `docs` that are the first of their group; `group` has doc_id, text_key, fingerprint, component_id.
+
+    Of rows that share the id the one with the smallest hash of its text is the first, of equal rows any one. Groups whose
+    rows all lack an id are told apart by their fingerprint. Other columns stay as they are.
+    """
     # a group whose rows all lack an id is told by its fingerprint
     whole = F.struct(F.col("component_id").alias("c"),
                      F.when(F.col("component_id").isNull(), F.col("fingerprint")).alias("f"))
