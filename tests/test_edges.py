@@ -136,3 +136,17 @@ def test_bytes_of_vectors_row_by_row(spark):
     good, bad = blobs.decode_vectors(table)
     assert {r["i"]: list(r["embedding"]) for r in good.collect()} == {0: [1.5, 2.0], 1: [1.5, 2.0, 3.0], 3: [], 6: [9.0]}
     assert {r["i"] for r in bad.collect()} == {2, 4, 5, 7, 8}
+
+
+def test_working_folders_can_be_removed(spark, monkeypatch):
+    import os
+
+    from vectide import session
+
+    monkeypatch.setattr(session, "_FOLDERS", [])  # those of other tests stay
+    path = session.new_folder(spark, "gone")
+    spark.range(3).write.parquet(path)
+    session.new_folder(spark, "never-written")
+    local = path.removeprefix("file:")
+    assert os.path.exists(local) and session.remove_working_folders(spark) == 1
+    assert not os.path.exists(local) and session.remove_working_folders(spark) == 0

@@ -271,8 +271,8 @@ def batch_lookup(spark, folder):
         F.col("found"), F.size("embedding")).alias("dims"))
 
 
-@query("lookup_with_fallback", """
-SELECT r.event_id AS pos, r.embedding_id,
+FALLBACK_SQL = """
+SELECT r.event_id AS {id}, r.embedding_id,
        CASE WHEN l.embedding_id IS NOT NULL THEN l.embedding_id ELSE m.matched END AS matched_key,
        round(CASE WHEN l.embedding_id IS NULL THEN m.similarity END, 9) AS similarity_score,
        l.embedding_id IS NOT NULL OR m.matched IS NOT NULL AS found,
@@ -283,7 +283,10 @@ LEFT JOIN (
     SELECT p.query_id, p.embedding_id AS matched, p.similarity,
            row_number() OVER (PARTITION BY p.query_id ORDER BY round(p.similarity, 9) DESC, p.embedding_id) AS rank
     FROM all_pairs p JOIN live_store USING (embedding_id) WHERE p.similarity >= 0.28) WHERE rank = 1
-) m ON m.query_id = r.embedding_id""")
+) m ON m.query_id = r.embedding_id"""
+
+
+@query("lookup_with_fallback", FALLBACK_SQL.format(id="pos"))
 def lookup_with_fallback(spark, folder):
     requests = views.access_log(spark, folder).select(F.col("event_id").alias("pos"), "embedding_id")
     vectors = views.embeddings(spark, folder).select(F.col("vec_id").alias("embedding_id"), "embedding")

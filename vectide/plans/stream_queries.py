@@ -12,6 +12,7 @@ from vectide.plans import views
 from vectide.plans.metrics_queries import WINDOW_RATE
 from vectide.plans.registry import query
 from vectide.plans.rounding import nudged
+from vectide.plans.search_queries import FALLBACK_SQL
 from vectide.plans.store_queries import UPSERTED, _entry, _logged_store, sharded
 from vectide.session import new_folder
 from vectide.streaming import jobs
@@ -62,6 +63,17 @@ def stream_lookup(spark, folder):
     return jobs.read_batches(spark, out).select("event_id", "embedding_id", "found", "model_name")
 
 
+@query("stream_lookup_fallback", FALLBACK_SQL.format(id="event_id"))
+def stream_lookup_fallback(spark, folder):
+    """The lookup of each micro-batch, with the similarity fallback."""
+    out, checkpoint = _folders(spark, "lookup-fallback")
+    requests = _log_stream(spark, folder).select("event_id", "embedding_id")
+    vectors = views.embeddings(spark, folder).select(F.col("vec_id").alias("embedding_id"), "embedding")
+    jobs.stream_lookup(requests, lambda now: views.live_store(now, folder), out, checkpoint, vectors, 0.28,
+                       dim=views.DIM).awaitTermination()
+    return jobs.read_batches(spark, out).drop("batch")
+
+
 @query("stream_upsert", UPSERTED)
 def stream_upsert(spark, folder):
     _, checkpoint = _folders(spark, "upsert")

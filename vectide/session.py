@@ -51,9 +51,27 @@ def shared_root(spark: SparkSession) -> str:
     return root
 
 
+# working folders that this process has named and not removed yet
+_FOLDERS: list[str] = []
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A path under the shared folder that no earlier run has used."""
-    return f"{shared_root(spark)}/vectide/{name}-{uuid.uuid4().hex}"
+    _FOLDERS.append(f"{shared_root(spark)}/vectide/{name}-{uuid.uuid4().hex}")
+    return _FOLDERS[-1]
+
+
+def remove_working_folders(spark: SparkSession) -> int:
+    """Deletes the working folders that this process has named, and gives their number.
+
+    Call it once the results have been read or written elsewhere: tables that lie in these folders, and results that
+    are still to be computed from them, are gone. Checkpoints go with `spark.cleaner.referenceTracking.cleanCheckpoints`.
+    """
+    gone = 0
+    while _FOLDERS:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_FOLDERS.pop())
+        gone += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return gone
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -69,12 +69,13 @@ def stream_hit_rate(requests: DataFrame, out: str, checkpoint: str, seconds: int
 
 def stream_lookup(requests: DataFrame, store: DataFrame | Callable[[SparkSession], DataFrame], out: str, checkpoint: str,
                   vectors: DataFrame | None = None, threshold: float = ROUTER_THRESHOLD,
-                  once: bool = True) -> StreamingQuery:
+                  once: bool = True, dim: int | None = None) -> StreamingQuery:
     """Each request with `found` and the model of the stored entry.
 
     A function for `store` is called for each micro-batch, so that entries written since the start are
     found; a DataFrame is read as it was when it was made. With `vectors`, the query vector per key, a miss
-    falls back to the most similar stored entry, and the answer has the columns of `lookup_with_fallback`.
+    falls back to the most similar stored entry, and the answer has the columns of `lookup_with_fallback`; requests may
+    bring their own threshold and flag, as there. `dim` is the length of the vectors, by default the commonest.
     """
 
     def write(batch: DataFrame, number: int) -> None:
@@ -82,7 +83,7 @@ def stream_lookup(requests: DataFrame, store: DataFrame | Callable[[SparkSession
         if vectors is None:
             answers = batch_lookup(batch, current.select("embedding_id", "model_name"))
         else:
-            answers = lookup_with_fallback(batch, current, vectors, threshold)
+            answers = lookup_with_fallback(batch, current, vectors, threshold, dim=dim)
         answers.write.mode("overwrite").parquet(_batch_folder(out, number))
 
     return _start(requests.writeStream.foreachBatch(write), checkpoint, once)
