@@ -495,13 +495,81 @@ def test_empty_tables(spark, run):
     assert run(frame(spark, ["a"]).filter("doc_id < 0")).count() == 0
 
 
-def test_pii_sample_is_the_first_by_hash(spark):
-    """Also where copies leave a gap in the hashes, and with fewer rows than asked for."""
-    from vectide.llm.pii import _first_by_hash
-
-    rows = [([], f"text {i % 40 if i < 600 else i}") for i in range(1000)] + [([], None)]
-    found = spark.createDataFrame(rows, "base array<struct<kind:string,start:long,end:long>>, text string").repartition(7)
-    whole = [r["text"] for r in found.filter("text IS NOT NULL").selectExpr("xxhash64(text) AS h", "text").orderBy("h", "text").collect()]
+def test_pii_sample_is_the_first_by_hash(spark, monkeypatch):
+    """Different texts, also where copies leave a gap in the hashes, with fewer rows than asked for and beyond the bytes."""
+    rows = [(i, [], f"text {i % 40 if i < 600 else i}") for i in range(1000)] + [(None, [], None), (7, [], "long " * 1000)]
+    found = spark.createDataFrame(rows, "doc_id long, base array<struct<kind:string,start:long,end:long>>, text string").repartition(7)
+    monkeypatch.setattr(pii, "LONGEST", 1000)
+    whole = [r["text"] for r in found.filter("length(text) < 1000").selectExpr("xxhash64(text) AS h", "text").distinct().orderBy("h", "text").collect()]
     for n in (1, 5, 90, 700, 2000):
-        assert [r["text"] for r in _first_by_hash(found, n)] == whole[:n]
-    assert _first_by_hash(found.limit(0), 5) == []
+        got = pii._first_by_hash(found, n)
+        assert [r["text"] for r in got] == whole[:n]
+        assert all(rows[r["doc_id"]][2] == r["text"] for r in got)
+    monkeypatch.setattr(pii, "SAMPLE_BYTES", 100)
+    some = [r["text"] for r in pii._first_by_hash(found, 90)]
+    assert some == whole[:len(some)] and 85 < sum(map(len, some)) <= 100
+    assert pii._first_by_hash(found.limit(0), 5) == []
+
+
+def _enumerated(c, field):
+    """Marginal of each token over all labellings."""
+    n, k = len(c.features), len(pii.LABELS)
+    local = np.stack([field.unary[f].sum(axis=0) for f in c.features])
+    sums = np.zeros((n, k))
+    for code in range(k ** n):
+        y = [code // k ** i % k for i in range(n)]
+        score = sum(local[i, y[i]] for i in range(n)) + sum(
+            (field.skip if far else field.step)[y[a], y[b]] for (a, b), far in zip(c.edges.tolist(), c.skip.tolist()))
+        for i in range(n):
+            sums[i, y[i]] += np.exp(score)
+    return sums / sums.sum(axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("edges,exact", [
+    ([(0, 1), (1, 2), (2, 3)], True), ([(0, 1), (0, 2), (0, 3)], True), ([(0, 1), (1, 2), (0, 2)], False),
+    ([(0, 1), (1, 2), (2, 3), (0, 3)], False), ([(0, 1), (1, 2), (2, 3), (3, 4), (0, 4)], False)])
+def test_beliefs_against_exact_enumeration(edges, exact):
+    rnd = np.random.default_rng(len(edges))
+    n, k = 1 + max(b for _, b in edges), len(pii.LABELS)
+    for _ in range(5):
+        field = pii.Field(rnd.normal(0, 1, (pii.BUCKETS, k)), rnd.normal(0, 0.4, (k, k)), np.eye(k))
+        c = pii.Chain([(2 * i, 2 * i + 1) for i in range(n)], [np.array([i]) for i in range(n)], [], np.array(edges), rnd.random(len(edges)) < 0.5)
+        found = field.beliefs(c, 200)
+        found = np.exp(found - found.max(axis=1, keepdims=True))
+        found /= found.sum(axis=1, keepdims=True)
+        want = _enumerated(c, field)
+        assert np.abs(found - want).max() < (0.01 if exact else 0.15)
+        assert np.abs(found - want).mean() < (0.005 if exact else 0.03)
+
+
+def test_field_learns_labels_that_no_pattern_gives(spark):
+    """Numbers after a word are telephone numbers, the same numbers after another word are not."""
+    rnd = random.Random(3)
+    texts, labels = [], []
+    for i in range(300):
+        number = f"{rnd.randint(200, 999)} {rnd.randint(1000, 9999)}" if i % 4 else str(rnd.randint(2000000, 9999999))
+        text = f"please {'call' if i % 2 else 'count'} {number} today or never"
+        texts.append(text)
+        if i % 2:
+            at = text.index(number)
+            labels.append((i, "phone", at, at + len(number)))
+    given = spark.createDataFrame(labels + [(None, "phone", 0, 1), (3, "other", 0, 2)], "doc_id long, kind string, start long, `end` long")
+    df = frame(spark, texts)
+    field = pii.train(df.filter("doc_id < 200").select("doc_id", "text").mapInArrow(pii._find, pii._FOUND), labels=given)
+    held = {r["doc_id"]: r["spans"] for r in pii.scan(df.filter("doc_id >= 200"), field=field).collect()}
+    assert sum(("crf_phone" in spans) == (i % 2 == 1) for i, spans in held.items()) > 0.9 * len(held)
+
+
+def test_labels_and_overlaps_in_one_long_text_take_linear_time():
+    def seconds(n):
+        text = " ".join(f"+1 212 555 {i % 9000 + 1000} x" for i in range(n))
+        start = time.time()
+        base = pii.base_spans(text)
+        c = pii.chain(text)
+        y = pii.gold(c, base)
+        assert len(base) == n and (y > 0).sum() == 4 * n
+        pii.added_spans(c, pii.fit([], []), base)
+        return time.time() - start
+
+    seconds(100)
+    assert seconds(8000) < 3.5 * seconds(4000) + 0.5

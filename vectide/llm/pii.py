@@ -4,13 +4,16 @@ The field runs over the tokens that look like data and their neighbours. Its nod
 the kinds of data and `O`. Edges join neighbours, and each token with the next one that repeats it or has
 the same digits (so a token met a thousand times has a thousand links, not half a million). Sum-product
 messages go along all edges until the beliefs settle; equal tokens then pull each other to one label across
-the whole document. Weights come from the pseudo-likelihood of labelled documents.
+the whole document. Weights come from the pseudo-likelihood of labelled documents, by default those that the patterns
+label; a share of the labelled tokens shows only what stands around it, so that the field learns more than the patterns.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +28,10 @@ KINDS = [*BASE, *(f"crf_{kind}" for kind in BASE)]
 LABELS = ["O", *BASE]
 # Documents the field is fitted on, picked by hash of what they hold.
 SAMPLE = 1500
+# Bytes of text that the sample may have, and the longest text in it.
+SAMPLE_BYTES, LONGEST = 32 << 20, 4 << 20
+# Share of the labelled tokens whose own features are hidden while the field is fitted.
+HIDDEN = 0.3
 BUCKETS = 1 << 12
 ROUNDS = 12
 SEED = 5
@@ -104,6 +111,7 @@ class Chain:
 
     places: list[tuple[int, int]]
     features: list[np.ndarray]
+    context: list[np.ndarray]  # those of the features that the token itself has no part in
     edges: np.ndarray   # pairs of token numbers
     skip: np.ndarray    # whether the edge joins distant tokens
 
@@ -125,7 +133,7 @@ def chain(text: str, reach: int = 2) -> Chain | None:
     looks = [i for i, (a, b) in enumerate(tokens) if _LOOKS.search(text, a, b)]
     near = sorted({j for i in looks for j in range(max(0, i - reach), min(len(tokens), i + reach + 1))})
     looks_set, numbers = set(looks), {i: n for n, i in enumerate(near)}
-    features, edges, skip, last = [], [], [], {}
+    features, context, edges, skip, last = [], [], [], [], {}
     for n, i in enumerate(near):
         a, b = tokens[i]
         token = text[a:b]
@@ -133,7 +141,10 @@ def chain(text: str, reach: int = 2) -> Chain | None:
         around = [_shape(text[slice(*tokens[j])]) if 0 <= j < len(tokens) else "^" for j in (i - 1, i + 1)]
         names = ["1", f"s:{_shape(token)}", f"d:{min(20, len(digits))}", f"p:{around[0]}|{_shape(token)}",
                  f"n:{_shape(token)}|{around[1]}", f"@{'@' in token}", f".{min(5, token.count('.'))}", f"+{token[:1] == '+'}"]
-        features.append(np.unique([_bucket(name) for name in names]))
+        before = text[slice(*tokens[i - 1])].lower().strip(".,;:!?()[]") if i else "^"
+        outer = ["1", f"P:{around[0]}", f"N:{around[1]}", f"w:{before if before.isalpha() else ''}"]
+        features.append(np.unique([_bucket(name) for name in names + outer]))
+        context.append(np.unique([_bucket(name) for name in outer]))
         if numbers.get(i - 1) == n - 1 and n:
             edges.append((n - 1, n))
             skip.append(False)
@@ -144,16 +155,15 @@ def chain(text: str, reach: int = 2) -> Chain | None:
                     edges.append((last[key], n))
                     skip.append(True)
                 last[key] = n
-    return Chain([tokens[i] for i in near], features, np.array(edges, np.int64).reshape(-1, 2), np.array(skip, bool))
+    return Chain([tokens[i] for i in near], features, context, np.array(edges, np.int64).reshape(-1, 2), np.array(skip, bool))
 
 
 def gold(c: Chain, spans: list[tuple[str, int, int]]) -> np.ndarray:
     """The label of each token: that of the first span, by kind, that covers a part of it."""
     out = np.zeros(len(c.places), np.int64)
+    starts, ends = (np.array(side, np.int64) for side in zip(*c.places))  # both ascending
     for kind, a, b in sorted(spans, key=lambda s: -BASE.index(s[0])):
-        for n, (x, y) in enumerate(c.places):
-            if a < y and x < b:
-                out[n] = LABELS.index(kind)
+        out[np.searchsorted(ends, a, "right"):np.searchsorted(starts, b, "left")] = LABELS.index(kind)
     return out
 
 
@@ -206,7 +216,8 @@ def fit(chains: list[Chain], labels: list[np.ndarray], epochs: int = 25, decay:
             shift, rows, owner, gu, gs, gk = 0, [], [], [], np.zeros((n, n)), np.zeros((n, n))
             y = np.concatenate([labels[i] for i in part])
             for i in part:
-                rows += [f for f in chains[i].features]
+                hide = (labels[i] > 0) & (rng.random(len(labels[i])) < HIDDEN)
+                rows += [o if h else f for f, o, h in zip(chains[i].features, chains[i].context, hide)]
                 owner.append(chains[i].edges + shift)
                 gu.append(chains[i].skip)
                 shift += len(chains[i].features)
@@ -239,6 +250,8 @@ def fit(chains: list[Chain], labels: list[np.ndarray], epochs: int = 25, decay:
 def added_spans(c: Chain, field: Field, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """Runs of tokens with one label that no base finding touches."""
     best = field.beliefs(c).argmax(axis=1)
+    taken = sorted((a, b) for _, a, b in base)
+    starts, reach = [a for a, _ in taken], list(accumulate((b for _, b in taken), max))
     joined_by = {(a, b) for (a, b), far in zip(c.edges.tolist(), c.skip.tolist()) if not far}
     out, n = [], 0
     while n < len(best):
@@ -247,7 +260,8 @@ def added_spans(c: Chain, field: Field, base: list[tuple[str, int, int]]) -> lis
             end += 1
         if best[n]:
             a, b = c.places[n][0], c.places[end - 1][1]
-            if not any(x < b and a < y for _, x, y in base):
+            met = bisect_left(starts, b)
+            if not met or reach[met - 1] <= a:
                 out.append((f"crf_{LABELS[best[n]]}", a, b))
         n = end
     return out
@@ -272,27 +286,44 @@ def _triples(base: list[dict]) -> list[tuple[str, int, int]]:
 
 
 def _first_by_hash(found: DataFrame, sample: int) -> list:
-    """The first `sample` rows by (hash, text).
+    """Up to `sample` different texts, the first by (hash, text), with their base findings and a document that has each.
 
     Each task sends its own first rows, so without a cut the driver would get `sample` texts of every task. Rows
-    up to a hash are the first rows; the cut is widened until it holds enough of them.
+    up to a hash are the first rows; the cut is widened until it holds enough of them. Texts above LONGEST bytes are left
+    out, and the last ones if all together have more than SAMPLE_BYTES.
     """
-    rows = found.filter(F.col("text").isNotNull()).withColumn("_hash", F.xxhash64("text"))
+    rows = found.filter(F.octet_length("text") <= LONGEST).withColumn("_hash", F.xxhash64("text"))
     share = 2.0 * sample / max(rows.count(), 1)
     while share < 1.0:
         near = rows.filter(F.col("_hash") <= int(share * 2.0**64) - 2**63)
-        if near.limit(sample).count() == sample:
+        if near.select("_hash").distinct().limit(sample).count() == sample:
             rows = near
             break
         share *= 8
-    return rows.orderBy("_hash", "text").limit(sample).select("base", "text").collect()
+    sized = rows.groupBy("_hash").agg(F.max(F.octet_length("text")).alias("n")).orderBy("_hash").limit(sample).collect()
+    total = np.cumsum([r["n"] for r in sized])
+    wanted = [r["_hash"] for r, size in zip(sized, total) if size <= SAMPLE_BYTES]
+    if not wanted:
+        return []
+    return rows.filter(F.col("_hash") <= wanted[-1]).groupBy("_hash", "text").agg(
+        F.min("doc_id").alias("doc_id"), F.first("base").alias("base")).orderBy("_hash", "text").limit(sample).collect()
 
 
-def train(found: DataFrame, sample: int = SAMPLE) -> Field:
-    """Fits on up to `sample` documents with something that looks like data, labelled by the base findings."""
+def train(found: DataFrame, sample: int = SAMPLE, labels: DataFrame | None = None) -> Field:
+    """Fits on up to `sample` different texts with something that looks like data.
+
+    `labels` (doc_id, kind, start, end: code points, end exclusive) are their personal data; without them the base
+    findings are.
+    """
     rows = _first_by_hash(found, sample)
-    chains = [chain(r["text"]) for r in rows]
-    pairs = [(c, gold(c, [(s["kind"], s["start"], s["end"]) for s in r["base"]])) for c, r in zip(chains, rows) if c]
+    spans = [_triples([s.asDict() for s in r["base"]]) for r in rows]
+    if labels is not None:
+        ids = [r["doc_id"] for r in rows if r["doc_id"] is not None]
+        given: dict[int, list] = {}
+        for r in labels.filter(F.col("doc_id").isin(ids) & F.col("kind").isin(BASE)).select("doc_id", "kind", "start", "end").collect() if ids else ():
+            given.setdefault(r["doc_id"], []).append((r["kind"], r["start"], r["end"]))
+        spans = [given.get(r["doc_id"], []) for r in rows]
+    pairs = [(c, gold(c, mine)) for r, mine in zip(rows, spans) if (c := chain(r["text"]))]
     return fit([c for c, _ in pairs], [y for _, y in pairs])
 
 
@@ -315,14 +346,17 @@ def _label(field: Field):
     return run
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", field: Field | None = None) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", field: Field | None = None,
+         labels: DataFrame | None = None) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans for every row.
 
+    Without a field one is trained, on `labels` or on the base findings (see `train`).
+
     spans lists all findings as kind:start:end (code points, end exclusive), those of the field as
     `crf_` and the kind. A null text counts as empty. Repeated rows and rows without id are answered each
     for itself. Extra columns are ignored; an empty table gives an empty result.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     found = kept(rows.mapInArrow(_find, _FOUND), "findings")
-    return found.mapInArrow(_label(field or train(found)), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, "
+    return found.mapInArrow(_label(field or train(found, labels=labels)), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, "
                                                           "base_sha256 string, spans string")
