@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vectide.operators import access, sessions
+from vectide.operators import access, predict, sessions
 from vectide.plans import views
 from vectide.plans.registry import query
 from vectide.plans.rounding import nudged
-from vectide.session import cut_lineage
+from vectide.session import cut_lineage, new_folder
+from vectide.sources import models
 
 
 @query("ttl_hit_label", "SELECT event_id, embedding_id, cache_hit FROM request_log")
@@ -112,7 +113,13 @@ def top_accessed(spark, folder):
 SELECT count(*) AS total_patterns, count(DISTINCT embedding_id) AS tracked_embeddings, true AS model_trained,
        epoch_us(TIMESTAMP '2024-01-31') AS last_training_us FROM access_log""")
 def predictor_summary(spark, folder):
-    summary = access.predictor_summary(views.access_log(spark, folder), True, views.as_of())
+    """Patterns and keys of the log, with the state and the time that the stored model gives."""
+    log, base = views.access_log(spark, folder), new_folder(spark, "model")
+    rows = access.usage_patterns(log, views.store(spark, folder), views.as_of(), views.WINDOW_HOURS)
+    net, _ = predict.fit_precompute_classifier(rows, epochs=1)
+    models.save_model(net, spark.range(1).select(views.as_of().alias("trained_at")), base)
+    status, info = models.model_info(spark, base)
+    summary = access.predictor_summary(log, status == "ready", F.lit(info.first()["trained_at"]))
     return summary.withColumn("last_training_us", F.unix_micros("last_training_time")).drop("last_training_time")
 
 
