@@ -198,3 +198,25 @@ def test_lookup_reads_the_store_for_each_batch(spark, tmp_path):
     stream = spark.readStream.schema("event_id long, embedding_id long").option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
     jobs.stream_lookup(stream, store, f"{base}/out", f"{base}/c").awaitTermination()
     assert sorted(r["found"] for r in jobs.read_batches(spark, f"{base}/out").collect()) == [False, True]
+
+
+@pytest.mark.parametrize("files", [1, 3])
+def test_streamed_tables_may_be_folders(spark, tmp_path, files):
+    """A table is one file or a folder of part files; the stream reads all its rows, and no other table's."""
+    from vectide.plans.registry import QUERIES
+    from vectide.plans import stream_queries  # noqa: F401  (registers the queries)
+
+    vectors = spark.createDataFrame([(i, [1.0, float(i % 2)], i % 2) for i in range(60)], "vec_id long, embedding array<float>, label long")
+    wide = vectors.withColumn("embedding", F.concat("embedding", F.array_repeat(F.lit(0.0).cast("float"), 62)))
+    events = spark.createDataFrame([(i, "2024-01-01 00:00:00", i, "view", 1.0, '{"k": 1}') for i in range(60)],
+                                   "event_id long, at string, user_id long, event_type string, value double, props string")
+    events = events.withColumn("ts", F.col("at").cast("timestamp")).drop("at")
+    for name, table in (("embeddings", wide), ("events", events)):
+        table.repartition(files).write.parquet(f"{tmp_path}/{name}.parquet")
+        table.repartition(files).write.parquet(f"{tmp_path}/{name}.parquet.old")
+    routed = QUERIES["stream_route"](spark, str(tmp_path))
+    assert _rows(routed) == [(i, i % 2) for i in range(60)]
+    copied = views.event_stream(spark, str(tmp_path)).writeStream.format("parquet").option("path", f"{tmp_path}/o").option(
+        "checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+    copied.awaitTermination()
+    assert spark.read.parquet(f"{tmp_path}/o").count() == 60

@@ -15,6 +15,7 @@ from vectide.plans.rounding import nudged
 from vectide.plans.search_queries import FALLBACK_SQL
 from vectide.plans.store_queries import UPSERTED, _entry, _logged_store, sharded
 from vectide.session import new_folder
+from vectide.sources.tables import stream_table
 from vectide.streaming import jobs
 
 
@@ -88,8 +89,8 @@ def stream_route(spark, folder):
     means = clusters.group_means(views.store(spark, folder), "similarity_cluster")
     labels, centres = clusters.centroid_matrix(means, "similarity_cluster")
     out, checkpoint = _folders(spark, "route")
-    vectors = spark.readStream.schema("vec_id long, embedding array<float>").option(
-        "pathGlobFilter", "embeddings.parquet").parquet(folder).withColumnRenamed("vec_id", "embedding_id")
+    vectors = stream_table(spark, folder, "embeddings", "vec_id long, embedding array<float>").withColumnRenamed(
+        "vec_id", "embedding_id")
     jobs.stream_route(vectors, labels, centres, out, checkpoint).awaitTermination()
     return spark.read.parquet(out)
 

@@ -11,7 +11,7 @@ from vectide.functions.keys import cache_key
 from vectide.functions.numbers import timestamp
 from vectide.operators.store import live_entries
 from vectide.operators.ttl import ttl_hits
-from vectide.sources.tables import EVENTS_SCHEMA, read_table
+from vectide.sources.tables import EVENTS_SCHEMA, read_table, stream_table
 
 # Fixed values of the test setting.
 DIM = 64
@@ -63,7 +63,7 @@ def access_log(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def event_stream(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.readStream.schema(EVENTS_SCHEMA).option("pathGlobFilter", "events.parquet").parquet(folder)
+    return stream_table(spark, folder, "events", EVENTS_SCHEMA)
 
 
 def key_columns(spark: SparkSession, folder: str) -> DataFrame:

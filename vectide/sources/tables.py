@@ -13,6 +13,14 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return reader.parquet(f"{folder}/{name}.parquet")
 
 
+def stream_table(spark: SparkSession, folder: str, name: str, schema: str) -> DataFrame:
+    """The table as a stream, be it one file or a folder of part files.
+
+    A streaming path must be a folder or a pattern, and the part files of a folder do not bear the table's name.
+    """
+    return spark.readStream.schema(schema).parquet(f"{folder}/{name}.parque[t]")
+
+
 def load_store(table: DataFrame, dim: int, vector: str = "embedding") -> DataFrame:
     """Stored rows whose vector has the expected dimension."""
     return table.filter(F.size(vector) == dim)
