@@ -1,6 +1,7 @@
 """Similarity search against NumPy, in both physical forms, with edge vectors and a hot cell."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -193,3 +194,34 @@ def test_entries_and_queries_need_one_id_type(spark, data):
     frame, queries, _ = data
     with pytest.raises(ValueError):
         similarity.scored_pairs(frame, queries.withColumn("query_id", F.col("query_id").cast("string")), 0.5, skip_self=True)
+
+
+def test_a_query_is_sent_once_to_a_block_of_cells(spark):
+    """Where all cells are visited, rows and queries are copied per block, not per cell."""
+    store = spark.range(2000).select(
+        F.col("id").alias("embedding_id"), F.array(F.lit(1.0), F.col("id").cast("double")).alias("embedding"), (F.col("id") % 64).cast("int").alias("cell"))
+    asked = store.select(F.col("embedding_id").alias("query_id"), F.col("embedding").alias("query_vec"), F.lit(0.0).alias("bar"),
+                         F.when(F.col("cell") < 60, F.sequence(F.lit(0), F.lit(63))).otherwise(F.array("cell")).alias("cells"))
+
+    def count(stored, queries):
+        return pa.table({"rows": [stored.num_rows + queries.num_rows], "pairs": [sum(
+            stored.num_rows if cells is None else sum(c in cells for c in stored.column("cell").to_pylist())
+            for cells in queries.column("cells").to_pylist())]})
+
+    sizes = {r["cell"]: r["count"] for r in store.groupBy("cell").count().collect()}
+    found = similarity._score_cells(store, asked, sizes, "rows long, pairs long", count, similarity.BLOCK_ROWS)
+    sent, met = found.agg(F.sum("rows"), F.sum("pairs")).first()
+    each = asked.select(F.explode("cells").alias("cell")).collect()
+    assert sent <= 4 * 4 * 2000 and met == sum(sizes[r["cell"]] for r in each)
+
+
+def test_copies_of_a_vector_leave_a_block_by_the_limit():
+    n = 1500
+    stored = pa.table({"embedding_id": pa.array(range(n), pa.int64()), "embedding": [[1.0, 2.0]] * n, "cell": pa.array([0] * n, pa.int32())})
+    asked = pa.table({"query_id": pa.array(range(n), pa.int64()), "query_vec": [[1.0, 2.0]] * n, "bar": [0.5] * n,
+                      "cells": pa.array([None] * n, pa.list_(pa.int32()))})
+    found = similarity._match_blocks(3, True)(stored, asked).to_pydict()
+    got = {}
+    for q, i in zip(found["query_id"], found["embedding_id"]):
+        got.setdefault(q, set()).add(i)
+    assert len(found["query_id"]) == 3 * n and got[0] == {1, 2, 3} and got[2] == {0, 1, 3} and got[900] == {0, 1, 2}

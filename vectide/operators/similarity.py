@@ -8,8 +8,8 @@ Two physical forms give the same exact answer:
 * Any query side: the store is cut into cells around pivots, about the square root of its size. The
   triangle inequality on angles says which cells can hold a match for a query, so a query meets only
   those. With a limit, a query first meets the cells around it; the k-th best score found there is its
-  bound for all others. Cells, and the queries that visit them, are cut into blocks of bounded size, and
-  one task scores one pair of blocks.
+  bound for all others. Small cells are packed into blocks, large ones cut, and so are the queries that visit a
+  block; a query is sent once to a block, with the cells it visits there. One task scores one pair of blocks.
 
 Vectors have one length, `dim`. Without it the commonest length of the queries is taken. Entries and
 queries of another length take no part; `set_aside` gives those queries.
@@ -44,7 +44,11 @@ MAX_PIVOTS = 1024
 FIRST_SHARE = 4
 # added to a bound before cells are left out: above the rounding of scores and of arccos
 BOUND_SLACK = 1e-8
-BLOCK_ROWS = 16_384
+# rows of a block; a smaller store has about MIN_BLOCKS of them, so that its copies grow as it does
+BLOCK_ROWS = 32_768
+MIN_BLOCKS, MIN_BLOCK_ROWS = 8, 1024
+# matches that a pair of blocks may leave: with a limit its queries times the limit, without one all its pairs
+HELD_MATCHES = 1 << 24
 # maps a matrix of unit rows to one cell number, or one row of cell numbers, per row
 CellOf = Callable[[np.ndarray], np.ndarray]
 QUERY_STRIP = 256
@@ -67,6 +71,30 @@ def _asked(table: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return kept.column("query_id").combine_chunks(), unit, kept.column("bar").to_numpy().astype(np.float64)
 
 
+def _places(ids: pa.Array) -> np.ndarray:
+    """The place of each id in their order, null first as in Spark."""
+    return np.argsort(pc.sort_indices(ids, null_placement="at_start").to_numpy())
+
+
+def _leading(q: np.ndarray, v: np.ndarray, scores: np.ndarray, order: np.ndarray, k: int) -> np.ndarray:
+    """Positions of the matches that can be among the k best of their query, by query.
+
+    `order` gives the place of each vector's id. Of equal scores the k lowest ids stay, so copies of a vector don't
+    add up; scores that may be equal once rounded stay all.
+    """
+    at = np.lexsort((order[v], -scores, q))
+    q, scores = q[at], scores[at]
+    place = np.arange(len(at))
+    opens = np.concatenate([[True], q[1:] != q[:-1]]) if len(at) else np.zeros(0, bool)
+    starts = np.maximum.accumulate(np.where(opens, place, 0))
+    tie = opens | np.concatenate([[True], scores[1:] != scores[:-1]]) if len(at) else opens
+    tied = place - np.maximum.accumulate(np.where(tie, place, 0))
+    kth = starts + k - 1
+    reached = (kth < len(at)) & (q[np.minimum(kth, len(at) - 1)] == q) if len(at) else opens
+    edge = np.where(reached, scores[np.minimum(kth, len(at) - 1)] if len(at) else 0.0, -np.inf)
+    return at[(tied < k) & (scores >= edge - 2 * 10.0 ** -RANK_DIGITS)]
+
+
 def _best(query_ids: pa.Array, ids: pa.Array, queries: np.ndarray, vectors: np.ndarray, thresholds: np.ndarray,
           k: int | None, skip_self: bool, floor: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Positions (query, vector) and cosine of matches between unit rows, a strip of queries at a time;
@@ -78,6 +106,7 @@ def _best(query_ids: pa.Array, ids: pa.Array, queries: np.ndarray, vectors: np.n
     """
     margin = 2 * vectors.shape[1] * float(np.finfo(np.float32).eps) + 2 * 10.0 ** -RANK_DIGITS
     light = vectors.astype(np.float32).T
+    order = _places(ids) if k is not None else None
     n = len(vectors)
     for low in range(0, len(queries), QUERY_STRIP):
         strip, bar = queries[low:low + QUERY_STRIP], floor[low:low + QUERY_STRIP]
@@ -95,11 +124,21 @@ def _best(query_ids: pa.Array, ids: pa.Array, queries: np.ndarray, vectors: np.n
                 bar[crowded] = np.maximum(bar[crowded], edge)
                 keep[crowded] &= scores[crowded] >= edge[:, None]
         q_all, v_all = np.nonzero(keep)
+        held = []
         for start in range(0, len(q_all), PAIR_STRIP):
             q, v = q_all[start:start + PAIR_STRIP], v_all[start:start + PAIR_STRIP]
             exact = np.einsum("ij,ij->i", strip[q], vectors[v])
             good = exact >= least[q]
-            yield q[good] + low, v[good], exact[good]
+            found = q[good], v[good], exact[good]
+            if k is None:
+                yield found[0] + low, found[1], found[2]
+                continue
+            # what is held is cut again with each part, so it stays as small as the answer
+            held = [np.concatenate(pair) for pair in zip(held, found)] if held else list(found)
+            lead = _leading(*held, order, k)
+            held = [column[lead] for column in held]
+        if held and len(held[0]):
+            yield held[0] + low, held[1], held[2]
 
 
 def _no_floor(queries: np.ndarray) -> np.ndarray:
@@ -300,36 +339,143 @@ def _cells_column(cells_of: CellOf, vector: str) -> Column:
     return cells(vector)
 
 
+def _met(stored: pa.Table, asked: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, queries) by position that meet in a block; a query without a list of cells meets all rows."""
+    cells, visits = stored.column("cell").to_numpy(), asked.column("cells").combine_chunks()
+    everywhere = np.flatnonzero(visits.is_null().to_numpy(zero_copy_only=False))
+    if len(everywhere):
+        yield np.arange(len(cells)), everywhere
+    asking = np.repeat(np.arange(len(visits)), pc.list_value_length(visits).fill_null(0).to_numpy(zero_copy_only=False))
+    if not len(asking):
+        return
+    visited = visits.flatten().to_numpy(zero_copy_only=False)
+    by_visit, by_cell = np.argsort(visited, kind="stable"), np.argsort(cells, kind="stable")
+    numbers, starts = np.unique(visited[by_visit], return_index=True)
+    lows, highs = (np.searchsorted(cells[by_cell], numbers, side) for side in ("left", "right"))
+    for low, high, queries in zip(lows, highs, np.split(asking[by_visit], starts[1:])):
+        if high > low:
+            yield by_cell[low:high], queries
+
+
 def _match_blocks(k: int | None, skip_self: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    """Scores one block of the store against one block of queries."""
+    """Scores one block of the store against one block of queries, by the cells that the queries visit."""
 
     def score(stored: pa.Table, asked: pa.Table) -> pa.Table:
-        ids, vectors = _unit(stored.column("embedding_id").combine_chunks(), stored.column("embedding"))
-        query_ids, unit, bars = _asked(asked)
+        good, vectors = _unit(pa.array(np.arange(stored.num_rows)), stored.column("embedding"))
+        stored = stored.take(good)
+        good, unit = _unit(pa.array(np.arange(asked.num_rows)), asked.column("query_vec"))
+        asked = asked.take(good)
+        ids, query_ids = stored.column("embedding_id").combine_chunks(), asked.column("query_id").combine_chunks()
+        bars = asked.column("bar").to_numpy().astype(np.float64)
         out = pa.schema([("query_id", query_ids.type), ("embedding_id", ids.type), ("similarity", pa.float64())])
         if not len(ids) or not len(query_ids):
             return out.empty_table()
-        found = _best(query_ids, ids, unit, vectors, bars, k, skip_self, _no_floor(unit))
-        return pa.Table.from_batches(_matches(query_ids, ids, found), out)
+        floor, found, order = _no_floor(unit), [], _places(ids)
+        for rows, queries in _met(stored, asked):
+            bar = floor[queries]
+            pairs = _best(query_ids.take(pa.array(queries)), ids.take(pa.array(rows)), unit[queries], vectors[rows],
+                          bars[queries], k, skip_self, bar)
+            found += [(queries[q], rows[v], scores) for q, v, scores in pairs]
+            floor[queries] = bar
+            if k is not None and sum(len(q) for q, _, _ in found) > 4 * k * len(unit):
+                columns = [np.concatenate(column) for column in zip(*found)]
+                lead = _leading(*columns, order, k)
+                found = [tuple(column[lead] for column in columns)]
+        if not found:
+            return out.empty_table()
+        q, v, scores = (np.concatenate(column) for column in zip(*found))
+        if k is not None:
+            lead = _leading(q, v, scores, order, k)
+            q, v, scores = q[lead], v[lead], scores[lead]
+        return pa.Table.from_batches(_matches(query_ids, ids, [(q, v, scores)]), out)
 
     return score
 
 
+def _packed(sizes: dict[int, int], block_rows: int) -> tuple[np.ndarray, list[int]]:
+    """(block of each cell, parts of each block): small cells share a block, a large one is a block in parts."""
+    block_of, parts, filled = np.full(max(sizes, default=-1) + 1, -1, np.int32), [], 0
+    for cell, rows in sorted(sizes.items()):
+        if not rows:
+            continue
+        if not parts or filled + rows > block_rows:
+            parts.append(0)
+            filled = 0
+        filled += rows
+        block_of[cell] = len(parts) - 1
+        parts[-1] = math.ceil(filled / block_rows)
+    return block_of, parts
+
+
+def _by_block(block_of: np.ndarray, cells: Column | str) -> Column:
+    """The cells as an array of struct(block, cells), without a list where they are all cells of the block."""
+    whole = np.bincount(block_of[block_of >= 0], minlength=1)
+
+    @F.arrow_udf("array<struct<block:int,cells:array<int>>>")
+    def split(lists: pa.Array) -> pa.Array:
+        rows = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False))
+        numbers = lists.flatten().to_numpy(zero_copy_only=False)
+        known = numbers < len(block_of)
+        rows, numbers = rows[known], numbers[known]
+        blocks = block_of[numbers]
+        rows, numbers, blocks = rows[blocks >= 0], numbers[blocks >= 0], blocks[blocks >= 0]
+        at = np.lexsort((numbers, blocks, rows))
+        rows, numbers, blocks = rows[at], numbers[at], blocks[at]
+        opens = np.flatnonzero(np.concatenate([[True], (rows[1:] != rows[:-1]) | (blocks[1:] != blocks[:-1])])) if len(at) else at
+        rows, blocks = rows[opens], blocks[opens]
+        lengths = np.diff(np.concatenate([opens, [len(numbers)]]))
+        every = lengths == whole[blocks]
+        listed = numbers[~np.repeat(every, lengths)]
+        offsets = np.concatenate([[0], np.cumsum(np.where(every, 0, lengths))]).astype(np.int32)
+        inner = pa.ListArray.from_arrays(pa.array(offsets), pa.array(listed.astype(np.int32)), mask=pa.array(every))
+        pairs = pa.StructArray.from_arrays([pa.array(blocks.astype(np.int32)), inner], ["block", "cells"])
+        ends = np.searchsorted(rows, np.arange(len(lists) + 1)).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pairs)
+
+    return split(cells)
+
+
+def _visits(queries: DataFrame, block_of: np.ndarray) -> tuple[list[int], dict[int, int]]:
+    """(cells that are visited, queries that visit each block); a batch sends one row for each of them."""
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells, counts = set(), {}
+        for batch in batches:
+            blocks = batch.column(0)
+            pairs = blocks.flatten()
+            numbers, n = np.unique(pairs.field("block").to_numpy(zero_copy_only=False), return_counts=True)
+            for block, visitors in zip(numbers.tolist(), n.tolist()):
+                counts[block] = counts.get(block, 0) + visitors
+            lists = pairs.field("cells")
+            whole = np.unique(pairs.field("block").to_numpy(zero_copy_only=False)[lists.is_null().to_numpy(zero_copy_only=False)])
+            cells.update(np.flatnonzero(np.isin(block_of, whole)).tolist(), np.unique(lists.flatten().to_numpy(zero_copy_only=False)).tolist())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([*cells, *[None] * len(counts)], pa.int32()), pa.array([*[None] * len(cells), *counts], pa.int32()),
+             pa.array([*[None] * len(cells), *counts.values()], pa.int64())], ["cell", "block", "n"])
+
+    seen = queries.select("blocks").mapInArrow(tally, "cell int, block int, n long").groupBy("cell", "block").agg(
+        F.sum("n").alias("n")).collect()
+    return (sorted(r["cell"] for r in seen if r["cell"] is not None),
+            {r["block"]: r["n"] for r in seen if r["block"] is not None})
+
+
 def _score_cells(store: DataFrame, queries: DataFrame, sizes: dict[int, int], schema: str,
                  score: Callable[[pa.Table, pa.Table], pa.Table], block_rows: int, extra: tuple[str, ...] = ()) -> DataFrame:
     """Scores store rows (with `cell`) against queries (with `cells`), one pair of blocks per group.
 
-    `sizes` is the row count per cell. A cell is cut into blocks of about `block_rows` store rows, its
-    visitors into blocks of about as many queries, so no group grows with the data. Cells without
-    visitors are dropped before the shuffle; a cell is copied once per block of its visitors.
+    `sizes` is the row count per cell. Cells are packed into blocks of up to `block_rows` store rows, or cut into
+    parts of about as many, and the visitors of a block likewise, so no group grows with the data. Fewer rows make
+    smaller blocks, about MIN_BLOCKS. A query is copied once per part of a block it visits, not per cell, a store
+    row once per strip of its block's visitors; cells without visitors are dropped before the shuffle.
     """
-    visits = queries.select("query_id", "query_vec", "bar", *extra, F.explode("cells").alias("cell"))
-    visitors = {row["cell"]: row["count"] for row in visits.groupBy("cell").count().collect()}
-    most = max([*sizes, *visitors], default=0)
+    block_rows = min(block_rows, max(MIN_BLOCK_ROWS, sum(sizes.values()) // MIN_BLOCKS))
+    block_of, parts = _packed(sizes, block_rows)
+    asked = queries.withColumn("blocks", _by_block(block_of, "cells"))
+    visited, visitors = _visits(asked, block_of)
+    strips = [math.ceil(visitors.get(b, 0) / block_rows) for b in range(len(parts))]
 
-    def blocks_of(counts: dict[int, int]) -> Column:
-        per_cell = [math.ceil(counts.get(c, 0) / block_rows) for c in range(most + 1)]
-        return F.element_at(F.array(*[F.lit(n) for n in per_cell]), F.col("cell") + 1)
+    def of(values: list[int], number: Column) -> Column:
+        return F.element_at(F.array(*[F.lit(int(n)) for n in values] or [F.lit(0)]), number + 1)
 
     def one_of(key: str, blocks: Column) -> Column:
         return F.pmod(F.xxhash64(key), blocks).cast("int")
@@ -337,14 +483,15 @@ def _score_cells(store: DataFrame, queries: DataFrame, sizes: dict[int, int], sc
     def each_of(blocks: Column) -> Column:
         return F.explode(F.sequence(F.lit(0), blocks - 1))
 
-    parts, strips = blocks_of(sizes), blocks_of(visitors)
     # where `cell` is a folder the first condition prunes the scan
-    left = store.filter(F.col("cell").isin(sorted(visitors)) & (strips > 0)).select(
-        "embedding_id", "embedding", *extra, "cell", one_of("embedding_id", parts).alias("part"), each_of(strips).alias("strip"))
-    right = visits.filter(parts > 0).select(
-        "query_id", "query_vec", "bar", *extra, "cell", each_of(parts).alias("part"), one_of("query_id", strips).alias("strip"))
-    block = ["cell", "part", "strip"]
-    return left.groupBy(*block).cogroup(right.groupBy(*block)).applyInArrow(score, schema)
+    left = store.filter(F.col("cell").isin(visited)).withColumn("block", of(block_of.tolist(), F.col("cell"))).select(
+        "embedding_id", "embedding", *extra, "cell", "block", one_of("embedding_id", of(parts, F.col("block"))).alias("part"),
+        each_of(of(strips, F.col("block"))).alias("strip"))
+    right = asked.select("query_id", "query_vec", "bar", *extra, F.explode("blocks").alias("_at")).select(
+        "query_id", "query_vec", "bar", *extra, "_at.cells", "_at.block").select(
+            "*", each_of(of(parts, F.col("block"))).alias("part"), one_of("query_id", of(strips, F.col("block"))).alias("strip"))
+    group = ["block", "part", "strip"]
+    return left.groupBy(*group).cogroup(right.groupBy(*group)).applyInArrow(score, schema)
 
 
 def _cells(store: DataFrame, n_pivots: int | None) -> tuple[DataFrame, np.ndarray, np.ndarray, np.ndarray]:
@@ -394,8 +541,10 @@ def search_cells(celled: DataFrame, queries: DataFrame, pivots: np.ndarray, radi
     counts = dict(enumerate(sizes.tolist()))
     score = _match_blocks(k, skip_self)
     if k is None:
+        block_rows = min(block_rows, math.isqrt(HELD_MATCHES))
         visiting = queries.withColumn("cells", cells_in_reach("query_vec", "bar", pivots, radii, sizes))
         return _score_cells(celled, visiting, counts, schema, score, block_rows)
+    block_rows = min(block_rows, max(MIN_BLOCK_ROWS, HELD_MATCHES // (4 * max(k, 1))))
     rows = FIRST_SHARE * (k + 1)
     around = queries.withColumn("cells", cells_around("query_vec", pivots, sizes, rows))
     # k rows per query, read for the bounds and for the answer
@@ -408,9 +557,9 @@ def search_cells(celled: DataFrame, queries: DataFrame, pivots: np.ndarray, radi
 
 
 def _ranked(pairs: DataFrame, limit: int) -> DataFrame:
-    """Best first per query, ids break ties."""
+    """Best first per query, ids break ties. A task passes on at most `limit` rows of a query, so one shuffle will do."""
     pairs = pairs.withColumn("similarity", F.round("similarity", RANK_DIGITS))
-    return top_per_group(pairs, ["query_id"], [F.col("similarity").desc(), F.col("embedding_id")], limit, spread=8)
+    return top_per_group(pairs, ["query_id"], [F.col("similarity").desc(), F.col("embedding_id")], limit, spread=1)
 
 
 def search_requests(store: DataFrame, requests: DataFrame, dim: int, **how) -> tuple[DataFrame, DataFrame]:
@@ -612,8 +761,10 @@ def threshold_sweep(store: DataFrame, queries: DataFrame, thresholds: list[float
     else:
 
         def count_blocks(stored: pa.Table, asked: pa.Table) -> pa.Table:
-            pairs, agreeing = tally(stored, *asked_with_labels(asked))
-            return pa.table([pa.array(cuts), pa.array(pairs), pa.array(agreeing)], columns)
+            totals = np.zeros((2, len(cuts)), np.int64)
+            for rows, some in _met(stored, asked):
+                totals += tally(stored.take(pa.array(rows)), *asked_with_labels(asked.take(pa.array(some))))
+            return pa.table([pa.array(cuts), pa.array(totals[0]), pa.array(totals[1])], columns)
 
         celled, pivots, radii, sizes = _cells(store, n_pivots)
         if len(pivots):
