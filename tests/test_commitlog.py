@@ -222,3 +222,20 @@ def test_neighbour_lists_follow_the_writes(spark, tmp_path):
         # entries that were written, and those that named one: about four for each
         assert lists.searched < every / 4
     assert lists.log.state().applied == {"w": 2}
+
+
+def test_many_writes_are_scored_under_the_bound_of_each_list(spark, tmp_path, monkeypatch):
+    """Copies of a few vectors, written in numbers: no step asks for all pairs at the threshold."""
+    store, index = vectors(spark, 300), CellIndex(spark, str(tmp_path / "i"), DIM)
+    index.build(store)
+    lists = NeighbourLists(spark, str(tmp_path / "n"), index, 4, 0.6)
+    lists.build()
+    some = [r["embedding"] for r in store.orderBy("embedding_id").limit(3).collect()]
+    writes = spark.createDataFrame([(1000 + i, some[i % 3], 2) for i in range(60)], "embedding_id long, embedding array<float>, created_at long")
+    monkeypatch.setattr(similarity, "MAX_QUERIES", 20)
+    monkeypatch.setattr(index, "matches", None)
+    lists.update(writes, "w", 0)
+    now = settle(store, writes, "embedding_id", None).filter(F.size("embedding") == DIM)
+    want = similarity.precompute_neighbors(now, 4, 0.6, with_empty=True, dim=DIM)
+    got = {r["embedding_id"]: [n["embedding_id"] for n in r["neighbors"]] for r in lists.read().collect()}
+    assert got == {r["embedding_id"]: r["precomputed_neighbors"] for r in want.collect()}

@@ -2,8 +2,9 @@
 
 After a write three kinds of entry have a new list. Entries that were written and entries whose list names a written
 one are searched anew, from the cells in reach. Any other entry can only gain a written one, and only if it beats the last
-one of the list: the written entries are scored against the cells in reach of the threshold, and what beats the
-list is merged into it. All other entries are neither read nor scored beyond that.
+one of the list: a few written entries are scored against the cells in reach of the threshold; if there are many, the other
+entries look for their best among them, from the last one of their list on. What beats the list is merged into it. All
+other entries are neither read nor scored beyond that.
 """
 
 from __future__ import annotations
@@ -56,10 +57,13 @@ class NeighbourLists:
         # the written entries among the neighbours of all others
         asked = rows.join(written, "embedding_id", "left_semi").select(
             F.col("embedding_id").alias("query_id"), F.col("embedding").alias("query_vec"))
-        near = self.index.matches(asked, self.threshold).select(
-            F.col("embedding_id"), F.col("query_id").alias("other"), F.round("similarity", sim.RANK_DIGITS).alias("similarity"))
-        near = near.join(again, "embedding_id", "left_anti")
         bound = lists.select("embedding_id", "neighbors", F.when(F.size("neighbors") >= self.limit, F.element_at("neighbors", -1)).alias("last"))
+        if written.count() <= sim.MAX_QUERIES:
+            near = self.index.matches(asked, self.threshold).select("embedding_id", F.col("query_id").alias("other"), "similarity").join(
+                again, "embedding_id", "left_anti")
+        else:
+            near = self._gains(rows.join(again, "embedding_id", "left_anti"), asked, bound)
+        near = near.withColumn("similarity", F.round("similarity", sim.RANK_DIGITS))
         better = F.col("last").isNull() | (F.col("similarity") > F.col("last.similarity")) | (
             (F.col("similarity") == F.col("last.similarity")) & (F.col("other") < F.col("last.embedding_id")))
         gained = cut_lineage(near.join(bound, "embedding_id").filter(better).select("embedding_id", "other", "similarity"))
@@ -68,6 +72,18 @@ class NeighbourLists:
         merged = self._lists(kept.unionByName(gained))
         return self.log.upsert(self._stored(fresh.unionByName(merged), state.version), writer, batch)
 
+    def _gains(self, entries: DataFrame, written: DataFrame, bound: DataFrame) -> DataFrame:
+        """(embedding_id, other, similarity): the best written entries of each entry that reach the last one of its list.
+
+        The entries ask here, so no more than `limit` of a block of written entries are held or passed on for each.
+        """
+        least = F.greatest(F.lit(self.threshold), F.coalesce(F.col("last.similarity") - sim.BOUND_SLACK, F.lit(self.threshold)))
+        asking = entries.join(bound.select("embedding_id", least.alias("threshold")).distinct(), "embedding_id").select(
+            F.col("embedding_id").alias("query_id"), F.col("embedding").alias("query_vec"), "threshold")
+        store = cut_lineage(written.select(F.col("query_id").alias("embedding_id"), F.col("query_vec").alias("embedding")))
+        return sim.scored_pairs(store, cut_lineage(asking), None, self.limit, dim=self.index.dim).select(
+            F.col("query_id").alias("embedding_id"), F.col("embedding_id").alias("other"), "similarity")
+
     def _search(self, entries: DataFrame) -> DataFrame:
         """Lists of the given entries, empty ones included."""
         entries = cut_lineage(entries)

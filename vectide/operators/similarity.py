@@ -95,6 +95,16 @@ def _leading(q: np.ndarray, v: np.ndarray, scores: np.ndarray, order: np.ndarray
     return at[(tied < k) & (scores >= edge - 2 * 10.0 ** -RANK_DIGITS)]
 
 
+def _first_copies(vectors: np.ndarray, order: np.ndarray, n: int) -> np.ndarray:
+    """Positions of the rows without those that have `n` equal ones of lower ids."""
+    whole = np.ascontiguousarray(vectors)
+    same = np.unique(whole.view(np.dtype((np.void, whole.itemsize * whole.shape[1]))).ravel(), return_inverse=True)[1]
+    at = np.lexsort((order, same))
+    opens = np.concatenate([[True], same[at][1:] != same[at][:-1]])
+    place = np.arange(len(at))
+    return np.sort(at[place - np.maximum.accumulate(np.where(opens, place, 0)) < n])
+
+
 def _best(query_ids: pa.Array, ids: pa.Array, queries: np.ndarray, vectors: np.ndarray, thresholds: np.ndarray,
           k: int | None, skip_self: bool, floor: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Positions (query, vector) and cosine of matches between unit rows, a strip of queries at a time;
@@ -105,8 +115,13 @@ def _best(query_ids: pa.Array, ids: pa.Array, queries: np.ndarray, vectors: np.n
     the margin: below it a vector cannot be among the k best. The caller keeps it from batch to batch.
     """
     margin = 2 * vectors.shape[1] * float(np.finfo(np.float32).eps) + 2 * 10.0 ** -RANK_DIGITS
+    order, stay = None, None
+    if k is not None:
+        # equal vectors tie by id: of those, an entry itself aside, no more than k can be among the best
+        order = _places(ids)
+        stay = _first_copies(vectors, order, k + 1)
+        ids, vectors, order = ids.take(pa.array(stay)), vectors[stay], order[stay]
     light = vectors.astype(np.float32).T
-    order = _places(ids) if k is not None else None
     n = len(vectors)
     for low in range(0, len(queries), QUERY_STRIP):
         strip, bar = queries[low:low + QUERY_STRIP], floor[low:low + QUERY_STRIP]
@@ -138,7 +153,7 @@ def _best(query_ids: pa.Array, ids: pa.Array, queries: np.ndarray, vectors: np.n
             lead = _leading(*held, order, k)
             held = [column[lead] for column in held]
         if held and len(held[0]):
-            yield held[0] + low, held[1], held[2]
+            yield held[0] + low, stay[held[1]], held[2]
 
 
 def _no_floor(queries: np.ndarray) -> np.ndarray:
